@@ -1,0 +1,184 @@
+"""Score every corpus row against a set of queries and keep the top k per query.
+
+The corpus is scanned once.  Queries are a bounded block held by every task; each
+Arrow batch is scored against the whole block with NumPy, and a task sends only
+its k best rows per query on.  No pair is materialised and the corpus is never
+shuffled.
+
+A query set beyond the bound is cut into blocks instead: query blocks and corpus
+blocks meet in co-groups of bounded size, entirely on the executors.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from typing import Protocol
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from tessera import config
+from tessera.operators.ranking import top_k_per_key
+
+RANK_DIGITS = 9
+MAX_CELLS = 4_000_000
+CORPUS_BLOCK_ROWS = 50_000
+
+
+class Scorer(Protocol):
+    """Rank keys of a batch against a block of queries; smaller is better."""
+
+    def prepare(self, queries: pa.Table) -> object: ...
+
+    def keys(self, state: object, batch: pa.RecordBatch) -> np.ndarray:
+        """``rows x queries``; +inf where the row is no result of the query."""
+
+
+def _best(key: np.ndarray, query: np.ndarray, ids: pa.Array, k: int) -> np.ndarray:
+    """Positions of the k smallest (key, id) per query."""
+    id_rank = np.empty(len(ids), dtype=np.int64)
+    id_rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    order = np.lexsort((id_rank, np.round(key, RANK_DIGITS), query))
+    q = query[order]
+    first = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
+    return order[np.arange(len(q)) - start < k]
+
+
+class _TopK:
+    """Running k best rows per query of one task."""
+
+    def __init__(self, k: int) -> None:
+        self.k = k
+        self.key = np.zeros(0)
+        self.query = np.zeros(0, dtype=np.int64)
+        self.ids: pa.Array | None = None
+
+    def add(self, keys: np.ndarray, ids: pa.Array) -> None:
+        n = keys.shape[0]
+        rounded = np.round(keys, RANK_DIGITS)
+        if n > self.k:
+            kth = np.partition(rounded, self.k - 1, axis=0)[self.k - 1]
+            row, query = np.nonzero((rounded <= kth) & np.isfinite(rounded))
+        else:
+            row, query = np.nonzero(np.isfinite(rounded))
+        if not len(row):
+            return
+        taken = ids.take(pa.array(row))
+        key = np.r_[self.key, keys[row, query]]
+        query = np.r_[self.query, query]
+        merged = taken if self.ids is None else pa.concat_arrays([self.ids, taken])
+        keep = _best(key, query, merged, self.k)
+        self.key, self.query, self.ids = key[keep], query[keep], merged.take(pa.array(keep))
+
+    def result(self, query_ids: pa.Array, names: list[str]) -> pa.RecordBatch | None:
+        if self.ids is None:
+            return None
+        return pa.RecordBatch.from_arrays(
+            [query_ids.take(pa.array(self.query)), self.ids, pa.array(self.key)], names=names
+        )
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _score_block(
+    scorer: Scorer, queries: pa.Table, batches: Iterator[pa.RecordBatch], id_col: str,
+    query_col: str, k: int, names: list[str],
+) -> pa.RecordBatch | None:
+    state = scorer.prepare(queries)
+    best = _TopK(k)
+    step = max(1, MAX_CELLS // max(1, queries.num_rows))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            best.add(scorer.keys(state, part), part.column(id_col))
+    return best.result(_flat(queries.column(query_col)), names)
+
+
+def bounded_arrow(df: DataFrame, max_rows: int) -> pa.Table | None:
+    """The rows of ``df`` if there are at most ``max_rows``, else None."""
+    table = df.limit(max_rows + 1).toArrow()
+    return table if table.num_rows <= max_rows else None
+
+
+def scan_top_k(
+    corpus: DataFrame,
+    queries: DataFrame,
+    scorer: Scorer,
+    k: int,
+    id_col: str,
+    query_col: str,
+    key_col: str = "rank_key",
+    max_queries: int = config.MAX_BROADCAST_QUERIES,
+    salts: int = 1,
+) -> DataFrame:
+    """``(query, id, key, rank)`` of the k best corpus rows per query."""
+    names = [query_col, id_col, key_col]
+    schema = (
+        f"{query_col} {queries.schema[query_col].dataType.simpleString()}, "
+        f"{id_col} {corpus.schema[id_col].dataType.simpleString()}, {key_col} double"
+    )
+    block = bounded_arrow(queries, max_queries)
+    if block is not None:
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = _score_block(scorer, block, batches, id_col, query_col, k, names)
+            if out is not None:
+                yield out
+
+        partial = corpus.mapInArrow(scan, schema)
+    else:
+
+        def score(left: pa.Table, right: pa.Table) -> pa.Table:
+            batches = iter(right.combine_chunks().to_batches())
+            out = _score_block(scorer, left, batches, id_col, query_col, k, names)
+            if out is None:
+                types = [left.schema.field(query_col).type, right.schema.field(id_col).type]
+                columns = [pa.array([], t) for t in (*types, pa.float64())]
+                return pa.table(columns, names=names)
+            return pa.Table.from_batches([out])
+
+        partial = co_blocks(corpus, queries, id_col, query_col, score, schema, max_queries)
+    order = [F.round(key_col, RANK_DIGITS), F.col(id_col)]
+    return top_k_per_key(partial, [query_col], order, k, "rank", salts)
+
+
+def co_blocks(
+    corpus: DataFrame,
+    queries: DataFrame,
+    id_col: str,
+    query_col: str,
+    score: Callable[[pa.Table, pa.Table], pa.Table],
+    schema: str,
+    max_queries: int,
+) -> DataFrame:
+    """Block nested loop: each (query block, corpus block) is one bounded co-group.
+
+    ``score(queries, corpus)`` sees two non-empty blocks.
+    """
+    n_query_blocks = max(1, -(-queries.count() * 2 // max_queries))
+    n_corpus_blocks = max(1, -(-corpus.count() * 2 // CORPUS_BLOCK_ROWS))
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
+    q = queries.withColumn("_qb", F.pmod(F.xxhash64(query_col), F.lit(n_query_blocks)))
+    q = q.withColumn("_cb", every(n_corpus_blocks))
+    # The row id spreads copies of one text over all blocks.
+    c = corpus.withColumn("_cb", F.pmod(F.xxhash64(id_col), F.lit(n_corpus_blocks)))
+    c = c.withColumn("_qb", every(n_query_blocks))
+    empty = to_arrow_schema(StructType.fromDDL(schema))
+
+    def guarded(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows and right.num_rows:
+            return score(left, right)
+        return empty.empty_table()
+
+    return q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb")).applyInArrow(guarded, schema)

@@ -1,0 +1,18 @@
+"""Checks that decide whether a side is small enough to broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera import config
+
+
+def has_at_most(df: DataFrame, n: int) -> bool:
+    """Proven by counting; the count stops reading once the bound is passed."""
+    return df.limit(n + 1).count() <= n
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = config.MAX_BROADCAST_KEYS) -> DataFrame:
+    """Hint a broadcast only for a counted side; otherwise leave the choice to Spark."""
+    return F.broadcast(df) if has_at_most(df, max_rows) else df
