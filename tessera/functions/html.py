@@ -6,6 +6,8 @@ can come out differently from what a full HTML parser would give.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,18 +59,23 @@ def _without_blocks(html: Column) -> Column:
     return col
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _first_block(whole: Column) -> Column:
+    """Content of the first kind of main block there is; all but the head without a body."""
+    body = F.regexp_replace(whole, block_pattern("head"), "")
+    for tag in reversed(MAIN_BLOCKS):
+        has_tag = F.regexp_like(whole, F.lit(rf"(?i)<{tag}[\s>]"))
+        body = F.when(has_tag, F.regexp_extract(whole, inner_pattern(tag), 1)).otherwise(body)
+    return body
+
+
 def main_text(html: Column) -> Column:
     """Main content as lines of text; an empty string if there is none."""
-    col = _without_blocks(html)
-    whole = col
-    body = F.lit("")
-    for tag in reversed(MAIN_BLOCKS):
-        inner = F.regexp_extract(whole, inner_pattern(tag), 1)
-        body = F.when(inner != "", inner).otherwise(body)
-    # No body element at all: take what is there, minus the head.
-    col = F.when(F.regexp_like(whole, F.lit(r"(?i)<body[\s>]")), body).otherwise(
-        F.when(body != "", body).otherwise(F.regexp_replace(whole, block_pattern("head"), ""))
-    )
+    col = _bind(_without_blocks(html), _first_block)
     col = F.regexp_replace(col, BLANKS, " ")
     col = F.regexp_replace(col, rf"(?i)</?(?:{BLOCK_TAGS})(?:\s[^>]*)?/?>", "\n")
     col = F.regexp_replace(col, rf"(?i)</(?:{CELL_TAGS})\s*>", " | ")
@@ -84,7 +91,8 @@ def page_title(html: Column) -> Column:
     def inner(tag: str) -> Column:
         found = F.regexp_extract(html, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>", 1)
         found = F.regexp_replace(found, r"<[^>]+>", "")
-        return F.nullif(strip(F.regexp_replace(decode_entities(found), BLANKS, " ")), F.lit(""))
+        found = strip(F.regexp_replace(decode_entities(found), BLANKS, " "))
+        return _bind(found, lambda t: F.when(t != "", t))
 
     return F.coalesce(inner("title"), inner("h1"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,9 +104,10 @@ def current_version_per_url(
 
 def merge_attributes(*maps: Column) -> Column:
     """One map of all attributes; later maps win on equal keys."""
-    merged = maps[0]
-    for later in maps[1:]:
-        later = F.coalesce(later, F.expr("cast(map() as map<string,string>)"))
-        kept = F.map_filter(merged, lambda k, v, later=later: ~F.map_contains_key(later, k))
-        merged = F.map_concat(kept, later)
-    return merged
+    return reduce(_overlay, maps)
+
+
+def _overlay(first: Column, later: Column) -> Column:
+    later = F.coalesce(later, F.expr("cast(map() as map<string,string>)"))
+    kept = F.map_filter(first, lambda k, v: ~F.array_contains(F.map_keys(later), k))
+    return F.map_concat(kept, later)

@@ -19,13 +19,13 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
     Targets are made distinct within the page before they leave its row.
     """
+    page = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     targets = F.transform(
-        F.filter(html.hrefs(F.col(html_col)), url.is_followable),
-        lambda h: url.resolve_link(F.col(url_col), h),
-    )
-    return pages.select(
-        F.col(url_col).alias("url"), F.explode(F.array_sort(F.array_distinct(targets))).alias("link")
+        F.filter(html.hrefs(F.col("html")), url.is_followable),
+        lambda h: url.resolve_link(F.col("url"), h),
     )
+    links = page.withColumn("links", F.array_sort(F.array_distinct(targets)))
+    return links.select("url", F.explode("links").alias("link"))
 
 
 def admitted_links(edges: DataFrame, sources: DataFrame) -> DataFrame:

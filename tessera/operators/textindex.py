@@ -169,8 +169,8 @@ class Bm25Scorer:
         rows, queries = np.nonzero(candidates)
         if len(rows):
             used, where = np.unique(rows, return_inverse=True)
-            texts = pc.binary_join(batch.column("terms").take(pa.array(used)), " ").to_pylist()
-            texts = [f" {t} " for t in texts]
+            found = batch.column("terms").take(pa.array(used)).to_pylist()
+            texts = [f" {' '.join(terms)} " for terms in found]
             hits = [state["phrases"][q] in texts[at] for at, q in zip(where, queries, strict=True)]
             mask[rows, queries] = hits
         return mask

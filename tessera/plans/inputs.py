@@ -160,7 +160,7 @@ def label_midpoints(spark: SparkSession, d: str) -> DataFrame:
     """Vectors halfway between the centroids of successive labels."""
     a = label_centroids(spark, d)
     b = a.select((F.col("query_id") - 1).alias("query_id"), F.col("embedding").alias("other"))
-    middle = F.zip_with("embedding", "other", lambda x, y: F.round((x + y) / 2, 6))
+    middle = F.zip_with("embedding", "other", lambda x, y: (x + y) / 2)
     return a.join(b, "query_id").select("query_id", middle.alias("embedding"))
 
 
