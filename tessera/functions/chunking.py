@@ -10,30 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera import config
-from tessera.functions.text import strip
-
-# Above this many characters windows are cut by one linear regex pass instead of
-# one ``substring`` (which walks from the start of the string) per window.
-LONG_TEXT = 65_536
-
-
-def _cut(text: Column, size: int, step: int, n_windows: Column) -> Column:
-    """``n_windows`` windows of ``size`` characters, ``step`` apart."""
-    by_position = F.transform(
-        F.sequence(F.lit(0), n_windows - 1),
-        lambda i: F.substring(text, i * step + 1, F.lit(size)),
-    )
-    overlap = size - step
-    if overlap > step:
-        return by_position
-    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % step), F.lit(0))
-    by_block = F.transform(
-        F.slice(blocks, F.lit(1), n_windows),
-        lambda block, i: F.concat(
-            block, F.substring(F.coalesce(F.get(blocks, i + 1), F.lit("")), 1, overlap)
-        ),
-    )
-    return F.when(F.char_length(text) <= LONG_TEXT, by_position).otherwise(by_block)
+from tessera.functions.text import bind, strip
 
 
 def _check(size: int, overlap: int) -> int:
@@ -52,13 +29,34 @@ def run_to_end_windows(
 
     The last one may lie wholly inside its predecessor; ``drop_contained_tail``
     leaves it out.
+
+    One linear pass cuts the text into blocks of one step.  A window is its block
+    and the first characters of the blocks after it; cutting windows by position
+    would walk from the start of the text for each of them.
     """
     step = _check(size, overlap)
-    n = F.char_length(text)
-    last_start = F.greatest(n - overlap - 1, F.lit(0)) if drop_contained_tail else n - 1
-    return F.when(n > 0, _cut(text, size, step, F.floor(last_start / step).cast("int") + 1)).otherwise(
-        F.expr("cast(array() as array<string>)")
-    )
+    pattern = F.lit("(?s).{1,%d}" % step)
+
+    def from_blocks(blocks: Column) -> Column:
+        def window(block: Column, i: Column) -> Column:
+            tail = F.array_join(F.slice(blocks, i + 2, F.lit(-(-overlap // step))), "")
+            return F.concat(block, F.substring(tail, 1, overlap))
+
+        if not drop_contained_tail:
+            return F.transform(blocks, window)
+        last = F.char_length(F.element_at(blocks, -1))
+        contained = (F.size(blocks) > 1) & (last <= overlap)
+        # With an overlap above the step the last blocks are contained as a group.
+        if overlap > step:
+            length = (F.size(blocks) - 1) * step + last
+            kept = F.floor(F.greatest(length - overlap - 1, F.lit(0)) / step).cast("int") + 1
+        else:
+            kept = F.size(blocks) - F.when(contained, 1).otherwise(0)
+        return F.slice(F.transform(blocks, window), F.lit(1), kept)
+
+    blocks = F.regexp_extract_all(text, pattern, F.lit(0))
+    empty = F.expr("cast(array() as array<string>)")
+    return bind(blocks, lambda b: F.when(F.size(b) > 0, from_blocks(b)).otherwise(empty))
 
 
 def sliding_chunks(

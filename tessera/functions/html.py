@@ -6,13 +6,11 @@ can come out differently from what a full HTML parser would give.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera import config
-from tessera.functions.text import strip
+from tessera.functions.text import bind, strip
 
 # --- fixed values: markup that carries no main content ------------------------
 DROPPED_BLOCKS = ["script", "style", "noscript", "template", "nav", "footer", "header", "aside", "form"]
@@ -59,11 +57,6 @@ def _without_blocks(html: Column) -> Column:
     return col
 
 
-def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _first_block(whole: Column) -> Column:
     """Content of the first kind of main block there is; all but the head without a body."""
     body = F.regexp_replace(whole, block_pattern("head"), "")
@@ -75,7 +68,7 @@ def _first_block(whole: Column) -> Column:
 
 def main_text(html: Column) -> Column:
     """Main content as lines of text; an empty string if there is none."""
-    col = _bind(_without_blocks(html), _first_block)
+    col = bind(_without_blocks(html), _first_block)
     col = F.regexp_replace(col, BLANKS, " ")
     col = F.regexp_replace(col, rf"(?i)</?(?:{BLOCK_TAGS})(?:\s[^>]*)?/?>", "\n")
     col = F.regexp_replace(col, rf"(?i)</(?:{CELL_TAGS})\s*>", " | ")
@@ -92,7 +85,7 @@ def page_title(html: Column) -> Column:
         found = F.regexp_extract(html, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>", 1)
         found = F.regexp_replace(found, r"<[^>]+>", "")
         found = strip(F.regexp_replace(decode_entities(found), BLANKS, " "))
-        return _bind(found, lambda t: F.when(t != "", t))
+        return bind(found, lambda t: F.when(t != "", t))
 
     return F.coalesce(inner("title"), inner("h1"))
 

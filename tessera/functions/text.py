@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from tessera import config
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often it is used.
+
+    Needed inside higher-order functions, where a repeated expression would be
+    evaluated again for every element.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 # --- fixed values: characters that end a line ----------------------------------
 LINE_END = r"[\n\r\x{0B}\x{0C}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
 

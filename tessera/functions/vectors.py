@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,36 +50,29 @@ def require_dimension(vector: Column, dim: int) -> Column:
     )
 
 
-def hash_codes(terms: Column, dim: int = config.EMBED_DIM) -> Column:
-    """Signed bucket of each term: ``b`` for plus, ``-b-1`` for minus.
-
-    The bucket is the first 32 bits of the term's md5 modulo ``dim``; the top bit
-    is the sign.
-    """
-    def code(term: Column) -> Column:
-        h = F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("bigint")
-        return F.when(h < 2**31, h % dim).otherwise(-(h % dim) - 1).cast("int")
-
-    return F.transform(terms, code)
+def _signed_codes(terms: list[str], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and sign of each term: first 32 bits of its md5; the top bit is the sign."""
+    h = np.array([int(md5(t.encode()).hexdigest()[:8], 16) for t in terms], dtype=np.int64)
+    return h % dim, np.where(h < 2**31, 1.0, -1.0)
 
 
 def hash_vector(terms: Column, dim: int = config.EMBED_DIM) -> Column:
     """Feature-hash embedding of a term list as ``array<float>``.
 
-    Codes are computed in the JVM; NumPy only counts them, one Arrow batch at a
-    time.
+    Each distinct term of an Arrow batch is hashed once; NumPy counts the rest.
     """
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
-    def count_codes(codes: pa.Array) -> pa.Array:
-        lengths = np.diff(codes.offsets.to_numpy())
-        flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        rows = np.repeat(np.arange(len(codes), dtype=np.int64), lengths)
-        bucket = np.where(flat >= 0, flat, -flat - 1)
-        sign = np.where(flat >= 0, 1.0, -1.0)
-        dense = np.bincount(rows * dim + bucket, weights=sign, minlength=len(codes) * dim)
-        offsets = pa.array(np.arange(len(codes) + 1, dtype=np.int32) * dim)
+    def count_terms(lists: pa.Array) -> pa.Array:
+        n = len(lists)
+        encoded = lists.flatten().dictionary_encode()
+        bucket, sign = _signed_codes(encoded.dictionary.to_pylist(), dim)
+        term = encoded.indices.to_numpy(zero_copy_only=False)
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
+        dense = np.bincount(rows * dim + bucket[term], weights=sign[term], minlength=n * dim)
+        offsets = pa.array(np.arange(n + 1, dtype=np.int32) * dim)
         return pa.ListArray.from_arrays(offsets, pa.array(dense.astype(np.float32)))
 
-    empty = F.expr("cast(array() as array<int>)")
-    return count_codes(F.coalesce(hash_codes(terms, dim), empty))
+    empty = F.expr("cast(array() as array<string>)")
+    return count_terms(F.coalesce(terms, empty))

@@ -49,16 +49,19 @@ def hybrid_search(
 def attach_chunks(
     ranked: DataFrame,
     chunks: DataFrame,
+    queries: DataFrame,
+    k: int,
     id_col: str = "chunk_id",
     head_chars: int = config.STORE_HEAD_CHARS,
     text_col: str = "text",
 ) -> DataFrame:
     """Fetch the chunk columns of ranked rows, the text cut to its head.
 
-    Ranked rows are few (queries x k); they are counted, and broadcast if they
-    stay under the bound, so the chunk table is scanned and not shuffled.
+    ``ranked`` has at most k rows per query.  If counting ``queries`` proves that
+    to be few rows they are broadcast, so the chunk table is scanned and not
+    shuffled; else Spark chooses the join.
     """
-    side = F.broadcast(ranked) if has_at_most(ranked, config.MAX_BROADCAST_KEYS) else ranked
+    few = has_at_most(queries, config.MAX_BROADCAST_KEYS // k)
     body = [F.col(c) for c in chunks.columns if c != text_col]
     found = chunks.select(*body, head(F.col(text_col), head_chars).alias("chunk_text_head"))
-    return side.join(found, id_col)
+    return found.join(F.broadcast(ranked) if few else ranked, id_col)

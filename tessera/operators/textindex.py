@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from tessera import config
 from tessera.functions.text import query_terms, tokens
 from tessera.operators.blockscan import MAX_CELLS, bounded_arrow, co_blocks, scan_top_k
-from tessera.operators.sizing import broadcast_if_small
 
 MATCH_MODES = ("any", "all", "phrase")
 
@@ -92,13 +91,11 @@ def weighted_queries(
         F.array_distinct(query_terms(F.col(text_col), stop_words)).alias("asked"),
     )
     wanted = parsed.select(query_col, F.explode("asked").alias("term"))
-    vocabulary = broadcast_if_small(wanted.select("term").distinct())
-    df = document_frequency(index, vocabulary)
-    totals = corpus_stats(index).first()  # one row: two numbers
+    df, n_docs, avg_terms = _vocabulary_stats(wanted.select("term").distinct(), index)
     count = F.coalesce("df", F.lit(0))
     weights = (
         wanted.join(df, "term", "left")
-        .withColumn("idf", F.log(1 + (totals["n_docs"] - count + 0.5) / (count + 0.5)))
+        .withColumn("idf", F.log(1 + (n_docs - count + 0.5) / (count + 0.5)))
         .groupBy(query_col)
         .agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("weights"))
     )
@@ -107,10 +104,45 @@ def weighted_queries(
         "ordered",
         F.col("weights.term").alias("terms"),
         F.col("weights.idf").alias("idf"),
-        F.lit(float(totals["avg_terms"] or 0.0)).alias("avg_terms"),
+        F.lit(avg_terms).alias("avg_terms"),
     )
 
 
+def _vocabulary_stats(
+    vocabulary: DataFrame, index: DataFrame, max_terms: int = config.MAX_BROADCAST_KEYS
+) -> tuple[DataFrame, int, float]:
+    """Document frequency of the vocabulary, number of texts, mean length.
+
+    A bounded vocabulary is counted in one scan: each text adds its distinct terms
+    and one marker (the empty string, which is never a term) with its length.
+    """
+    spark = index.sparkSession
+    terms = bounded_arrow(vocabulary, max_terms)
+    if terms is None:
+        totals = corpus_stats(index).first()  # one row: two numbers
+        df = document_frequency(index, vocabulary)
+        return df, totals["n_docs"], float(totals["avg_terms"] or 0.0)
+    marker = pa.table({"term": pa.array([""], terms.schema.field("term").type)})
+    known = spark.createDataFrame(pa.concat_tables([terms, marker.cast(terms.schema)]))
+    marked = index.select(
+        "n_terms", F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit("")))).alias("term")
+    )
+    counts = (
+        marked.join(F.broadcast(known), "term", "left_semi")
+        .groupBy("term")
+        .agg(
+            F.count("*").alias("df"),
+            F.sum(F.when(F.col("term") == "", F.col("n_terms"))).alias("total"),
+        )
+        .toArrow()  # one row per term of the bounded vocabulary
+    )
+    is_marker = pc.equal(counts["term"], "")
+    totals = counts.filter(is_marker).to_pylist()
+    n_docs, total = (totals[0]["df"], totals[0]["total"]) if totals else (0, 0)
+    df = counts.filter(pc.invert(is_marker)).select(["term", "df"])
+    return spark.createDataFrame(df), n_docs, total / n_docs if n_docs else 0.0
+
+
 class Bm25Scorer:
     """Rank key = minus the BM25 score; +inf for texts the match mode excludes."""
 

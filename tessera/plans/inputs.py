@@ -12,7 +12,7 @@ from tessera.operators.documents import assemble_pages, explode_strings
 from tessera.operators.embedding import hash_embed
 from tessera.operators.hybrid import attach_chunks, hybrid_search
 from tessera.operators.textindex import forward_index
-from tessera.sources.tables import table
+from tessera.sources.tables import table, wide_table
 
 BASE_TIME = 1_704_067_200  # 2024-01-01 00:00:00 UTC
 NOW_TIME = 1_717_200_000  # 2024-06-01 00:00:00 UTC
@@ -38,7 +38,7 @@ def utc_timestamp(ntz: Column) -> Column:
 
 def document_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Sliding chunks of all documents, the language as their title."""
-    docs = table(spark, d, "documents").select(
+    docs = wide_table(spark, d, "documents").select(
         "doc_id", "source", F.col("lang").alias("title"), "text"
     )
     rows = explode_strings(
@@ -75,7 +75,8 @@ def hybrid_hits(chunks: DataFrame, queries: DataFrame, k: int = config.TOP_K) ->
 def hybrid_rows(spark: SparkSession, d: str, k: int = config.TOP_K) -> DataFrame:
     """Fused top rows of every benchmark query with their chunk columns."""
     chunks = document_chunks(spark, d)
-    return attach_chunks(hybrid_hits(chunks, benchmark_queries(spark, d), k), chunks)
+    asked = benchmark_queries(spark, d)
+    return attach_chunks(hybrid_hits(chunks, asked, k), chunks, asked, k)
 
 
 def base_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +120,7 @@ def assembled_conversations(spark: SparkSession, d: str) -> DataFrame:
 
 def source_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages with their host as the source."""
-    return table(spark, d, "pages").select(
+    return wide_table(spark, d, "pages").select(
         url.host(F.col("url")).alias("source"), "url", F.col("html").alias("raw")
     )
 

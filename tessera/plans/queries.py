@@ -35,7 +35,7 @@ from tessera.operators import (
 from tessera.plans import inputs
 from tessera.plans.inputs import at, big, md5_of
 from tessera.sources import markdown
-from tessera.sources.tables import table
+from tessera.sources.tables import table, wide_table
 from tessera.streaming import incremental, request_metrics
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,7 +144,7 @@ def current_versions(spark, d):
 
 @query
 def prune_orphans(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = wide_table(spark, d, "documents").select("doc_id", "text")
     stored = documents.explode_strings(docs, chunking.sliding_chunks(F.col("text")), "doc_id")
     labelled = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id")
     again = documents.explode_strings(labelled, chunking.run_to_end_windows(F.col("text")), "doc_id")
@@ -159,7 +159,7 @@ def prune_orphans(spark, d):
 
 @query
 def window_chunks(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = wide_table(spark, d, "documents").select("doc_id", "text")
     rows = documents.explode_strings(docs, chunking.run_to_end_windows(F.col("text")), "doc_id")
     step = config.GOLD_CHUNK_SIZE - config.GOLD_CHUNK_OVERLAP
     return rows.select(
@@ -218,7 +218,7 @@ def paragraph_chunks(spark, d):
 
 @query
 def corpus_load(spark, d):
-    files = table(spark, d, "documents").select(
+    files = wide_table(spark, d, "documents").select(
         "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("file_name"), "text"
     )
     chunks = markdown.corpus_chunks(files)
@@ -249,7 +249,7 @@ def version_counts(spark, d):
 
 
 def _document_index(spark, d):
-    return textindex.forward_index(table(spark, d, "documents"), "doc_id")
+    return textindex.forward_index(wide_table(spark, d, "documents"), "doc_id")
 
 
 @query
@@ -312,7 +312,7 @@ def phrase_topk(spark, d):
 
 @query
 def hash_embedding(spark, d):
-    docs = inputs.embedded(table(spark, d, "documents").select("doc_id", "text"), "text")
+    docs = inputs.embedded(wide_table(spark, d, "documents").select("doc_id", "text"), "text")
     v = F.transform("embedding", lambda x: x.cast("int"))
     return docs.select(
         "doc_id",
@@ -491,7 +491,9 @@ def _evaluation(spark, d):
     chunks = inputs.document_chunks(spark, d)
     asked = inputs.benchmark_questions(spark, d)
     hits = inputs.hybrid_hits(chunks, asked.select("query_id", "query_text"))
-    rows = inputs.attach_chunks(hits, chunks, head_chars=config.EVAL_HEAD_CHARS)
+    rows = inputs.attach_chunks(
+        hits, chunks, asked, config.TOP_K, head_chars=config.EVAL_HEAD_CHARS
+    )
     retrieved = inputs.embedded(
         rows.select("query_id", "chunk_text_head"), "chunk_text_head", "chunk_vec"
     )
@@ -538,7 +540,7 @@ def ranker_comparison(spark, d):
 @query
 def page_clean(spark, d):
     body = F.col("html")
-    clean = table(spark, d, "pages").select(
+    clean = wide_table(spark, d, "pages").select(
         "page_id", html.page_title(body).alias("title"), html.main_text(body).alias("text"),
         html.needs_render(body).alias("needs_render"),
     )
@@ -550,7 +552,7 @@ def page_clean(spark, d):
 
 @query
 def page_links(spark, d):
-    return frontier.page_links(table(spark, d, "pages"))
+    return frontier.page_links(wide_table(spark, d, "pages"))
 
 
 @query
@@ -565,7 +567,7 @@ def link_frontier(spark, d):
         ).alias("allow_prefixes"),
         F.array(F.lit("?"), F.lit("#")).alias("deny_substrings"),
     ).distinct()
-    edges = frontier.admitted_links(frontier.page_links(table(spark, d, "pages")), sources)
+    edges = frontier.admitted_links(frontier.page_links(wide_table(spark, d, "pages")), sources)
     visited = frontier.walk(pages.select("source", "url"), edges, max_depth=2)
     return visited.withColumn("depth", big("depth"))
 

@@ -7,3 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a small scan of few files, for work heavy on the CPU.
+
+    Byte ranges of a file are tasks, but all rows of a row group go to one of them:
+    a small table in one file keeps a single core busy.  A table with at least as
+    many files as cores, or too large for two splits per core, comes back as it
+    is, without a shuffle.  ``df`` must be a plain scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = df.rdd.getNumPartitions() <= 2 * cores
+    return df.repartition(2 * cores) if small and len(df.inputFiles()) < cores else df
+
+
+def wide_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of long texts, spread over the cores."""
+    return spread(table(spark, folder, name))
