@@ -68,10 +68,13 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm == 0, 1.0, norm)
 
 
+def cell_similarity(vectors: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return np.round(unit_rows(vectors) @ centers.T, RANK_DIGITS)
+
+
 def cell_order(vectors: np.ndarray, centers: np.ndarray) -> np.ndarray:
     """Cells of each vector, most similar first, ties by cell number."""
-    similarity = np.round(unit_rows(vectors) @ centers.T, RANK_DIGITS)
-    return np.argsort(-similarity, axis=1, kind="stable")
+    return np.argsort(-cell_similarity(vectors, centers), axis=1, kind="stable")
 
 
 def assign_cells(corpus: DataFrame, vector_col: str, dim: int, centers: np.ndarray) -> DataFrame:
@@ -81,7 +84,7 @@ def assign_cells(corpus: DataFrame, vector_col: str, dim: int, centers: np.ndarr
     def nearest(vectors: pa.Array) -> pa.Array:
         if not len(vectors):
             return pa.array([], pa.int32())
-        return pa.array(cell_order(as_matrix(vectors), centers)[:, 0].astype(np.int32))
+        return pa.array(cell_similarity(as_matrix(vectors), centers).argmax(axis=1).astype(np.int32))
 
     valid = corpus.where(is_valid_vector(F.col(vector_col), dim))
     return valid.withColumn("cell", nearest(F.col(vector_col)))

@@ -48,11 +48,14 @@ def upsert(
     """
     keys = list(keys)
     source = source.select(*target.columns)
+    small = has_at_most(source, max_broadcast)
     if check_duplicates:
         source = _checked(source, keys)
-    changed = rows_to_write(target, source, keys, hash_col, max_broadcast)
-    replaced = _hinted(changed.select(*keys), max_broadcast)
-    return target.join(replaced, keys, "left_anti").unionByName(changed)
+    changed = rows_to_write(target, source, keys, hash_col, small)
+    replaced = changed.select(*keys)
+    return target.join(F.broadcast(replaced) if small else replaced, keys, "left_anti").unionByName(
+        changed
+    )
 
 
 def _checked(source: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,13 +76,19 @@ def rows_to_write(
     source: DataFrame,
     keys: Sequence[str],
     hash_col: str | None = None,
-    max_broadcast: int = config.MAX_BROADCAST_KEYS,
+    small: bool | None = None,
 ) -> DataFrame:
-    """The rows an upsert writes: new ones and, with a hash, changed ones."""
+    """The rows an upsert writes: new ones and, with a hash, changed ones.
+
+    ``small`` tells whether the source keys may be broadcast; counted if not given.
+    """
     keys = list(keys)
     if hash_col is None:
         return source
-    wanted = _hinted(source.select(*keys), max_broadcast)
+    if small is None:
+        small = has_at_most(source, config.MAX_BROADCAST_KEYS)
+    wanted = source.select(*keys)
+    wanted = F.broadcast(wanted) if small else wanted
     known = target.select(*keys, F.col(hash_col).alias("_known"), F.lit(True).alias("_matched"))
     known = known.join(wanted, keys, "left_semi")
     is_new = F.col("_matched").isNull()

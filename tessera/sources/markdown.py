@@ -13,12 +13,7 @@ from tessera.operators.documents import explode_strings
 
 def read_markdown(spark: SparkSession, root: str) -> DataFrame:
     """``(source, file_name, text)``, one row per file below ``root``."""
-    files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.md")
-        .text(root)
-    )
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     parts = F.split(F.col("_metadata.file_path"), "/")
     return files.select(
         F.element_at(parts, -2).alias("source"),
