@@ -78,7 +78,10 @@ def score_retrieval(
 
 def mean_scores(scores: DataFrame, *groups: str) -> DataFrame:
     """Means of the already rounded metrics, 4 digits, overall or per group."""
-    means = [F.round(F.avg(F.round(m, 4)), 4).alias(m) for m in METRICS]
+    # Decimals add up exactly, so the mean does not depend on the order of the rows.
+    means = [
+        F.round(F.avg(F.col(m).cast("decimal(12,4)")), 4).cast("double").alias(m) for m in METRICS
+    ]
     return scores.groupBy(*groups).agg(F.count("*").alias("n_questions"), *means)
 
 

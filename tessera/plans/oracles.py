@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera import config
 from tessera.functions import html
 from tessera.functions.text import LINE_END
+from tessera.operators.evaluation import METRICS
 
 BASE_TIME = 1_704_067_200
 NOW_TIME = 1_717_200_000
@@ -592,9 +593,7 @@ ORACLES: dict[str, str] = {
                      WHERE role = 'assistant') a USING (conv_id, turn)))""",
     "retrieval_eval": f"WITH {EVAL} SELECT * FROM scores",
     "eval_means": f"""WITH {EVAL} SELECT count(*) AS n_questions,
-        round(avg(answer_relevance), 4) AS answer_relevance,
-        round(avg(context_precision), 4) AS context_precision,
-        round(avg(context_recall), 4) AS context_recall, round(avg(faithfulness), 4) AS faithfulness
+        {", ".join(f"round(sum(CAST({m} AS DECIMAL(12, 4))) / count(*), 4) AS {m}" for m in METRICS)}
         FROM scores""",
     "ranker_comparison": f"""WITH {RANKINGS},
         ranked AS (
