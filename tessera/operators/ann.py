@@ -93,10 +93,9 @@ def assign_cells(corpus: DataFrame, vector_col: str, dim: int, centers: np.ndarr
 def write_index(indexed: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Store vectors partitioned by cell.
 
-    The rows keep their spread over tasks: each task writes its own file per cell,
-    so a hot cell is many files and not one.
+    The rebalance brings a cell together and splits a hot one over several files.
     """
-    indexed.write.mode(mode).partitionBy("cell").option("compression", "zstd").parquet(path)
+    indexed.hint("rebalance", "cell").write.mode(mode).partitionBy("cell").option("compression", "zstd").parquet(path)
 
 
 class ProbeScorer(CosineScorer):

@@ -139,8 +139,13 @@ def prune_orphans(table: DataFrame, current: DataFrame, keys: Sequence[str], sco
 
     Groups that were not re-made are left alone.
     """
-    remade = current.select(scope).distinct().withColumn("_remade", F.lit(True))
-    alive = current.select(*keys).distinct().withColumn("_alive", F.lit(True))
+    small = has_at_most(current, config.MAX_BROADCAST_KEYS)
+
+    def flagged(columns: Sequence[str], flag: str) -> DataFrame:
+        side = current.select(*columns).distinct().withColumn(flag, F.lit(True))
+        return F.broadcast(side) if small else side
+
+    remade, alive = flagged([scope], "_remade"), flagged(keys, "_alive")
     return (
         table.join(remade, scope, "left")
         .join(alive, list(keys), "left")

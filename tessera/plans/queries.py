@@ -372,14 +372,13 @@ def cell_topk(spark, d):
 def ann_topk_recall(spark, d):
     """Trained cells, probes tuned to the target, recall against exact search."""
     corpus = table(spark, d, "embeddings").select("vec_id", "embedding")
-    asked = inputs.label_midpoints(spark, d)
+    middle = inputs.label_midpoints(spark, d)
+    asked = inputs.label_centroids(spark, d).unionByName(
+        middle.withColumn("query_id", F.col("query_id") + 1_000_000)
+    )
     centers = ann.train_cells(corpus, "embedding", 64, n_cells=16)
     indexed = ann.assign_cells(corpus, "embedding", 64, centers)
-    tuning = inputs.label_centroids(spark, d)
-    n_probe = ann.tune_probes(
-        spark, indexed, tuning.unionByName(asked.withColumn("query_id", F.col("query_id") + 1_000_000)),
-        10, centers=centers, dim=64, id_col="vec_id",
-    )
+    n_probe = ann.tune_probes(spark, indexed, asked, 10, centers=centers, dim=64, id_col="vec_id")
     found = ann.ann_search(
         indexed, asked, 10, centers=centers, n_probe=n_probe, dim=64, id_col="vec_id"
     )

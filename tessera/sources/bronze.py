@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators.stats import with_counters
+from tessera.sources.store import clustered
+
 METADATA = T.StructType(
     [
         T.StructField("doc_id", T.StringType()),
@@ -52,18 +57,21 @@ def to_documents(rows: DataFrame) -> DataFrame:
     return stamped.select("source", "date", F.struct(*METADATA_FIELDS).alias("metadata"), "text")
 
 
-def write_bronze(rows: DataFrame, root: str, mode: str = "append") -> None:
-    """JSON documents partitioned by source and date.
+def write_bronze(rows: DataFrame, root: str, mode: str = "append") -> dict[str, int]:
+    """JSON documents partitioned by source and date; a hot source becomes several files.
 
-    Rows keep their spread over tasks, so a hot source becomes many files.
+    Returns the counters of the written documents, taken by the write itself.
     """
-    docs = to_documents(rows)
+    docs = clustered(to_documents(rows), ["source", "date"])
+    docs, seen = with_counters(docs, f"bronze-{uuid.uuid4().hex}", chars=F.col("metadata.char_count"))
     docs.write.mode(mode).partitionBy("source", "date").json(f"{root.rstrip('/')}/text")
+    return seen.get
 
 
 def write_raw(rows: DataFrame, root: str, mode: str = "append") -> None:
     """Raw page bodies as binary, one row per object, with their object key."""
     blobs = rows.select("source", "date", "raw_object_key", F.col("raw").cast("binary").alias("raw"))
+    blobs = clustered(blobs, ["source", "date"])
     blobs.write.mode(mode).partitionBy("source", "date").parquet(f"{root.rstrip('/')}/raw")
 
 
