@@ -18,18 +18,19 @@ from tessera.operators.sizing import has_at_most
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``df`` unchanged; fails the job if two rows share a key.
+    """``df`` unchanged; fails the job if two rows share a key without NULLs.
 
-    The check is a left join with a per-key count that raises, so it needs no
-    action of its own.
+    The repeated keys are found with one map-side counted aggregation and joined
+    back; there are normally none, and adaptive execution drops the join then.
     """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    shown = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys])
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
+    shown = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
     message = F.concat(F.lit("duplicate source key: "), shown)
-    checked = counts.withColumn(
-        "_n", F.when(F.col("_n") > 1, F.raise_error(message).cast("bigint")).otherwise(F.col("_n"))
+    marked = df.join(counts, list(keys), "left")
+    unique = F.when(F.col("_n").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(
+        F.lit(True)
     )
-    return df.join(checked, list(keys), "inner").where(F.col("_n") == 1).drop("_n")
+    return marked.where(unique).select(*df.columns)
 
 
 def upsert(
@@ -49,24 +50,15 @@ def upsert(
     keys = list(keys)
     source = source.select(*target.columns)
     small = has_at_most(source, max_broadcast)
-    if check_duplicates:
-        source = _checked(source, keys)
-    changed = rows_to_write(target, source, keys, hash_col, small)
-    replaced = changed.select(*keys)
+    # The key list needs no check: the rows that are written carry it.
+    replaced = rows_to_write(target, source, keys, hash_col, small).select(*keys)
+    checked = assert_unique(source, keys) if check_duplicates else source
+    changed = rows_to_write(target, checked, keys, hash_col, small, source)
     return target.join(F.broadcast(replaced) if small else replaced, keys, "left_anti").unionByName(
         changed
     )
 
 
-def _checked(source: DataFrame, keys: list[str]) -> DataFrame:
-    """Duplicate non-NULL keys fail; rows with a NULL key never match anything."""
-    has_key = F.lit(True)
-    for k in keys:
-        has_key = has_key & F.col(k).isNotNull()
-    unkeyed = source.where(~has_key)
-    return assert_unique(source.where(has_key), keys).select(*source.columns).unionByName(unkeyed)
-
-
 def _hinted(side: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(side) if has_at_most(side, max_rows) else side
 
@@ -77,17 +69,19 @@ def rows_to_write(
     keys: Sequence[str],
     hash_col: str | None = None,
     small: bool | None = None,
+    key_source: DataFrame | None = None,
 ) -> DataFrame:
     """The rows an upsert writes: new ones and, with a hash, changed ones.
 
     ``small`` tells whether the source keys may be broadcast; counted if not given.
+    ``key_source`` has the same keys as ``source`` and may be cheaper to compute.
     """
     keys = list(keys)
     if hash_col is None:
         return source
     if small is None:
         small = has_at_most(source, config.MAX_BROADCAST_KEYS)
-    wanted = source.select(*keys)
+    wanted = (source if key_source is None else key_source).select(*keys)
     wanted = F.broadcast(wanted) if small else wanted
     known = target.select(*keys, F.col(hash_col).alias("_known"), F.lit(True).alias("_matched"))
     known = known.join(wanted, keys, "left_semi")
@@ -109,8 +103,9 @@ def upsert_with_audit(
     """
     keys = list(keys)
     payload = [c for c in target.columns if c not in ("created_at", "updated_at")]
-    source = _checked(source.select(*payload), keys)
+    source = source.select(*payload)
     wanted = _hinted(source.select(*keys), max_broadcast)
+    source = assert_unique(source, keys)
     first_seen = target.select(*keys, F.col("created_at").alias("_created")).join(
         wanted, keys, "left_semi"
     )

@@ -25,6 +25,7 @@ from tessera.operators import (
     history,
     landing,
     metrics,
+    packing,
     ranking,
     response,
     routing,
@@ -196,22 +197,15 @@ def assemble_documents(spark, d):
 
 @query
 def paragraph_chunks(spark, d):
-    silver = inputs.assembled_conversations(spark, d).select(
-        F.col("conv_id").cast("string").alias("doc_id"),
-        F.lit("conversations").alias("source"),
-        F.lit(None).cast("string").alias("source_url"),
-        F.lit(None).cast("string").alias("title"),
-        F.col("text"),
+    chunks = packing.pack_pages(table(spark, d, "conversations"), "conv_id", "turn", "text")
+    doc_id = F.col("conv_id").cast("string")
+    return chunks.select(
+        ids.chunk_id(doc_id, F.col("chunk_index")).alias("chunk_id"),
+        ids.id_prefix(doc_id).alias("doc_id_prefix"),
+        "chunk_index",
         ids.char_count(F.col("text")).alias("char_count"),
-    )
-    gold = documents.gold_chunks(silver, at(inputs.NOW_TIME))
-    return gold.select(
-        "chunk_id",
-        "doc_id_prefix",
-        big("chunk_index").alias("chunk_index"),
-        big("char_count").alias("char_count"),
-        big("start_char").alias("start_char"),
-        big("end_char").alias("end_char"),
+        "start_char",
+        "end_char",
         md5_of(F.col("text")).alias("text_md5"),
     )
 
