@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from tessera import config
 from tessera.functions.vectors import is_valid_vector
 from tessera.operators.blockscan import RANK_DIGITS, bounded_arrow, scan_top_k
-from tessera.operators.dense import CosineScorer, as_matrix, dense_search
+from tessera.operators.dense import CosineScorer, as_matrix, dense_search, valid_matrix
 
 
 def unit_vectors(df: DataFrame, vector_col: str, dim: int) -> DataFrame:
@@ -102,11 +102,11 @@ class ProbeScorer(CosineScorer):
     """Cosine distance, +inf where the row's cell is not among the query's probes."""
 
     def __init__(self, vector_col: str, centers: np.ndarray, n_probe: int) -> None:
-        super().__init__(vector_col)
+        super().__init__(vector_col, centers.shape[1])
         self.centers, self.n_probe = centers, n_probe
 
     def probes(self, queries: pa.Table) -> np.ndarray:
-        order = cell_order(as_matrix(queries.column(self.vector_col)), self.centers)
+        order = cell_order(valid_matrix(queries.column(self.vector_col), self.dim)[0], self.centers)
         mask = np.zeros((len(self.centers), queries.num_rows), dtype=bool)
         for j in range(min(self.n_probe, order.shape[1])):
             mask[order[:, j], np.arange(queries.num_rows)] = True
@@ -125,8 +125,9 @@ class ProbeScorer(CosineScorer):
             wanted = np.nonzero(mask[cell])[0]
             if len(wanted):
                 part = batch.take(pa.array(rows))
-                q, q_norm = dense
-                keys[np.ix_(rows, wanted)] = super().keys((q[:, wanted], q_norm[wanted]), part)
+                q, q_norm, ok = dense
+                asked = q[:, wanted], q_norm[wanted], ok[wanted]
+                keys[np.ix_(rows, wanted)] = super().keys(asked, part)
         return keys
 
 
@@ -141,12 +142,19 @@ def ann_search(
     id_col: str = "chunk_id",
     query_col: str = "query_id",
     vector_col: str = "embedding",
+    stored: bool = True,
     max_queries: int = config.MAX_BROADCAST_QUERIES,
 ) -> DataFrame:
-    """``(query, id, distance, rank)`` among the rows of the probed cells."""
+    """``(query, id, distance, rank)`` among the rows of the probed cells.
+
+    A ``stored`` index is pruned to the cells some query probes; for cells computed
+    in the same plan the filter would only have them computed twice.
+    """
+    if centers.shape[1] != dim:
+        raise ValueError(f"the cells have {centers.shape[1]} dimensions, not {dim}")
     scorer = ProbeScorer(vector_col, centers, n_probe)
-    asked = queries.where(is_valid_vector(F.col(vector_col), dim)).select(query_col, vector_col)
-    block = bounded_arrow(asked, max_queries)
+    asked = queries.select(query_col, vector_col)
+    block = bounded_arrow(asked, max_queries) if stored else None
     if block is not None and block.num_rows:
         used = np.nonzero(scorer.probes(block).any(axis=1))[0]
         if len(used) < len(centers):

@@ -42,8 +42,11 @@ def bronze_rows(
     computed before writing, so each object is written once.
     """
     parts = extract(F.col("url"), F.col("raw"))
-    clean = pages.select("source", "url", "raw", *[col.alias(n) for n, col in parts.items()])
-    clean = clean.where(F.char_length("text") >= min_chars)
+    # Filtering inside the array keeps the extraction from being run once for the
+    # filter and once more for the projection.
+    extracted = F.array(F.struct(*[col.alias(n) for n, col in parts.items()]))
+    long_enough = F.filter(extracted, lambda p: F.char_length(p["text"]) >= min_chars)
+    clean = pages.select("source", "url", "raw", F.inline(long_enough))
     named = clean.withColumn("doc_id", ids.document_id(F.col("url"), F.col("text")))
     named = top_k_per_key(named, ["source", "doc_id"], [F.col("url"), F.col("raw")], 1, "_n").drop("_n")
     if landed is not None:

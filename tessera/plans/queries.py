@@ -355,7 +355,7 @@ def cell_topk(spark, d):
     indexed = ann.assign_cells(table(spark, d, "embeddings"), "embedding", 64, centers)
     hits = ann.ann_search(
         indexed, inputs.label_midpoints(spark, d), 10,
-        centers=centers, n_probe=3, dim=64, id_col="vec_id",
+        centers=centers, n_probe=3, dim=64, id_col="vec_id", stored=False,
     )
     return hits.select(
         "query_id", "vec_id", F.round("distance", 6).alias("distance"), big("rank").alias("rank")
@@ -374,7 +374,7 @@ def ann_topk_recall(spark, d):
     indexed = ann.assign_cells(corpus, "embedding", 64, centers)
     n_probe = ann.tune_probes(spark, indexed, asked, 10, centers=centers, dim=64, id_col="vec_id")
     found = ann.ann_search(
-        indexed, asked, 10, centers=centers, n_probe=n_probe, dim=64, id_col="vec_id"
+        indexed, asked, 10, centers=centers, n_probe=n_probe, dim=64, id_col="vec_id", stored=False
     )
     exact = dense.dense_search(corpus, asked, 10, dim=64, id_col="vec_id")
     report = ann.recall_report(found, exact, "query_id", "vec_id")
