@@ -15,9 +15,10 @@ MAX_SOURCES = 10_000
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Distinct ``(url, link)`` edges: followable targets, absolute, no fragment.
+    """``(url, link)`` edges: followable targets, absolute, no fragment.
 
-    Targets are made distinct within the page before they leave its row.
+    Targets are distinct and sorted within their page, which needs no shuffle; a
+    page stored twice gives its links twice.
     """
     page = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     targets = F.transform(

@@ -8,7 +8,7 @@ from tessera.functions.text import LINE_END
 from tessera.operators.evaluation import METRICS
 
 BASE_TIME = 1_704_067_200
-NOW_TIME = 1_717_200_000
+NOW_TIME = 1_717_243_200
 NOW_DATE = "2024-06-01"
 
 
@@ -240,10 +240,10 @@ landed AS (
 
 LINKS = r"""
 links AS MATERIALIZED (
-  SELECT DISTINCT url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)', 1)
+  SELECT DISTINCT page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)', 1)
                        || regexp_replace(href, '#.*$', '') AS link
   FROM (
-    SELECT url, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)) AS href
+    SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)) AS href
     FROM pages)
   WHERE href <> '' AND NOT starts_with(href, 'mailto:') AND NOT starts_with(href, 'javascript:'))"""
 

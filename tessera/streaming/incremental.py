@@ -24,8 +24,12 @@ def upsert_stream(stream: DataFrame, silver_path: str, checkpoint: str) -> None:
     store.create_table(spark, silver_path, "silver")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        newest = jobs.newest_documents(batch)
-        jobs.apply_silver(batch.sparkSession, newest, silver_path)
+        # A micro-batch is bounded by its number of files and used several times.
+        newest = jobs.newest_documents(batch).persist()
+        try:
+            jobs.apply_silver(batch.sparkSession, newest, silver_path)
+        finally:
+            newest.unpersist()
 
     (
         stream.writeStream.foreachBatch(apply)

@@ -64,8 +64,18 @@ if __name__ == "__main__":
 
     from tessera.session import local_session
 
-    folder = f"/root/testdata/sf{sys.argv[1]}"
-    spark, con = local_session(8), connect(folder)
+    folder = sys.argv[1] if "/" in sys.argv[1] else f"/root/testdata/sf{sys.argv[1]}"
+    if os.environ.get("PLAIN_SESSION"):  # defaults, another zone
+        from pyspark.sql import SparkSession
+
+        spark = (
+            SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
+            .config("spark.sql.session.timeZone", "America/Los_Angeles").getOrCreate()
+        )
+    else:
+        spark = local_session(8)
+    con = connect(folder)
     oracles = entry.oracle_sql()
     for name, query in entry.queries().items():
         if sys.argv[2:] and name not in sys.argv[2:]:
