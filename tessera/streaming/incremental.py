@@ -24,6 +24,9 @@ def upsert_stream(stream: DataFrame, silver_path: str, checkpoint: str) -> None:
     store.create_table(spark, silver_path, "silver")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
+        # The stream's own session plans without adaptive execution, which the
+        # rebalanced writes rely on; a micro-batch is an ordinary batch here.
+        batch.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
         # A micro-batch is bounded by its number of files and used several times.
         newest = jobs.newest_documents(batch).persist()
         try:
