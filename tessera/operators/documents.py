@@ -81,20 +81,36 @@ def gold_chunks(
     )
 
 
-def assemble_pages(pages: DataFrame, doc_col: str, page_col: str, text_col: str) -> DataFrame:
+def assemble_pages(
+    pages: DataFrame, doc_col: str, page_col: str, text_col: str, pages_per_block: int = 256
+) -> DataFrame:
     """Non-blank pages in order, stripped and joined by a blank line.
 
-    One output row holds a whole document, so a group is as large as its document;
-    ``page_count`` counts blank pages too.
+    ``page_count`` counts blank pages too.  Blocks of pages are joined first, so the
+    pages of a very long document are sorted and joined by many tasks; one task
+    only strings its blocks together.  The output row holds the whole document: to
+    cut long ones into chunks without that row, see ``operators.packing``.
     """
     text = strip(F.col(text_col))
-    page = F.when(text != "", F.struct(F.col(page_col).alias("p"), text.alias("t")))
-    grouped = pages.groupBy(doc_col).agg(
-        F.sort_array(F.collect_list(page)).alias("pages"), F.count("*").alias("page_count")
+    shaped = pages.select(
+        F.col(doc_col),
+        F.floor(F.col(page_col) / pages_per_block).alias("_block"),
+        F.when(text != "", F.struct(F.col(page_col).alias("p"), text.alias("t"))).alias("_page"),
+    )
+    blocks = shaped.groupBy(doc_col, "_block").agg(
+        F.sort_array(F.collect_list("_page")).alias("_pages"), F.count("*").alias("_n")
+    )
+    joined = blocks.withColumn(
+        "_part",
+        F.when(
+            F.size("_pages") > 0,
+            F.struct("_block", F.array_join(F.col("_pages.t"), "\n\n").alias("t")),
+        ),
     )
-    return grouped.select(
-        doc_col, F.array_join(F.col("pages.t"), "\n\n").alias("text"), "page_count"
+    docs = joined.groupBy(doc_col).agg(
+        F.sort_array(F.collect_list("_part")).alias("_parts"), F.sum("_n").alias("page_count")
     )
+    return docs.select(doc_col, F.array_join(F.col("_parts.t"), "\n\n").alias("text"), "page_count")
 
 
 def current_version_per_url(

@@ -95,3 +95,11 @@ def test_assembly_strips_and_skips_blank_pages(spark):
     got = {r["doc"]: (r["text"], r["page_count"]) for r in documents.assemble_pages(
         pages, "doc", "page", "text").collect()}
     assert got == {1: ("a\n\nb", 3), 2: ("", 1)}
+
+
+def test_assembly_in_blocks_is_the_same(spark):
+    rows = [(i % 3, i, "" if i % 7 == 0 else f" p{i} ") for i in range(200)]
+    pages = spark.createDataFrame(rows, "doc int, page int, text string").repartition(5)
+    whole = documents.assemble_pages(pages, "doc", "page", "text", 1000).collect()
+    blocks = documents.assemble_pages(pages, "doc", "page", "text", 8).collect()
+    assert sorted(whole) == sorted(blocks) and len(whole) == 3

@@ -26,16 +26,16 @@ def test_strip_and_words_follow_unicode_white_space(spark):
 
 
 def test_sanitize_keeps_dash_dot_dollar_percent(spark):
-    raw = "what's [a] pod? {x}|y!z & -.$% \"q\"\;:,*()"
+    raw = "what's [a] pod? {x}|y!z & -.$% \"q\"\\;:,*()"
     (got,) = values(spark, [(raw,)], text.sanitize_query(F.col("a")))
     assert not set(got) & set("&|!(){}[]*?,;:\"'\\")
     assert "-.$%" in got and got == got.strip()
 
 
 def test_and_query_drops_stop_words(spark):
-    cases = [("what is a kubernetes pod",), ("the of a",), ("pod Pod POD",)]
+    cases = [("where is the harbour crane",), ("the of a",), ("pod Pod POD",)]
     got = values(spark, cases, text.all_terms_query(F.col("a")))
-    assert got == ["kubernetes AND pod", "", "pod"]
+    assert got == ["harbour AND crane", "", "pod"]
 
 
 def test_first_line_title(spark):
@@ -142,9 +142,9 @@ def test_lenient_utf8(spark):
 @pytest.mark.parametrize(
     "question,intent",
     [
-        ("compare kubernetes pods versus deployments", "multi_hop"),
-        ("what is it", "ambiguous"),
-        ("what is a kubernetes pod?", "factual"),
+        ("compare steel bridges versus wooden ones", "multi_hop"),
+        ("where is it", "ambiguous"),
+        ("where is the harbour crane?", "factual"),
         ("vs?", "factual"),
         ("is it this that", "factual"),
         ("", "factual"),
