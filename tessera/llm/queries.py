@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bitplanes, packing
+from tessera.llm import bitplanes, langid, neardup, packing, quality
 from tessera.llm.textops import default_vocabulary, scratch_path
 from tessera.sources.tables import table
 
@@ -31,3 +31,32 @@ def op1_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), default_vocabulary(), size=2048, end_id=0)
+
+
+@registered
+def op10_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the two thirds that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    own = docs.withColumn("held_out", langid.held_out(F.col("doc_id")))
+    profiles = langid.learn(own.where("not held_out"))
+    return langid.identify(own.select("doc_id", "held_out", "text"), profiles).drop("text")
+
+
+@registered
+def op8_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~quality.held_out(F.col("doc_id")))
+    scored = quality.score(docs, quality.learn(docs, labels))
+    return scored.select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+@registered
+def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingles overlap by 80 % or more."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4, threshold=0.8)
