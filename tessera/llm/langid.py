@@ -153,24 +153,24 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Profiles:
     return Profiles(ranks)
 
 
-def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1); its other columns stay as they are.
+def identify(docs: DataFrame, profiles: Profiles, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with the columns ``pred`` and ``score`` (0 to 1); its other columns stay as they are.
 
     No shuffle; a task holds one text's n-grams.
     """
-    names = [n for n in docs.columns if n not in ("lang_pred", "score")]
+    names = [n for n in docs.columns if n not in (pred, score)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [profiles.identify(text) for text in texts_of(batch)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                [*batch.schema.names, "lang_pred", "score"],
+                [*batch.schema.names, pred, score],
             )
 
     kept = docs.select(*names)
     fields = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes)
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return kept.mapInArrow(run, f"{fields}, `{pred}` string, `{score}` double")
 
 
 def held_out(doc_id: Column) -> Column:

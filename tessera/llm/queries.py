@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bitplanes, langid, neardup, packing, quality
+from tessera.llm import bitplanes, chat, decontam, fingerprints, langid, neardup, packing, pii, quality, secretscan
 from tessera.llm.textops import default_vocabulary, scratch_path
 from tessera.sources.tables import table
 
@@ -60,3 +60,33 @@ def op8_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingles overlap by 80 % or more."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4, threshold=0.8)
+
+
+@registered
+def op6_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, of their edited texts, and how alike they are."""
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op9_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain an item of the benchmark, with the item."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@registered
+def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from every participant's side."""
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+@registered
+def op7_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, counted by the sources that have them."""
+    return secretscan.digest(secretscan.scan(table(spark, sf_dir, "documents")))
+
+
+@registered
+def op3_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents: base spans and scored candidates."""
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
