@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.textops import plain, texts_of, word_encoder
+from tessera.llm.textops import encoded, plain, word_encoder
 
 CHUNK_IDS = 65_536
 
@@ -72,7 +72,7 @@ def _chunk_writer(vocabulary: str, end_id: int, chunk_ids: int, kind: str, level
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pack = word_encoder(vocabulary), zstandard.ZstdCompressor(level=level)
+        encoder, pack = word_encoder(vocabulary), zstandard.ZstdCompressor(level=level)
         shard, width = TaskContext.get().partitionId(), 4 * chunk_ids
         held, pieces, chunk, ordinal = bytearray(), [], 0, 0
 
@@ -88,8 +88,7 @@ def _chunk_writer(vocabulary: str, end_id: int, chunk_ids: int, kind: str, level
             return _arrow([row], _CHUNK)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
-                ids = encode(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1), encoder, end), strict=True):
                 done = 0
                 while done < len(ids):
                     take = min(len(ids) - done, width - len(held))

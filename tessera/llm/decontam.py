@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textops import Memo, plain, stored, texts_of
+from tessera.llm.textops import joined_bytes, plain, slices, stored, word_hashes_many
 
 #: Words of a block; a passage is two neighbouring blocks.
 BLOCK = 16
@@ -43,31 +42,32 @@ ITEM_BLOCK = 20_000
 #: Rows of a partial sum that travel together, and sums added up in one group.
 ROWS, FAN_IN = 2048, 64
 
-_PUNCTUATION = b".,;:!?\"'()[]{}*#"
+#: Signs that are no part of a word.
+_SIGNS = np.isin(np.arange(256), np.frombuffer(b".,;:!?\"'()[]{}*#|", np.uint8))
 
 
 # --------------------------------------------------------------------------- words
 
 
-@lru_cache(maxsize=1)
-def _codes() -> Memo:
-    import xxhash
-
-    return Memo(lambda word: xxhash.xxh32_intdigest(word.strip(_PUNCTUATION) or word), 300_000)
+def codes_many(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of all words, A-Z lower-cased and without signs, and each text's first."""
+    sign = _SIGNS[data]
+    before = np.concatenate(([0], np.cumsum(sign)))
+    hashes, first = word_hashes_many(data[~sign], starts - before[starts])
+    return (hashes >> np.uint64(32)).astype("<u4"), first
 
 
 def word_codes(text: str | None) -> np.ndarray:
-    """32-bit hashes of the words, A-Z lower-cased, outer punctuation off."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    memo = _codes()
-    out = np.fromiter(map(memo.__getitem__, words), "<u4", len(words))
-    memo.age()
-    return out
+    """The same for one text."""
+    return codes_many(*joined_bytes([text or ""]))[0]
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = [word_codes(t).tobytes() for t in texts_of(batch)]
+        words = []
+        for _, _, data, starts in slices(batch.column(1)):
+            codes, first = codes_many(data, starts)
+            words += [codes[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["doc_id", "words"])
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.textops import plain, shingle_hashes, texts_of, word_hashes
+from tessera.llm.textops import SLICE, joined_bytes, plain, shingles_many, slices, texts_of, word_hashes_many
 
 #: Hashes of a fingerprint, and words of a shingle.
 K, WORDS = 128, 5
@@ -28,7 +28,12 @@ K, WORDS = 128, 5
 
 def bottom_k(text: str | None) -> np.ndarray:
     """The fingerprint of a whole text: at most :data:`K` sorted hashes."""
-    return shingle_hashes(word_hashes(text), WORDS)[:K]
+    return many_bottom_k([text or ""])[0]
+
+
+def many_bottom_k(texts: list[str]) -> list[np.ndarray]:
+    """Fingerprints of many texts."""
+    return [own[:K] for own in shingles_many(*word_hashes_many(*joined_bytes(texts)), WORDS)]
 
 
 def merge(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -76,7 +81,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [to_text(bottom_k(t)) for t in texts_of(batch)]
+            sets = [own for _, _, *raw in slices(batch.column(1)) for own in shingles_many(*word_hashes_many(*raw), WORDS)]
+            found = [to_text(own[:K]) for own in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["doc_id", "fingerprint"])
 
     return plain(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
@@ -137,25 +143,42 @@ _RESULT = (
 )
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = None
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bool, int | None, str]]]:
+    """Rows (closing, doc_id, text) in order, a few texts at a time."""
+    held, size = [], 0
     for batch in batches:
-        out = []
-        for closing, doc_id, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts_of(batch), strict=True):
-            own = bottom_k(text)
-            if held:
-                before_id, before, before_own = held
-                cut = len(before) // 4
-                edited = before[: len(before) - cut] + text[:cut]
-                changed = bottom_k(edited)
-                digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append(
-                    (before_id, len(before), digest, to_text(before_own), to_text(changed), resemblance(before_own, changed), resemblance(before_own, own))
-                )
-            held = None if closing else (doc_id, text, own)
-        columns = list(zip(*out, strict=True)) or [[]] * 7
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        names = [c.split()[0] for c in _RESULT.split(", ")]
+        for row in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts_of(batch), strict=True):
+            held.append(row)
+            size += len(row[2])
+            if size > SLICE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+    names = [c.split()[0] for c in _RESULT.split(", ")]
+    last: list = []
+    for rows in _runs(batches):
+        rows = last + rows
+        edited = []
+        for (_, _, text), (_, _, following) in zip(rows[:-1], rows[1:], strict=True):
+            cut = len(text) // 4
+            edited.append(text[: len(text) - cut] + following[:cut])
+        own = many_bottom_k([r[2] for r in rows])
+        changed = many_bottom_k(edited)
+        out = [
+            (
+                rows[i][1], len(rows[i][2]), hashlib.sha256(edited[i].encode("utf-8", "surrogatepass")).hexdigest(),
+                to_text(own[i]), to_text(changed[i]), resemblance(own[i], changed[i]), resemblance(own[i], own[i + 1]),
+            )
+            for i in range(len(edited))
+            if not rows[i][0]
+        ]
+        last = rows[-1:]
+        columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
@@ -163,6 +186,6 @@ def compared(docs: DataFrame) -> DataFrame:
     """Every document's fingerprint beside those of its edited text and of the next document.
 
     The edited text has the last quarter replaced by the start of the next document.  One
-    shuffle by id ranges; a task holds two texts.
+    shuffle by id ranges; a task holds a few texts.
     """
     return in_order(plain(docs, "doc_id", "text")).mapInArrow(_compare, _RESULT)

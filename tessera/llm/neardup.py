@@ -21,7 +21,6 @@ gives no rows; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.textops import mix, plain, shingle_hashes, stored, texts_of, unit_interval, word_hashes
+from tessera.llm.textops import mix, plain, shingles_many, slices, stored, unit_interval, word_hashes_many
 
 #: Registers, rows of a band, and the sketch's scale: base and rate of the register values.
 REGISTERS, ROWS = 240, 6
@@ -129,18 +128,12 @@ def _describer(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, held, registers = [], 0, []
-            counts, nodes = [], []
-            for text in texts_of(batch):
-                own = shingle_hashes(word_hashes(text), size)
-                counts.append(len(own))
-                nodes.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-                sets.append(own)
-                held += len(own)
-                if held > 100_000:
-                    registers += [r.tobytes() for r in sketches(sets)]
-                    sets, held = [], 0
-            registers += [r.tobytes() for r in sketches(sets)]
+            counts, nodes, registers = [], [], []
+            for _, _, data, starts in slices(batch.column(2)):
+                sets = shingles_many(*word_hashes_many(data, starts), size)
+                counts += [len(own) for own in sets]
+                nodes += [xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None for own in sets]
+                registers += [r.tobytes() for r in sketches(sets)]
             columns = [pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(registers, pa.binary())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *columns], ["doc_id", "text_hash", "n_shingles", "node", "registers"]
@@ -181,20 +174,11 @@ def _estimator(threshold: float):
 
 def _verifier(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict = OrderedDict()
-
-        def shingles(node, text) -> np.ndarray:
-            if node not in known:
-                known[node] = shingle_hashes(word_hashes(text.as_py()), size)
-                if len(known) > 256:
-                    known.popitem(last=False)
-            known.move_to_end(node)
-            return known[node]
-
         for batch in batches:
             linked = []
-            for a, b, left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                x, y = shingles(a, left), shingles(b, right)
+            left = [own for _, _, *bytes_ in slices(batch.column(2)) for own in shingles_many(*word_hashes_many(*bytes_), size)]
+            right = [own for _, _, *bytes_ in slices(batch.column(3)) for own in shingles_many(*word_hashes_many(*bytes_), size)]
+            for x, y in zip(left, right, strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(linked, pa.bool_()))

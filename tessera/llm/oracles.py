@@ -3,3 +3,53 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op4_setsketch"] = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x20\x09-\x0D]+'), w -> w <> '') AS words
+  FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 3), ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(1, len(words) - 3))) AS i
+        FROM split WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n
+  HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least.component_id, d.doc_id = least.component_id AS kept
+FROM documents d JOIN least ON least.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+ORACLES["op5_perspectives"] = r"""
+WITH told AS (
+  SELECT DISTINCT conv_id, CAST(floor(coalesce(turn, -1) / 256.0) AS BIGINT) AS part, turn, trim(role) AS role,
+    replace(coalesce(text, ''), '<|im_', '<| im_') AS text
+  FROM conversations WHERE conv_id IS NOT NULL AND role IS NOT NULL),
+speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM told WHERE role <> 'system'),
+turned AS (
+  SELECT t.conv_id, t.part, t.turn, t.role, t.text, s.speaker, t.role = s.speaker AS own,
+    '<|im_start|>' || CASE WHEN t.role = s.speaker THEN 'assistant' WHEN t.role = 'system' THEN 'system'
+      ELSE 'user name=' || regexp_replace(t.role, '[^A-Za-z0-9_.-]', '_', 'g') END || chr(10) AS header
+  FROM told t JOIN speakers s ON s.conv_id = t.conv_id),
+pieces AS (SELECT *, header || text || '<|im_end|>' || chr(10) AS piece FROM turned),
+placed AS (
+  SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, speaker ORDER BY part, turn NULLS FIRST, role, text
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(piece) AS place
+  FROM pieces)
+SELECT conv_id, speaker, part, count(*) AS n_turns,
+  CAST(sum(CASE WHEN own THEN 1 ELSE 0 END) AS BIGINT) AS n_own,
+  CAST(min(place) AS BIGINT) AS char_start,
+  string_agg(piece, '' ORDER BY place) AS text,
+  coalesce(string_agg(CASE WHEN own THEN CAST(CAST(place + length(header) AS BIGINT) AS VARCHAR) || ':'
+    || CAST(CAST(place + length(piece) AS BIGINT) AS VARCHAR) END, ',' ORDER BY place), '') AS mask
+FROM placed GROUP BY conv_id, speaker, part
+"""

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.textops import plain, stored, texts_of, word_encoder
+from tessera.llm.textops import encoded, plain, stored, word_encoder
 
 PIECE_SCHEMA = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, number long"
@@ -42,11 +42,10 @@ def _cutter(vocabulary: str, size: int, end_id: int, keep_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = word_encoder(vocabulary), TaskContext.get().partitionId(), Counter()
+        encoder, part, seen = word_encoder(vocabulary), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
-                ids = encode(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1), encoder, end), strict=True):
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     own = ids[at : at + 4 * size]
                     length = len(own) // 4

@@ -4,13 +4,13 @@ import zlib
 
 import numpy as np
 import pytest
-from cases import documents, empty
+from cases import LONG, documents, empty
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessera.llm import bitplanes, packing
-from tessera.llm.textops import Memo, WordEncoder, default_vocabulary
+from tessera.llm import bitplanes, packing, textops
+from tessera.llm.textops import WordEncoder, default_vocabulary
 
 
 @pytest.fixture(scope="module")
@@ -31,18 +31,39 @@ def test_encoder_equals_tokenizer(text):
     assert own == np.array(_PLAIN.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-_ENCODER = WordEncoder(default_vocabulary(), limit=50)
+_ENCODER = WordEncoder(default_vocabulary(), limit=50, places=64)
 _PLAIN = Tokenizer.from_file(default_vocabulary())
 _PLAIN.encode_special_tokens = True
 
 
-def test_memo_forgets_but_stays_right():
-    made = []
-    memo = Memo(lambda k: made.append(k) or k * 2, 3)
-    for k in [1, 2, 3, 4, 1, 5, 6, 7, 8, 1]:
-        assert memo[k] == 2 * k
-        memo.age()
-    assert len(memo) <= 4 and len(made) >= 8
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\x0b\x1cabAB\xa0")), max_size=30), max_size=6))
+def test_words_and_shingles_of_many_texts(texts):
+    """Words are equal where their bytes are, whatever stands around; shingles follow them."""
+    words, first = textops.word_hashes_many(*textops.joined_bytes(texts))
+    named = {}
+    for i, text in enumerate(texts):
+        own = text.encode().lower().split()
+        assert len(own) == first[i + 1] - first[i]
+        for word, code in zip(own, words[first[i] : first[i + 1]].tolist(), strict=True):
+            assert named.setdefault(word, code) == code
+        sets = textops.shingles_many(words, first, 3)[i]
+        rows = [tuple(own[j : j + 3]) for j in range(max(1, len(own) - 2))] if own else []
+        assert len(sets) == len(set(rows)) and (np.diff(sets.astype(object)) > 0).all()
+    assert len(set(named.values())) == len(named)
+
+
+def test_stretches_change_nothing(monkeypatch):
+    text = LONG[:20_000] + "x" * 3000 + "\n" + LONG[:500]
+    texts = [text, "", "ab cd", text]
+    whole = textops.word_hashes_many(*textops.joined_bytes(texts))
+    ids = _ENCODER.many(*textops.joined_bytes(texts))
+    monkeypatch.setattr(textops, "SLICE", 256)
+    parts = textops.word_hashes_many(*textops.joined_bytes(texts))
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+    again = _ENCODER.many(*textops.joined_bytes(texts))
+    assert all((a == b).all() for a, b in zip(ids, again, strict=True))
+    assert ids[0][: ids[1][1]].tobytes() == ids_of(_PLAIN, text, 1)[:-1].tobytes()
 
 
 @pytest.mark.parametrize("kind", ["byte", "bit"])
