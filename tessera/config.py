@@ -57,7 +57,7 @@ REFUSAL_PHRASES = [
     "no relevant",
 ]
 MIN_ANSWER_CHARS = 30
-NO_CONTEXT_ANSWER = "No relevant context found. Try broadening your query."
+NO_CONTEXT_ANSWER = "The search gave no passage to answer from. A wider question may find one."
 
 # --- fixed values: English stop words for the AND-joined text query -----------
 STOP_WORDS = [
@@ -81,7 +81,7 @@ WHITESPACE_CLASS = (
     r"\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
 
-# --- bounds of what may travel through the driver or a broadcast --------------
-MAX_BROADCAST_QUERIES = 2_000
-MAX_BROADCAST_KEYS = 1_000_000
-MAX_BROADCAST_CELLS = 4_096
+# --- blocks of queries that travel to every task, and cells of a vector index --
+QUERY_BLOCK_ROWS = 2_000
+QUERY_BLOCK_BYTES = 64 << 20
+MAX_CELLS = 4_096

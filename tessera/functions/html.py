@@ -22,7 +22,7 @@ BLOCK_TAGS = (
 CELL_TAGS = "td|th"
 # --- fixed values: named entities, the ampersand last --------------------------
 ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
     ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"),
     ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&"),
 ]
@@ -39,7 +39,37 @@ def inner_pattern(tag: str) -> str:
     return rf"(?is)<{tag}(?:\s[^>]*)?>(.*)</{tag}\s*>"
 
 
+def _character(number: Column) -> Column:
+    """The character of a code point; what is none becomes a replacement character."""
+    real = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    known = F.when(real, number).otherwise(F.lit(0xFFFD)).cast("bigint")
+    return F.decode(F.unhex(F.lpad(F.hex(known), 8, "0")), "UTF-32")
+
+
+def _numeric(col: Column) -> Column:
+    """Numeric references as their characters, but for those of the ampersand."""
+
+    def one(part: Column) -> Column:
+        digits = F.regexp_extract(part, r"^([0-9]{1,8}|[xX][0-9a-fA-F]{1,8});", 1)
+        number = F.when(digits.rlike("^[xX]"), F.conv(F.substring(digits, 2, 8), 16, 10)).when(digits != "", digits)
+        rest = F.regexp_replace(part, r"^[0-9xXa-fA-F]{1,9};", "")
+        return bind(
+            number.cast("bigint"),
+            lambda n: F.when(n == 38, F.concat(F.lit("&amp;"), rest))
+            .when(n == 160, F.concat(F.lit(" "), rest))
+            .when(n.isNotNull(), F.concat(_character(n), rest))
+            .otherwise(F.concat(F.lit("&#"), part)),
+        )
+
+    def joined(parts: Column) -> Column:
+        return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
+
+    return F.when(col.contains("&#"), bind(F.split(col, "&#"), joined)).otherwise(col)
+
+
 def decode_entities(col: Column) -> Column:
+    """Character references as their characters, each once: ``&amp;lt;`` is ``&lt;``."""
+    col = _numeric(col)
     for name, value in ENTITIES:
         col = F.replace(col, F.lit(name), F.lit(value))
     return col
@@ -95,6 +125,11 @@ def needs_render(html: Column) -> Column:
     return F.contains(html, F.lit("<noscript>")) | (F.octet_length(html) < config.RENDER_MIN_BYTES)
 
 
+#: A link target in double quotes, in single quotes, or bare.
+HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
 def hrefs(html: Column) -> Column:
-    """All link targets of a page, in page order."""
-    return F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*?href\s*=\s*["' + r"']([^\"']*)[\"']"), F.lit(1))
+    """All link targets of a page, in page order, their references decoded."""
+    quoted = F.regexp_extract_all(html, F.lit(HREF), F.lit(1))
+    return F.transform(quoted, lambda v: decode_entities(F.regexp_replace(v, "^[\"']|[\"']$", "")))

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tessera import config
 from tessera.functions.vectors import is_valid_vector
-from tessera.operators.blockscan import RANK_DIGITS, bounded_arrow, scan_top_k
+from tessera.operators.blockscan import RANK_DIGITS, query_blocks, scan_top_k
 from tessera.operators.dense import CosineScorer, as_matrix, dense_search, valid_matrix
 
 
@@ -54,8 +54,8 @@ def train_cells(
     The fraction only thins out the rows the centres are fitted to; every row is
     assigned to a cell afterwards.
     """
-    if n_cells > config.MAX_BROADCAST_CELLS:
-        raise ValueError(f"at most {config.MAX_BROADCAST_CELLS} cells")
+    if n_cells > config.MAX_CELLS:
+        raise ValueError(f"at most {config.MAX_CELLS} cells")
     unit = unit_vectors(corpus, vector_col, dim).select(array_to_vector(vector_col).alias("features"))
     if train_fraction < 1.0:
         unit = unit.sample(train_fraction, seed=seed)
@@ -143,7 +143,7 @@ def ann_search(
     query_col: str = "query_id",
     vector_col: str = "embedding",
     stored: bool = True,
-    max_queries: int = config.MAX_BROADCAST_QUERIES,
+    max_queries: int = config.QUERY_BLOCK_ROWS,
 ) -> DataFrame:
     """``(query, id, distance, rank)`` among the rows of the probed cells.
 
@@ -154,11 +154,9 @@ def ann_search(
         raise ValueError(f"the cells have {centers.shape[1]} dimensions, not {dim}")
     scorer = ProbeScorer(vector_col, centers, n_probe)
     asked = queries.select(query_col, vector_col)
-    block = bounded_arrow(asked, max_queries) if stored else None
-    if block is not None and block.num_rows:
-        used = np.nonzero(scorer.probes(block).any(axis=1))[0]
-        if len(used) < len(centers):
-            indexed = indexed.where(F.col("cell").isin([int(c) for c in used]))
+    if stored:
+        used = {int(c) for b in query_blocks(asked, max_queries) for c in np.nonzero(scorer.probes(b).any(axis=1))[0]}
+        indexed = indexed.where(F.col("cell").isin(sorted(used)))
     return scan_top_k(
         indexed.select(id_col, "cell", vector_col), asked, scorer, k, id_col, query_col, "distance",
         max_queries,

@@ -1,33 +1,28 @@
 """Score every corpus row against a set of queries and keep the top k per query.
 
-The corpus is scanned once.  Queries are a bounded block held by every task; each
-Arrow batch is scored against the whole block with NumPy, and a task sends only
-its k best rows per query on.  No pair is materialised and the corpus is never
-shuffled.
-
-A query set beyond the bound is cut into blocks instead: query blocks and corpus
-blocks meet in co-groups of bounded size, entirely on the executors.
+Queries are cut into blocks of bounded rows and bytes, which every task holds.  The
+corpus is scanned once for each block; an Arrow batch is scored against the whole
+block with NumPy, and a task sends only its k best rows per query on.  No pair is
+materialised and the corpus is never shuffled, whatever the number of queries.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from tessera import config
 from tessera.operators.ranking import top_k_per_key
 
 RANK_DIGITS = 9
 MAX_CELLS = 4_000_000
-CORPUS_BLOCK_ROWS = 50_000
 
 
 class Scorer(Protocol):
@@ -102,10 +97,23 @@ def _score_block(
     return best.result(_flat(queries.column(query_col)), names)
 
 
-def bounded_arrow(df: DataFrame, max_rows: int) -> pa.Table | None:
-    """The rows of ``df`` if there are at most ``max_rows``, else None."""
-    table = df.limit(max_rows + 1).toArrow()
-    return table if table.num_rows <= max_rows else None
+def query_blocks(
+    queries: DataFrame, max_rows: int, max_bytes: int = config.QUERY_BLOCK_BYTES
+) -> list[pa.Table]:
+    """The queries in blocks of at most ``max_rows`` rows and ``max_bytes`` bytes.
+
+    The queries of one search pass through the driver; only a single row may exceed
+    ``max_bytes``.
+    """
+    whole = queries.toArrow()
+    blocks, at = [], 0
+    while at < whole.num_rows:
+        rows = min(max_rows, whole.num_rows - at)
+        while rows > 1 and whole.slice(at, rows).nbytes > max_bytes:
+            rows = -(-rows // 2)
+        blocks.append(whole.slice(at, rows).combine_chunks())
+        at += rows
+    return blocks
 
 
 def scan_top_k(
@@ -116,7 +124,7 @@ def scan_top_k(
     id_col: str,
     query_col: str,
     key_col: str = "rank_key",
-    max_queries: int = config.MAX_BROADCAST_QUERIES,
+    max_queries: int = config.QUERY_BLOCK_ROWS,
     salts: int = 1,
 ) -> DataFrame:
     """``(query, id, key, rank)`` of the k best corpus rows per query."""
@@ -125,60 +133,19 @@ def scan_top_k(
         f"{query_col} {queries.schema[query_col].dataType.simpleString()}, "
         f"{id_col} {corpus.schema[id_col].dataType.simpleString()}, {key_col} double"
     )
-    block = bounded_arrow(queries, max_queries)
-    if block is not None:
+    blocks = query_blocks(queries, max_queries)
 
+    def scan_for(block: pa.Table):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = _score_block(scorer, block, batches, id_col, query_col, k, names)
             if out is not None:
                 yield out
 
-        partial = corpus.mapInArrow(scan, schema)
-    else:
-
-        def score(left: pa.Table, right: pa.Table) -> pa.Table:
-            batches = iter(right.combine_chunks().to_batches())
-            out = _score_block(scorer, left, batches, id_col, query_col, k, names)
-            if out is None:
-                types = [left.schema.field(query_col).type, right.schema.field(id_col).type]
-                columns = [pa.array([], t) for t in (*types, pa.float64())]
-                return pa.table(columns, names=names)
-            return pa.Table.from_batches([out])
+        return scan
 
-        partial = co_blocks(corpus, queries, id_col, query_col, score, schema, max_queries)
+    if blocks:
+        partial = reduce(DataFrame.union, [corpus.mapInArrow(scan_for(b), schema) for b in blocks])
+    else:
+        partial = corpus.sparkSession.createDataFrame([], schema)
     order = [F.round(key_col, RANK_DIGITS), F.col(id_col)]
     return top_k_per_key(partial, [query_col], order, k, "rank", salts)
-
-
-def co_blocks(
-    corpus: DataFrame,
-    queries: DataFrame,
-    id_col: str,
-    query_col: str,
-    score: Callable[[pa.Table, pa.Table], pa.Table],
-    schema: str,
-    max_queries: int,
-) -> DataFrame:
-    """Block nested loop: each (query block, corpus block) is one bounded co-group.
-
-    ``score(queries, corpus)`` sees two non-empty blocks.
-    """
-    n_query_blocks = max(1, -(-queries.count() * 2 // max_queries))
-    n_corpus_blocks = max(1, -(-corpus.count() * 2 // CORPUS_BLOCK_ROWS))
-
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-
-    q = queries.withColumn("_qb", F.pmod(F.xxhash64(query_col), F.lit(n_query_blocks)))
-    q = q.withColumn("_cb", every(n_corpus_blocks))
-    # The row id spreads copies of one text over all blocks.
-    c = corpus.withColumn("_cb", F.pmod(F.xxhash64(id_col), F.lit(n_corpus_blocks)))
-    c = c.withColumn("_qb", every(n_query_blocks))
-    empty = to_arrow_schema(StructType.fromDDL(schema))
-
-    def guarded(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows and right.num_rows:
-            return score(left, right)
-        return empty.empty_table()
-
-    return q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb")).applyInArrow(guarded, schema)

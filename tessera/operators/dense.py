@@ -79,7 +79,7 @@ def dense_search(
     model_ver: str | None = None,
     where: Column | None = None,
     salts: int = 1,
-    max_queries: int = config.MAX_BROADCAST_QUERIES,
+    max_queries: int = config.QUERY_BLOCK_ROWS,
 ) -> DataFrame:
     """``(query, id, distance, rank)``, nearest first, ties by id.
 

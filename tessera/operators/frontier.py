@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions import html, url
 from tessera.operators.ranking import cap_per_source, top_k_per_key
-from tessera.operators.sizing import has_at_most
 from tessera.session import cut_lineage
 
-MAX_SOURCES = 10_000
-
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(url, link)`` edges: followable targets, absolute, no fragment.
@@ -35,32 +34,32 @@ def admitted_links(edges: DataFrame, sources: DataFrame) -> DataFrame:
     ``sources`` holds source, host, allow_prefixes and deny_substrings; a link is
     checked against the sources of its own host only.
     """
-    rules = F.broadcast(sources) if has_at_most(sources, MAX_SOURCES) else sources
     keyed = edges.withColumn("host", url.host(F.col("link")))
     admitted = url.is_admitted(F.col("link"), F.col("allow_prefixes"), F.col("deny_substrings"))
-    return keyed.join(rules, "host").where(admitted).select("source", "url", "link")
+    return keyed.join(sources, "host").where(admitted).select("source", "url", "link")
 
 
 def walk(
     seeds: DataFrame,
     edges: DataFrame,
-    max_depth: int,
+    max_depth: int | None = None,
     max_pages: int = config.MAX_PAGES_PER_SOURCE,
 ) -> DataFrame:
     """``(source, url, depth)`` of the pages visited, at most ``max_pages`` per source.
 
     ``seeds``: source, url.  ``edges``: source, url, link.  Rounds follow the links
-    of the last frontier that were not seen yet; every round is checkpointed, and
-    the walk ends early when a round finds nothing.  Visits are ordered by
+    of the last frontier that were not seen yet, until a round finds nothing (or, if
+    given, ``max_depth`` is reached).  The edges are materialised once, every round is
+    checkpointed.  Visits are ordered by
     (depth, url); since a page beyond the cap is never visited, its links are not
     followed either.
     """
-    edges = edges.select("source", "url", "link")
+    edges = cut_lineage(edges.select("source", "url", "link").distinct())
     visited = cap_per_source(
         seeds.select("source", "url").distinct(), "source", [F.col("url")], max_pages
     ).withColumn("depth", F.lit(0))
     visited = cut_lineage(visited)
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         frontier = visited.where(F.col("depth") == depth - 1).select("source", "url")
         found = (
             edges.join(frontier, ["source", "url"], "left_semi")

@@ -11,8 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera import config
-from tessera.operators.sizing import broadcast_if_small
 
 HISTORY_COLUMNS = ("valid_from", "valid_to")
 
@@ -28,16 +26,15 @@ def record_changes(
     changed: DataFrame,
     keys: Sequence[str],
     version: int,
-    max_broadcast: int = config.MAX_BROADCAST_KEYS,
 ) -> DataFrame:
     """Add a version from the rows an upsert wrote.
 
     Open rows of those keys are closed, the new states opened; every other row
-    passes through.  With few changes the history is scanned and not shuffled.
+    passes through.
     """
     keys = list(keys)
     columns = [c for c in history.columns if c not in HISTORY_COLUMNS]
-    touched = broadcast_if_small(changed.select(*keys).distinct(), max_broadcast)
+    touched = changed.select(*keys).distinct()
     marked = history.join(touched.withColumn("_touched", F.lit(True)), keys, "left")
     closing = F.col("valid_to").isNull() & F.col("_touched").isNotNull()
     closed = marked.withColumn(

@@ -11,8 +11,7 @@ from tessera import config
 from tessera.functions.text import head
 from tessera.operators.dense import dense_search
 from tessera.operators.fusion import reciprocal_rank_fusion
-from tessera.operators.sizing import has_at_most
-from tessera.operators.textindex import text_search
+from tessera.operators.textindex import TextStats, text_search
 
 
 def hybrid_search(
@@ -29,19 +28,22 @@ def hybrid_search(
     model_ver: str | None = None,
     where: Column | None = None,
     id_col: str = "chunk_id",
+    stats: TextStats | None = None,
     salts: int = 1,
 ) -> DataFrame:
     """Top ``k`` per query of the fused lists.
 
     ``queries`` has query_id, query_text and embedding; ``vectors`` holds the
     embeddings, ``index`` the terms of the same chunks.  ``fetch`` rows come from
-    each list; keep it at 2k or more.
+    each list; keep it at 2k or more.  ``model_ver`` and ``where`` hold for both lists;
+    ``stats`` are stored counts of the index (of that version, if one is given).
     """
     dense = dense_search(
         vectors, queries, fetch, dim=dim, id_col=id_col, model_ver=model_ver, where=where, salts=salts
     )
     text = text_search(
-        index, queries, fetch, mode=mode, id_col=id_col, stop_words=stop_words, where=where, salts=salts
+        index, queries, fetch, mode=mode, id_col=id_col, stop_words=stop_words, model_ver=model_ver,
+        where=where, stats=stats, salts=salts,
     )
     return reciprocal_rank_fusion(dense, text, k, rrf_k, id_col=id_col)
 
@@ -49,19 +51,14 @@ def hybrid_search(
 def attach_chunks(
     ranked: DataFrame,
     chunks: DataFrame,
-    queries: DataFrame,
-    k: int,
     id_col: str = "chunk_id",
     head_chars: int = config.STORE_HEAD_CHARS,
     text_col: str = "text",
 ) -> DataFrame:
     """Fetch the chunk columns of ranked rows, the text cut to its head.
 
-    ``ranked`` has at most k rows per query.  If counting ``queries`` proves that
-    to be few rows they are broadcast, so the chunk table is scanned and not
-    shuffled; else Spark chooses the join.
+    ``ranked`` has at most k rows per query; adaptive execution sees how few they are.
     """
-    few = has_at_most(queries, config.MAX_BROADCAST_KEYS // k)
     body = [F.col(c) for c in chunks.columns if c != text_col]
     found = chunks.select(*body, head(F.col(text_col), head_chars).alias("chunk_text_head"))
-    return found.join(F.broadcast(ranked) if few else ranked, id_col)
+    return found.join(ranked, id_col)

@@ -1,9 +1,8 @@
 """Paragraph packing of documents given as page rows, however long they are.
 
-A document of few pages is assembled into one row and packed there by a native
-fold.  A long one is never assembled: its pages form blocks of bounded size, and
-greedy packing is carried across blocks by the only state it has, the number of
-characters held in the open chunk.
+A document is never assembled: its pages form blocks of bounded size, and greedy
+packing is carried across blocks by the only state it has, the number of characters
+held in the open chunk.
 
 1. Each block is summarised as a function of the characters held on entry: held
    on exit and chunks begun.  The function is stored as runs of equal effect.
@@ -25,17 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import config
-from tessera.functions import chunking
 from tessera.functions.text import strip
-from tessera.operators.documents import assemble_pages, explode_pieces
-from tessera.operators.sizing import has_at_most
 from tessera.session import cut_lineage
 
 SEPARATOR = "\n\n"
 JOIN = len(SEPARATOR)
 PAGES_PER_BLOCK = 256
 CHUNKS_PER_GROUP = 4096
-RESULT = ["chunk_index", "text", "start_char", "end_char", "src_start", "src_end"]
 
 
 def pack_pages(
@@ -60,29 +55,9 @@ def pack_pages(
         strip(F.col(text_col)).alias("text"),
     ).where(F.col("text") != "")
     kept = kept.withColumn("block", F.floor(F.col("page") / pages_per_block))
-    extent = kept.groupBy("doc").agg(
-        (F.sum(F.char_length("text")) + JOIN * (F.count("*") - 1)).alias("chars"),
-        (F.min("block") < F.max("block")).alias("is_long"),
-    )
-    long = extent.where("is_long")
-    few = has_at_most(long, config.MAX_BROADCAST_KEYS)
-
-    def hinted(docs: DataFrame) -> DataFrame:
-        return F.broadcast(docs.select("doc")) if few else docs.select("doc")
-
-    short_pages = kept.join(hinted(long), "doc", "left_anti")
-    packed = _pack_short(short_pages, size, overlap, min_chars)
-    if not (few and long.isEmpty()):
-        long_pages = kept.join(hinted(long.where(F.col("chars") >= min_chars)), "doc", "left_semi")
-        packed = packed.unionByName(_pack_long(long_pages, size, overlap, chunks_per_group))
-    return packed.withColumnRenamed("doc", doc_col)
-
-
-def _pack_short(pages: DataFrame, size: int, overlap: int, min_chars: int) -> DataFrame:
-    docs = assemble_pages(pages, "doc", "page", "text").where(F.char_length("text") >= min_chars)
-    rows = explode_pieces(docs, chunking.packed_chunks(F.col("text"), size, overlap), "doc")
-    offsets = [F.col(c).cast("bigint").alias(c) for c in RESULT if c not in ("chunk_index", "text")]
-    return rows.select("doc", F.col("chunk_index").cast("bigint").alias("chunk_index"), "text", *offsets)
+    extent = kept.groupBy("doc").agg((F.sum(F.char_length("text")) + JOIN * (F.count("*") - 1)).alias("chars"))
+    wanted = kept.join(extent.where(F.col("chars") >= min_chars), "doc", "left_semi")
+    return _pack_blocks(wanted, size, overlap, chunks_per_group).withColumnRenamed("doc", doc_col)
 
 
 def _paragraphs(block: pa.Table) -> Iterator[tuple[int, str]]:
@@ -102,7 +77,7 @@ def _n_windows(n: int, step: int) -> int:
     return -(-n // step)
 
 
-def _pack_long(pages: DataFrame, size: int, overlap: int, chunks_per_group: int) -> DataFrame:
+def _pack_blocks(pages: DataFrame, size: int, overlap: int, chunks_per_group: int) -> DataFrame:
     step = size - overlap
     doc_type = pages.schema["doc"].dataType.simpleString()
 

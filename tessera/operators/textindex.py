@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -12,23 +14,46 @@ from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions.text import query_terms, tokens
-from tessera.operators.blockscan import MAX_CELLS, bounded_arrow, co_blocks, scan_top_k
+from tessera.operators.blockscan import MAX_CELLS, query_blocks, scan_top_k
 
 MATCH_MODES = ("any", "all", "phrase")
 
 
-def forward_index(corpus: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+#: Columns that searches filter on, kept in an index where the corpus has them.
+FILTER_COLUMNS = ("embedding_model_ver", "source")
+
+
+class TextStats(NamedTuple):
+    """Counts of an index: ``terms`` has term and df, ``totals`` one row of n_docs and total_terms."""
+
+    terms: DataFrame
+    totals: DataFrame
+
+
+def forward_index(
+    corpus: DataFrame,
+    id_col: str = "chunk_id",
+    text_col: str = "text",
+    keep: Sequence[str] = FILTER_COLUMNS,
+) -> DataFrame:
     """One row per text: its terms in order and their number.  No shuffle.
 
-    Write this out once to search a corpus repeatedly without tokenising again.
+    Write this out once to search a corpus repeatedly without tokenising again; the
+    columns of ``keep`` that there are stay, so that searches can filter on them.
     """
+    kept = [c for c in keep if c in corpus.columns and c != id_col]
     return (
         corpus.where(F.col(text_col).isNotNull())
-        .select(id_col, tokens(F.col(text_col)).alias("terms"))
+        .select(id_col, *kept, tokens(F.col(text_col)).alias("terms"))
         .withColumn("n_terms", F.size("terms"))
     )
 
 
+def text_stats(index: DataFrame) -> TextStats:
+    """The counts a search needs, to be written out beside the index."""
+    return TextStats(document_frequency(index), corpus_stats(index))
+
+
 def postings(index: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """``(term, id, tf, n_terms)``: the inverted form."""
     return (
@@ -78,12 +103,13 @@ def weighted_queries(
     query_col: str = "query_id",
     text_col: str = "query_text",
     stop_words: Sequence[str] | None = None,
+    stats: TextStats | None = None,
 ) -> DataFrame:
     """Per query: its ordered terms, and the BM25 weight of each distinct one.
 
     Stop words carry no weight but stay part of the phrase.  Document frequencies
-    are counted for the vocabulary of the queries only.  A query without any term
-    drops out, so it has no results.
+    come from ``stats``, or are counted for the vocabulary of the queries only.  A
+    query without any term drops out, so it has no results.
     """
     parsed = queries.select(
         query_col,
@@ -91,58 +117,26 @@ def weighted_queries(
         F.array_distinct(query_terms(F.col(text_col), stop_words)).alias("asked"),
     )
     wanted = parsed.select(query_col, F.explode("asked").alias("term"))
-    df, n_docs, avg_terms = _vocabulary_stats(wanted.select("term").distinct(), index)
-    count = F.coalesce("df", F.lit(0))
+    vocabulary = wanted.select("term").distinct()
+    df, totals = (document_frequency(index, vocabulary), corpus_stats(index)) if stats is None else stats
+    count, n_docs = F.coalesce("df", F.lit(0)), F.col("n_docs")
     weights = (
-        wanted.join(df, "term", "left")
+        wanted.join(df.select("term", "df"), "term", "left")
+        .join(F.broadcast(totals.select("n_docs")))  # one row
         .withColumn("idf", F.log(1 + (n_docs - count + 0.5) / (count + 0.5)))
         .groupBy(query_col)
         .agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("weights"))
     )
-    return parsed.join(weights, query_col).select(
+    mean = F.col("total_terms") / F.greatest(F.col("n_docs"), F.lit(1))
+    return parsed.join(weights, query_col).join(F.broadcast(totals.select(mean.alias("avg_terms")))).select(
         query_col,
         "ordered",
         F.col("weights.term").alias("terms"),
         F.col("weights.idf").alias("idf"),
-        F.lit(avg_terms).alias("avg_terms"),
+        F.coalesce("avg_terms", F.lit(0.0)).alias("avg_terms"),
     )
 
 
-def _vocabulary_stats(
-    vocabulary: DataFrame, index: DataFrame, max_terms: int = config.MAX_BROADCAST_KEYS
-) -> tuple[DataFrame, int, float]:
-    """Document frequency of the vocabulary, number of texts, mean length.
-
-    A bounded vocabulary is counted in one scan: each text adds its distinct terms
-    and one marker (the empty string, which is never a term) with its length.
-    """
-    spark = index.sparkSession
-    terms = bounded_arrow(vocabulary, max_terms)
-    if terms is None:
-        totals = corpus_stats(index).first()  # one row: two numbers
-        df = document_frequency(index, vocabulary)
-        return df, totals["n_docs"], float(totals["avg_terms"] or 0.0)
-    marker = pa.table({"term": pa.array([""], terms.schema.field("term").type)})
-    known = spark.createDataFrame(pa.concat_tables([terms, marker.cast(terms.schema)]))
-    marked = index.select(
-        "n_terms", F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit("")))).alias("term")
-    )
-    counts = (
-        marked.join(F.broadcast(known), "term", "left_semi")
-        .groupBy("term")
-        .agg(
-            F.count("*").alias("df"),
-            F.sum(F.when(F.col("term") == "", F.col("n_terms"))).alias("total"),
-        )
-        .toArrow()  # one row per term of the bounded vocabulary
-    )
-    is_marker = pc.equal(counts["term"], "")
-    totals = counts.filter(is_marker).to_pylist()
-    n_docs, total = (totals[0]["df"], totals[0]["total"]) if totals else (0, 0)
-    df = counts.filter(pc.invert(is_marker)).select(["term", "df"])
-    return spark.createDataFrame(df), n_docs, total / n_docs if n_docs else 0.0
-
-
 class Bm25Scorer:
     """Rank key = minus the BM25 score; +inf for texts the match mode excludes."""
 
@@ -196,15 +190,18 @@ class Bm25Scorer:
         return score, count
 
     def phrase_mask(self, state, batch: pa.RecordBatch, candidates: np.ndarray) -> np.ndarray:
-        """Candidates whose terms contain the query's terms one after another."""
+        """Candidates whose terms contain the query's terms one after another.
+
+        One look at the joined terms of the candidate rows for each query that has any.
+        """
         mask = np.zeros_like(candidates)
-        rows, queries = np.nonzero(candidates)
-        if len(rows):
-            used, where = np.unique(rows, return_inverse=True)
-            found = batch.column("terms").take(pa.array(used)).to_pylist()
-            texts = [f" {' '.join(terms)} " for terms in found]
-            hits = [state["phrases"][q] in texts[at] for at, q in zip(where, queries, strict=True)]
-            mask[rows, queries] = hits
+        for query in np.flatnonzero(candidates.any(axis=0)):
+            rows = np.flatnonzero(candidates[:, query])
+            terms = batch.column("terms").take(pa.array(rows)).cast(pa.list_(pa.string()))
+            joined = pc.binary_join(terms, " ")
+            padded = pc.binary_join_element_wise("", joined, "", " ")
+            hits = pc.match_substring(padded, state["phrases"][query])
+            mask[rows, query] = hits.to_numpy(zero_copy_only=False)
         return mask
 
     def mode_mask(self, mode: str, state, batch, count: np.ndarray) -> np.ndarray:
@@ -228,21 +225,26 @@ def text_search(
     query_col: str = "query_id",
     text_col: str = "query_text",
     stop_words: Sequence[str] | None = None,
+    model_ver: str | None = None,
     where: Column | None = None,
+    stats: TextStats | None = None,
     k1: float = config.BM25_K1,
     b: float = config.BM25_B,
     salts: int = 1,
-    max_queries: int = config.MAX_BROADCAST_QUERIES,
+    max_queries: int = config.QUERY_BLOCK_ROWS,
 ) -> DataFrame:
     """``(query, id, fts_score, rank)`` by BM25, best first, ties by id.
 
     ``mode``: any term, all terms, or the terms as a phrase.  ``index`` is a
-    :func:`forward_index`; its statistics cover the whole of it, ``where`` only
-    restricts which rows may be returned.
+    :func:`forward_index`.  With ``model_ver`` the search knows the rows of that
+    version only, in its statistics and its results; ``where`` only restricts which
+    rows may be returned.  ``stats`` are the stored counts of the rows searched.
     """
     if mode not in MATCH_MODES:
         raise ValueError(f"mode must be one of {MATCH_MODES}")
-    weighted = weighted_queries(queries, index, query_col, text_col, stop_words)
+    if model_ver is not None:
+        index = index.where(F.col("embedding_model_ver") == model_ver)
+    weighted = weighted_queries(queries, index, query_col, text_col, stop_words, stats)
     if where is not None:
         index = index.where(where)
     ranked = scan_top_k(
@@ -267,13 +269,14 @@ def match_counts(
     query_col: str = "query_id",
     text_col: str = "query_text",
     stop_words: Sequence[str] | None = None,
-    max_queries: int = config.MAX_BROADCAST_QUERIES,
+    stats: TextStats | None = None,
+    max_queries: int = config.QUERY_BLOCK_ROWS,
 ) -> DataFrame:
     """``(query, mode, n_matches)``: how many texts each match mode finds.
 
     Tasks send one count per query and mode.
     """
-    weighted = weighted_queries(queries, index, query_col, text_col, stop_words)
+    weighted = weighted_queries(queries, index, query_col, text_col, stop_words, stats)
     scorer = Bm25Scorer("any", config.BM25_K1, config.BM25_B)
     names = [query_col, "mode", "n"]
     schema = f"{query_col} {queries.schema[query_col].dataType.simpleString()}, mode string, n bigint"
@@ -295,19 +298,13 @@ def match_counts(
         ]
         return pa.concat_tables(parts)
 
-    block = bounded_arrow(weighted, max_queries)
-    if block is not None:
-
+    def scan_for(block: pa.Table):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from count_block(block, batches).to_batches()
 
-        partial = index.select("terms").mapInArrow(scan, schema)
-    else:
+        return scan
 
-        def score(left: pa.Table, right: pa.Table) -> pa.Table:
-            return count_block(left, iter(right.combine_chunks().to_batches()))
-
-        partial = co_blocks(
-            index.select(id_col, "terms"), weighted, id_col, query_col, score, schema, max_queries
-        )
+    blocks = query_blocks(weighted, max_queries)
+    scans = [index.select("terms").mapInArrow(scan_for(b), schema) for b in blocks]
+    partial = reduce(DataFrame.union, scans or [index.sparkSession.createDataFrame([], schema)])
     return partial.groupBy(query_col, "mode").agg(F.sum("n").alias("n_matches"))

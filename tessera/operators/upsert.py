@@ -1,35 +1,32 @@
 """Upserts on immutable tables, skip-if-landed and pruning.
 
-An upsert never moves the text of the target when the batch is small: matched
-keys are found with a broadcast of the batch keys (counted first) over the key
-and hash columns only, and the kept part of the target is an anti join against
-the keys being replaced.  A batch beyond the bound falls back to shuffle joins.
+One join of the batch with the narrow key columns of the target decides the fate of
+every batch row; the kept part of the target is an anti join against the keys that are
+written.  Nothing is counted while a plan is built: adaptive execution sees how small
+the sides are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera import config
-from tessera.operators.sizing import has_at_most
-
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``df`` unchanged; fails the job if two rows share a key without NULLs.
 
-    The repeated keys are found with one map-side counted aggregation and joined
-    back; there are normally none, and adaptive execution drops the join then.
+    Rows are counted within their key, in the partitioning that a join on the keys
+    uses anyway.
     """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
+    named = F.lit(True)
+    for k in keys:
+        named = named & F.col(k).isNotNull()
     shown = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
     message = F.concat(F.lit("duplicate source key: "), shown)
-    marked = df.join(counts, list(keys), "left")
-    unique = F.when(F.col("_n").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(
-        F.lit(True)
-    )
+    marked = df.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    unique = F.when(named & (F.col("_n") > 1), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
     return marked.where(unique).select(*df.columns)
 
 
@@ -39,7 +36,6 @@ def upsert(
     keys: Sequence[str],
     hash_col: str | None = None,
     check_duplicates: bool = True,
-    max_broadcast: int = config.MAX_BROADCAST_KEYS,
 ) -> DataFrame:
     """Target after the batch ``source``; columns as in ``target``.
 
@@ -49,53 +45,27 @@ def upsert(
     """
     keys = list(keys)
     source = source.select(*target.columns)
-    small = has_at_most(source, max_broadcast)
-    # The key list needs no check: the rows that are written carry it.
-    replaced = rows_to_write(target, source, keys, hash_col, small).select(*keys)
-    checked = assert_unique(source, keys) if check_duplicates else source
-    changed = rows_to_write(target, checked, keys, hash_col, small, source)
-    return target.join(F.broadcast(replaced) if small else replaced, keys, "left_anti").unionByName(
-        changed
-    )
-
-
-def _hinted(side: DataFrame, max_rows: int) -> DataFrame:
-    return F.broadcast(side) if has_at_most(side, max_rows) else side
+    if check_duplicates:
+        source = assert_unique(source, keys)
+    changed = rows_to_write(target, source, keys, hash_col)
+    return target.join(changed.select(*keys), keys, "left_anti").unionByName(changed)
 
 
 def rows_to_write(
-    target: DataFrame,
-    source: DataFrame,
-    keys: Sequence[str],
-    hash_col: str | None = None,
-    small: bool | None = None,
-    key_source: DataFrame | None = None,
+    target: DataFrame, source: DataFrame, keys: Sequence[str], hash_col: str | None = None
 ) -> DataFrame:
-    """The rows an upsert writes: new ones and, with a hash, changed ones.
-
-    ``small`` tells whether the source keys may be broadcast; counted if not given.
-    ``key_source`` has the same keys as ``source`` and may be cheaper to compute.
-    """
-    keys = list(keys)
+    """The rows an upsert writes: new ones and, with a hash, changed ones."""
     if hash_col is None:
         return source
-    if small is None:
-        small = has_at_most(source, config.MAX_BROADCAST_KEYS)
-    wanted = (source if key_source is None else key_source).select(*keys)
-    wanted = F.broadcast(wanted) if small else wanted
+    keys = list(keys)
     known = target.select(*keys, F.col(hash_col).alias("_known"), F.lit(True).alias("_matched"))
-    known = known.join(wanted, keys, "left_semi")
     is_new = F.col("_matched").isNull()
     differs = F.coalesce(F.col(hash_col) != F.col("_known"), F.lit(False))
     return source.join(known, keys, "left").where(is_new | differs).select(*source.columns)
 
 
 def upsert_with_audit(
-    target: DataFrame,
-    source: DataFrame,
-    keys: Sequence[str],
-    now: Column,
-    max_broadcast: int = config.MAX_BROADCAST_KEYS,
+    target: DataFrame, source: DataFrame, keys: Sequence[str], now: Column
 ) -> DataFrame:
     """Unconditional upsert that keeps ``created_at`` and sets ``updated_at``.
 
@@ -103,30 +73,23 @@ def upsert_with_audit(
     """
     keys = list(keys)
     payload = [c for c in target.columns if c not in ("created_at", "updated_at")]
-    source = source.select(*payload)
-    wanted = _hinted(source.select(*keys), max_broadcast)
-    source = assert_unique(source, keys)
-    first_seen = target.select(*keys, F.col("created_at").alias("_created")).join(
-        wanted, keys, "left_semi"
-    )
+    source = assert_unique(source.select(*payload), keys)
+    first_seen = target.select(*keys, F.col("created_at").alias("_created"))
     stamped = (
         source.join(first_seen, keys, "left")
         .withColumn("created_at", F.coalesce("_created", now))
         .withColumn("updated_at", now)
         .select(*target.columns)
     )
-    return target.join(wanted, keys, "left_anti").unionByName(stamped)
+    return target.join(source.select(*keys), keys, "left_anti").unionByName(stamped)
 
 
 def skip_landed(
-    incoming: DataFrame,
-    landed: DataFrame,
-    keys: Sequence[str] = ("source", "doc_id"),
-    max_broadcast: int = config.MAX_BROADCAST_KEYS,
+    incoming: DataFrame, landed: DataFrame, keys: Sequence[str] = ("source", "doc_id")
 ) -> DataFrame:
     """Incoming rows whose key was never landed, under whatever date."""
     keys = list(keys)
-    return incoming.join(_hinted(landed.select(*keys).distinct(), max_broadcast), keys, "left_anti")
+    return incoming.join(landed.select(*keys), keys, "left_anti")
 
 
 def prune_orphans(table: DataFrame, current: DataFrame, keys: Sequence[str], scope: str) -> DataFrame:
@@ -134,16 +97,13 @@ def prune_orphans(table: DataFrame, current: DataFrame, keys: Sequence[str], sco
 
     Groups that were not re-made are left alone.
     """
-    small = has_at_most(current, config.MAX_BROADCAST_KEYS)
 
     def flagged(columns: Sequence[str], flag: str) -> DataFrame:
-        side = current.select(*columns).distinct().withColumn(flag, F.lit(True))
-        return F.broadcast(side) if small else side
+        return current.select(*columns).distinct().withColumn(flag, F.lit(True))
 
-    remade, alive = flagged([scope], "_remade"), flagged(keys, "_alive")
     return (
-        table.join(remade, scope, "left")
-        .join(alive, list(keys), "left")
+        table.join(flagged([scope], "_remade"), scope, "left")
+        .join(flagged(keys, "_alive"), list(keys), "left")
         .where(F.col("_remade").isNull() | F.col("_alive").isNotNull())
         .select(*table.columns)
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +14,8 @@ from tessera.functions.grounding import answer_sentences
 from tessera.operators.documents import assemble_pages, explode_strings
 from tessera.operators.embedding import hash_embed
 from tessera.operators.hybrid import attach_chunks, hybrid_search
-from tessera.operators.textindex import forward_index
+from tessera.operators.searchstore import SearchTables, read_search_tables, write_search_tables
+from tessera.session import shared_folder
 from tessera.sources.tables import table, wide_table
 
 BASE_TIME = 1_704_067_200  # 2024-01-01 00:00:00 UTC
@@ -65,18 +69,50 @@ def embedded(df: DataFrame, text_col: str, name: str = "embedding") -> DataFrame
     return hash_embed(df, F.col(text_col), config.EMBED_DIM, name)
 
 
-def hybrid_hits(chunks: DataFrame, queries: DataFrame, k: int = config.TOP_K) -> DataFrame:
-    """Hybrid search of ``queries`` (query_id, query_text) over chunk rows."""
-    vectors = embedded(chunks.select("chunk_id", "text"), "text")
-    index = forward_index(chunks)
-    return hybrid_search(vectors, index, embedded(queries, "query_text"), k, dim=config.EMBED_DIM)
+_WRITTEN: dict[tuple, str] = {}
+
+
+def written_once(spark: SparkSession, d: str, what: str, write: Callable[[str], None]) -> str:
+    """Path of what ``write`` wrote for the tables of ``d``; once for each application."""
+    key = (spark.sparkContext.applicationId, d, what)
+    if key not in _WRITTEN:
+        path = f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+        write(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
+def chunk_tables(spark: SparkSession, d: str) -> SearchTables:
+    """Search tables of the chunks of all documents."""
+    path = written_once(spark, d, "chunks", lambda p: write_search_tables(document_chunks(spark, d), p))
+    return read_search_tables(spark, path)
+
+
+def document_tables(spark: SparkSession, d: str) -> SearchTables:
+    """Search tables of all whole documents, a document being one chunk."""
+
+    def write(path: str) -> None:
+        docs = wide_table(spark, d, "documents").where("text is not null")
+        write_search_tables(docs.select("doc_id", "source", "text"), path, id_col="doc_id")
+
+    return read_search_tables(spark, written_once(spark, d, "documents", write))
+
+
+def hybrid_hits(tables: SearchTables, queries: DataFrame, k: int = config.TOP_K) -> DataFrame:
+    """Hybrid search of ``queries`` (query_id, query_text) over stored chunks."""
+    asked = embedded(queries, "query_text")
+    return hybrid_search(tables.vectors, tables.index, asked, k, dim=config.EMBED_DIM, stats=tables.stats)
+
+
+def chunk_rows(tables: SearchTables) -> DataFrame:
+    """The chunk columns without what only searches need."""
+    return tables.chunks.drop("terms", "n_terms", "embedding")
 
 
 def hybrid_rows(spark: SparkSession, d: str, k: int = config.TOP_K) -> DataFrame:
     """Fused top rows of every benchmark query with their chunk columns."""
-    chunks = document_chunks(spark, d)
-    asked = benchmark_queries(spark, d)
-    return attach_chunks(hybrid_hits(chunks, asked, k), chunks, asked, k)
+    tables = chunk_tables(spark, d)
+    return attach_chunks(hybrid_hits(tables, benchmark_queries(spark, d), k), chunk_rows(tables))
 
 
 def base_documents(spark: SparkSession, d: str) -> DataFrame:

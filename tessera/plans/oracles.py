@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from tessera import config
-from tessera.functions import html
 from tessera.functions.text import LINE_END
 from tessera.operators.evaluation import METRICS
 
@@ -146,6 +145,16 @@ fused AS MATERIALIZED (
 
 
 ASKED = "asked AS MATERIALIZED (SELECT item_id AS query_id, text AS q FROM benchmark)"
+FUSED_COLUMNS = """query_id, chunk_id, CAST(dense_rank AS BIGINT) AS dense_rank,
+  CAST(text_rank AS BIGINT) AS text_rank, round(score, 6) AS rrf_score, CAST(rrf_rank AS BIGINT) AS rrf_rank"""
+
+
+def hybrid_of(version: str, condition: str) -> str:
+    """Hybrid search over the chunks of the documents of one version."""
+    own = hybrid("asked").replace("FROM documents", f"FROM (SELECT * FROM documents WHERE {condition})")
+    return f"SELECT '{version}' AS model_ver, * FROM (WITH {ASKED}, {own} SELECT {FUSED_COLUMNS} FROM fused)"
+
+
 HYBRID_ROWS = f"""WITH {ASKED}, {hybrid('asked')},
 hits AS MATERIALIZED (
   SELECT f.query_id, f.rrf_rank, round(f.score, 6) AS rrf_score, c.chunk_id,
@@ -191,32 +200,48 @@ merged AS (
 # --- pages -------------------------------------------------------------------------
 
 
+NAMED = {
+    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "copy": "©", "middot": "·",
+    "ndash": "–", "mdash": "—", "hellip": "…", "amp": "&",
+}
+
+
 def _decoded(x: str) -> str:
-    for name, value in html.ENTITIES:
-        x = f"replace({x}, {lit(name)}, {lit(value)})"
+    for name, value in NAMED.items():
+        x = f"replace({x}, '&{name};', {lit(value)})"
     return x
 
 
+def _element(tag: str) -> str:
+    """A whole element, as short as possible."""
+    return rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>"
+
+
 def _page_steps() -> str:
     """CTEs ending in page(page_id, url, html, text, title)."""
-    col = replace_all("html", html.COMMENT, "")
-    for tag in html.DROPPED_BLOCKS:
-        col = replace_all(col, html.block_pattern(tag), "")
-    body = replace_all("whole", html.block_pattern("head"), "")
-    for tag in reversed(html.MAIN_BLOCKS):
-        has = f"regexp_matches(whole, {lit(f'(?i)<{tag}' + chr(91) + '\\s>]')})"
-        inner = f"regexp_extract(whole, {lit(html.inner_pattern(tag))}, 1)"
-        body = f"CASE WHEN {has} THEN {inner} ELSE {body} END"
-    text = replace_all("body", html.BLANKS, " ")
-    text = replace_all(text, rf"(?i)</?(?:{html.BLOCK_TAGS})(?:\s[^>]*)?/?>", "\n")
-    text = replace_all(text, rf"(?i)</(?:{html.CELL_TAGS})\s*>", " | ")
+    col = replace_all("html", "(?s)<!--.*?-->", "")
+    for tag in "script style noscript template nav footer header aside form".split():
+        col = replace_all(col, _element(tag), "")
+    body = replace_all("whole", _element("head"), "")
+    for tag in ("body", "main", "article"):
+        opens = f"regexp_matches(whole, {lit(f'(?i)<{tag}' + chr(91) + '\\s>]')})"
+        inside = f"regexp_extract(whole, {lit(rf'(?is)<{tag}(?:\s[^>]*)?>(.*)</{tag}\s*>')}, 1)"
+        body = f"CASE WHEN {opens} THEN {inside} ELSE {body} END"
+    blanks = r"[ \t\r\n\x{0C}\x{A0}]+"
+    lines = (
+        "p|br|hr|div|section|article|main|address|blockquote|pre|h[1-6]|ul|ol|li|dl|dt|dd|figure|figcaption|"
+        "table|thead|tbody|tfoot|tr"
+    )
+    text = replace_all("body", blanks, " ")
+    text = replace_all(text, rf"(?i)</?(?:{lines})(?:\s[^>]*)?/?>", "\n")
+    text = replace_all(text, r"(?i)</(?:td|th)\s*>", " | ")
     text = _decoded(replace_all(text, r"<[^>]+>", ""))
     text = strip(replace_all(replace_all(text, r" *\n[ \n]*", "\n"), r" {2,}", " "))
 
     def heading(tag: str) -> str:
         found = f"regexp_extract(html, {lit(rf'(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>')}, 1)"
         found = _decoded(replace_all(found, r"<[^>]+>", ""))
-        return f"nullif({strip(replace_all(found, html.BLANKS, ' '))}, '')"
+        return f"nullif({strip(replace_all(found, blanks, ' '))}, '')"
 
     return f"""
 whole AS (SELECT page_id, url, html, {col} AS whole FROM pages),
@@ -238,13 +263,14 @@ landed AS (
     SELECT *, row_number() OVER (PARTITION BY source, doc_id ORDER BY url, html) AS rn FROM gated)
   WHERE rn = 1)"""
 
-LINKS = r"""
+QUOTED = r"""'(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)'"""
+LINKS = rf"""
 links AS MATERIALIZED (
   SELECT DISTINCT page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)', 1)
                        || regexp_replace(href, '#.*$', '') AS link
   FROM (
-    SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)) AS href
-    FROM pages)
+    SELECT page_id, url, {_decoded("trim(quoted, '\"''')")} AS href
+    FROM (SELECT page_id, url, unnest(regexp_extract_all(html, {QUOTED}, 1)) AS quoted FROM pages))
   WHERE href <> '' AND NOT starts_with(href, 'mailto:') AND NOT starts_with(href, 'javascript:'))"""
 
 # --- questions ----------------------------------------------------------------------
@@ -551,6 +577,9 @@ ORACLES: dict[str, str] = {
         round(score, 6) AS rrf_score, rrf_rank FROM merged WHERE rrf_rank <= 10""",
     "hybrid_search_topk": f"""WITH {ASKED}, {hybrid('asked')}
         SELECT query_id, chunk_id, dense_rank, text_rank, round(score, 6) AS rrf_score, rrf_rank FROM fused""",
+    "hybrid_search_versions": hybrid_of("v1", "lang = 'en'")
+    + " UNION ALL "
+    + hybrid_of("v2", "lang IS NULL OR lang <> 'en'"),
     "search_response": f"""{HYBRID_ROWS}
         SELECT query_id, rrf_rank AS position, chunk_id, doc_id, source, chunk_index,
                round(rrf_score, 4) AS score, substr(head, 1, {config.RESPONSE_HEAD_CHARS}) AS text_head
@@ -568,11 +597,11 @@ ORACLES: dict[str, str] = {
                  string_agg(block, chr(10) || chr(10) ORDER BY rrf_rank) AS context
           FROM used GROUP BY query_id)
         SELECT query_id, n_used, used_chars, md5(context) AS context_md5,
-               md5('Use only the numbered passages below to answer. If they do not hold the answer, reply: '
-                   || 'I don''t have enough information in the provided context to answer that.'
-                   || chr(10) || chr(10) || 'Passages, best first:' || chr(10) || chr(10) || context
-                   || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'Question: ' || q
-                   || chr(10) || chr(10) || 'Answer:') AS prompt_md5
+               md5('Below are numbered passages from a document collection, the closest match on top. '
+                   || 'Base every statement on them and name the numbers you used. Should they leave the matter open, '
+                   || 'write that it is not in the context.' || chr(10) || chr(10) || context
+                   || chr(10) || chr(10) || '== Asked ==' || chr(10) || q
+                   || chr(10) || chr(10) || '== Reply ==') AS prompt_md5
         FROM packed JOIN asked USING (query_id)""",
     "citations": f"""{PACKED} SELECT query_id, number, title, source, '' AS source_url, doc_id, chunk_index
         FROM used""",

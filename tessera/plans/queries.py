@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from tessera.operators import (
     frontier,
     fusion,
     history,
+    hybrid,
     landing,
     metrics,
     packing,
@@ -269,8 +271,10 @@ def query_forms(spark, d):
 
 @query
 def bm25_topk(spark, d):
+    stored = inputs.document_tables(spark, d)
     hits = textindex.text_search(
-        _document_index(spark, d), inputs.benchmark_queries(spark, d), config.FETCH, id_col="doc_id"
+        stored.chunks.select("doc_id", "terms", "n_terms"), inputs.benchmark_queries(spark, d), config.FETCH,
+        id_col="doc_id", stats=stored.stats,
     )
     return hits.select(
         "query_id", "doc_id", F.round("fts_score", 6).alias("fts_score"), big("rank").alias("rank")
@@ -279,22 +283,26 @@ def bm25_topk(spark, d):
 
 @query
 def text_match_modes(spark, d):
+    stored = inputs.document_tables(spark, d)
     return textindex.match_counts(
-        _document_index(spark, d),
+        stored.chunks.select("doc_id", "terms", "n_terms"),
         inputs.benchmark_queries(spark, d),
         id_col="doc_id",
         stop_words=config.STOP_WORDS,
+        stats=stored.stats,
     )
 
 
 @query
 def phrase_topk(spark, d):
+    stored = inputs.document_tables(spark, d)
     hits = textindex.text_search(
-        _document_index(spark, d),
+        stored.chunks.select("doc_id", "terms", "n_terms"),
         inputs.benchmark_queries(spark, d),
         config.TOP_K,
         mode="phrase",
         id_col="doc_id",
+        stats=stored.stats,
     )
     return hits.select(
         "query_id", "doc_id", F.round("fts_score", 6).alias("fts_score"), big("rank").alias("rank")
@@ -342,9 +350,9 @@ def dense_topk(spark, d):
 
 
 def _centers(df):
-    rows = df.orderBy("query_id").limit(config.MAX_BROADCAST_CELLS).collect()  # one row per label
-    import numpy as np
-
+    rows = df.orderBy("query_id").collect()  # one row per label
+    if len(rows) > config.MAX_CELLS:
+        raise ValueError(f"{len(rows)} labels are more than {config.MAX_CELLS} cells")
     return ann.unit_rows(np.array([r["embedding"] for r in rows]))
 
 
@@ -352,10 +360,13 @@ def _centers(df):
 def cell_topk(spark, d):
     """Approximate search with the label centroids as given cells, three probes."""
     centers = _centers(inputs.label_centroids(spark, d))
-    indexed = ann.assign_cells(table(spark, d, "embeddings"), "embedding", 64, centers)
+
+    def write(path):
+        ann.write_index(ann.assign_cells(table(spark, d, "embeddings"), "embedding", 64, centers), path)
+
+    indexed = spark.read.parquet(inputs.written_once(spark, d, "cells", write))
     hits = ann.ann_search(
-        indexed, inputs.label_midpoints(spark, d), 10,
-        centers=centers, n_probe=3, dim=64, id_col="vec_id", stored=False,
+        indexed, inputs.label_midpoints(spark, d), 10, centers=centers, n_probe=3, dim=64, id_col="vec_id"
     )
     return hits.select(
         "query_id", "vec_id", F.round("distance", 6).alias("distance"), big("rank").alias("rank")
@@ -364,18 +375,16 @@ def cell_topk(spark, d):
 
 @query
 def ann_topk_recall(spark, d):
-    """Trained cells, probes tuned to the target, recall against exact search."""
+    """Trained cells, probes tuned to the target on one query set, recall on another."""
     corpus = table(spark, d, "embeddings").select("vec_id", "embedding")
-    middle = inputs.label_midpoints(spark, d)
-    asked = inputs.label_centroids(spark, d).unionByName(
-        middle.withColumn("query_id", F.col("query_id") + 1_000_000)
-    )
     centers = ann.train_cells(corpus, "embedding", 64, n_cells=16)
-    indexed = ann.assign_cells(corpus, "embedding", 64, centers)
-    n_probe = ann.tune_probes(spark, indexed, asked, 10, centers=centers, dim=64, id_col="vec_id")
-    found = ann.ann_search(
-        indexed, asked, 10, centers=centers, n_probe=n_probe, dim=64, id_col="vec_id", stored=False
+    path = inputs.written_once(
+        spark, d, "trained-cells", lambda p: ann.write_index(ann.assign_cells(corpus, "embedding", 64, centers), p)
     )
+    indexed = spark.read.parquet(path)
+    tuned_on, asked = inputs.label_midpoints(spark, d), inputs.label_centroids(spark, d)
+    n_probe = ann.tune_probes(spark, indexed, tuned_on, 10, centers=centers, dim=64, id_col="vec_id")
+    found = ann.ann_search(indexed, asked, 10, centers=centers, n_probe=n_probe, dim=64, id_col="vec_id")
     exact = dense.dense_search(corpus, asked, 10, dim=64, id_col="vec_id")
     report = ann.recall_report(found, exact, "query_id", "vec_id")
     return report.withColumn("n_probe", F.lit(n_probe))
@@ -400,8 +409,10 @@ def rrf_fuse(spark, d):
 
 @query
 def hybrid_search_topk(spark, d):
-    chunks = inputs.document_chunks(spark, d)
-    fused = inputs.hybrid_hits(chunks, inputs.benchmark_queries(spark, d))
+    return _fused(inputs.hybrid_hits(inputs.chunk_tables(spark, d), inputs.benchmark_queries(spark, d)))
+
+
+def _fused(fused):
     return fused.select(
         "query_id",
         "chunk_id",
@@ -412,6 +423,20 @@ def hybrid_search_topk(spark, d):
     )
 
 
+@query
+def hybrid_search_versions(spark, d):
+    """Chunks under two model versions (one for English): a search knows its own version only."""
+    tables = inputs.chunk_tables(spark, d)
+    version = F.when(F.col("title") == "en", "v1").otherwise("v2")
+    chunks = tables.chunks.select("chunk_id", "terms", "n_terms", "embedding", version.alias("embedding_model_ver"))
+    asked = inputs.embedded(inputs.benchmark_queries(spark, d), "query_text")
+    found = [
+        _fused(hybrid.hybrid_search(chunks, chunks, asked, dim=config.EMBED_DIM, model_ver=v)).withColumn("model_ver", F.lit(v))
+        for v in ("v1", "v2")
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query
 def search_response(spark, d):
     rows = response.response_rows(inputs.hybrid_rows(spark, d), "hybrid", "rrf_rank")
@@ -481,12 +506,10 @@ def retry_pass(spark, d):
 
 
 def _evaluation(spark, d):
-    chunks = inputs.document_chunks(spark, d)
+    tables = inputs.chunk_tables(spark, d)
     asked = inputs.benchmark_questions(spark, d)
-    hits = inputs.hybrid_hits(chunks, asked.select("query_id", "query_text"))
-    rows = inputs.attach_chunks(
-        hits, chunks, asked, config.TOP_K, head_chars=config.EVAL_HEAD_CHARS
-    )
+    hits = inputs.hybrid_hits(tables, asked.select("query_id", "query_text"))
+    rows = inputs.attach_chunks(hits, inputs.chunk_rows(tables), head_chars=config.EVAL_HEAD_CHARS)
     retrieved = inputs.embedded(
         rows.select("query_id", "chunk_text_head"), "chunk_text_head", "chunk_vec"
     )
@@ -561,7 +584,7 @@ def link_frontier(spark, d):
         F.array(F.lit("?"), F.lit("#")).alias("deny_substrings"),
     ).distinct()
     edges = frontier.admitted_links(frontier.page_links(wide_table(spark, d, "pages")), sources)
-    visited = frontier.walk(pages.select("source", "url"), edges, max_depth=2)
+    visited = frontier.walk(pages.select("source", "url"), edges)
     return visited.withColumn("depth", big("depth"))
 
 

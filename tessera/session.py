@@ -36,6 +36,7 @@ def local_session(cores: str | int = 8, app_name: str = "tessera-local") -> Spar
             "spark.sql.shuffle.partitions": str(cores),
             "spark.driver.memory": os.environ.get("TESSERA_DRIVER_MEMORY", "12g"),
             "spark.sql.files.openCostInBytes": "1048576",
+            "spark.tessera.spreadScans": "true",
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -9,17 +9,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def table_glob(folder: str, name: str) -> str:
+    """A pattern for a table's path that streams take, be it one file or a folder of files."""
+    return f"{folder.rstrip('/')}/{name}.parque[t]"
+
+
+#: Session setting of machines whose tables are single files with one row group.
+SPREAD = "spark.tessera.spreadScans"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a small scan of few files, for work heavy on the CPU.
+    """Deal the rows of a scan out to all cores, if the session is set to do so.
 
-    Byte ranges of a file are tasks, but all rows of a row group go to one of them:
-    a small table in one file keeps a single core busy.  A table with at least as
-    many files as cores, or too large for two splits per core, comes back as it
-    is, without a shuffle.  ``df`` must be a plain scan.
+    All rows of a row group go to one task, so a table in one small file keeps a single
+    core busy.  That is a matter of how tables are laid out where a session runs, not of
+    this table's size: the setting holds for all of them, and is off by default.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    small = df.rdd.getNumPartitions() <= 2 * cores
-    return df.repartition(2 * cores) if small and len(df.inputFiles()) < cores else df
+    spark = df.sparkSession
+    if spark.conf.get(SPREAD, "false") != "true":
+        return df
+    return df.repartition(2 * spark.sparkContext.defaultParallelism)
 
 
 def wide_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

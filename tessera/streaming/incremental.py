@@ -15,7 +15,7 @@ from tessera.functions import ids
 from tessera.plans import jobs
 from tessera.session import shared_folder
 from tessera.sources import bronze, store
-from tessera.sources.tables import table
+from tessera.sources.tables import table, table_glob
 
 
 def upsert_stream(stream: DataFrame, silver_path: str, checkpoint: str) -> None:
@@ -58,7 +58,7 @@ def bronze_stream(spark: SparkSession, bronze_root: str, max_files: int = 10_000
 def document_stream(spark: SparkSession, d: str) -> DataFrame:
     """The documents table read as a file stream of silver rows."""
     schema = table(spark, d, "documents").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    docs = spark.readStream.schema(schema).parquet(table_glob(d, "documents"))
     text = F.col("text")
     rows = docs.select(
         F.col("doc_id").cast("string").alias("doc_id"),

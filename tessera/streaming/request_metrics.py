@@ -11,7 +11,7 @@ from tessera import config
 from tessera.operators.metrics import windowed_histogram
 from tessera.operators.ranking import newest_per_key
 from tessera.session import shared_folder
-from tessera.sources.tables import table
+from tessera.sources.tables import table, table_glob
 
 KEYS = ["window_start", "event_type"]
 
@@ -52,7 +52,7 @@ def read_latest(spark: SparkSession, path: str) -> DataFrame:
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
     """The events table as a file stream; its zone-less times are read as UTC."""
     schema = table(spark, d, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    events = spark.readStream.schema(schema).parquet(table_glob(d, "events"))
     epoch = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
     micros = F.timestamp_diff("MICROSECOND", epoch, F.col("ts"))
     return events.withColumn("ts", F.timestamp_micros(micros))

@@ -58,13 +58,9 @@ def test_sliding_counts(spark, n, count):
 
 
 def by_position(text, size, overlap, stop_at_end):
-    out, i = [], 0
-    while i < len(text):
-        out.append(text[i : i + size])
-        if stop_at_end and i + size >= len(text):
-            break
-        i += size - overlap
-    return out
+    """Windows start at multiples of the step; with a stop, none starts within the overlap of the last."""
+    starts = range(0, len(text), size - overlap)
+    return [text[i : i + size] for i in starts if not (stop_at_end and i and i + overlap >= len(text))]
 
 
 @settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

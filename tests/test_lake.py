@@ -25,11 +25,11 @@ SOURCE = [("same", "1", 9), ("changed", "2", 9), ("null_t", "2", 9), ("null_s",
 @pytest.mark.parametrize("bound", [1000, 0])
 def test_conditional_upsert(spark, bound):
     t, s = spark.createDataFrame(TARGET, DDL), spark.createDataFrame(SOURCE, DDL)
-    once = upsert.upsert(t, s, ["k"], "h", max_broadcast=bound)
+    once = upsert.upsert(t, s, ["k"], "h")
     want = [("same", "1", 0), ("changed", "2", 9), ("null_t", None, 0), ("null_s", "1", 0), (None, "1", 0),
             ("new", "1", 9)]
     assert rows(once) == sorted(want, key=str)
-    assert rows(upsert.upsert(once, s, ["k"], "h", max_broadcast=bound)) == sorted(want, key=str)
+    assert rows(upsert.upsert(once, s, ["k"], "h")) == sorted(want, key=str)
 
 
 def test_full_upsert_and_duplicate_keys(spark):
@@ -110,7 +110,7 @@ def test_context_budget(spark):
 def test_prompt_and_notice(spark):
     df = spark.createDataFrame([("ctx", "q", "a"), (" ", "q", "a"), (None, "q", "a")], "c string, q string, a string")
     prompts = [r[0] for r in df.select(context.render_prompt(F.col("c"), F.col("q"))).collect()]
-    assert "ctx" in prompts[0] and prompts[0].endswith("Question: q\n\nAnswer:") and prompts[1:] == [None, None]
+    assert "ctx" in prompts[0] and "== Asked ==\nq\n" in prompts[0] and prompts[1:] == [None, None]
     answers = [r[0] for r in df.select(context.answer_or_notice(F.col("c"), F.col("a"))).collect()]
     assert answers[0] == "a" and answers[1] == answers[2] != "a"
 

@@ -1,6 +1,7 @@
 """Every registered query against its SQL on the same tables."""
 
 import os
+import re
 
 import pytest
 from oracle_check import compare, connect
@@ -22,7 +23,8 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_every_query_has_sql_but_the_iterative_one():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"ann_topk_recall"}
+    own = {n for n in entry.queries() if not re.match(r"op\d+_|pipeline$", n)}
+    assert own - set(entry.oracle_sql()) == {"ann_topk_recall"}
 
 
 def test_entry(spark):

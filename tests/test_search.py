@@ -188,7 +188,7 @@ def test_hybrid_attach_and_response(spark):
     index = textindex.forward_index(chunks)
     queries = embedding.hash_embed(asked, F.col("query_text"), 32)
     fused_rows = hybrid.hybrid_search(vecs, index, queries, 3, dim=32)
-    found = hybrid.attach_chunks(fused_rows, chunks, asked, 3)
+    found = hybrid.attach_chunks(fused_rows, chunks)
     out = {r["query_id"]: r for r in response.search_response(found, asked, "hybrid", "rrf_rank").collect()}
     assert out[1]["results"][0]["chunk_id"] == "d6::0" and len(out[1]["results"]) == 3
     assert out[1]["mode"] == "hybrid" and out[1]["query"] == "pod container"
