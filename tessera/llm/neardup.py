@@ -6,12 +6,13 @@ register-wise maximum of two sketches is the sketch of the union, and two regist
 about as often as the sets overlap.  Bands of register values propose pairs, a joint
 likelihood estimate drops most of the wrong ones, and full sets confirm the rest.
 
-Equal sets are one class from the start, however many copies there are.  Within a band
-value, a few pivots are compared to the members of other components in each round; then
-members of one component need no comparison any more.  A group of mutual near copies is
-done after one round of a row per member, and no round emits all pairs of a group.
-Rounds go on until no band value holds two components that were not compared, so no
-partner is left out.
+Equal sets are one class from the start, however many copies there are.  First each class
+is compared to one other that shares a band value, which joins most of what belongs
+together.  Under a band value that still holds several components, every member outside
+the largest one meets all members of other components, in blocks of bounded size; a
+block emits a link only where it joins components it has not joined yet.  So every pair
+that shares a band value and might link two components is looked at, and neither pairs
+nor links of a group are ever listed.
 
 Defined results: a null text, or one without words, has the empty set, is linked with
 nothing, and is its own component; rows without an id are never linked and are kept, with
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.textops import mix, plain, shingles_many, slices, stored, unit_interval, word_hashes_many
@@ -148,44 +149,155 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
         registers = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(n, bands, ROWS).astype(np.uint64)
-        key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (n, bands)).copy()
+        band = np.broadcast_to(np.arange(bands), (n, bands))
+        key = band.astype(np.uint64)
         for i in range(ROWS):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + registers[:, :, i] + np.uint64(1))
         nodes = batch.column(0).take(pa.array(np.repeat(np.arange(n), bands)))
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), nodes], ["key", "node"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key.ravel().view(np.int64)), pa.array(band.ravel().astype(np.int16)), nodes], ["key", "band", "node"]
+        )
+
+
+def _floor(threshold: float) -> float:
+    return threshold - SLACK * (threshold * (1 - threshold) / REGISTERS) ** 0.5
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _estimator(threshold: float):
-    floor = threshold - SLACK * (threshold * (1 - threshold) / REGISTERS) ** 0.5
+def _verifier(threshold: float, percent: int):
+    """Pairs whose estimate is near the threshold or above, and whose full sets confirm it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if n == 0:
                 continue
-            sides = [np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(n, REGISTERS) for i in (4, 5)]
-            counts = [batch.column(i).to_numpy().astype(np.float64) for i in (2, 3)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1)], ["a", "b"]
-            ).filter(pa.array(resemblance(*sides, *counts) >= floor))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(n, REGISTERS) for i in (2, 3))
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(i)] for i in (4, 5))
+            sizes = [np.array([len(v) for v in side], np.float64) for side in (x, y)]
+            good = resemblance(a, b, *sizes) >= _floor(threshold)
+            for i in np.flatnonzero(good):
+                good[i] = _linked(x[i], y[i], percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
 
     return run
 
 
-def _verifier(size: int, percent: int):
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole runs of rows with equal ``key, mb, pb``, and where each begins; the rows come sorted by these."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        starts = _starts(table)
+        if len(starts) > 1:
+            yield table.slice(0, int(starts[-1])), starts[:-1]
+        held = table.slice(int(starts[-1])).combine_chunks() if len(starts) else None
+    if held is not None:
+        yield held, _starts(held)
+
+
+def _starts(table: pa.Table) -> np.ndarray:
+    if not table.num_rows:
+        return np.empty(0, np.int64)
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for name in ("key", "mb", "pb"):
+        column = table.column(name).to_numpy()
+        new[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(new)
+
+
+#: Pairs whose estimate is computed at once.
+_PAIRS = 20_000
+
+
+def _block_linker(threshold: float, percent: int):
+    """Links between components: the pivots of every run against its members.
+
+    A pair of two pivots is looked at once, and every pair under its first common band
+    only.  What a task has joined already needs no further link.
+    """
+
+    def pairs_of(start: int, end: int, rows: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        run = np.arange(start, end)
+        pivots, members = run[rows["pivot"][start:end]], run[~rows["pivot"][start:end]]
+        theirs = rows["registers"][members]
+        for pivot in pivots:
+            open_ = rows["label"][members] != rows["label"][pivot]
+            open_ &= ~(rows["minor"][members] & (rows["node"][members] <= rows["node"][pivot]))
+            chosen = np.flatnonzero(open_)
+            equal = (theirs[chosen] == rows["registers"][pivot]).reshape(len(chosen), -1, ROWS).all(2)
+            chosen = members[chosen[equal.argmax(1) == rows["band"][pivot]]]
+            if len(chosen):
+                yield np.full(len(chosen), pivot), chosen
+
+    def confirmed(found: list[tuple[np.ndarray, np.ndarray]], rows: dict, joined: _Joined) -> list[tuple]:
+        left, right = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        like = resemblance(rows["registers"][left], rows["registers"][right], rows["size"][left], rows["size"][right])
+        links = []
+        for i in np.argsort(-like, kind="stable"):
+            if like[i] < _floor(threshold):
+                break
+            x, y = int(left[i]), int(right[i])
+            if joined.apart(rows["names"][x], rows["names"][y]) and _linked(rows["sets"][x], rows["sets"][y], percent):
+                joined.join(rows["names"][x], rows["names"][y])
+                links.append((rows["nodes"][x], rows["nodes"][y]))
+        return links
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            left = [own for _, _, *bytes_ in slices(batch.column(2)) for own in shingles_many(*word_hashes_many(*bytes_), size)]
-            right = [own for _, _, *bytes_ in slices(batch.column(3)) for own in shingles_many(*word_hashes_many(*bytes_), size)]
-            for x, y in zip(left, right, strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+        joined = _Joined()
+        for table, starts in _runs(batches):
+            names = table.column("label").to_pylist()
+            nodes = table.column("node").to_pylist()
+            rank = {v: i for i, v in enumerate(sorted(set(nodes)))}
+            code = {v: i for i, v in enumerate(dict.fromkeys(names))}
+            sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("shingles")]
+            rows = {
+                "names": names, "nodes": nodes, "sets": sets, "size": np.array([len(v) for v in sets], np.float64),
+                "node": np.array([rank[v] for v in nodes]), "label": np.array([code[v] for v in names]),
+                "pivot": table.column("pivot").to_numpy(), "minor": table.column("minor").to_numpy(),
+                "band": table.column("band").to_numpy(),
+                "registers": np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS),
+            }
+            links, waiting, held = [], [], 0
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
+                for pair in pairs_of(start, end, rows):
+                    waiting.append(pair)
+                    held += len(pair[0])
+                    if held >= _PAIRS:
+                        links += confirmed(waiting, rows, joined)
+                        waiting, held = [], 0
+            if waiting:
+                links += confirmed(waiting, rows, joined)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
+class _Joined:
+    """Components that a task has joined so far."""
+
+    def __init__(self):
+        self.parent: dict = {}
+
+    def root(self, x: bytes) -> bytes:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(up, up)
+            x = up
+        return x
+
+    def apart(self, x: bytes, y: bytes) -> bool:
+        return self.root(x) != self.root(y)
+
+    def join(self, x: bytes, y: bytes) -> None:
+        self.parent[self.root(x)] = self.root(y)
+
+
 # --------------------------------------------------------------------------- components
 
 
@@ -228,75 +340,75 @@ def components(edges: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- links
 
 
-def _relabel(members: DataFrame, label_of: DataFrame) -> DataFrame:
-    """Members with the labels of their components, only under keys that still hold two of them."""
-    now = members.select("key", "node", "pivot").join(label_of, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    return now.join(mixed, "key", "left_semi")
+#: Members of a band value that one task compares at a time, and their shingles together.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 200_000
 
 
-def links(classes: DataFrame, docs: DataFrame, size: int, threshold: float, pivots: int = 16) -> tuple[DataFrame, DataFrame]:
-    """Confirmed edges ``a, b`` between classes that make up all their components, and the components' labels.
+def _with_sets(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """node, n, registers and full sets of the classes that share a band value with another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [own.tobytes() for _, _, *raw in slices(batch.column(3)) for own in shingles_many(*word_hashes_many(*raw), size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["node", "n", "registers", "shingles"])
+
+    texts = docs.join(nodes, ["doc_id", "text_hash"]).select("node", "n", "registers", "text")
+    found = texts.mapInArrow(run, "node binary, n long, registers binary, shingles binary")
+    # rows that repeat an id and a text give the same set
+    return found.groupBy("node").agg(*[F.min(c).alias(c) for c in ("n", "registers", "shingles")])
+
+
+def links(classes: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """node and label of all classes that are linked to others; the least node of a component is its label.
 
     ``classes`` has node, doc_id, text_hash, n and registers; ``docs`` doc_id, text_hash and text.
     """
     spark, percent = classes.sparkSession, round(100 * threshold)
-    keys = classes.select("node", "registers").mapInArrow(_bands, "key long, node binary").repartition("key")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = keys.join(shared, "key", "left_semi").withColumn("pivot", F.lit(False)).withColumn("label", F.col("node"))
-    members = stored(members, "members")
-    found = spark.createDataFrame([], "a binary, b binary")
-    tried, labels = found, spark.createDataFrame([], "node binary, label binary")
+    keys = classes.select("node", "registers").mapInArrow(_bands, "key long, band short, node binary").repartition("key")
+    shared = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    members = stored(keys.join(shared, "key", "left_semi"), "members")
     if members.isEmpty():
-        return found, labels
-    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
-    texts = docs.join(wanted, ["doc_id", "text_hash"]).groupBy("node").agg(F.min("text").alias("text"))
-    texts = stored(texts, "texts")
-
-    def side(name: str, i: int) -> DataFrame:
-        return classes.select(F.col("node").alias(name), F.col("n").alias(f"n{i}"), F.col("registers").alias(f"r{i}"))
-
-    first = True
-    while first or not members.isEmpty():
-        nth = Window.partitionBy("key").orderBy("node")
-        chosen = (
-            members.where("not pivot")
-            .withColumn("nth", F.row_number().over(nth))
-            .where(F.col("nth") <= (1 if first else pivots))
-            .select("key", F.col("node").alias("p"), F.col("label").alias("own"))
-        )
-        chosen = stored(chosen, "pivots")
-        pairs = members.join(chosen, "key").where("label <> own")
-        if first:  # one comparison for each member joins most of what belongs together
-            pairs = pairs.groupBy("node").agg(F.min("p").alias("p"))
-        pairs = pairs.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-        likely = (
-            pairs.join(tried, ["a", "b"], "left_anti")
-            .join(side("a", 1), "a")
-            .join(side("b", 2), "b")
-            .where(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
-            .select("a", "b", "n1", "n2", "r1", "r2")
-            .mapInArrow(_estimator(threshold), "a binary, b binary")
-        )
-        likely = stored(likely, "likely")
-        tried = tried.union(likely)
-        confirmed = (
-            likely.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-            .select("a", "b", "ta", "tb")
-            .mapInArrow(_verifier(size, percent), "a binary, b binary")
-        )
-        found = stored(found.union(confirmed), "links")
-        labels = components(found)
-        if not first:
-            done = chosen.select("key", F.col("p").alias("node"), F.lit(True).alias("was"))
-            members = members.join(done, ["key", "node"], "left").withColumn("pivot", F.col("pivot") | F.coalesce("was", F.lit(False)))
-        members = _relabel(members, labels)
-        # a key is done once every member was a pivot
-        waiting = members.where("not pivot").select("key").distinct()
-        members = stored(members.join(waiting, "key", "left_semi").select("key", "node", "pivot", "label"), "members")
-        first = False
-    return found, labels
+        return spark.createDataFrame([], "node binary, label binary")
+    nodes = classes.join(members.select("node").distinct(), "node", "left_semi")
+    sets = stored(_with_sets(nodes, docs, size), "sets")
+
+    # one comparison for each member: with the least node it shares a band value with
+    least = members.groupBy("key").agg(F.min("node").alias("p"))
+    pairs = members.join(least, "key").where("p < node").groupBy("node").agg(F.min("p").alias("p"))
+    sides = [sets.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "registers", "shingles")]) for c in ("a", "b")]
+    first = (
+        pairs.select(F.col("p").alias("a"), F.col("node").alias("b"))
+        .join(sides[0], "a")
+        .join(sides[1], "b")
+        .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+        .select("a", "b", "registers_a", "registers_b", "shingles_a", "shingles_b")
+        .mapInArrow(_verifier(threshold, percent), "a binary, b binary")
+    )
+    first = stored(first, "links")
+
+    # under values with several components: all members outside the largest meet the others
+    now = members.join(components(first), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    now = stored(now.join(sets.select("node", "n"), "node"), "labelled")
+    parts = now.groupBy("key", "label").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    whole = parts.groupBy("key").agg(
+        F.count("*").alias("labels"), F.max_by("label", F.struct("k", "label")).alias("major"),
+        F.sum("k").alias("k"), F.sum("n").alias("n"), F.max(F.struct("k", "label", "n")).alias("top"),
+    )
+    blocks = lambda k, n: F.greatest(F.ceil(k / BLOCK_MEMBERS), F.ceil(n / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    open_ = whole.where("labels > 1").select(
+        "key", "major", blocks(F.col("k"), F.col("n")).alias("mbs"),
+        blocks(F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n")).alias("pbs"),
+    )
+    held = now.join(open_, "key").withColumn("minor", F.col("label") != F.col("major"))
+    place = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    names = ["key", "band", "node", "label", "minor"]
+    as_member = held.select(*names, F.lit(False).alias("pivot"), place("mbs").alias("mb"), every("pbs").alias("pb"))
+    as_pivot = held.where("minor").select(*names, F.lit(True).alias("pivot"), every("mbs").alias("mb"), place("pbs").alias("pb"))
+    met = as_member.union(as_pivot).join(sets.select("node", "registers", "shingles"), "node")
+    runs = met.repartition("key", "mb", "pb").sortWithinPartitions("key", "mb", "pb")
+    second = runs.mapInArrow(_block_linker(threshold, percent), "a binary, b binary")
+    return components(stored(first.union(second), "all-links"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -308,7 +420,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> D
     row = F.min(F.struct("doc_id", "text_hash")).alias("row")
     classes = sets.groupBy("node").agg(row, F.min("n_shingles").alias("n"), F.min("registers").alias("registers"))
     classes = stored(classes.select("node", "row.*", "n", "registers"), "classes")
-    _, label_of = links(classes, docs, size, threshold)
+    label_of = links(classes, docs, size, threshold)
     rooted = classes.join(label_of, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     # rows with one id but different texts are one document: it may stand in several classes
     least = rooted.groupBy("label").agg(F.min("doc_id").alias("component_id"))

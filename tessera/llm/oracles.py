@@ -8,7 +8,7 @@ ORACLES["op4_setsketch"] = r"""
 WITH RECURSIVE split AS (
   SELECT doc_id, list_filter(string_split_regex(
       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-      '[\x20\x09-\x0D]+'), w -> w <> '') AS words
+      '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
   FROM documents),
 sets AS (
   SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 3), ' ') AS shingle
