@@ -76,6 +76,9 @@ def ranked(codes: np.ndarray) -> np.ndarray:
 
 
 def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and how often each stands there."""
+    if len(codes) == 0:
+        return codes, np.empty(0, np.int64)
     codes = np.sort(codes)
     edges = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1], [True])))
     return codes[edges[:-1]], np.diff(edges)
@@ -114,7 +117,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, Counter] = {}
     for batch in batches:
         for language, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
-            values, counts = _counted(grams(text)) if text else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            values, counts = _counted(grams(text))
             total.setdefault(language, Counter()).update(dict(zip(values.view(np.int64).tolist(), counts.tolist(), strict=True)))
     for language, counts in total.items():
         yield pa.RecordBatch.from_arrays(
