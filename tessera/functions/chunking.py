@@ -82,6 +82,10 @@ _STATE = (
 )
 
 
+#: Paragraphs of a block of the fold.
+_PARAGRAPHS = 64
+
+
 def _piece(text, start, end, src_start, src_end) -> Column:
     return F.struct(
         text.alias("text"),
@@ -106,7 +110,8 @@ def packed_chunks(
     established convention of the gold table (start moves back by the overlap at
     each flush); ``src_start``/``src_end`` are true offsets into the text.
 
-    The fold runs once over the paragraphs of the row, as a higher-order function.
+    The fold runs once over the paragraphs of the row, as a higher-order function, in
+    blocks of paragraphs: only a block's own chunks are copied at each step.
     """
     step = _check(size, overlap)
     join_len = 2
@@ -183,15 +188,29 @@ def packed_chunks(
             F.when(n == 0, skipped).when(fits, merged).when(n > size, oversize).otherwise(restarted)
         )
 
+    def with_out(out: Column, acc: Column) -> Column:
+        return state(out, acc["buf"], acc["start"], acc["pos"], acc["cursor"], acc["from_char"], acc["to_char"])
+
+    def over_block(acc: Column, block: Column) -> Column:
+        own = F.aggregate(block, with_out(F.array(), acc), step_over)
+        return bind(own, lambda done: with_out(F.concat(acc["out"], done["out"]), done))
+
+    def folded(paragraphs: Column) -> Column:
+        count = F.ceil(F.size(paragraphs) / _PARAGRAPHS).cast("int")
+        blocks = F.transform(
+            F.sequence(F.lit(0), count - 1), lambda b: F.slice(paragraphs, b * _PARAGRAPHS + 1, F.lit(_PARAGRAPHS))
+        )
+        return F.aggregate(
+            blocks,
+            initial,
+            over_block,
+            lambda acc: F.when(acc["buf"] == "", acc["out"]).otherwise(
+                F.concat(acc["out"], F.array(flush(acc)))
+            ),
+        )
+
     initial = F.expr(
         f"cast(named_struct('out', array(), 'buf', '', 'start', 0, 'pos', 0, "
         f"'cursor', 0, 'from_char', 0, 'to_char', 0) as {_STATE})"
     )
-    return F.aggregate(
-        F.split(text, separator),
-        initial,
-        step_over,
-        lambda acc: F.when(acc["buf"] == "", acc["out"]).otherwise(
-            F.concat(acc["out"], F.array(flush(acc)))
-        ),
-    )
+    return bind(F.split(text, separator), folded)

@@ -16,6 +16,8 @@ from tessera.operators.embedding import hash_embed
 from tessera.operators.hybrid import attach_chunks, hybrid_search
 from tessera.operators.searchstore import SearchTables, read_search_tables, write_search_tables
 from tessera.session import shared_folder
+from tessera.plans import jobs
+from tessera.sources import store
 from tessera.sources.tables import table, wide_table
 
 BASE_TIME = 1_704_067_200  # 2024-01-01 00:00:00 UTC
@@ -149,6 +151,36 @@ def recrawled_documents(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def as_silver(rows: DataFrame, ingested_at: Column) -> DataFrame:
+    """Rows with the columns of the silver table; what they do not have is NULL."""
+    spark = rows.sparkSession
+    dated = store.with_ingest_date(rows.withColumn("ingested_at", ingested_at))
+    fields = spark.createDataFrame([], store.SILVER).schema
+    return dated.select(*[F.col(f.name) if f.name in dated.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def committed_documents(spark: SparkSession, d: str) -> str:
+    """Path of a silver table with two versions: the documents, and the batch that came later."""
+
+    def write(path: str) -> None:
+        base = as_silver(base_documents(spark, d), at(BASE_TIME))
+        jobs.commit_silver(spark, base, path, at(BASE_TIME), "append", "before-recrawl")
+        jobs.commit_silver(spark, as_silver(recrawled_documents(spark, d), at(NOW_TIME)), path, at(NOW_TIME), "overwrite")
+
+    return written_once(spark, d, "committed", write)
+
+
+def landed_silver(spark: SparkSession, d: str) -> str:
+    """Path of a lake whose pages went to bronze, silver and gold."""
+
+    def write(path: str) -> None:
+        jobs.land_pages(spark, source_pages(spark, d), f"{path}/bronze", at(NOW_TIME), first=True)
+        jobs.bronze_to_silver(spark, f"{path}/bronze", f"{path}/silver", multi_line=False)
+        jobs.silver_to_gold(spark, f"{path}/silver", f"{path}/gold", at(NOW_TIME))
+
+    return written_once(spark, d, "lake", write)
+
+
 def assembled_conversations(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as documents whose turns are the paragraphs."""
     return assemble_pages(table(spark, d, "conversations"), "conv_id", "turn", "text")

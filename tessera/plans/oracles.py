@@ -263,6 +263,13 @@ landed AS (
     SELECT *, row_number() OVER (PARTITION BY source, doc_id ORDER BY url, html) AS rn FROM gated)
   WHERE rn = 1)"""
 
+# Main text has no blank lines, so a page is one paragraph: whole, or cut into windows of its own.
+GOLD = f"""{LANDED},
+gold AS MATERIALIZED (
+  SELECT doc_id || '::' || CAST(i / 1300 AS BIGINT) AS chunk_id, doc_id, source, CAST(i / 1300 AS BIGINT) AS chunk_index,
+         CAST(i AS BIGINT) AS start_char, substr(text, i + 1, 1500) AS piece
+  FROM (SELECT *, unnest(range(0, CASE WHEN length(text) <= 1500 THEN 1 ELSE length(text) END, 1300)) AS i
+        FROM landed WHERE length(text) >= 500))"""
 QUOTED = r"""'(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)'"""
 LINKS = rf"""
 links AS MATERIALIZED (
@@ -692,6 +699,22 @@ ORACLES: dict[str, str] = {
     "version_as_of": f"""WITH {UPSERT}
         SELECT CAST(1 AS BIGINT) AS version, doc_id, content_hash, batch FROM target
         UNION ALL SELECT CAST(2 AS BIGINT), doc_id, content_hash, batch FROM merged""",
+    "committed_table": f"""WITH {UPSERT}
+        SELECT doc_id, source, content_hash, char_count,
+               CASE WHEN doc_id IN (SELECT doc_id FROM target) THEN '2024-01-01' ELSE '{NOW_DATE}' END AS ingest_date
+        FROM merged""",
+    "silver_job": f"""{LANDED}
+        SELECT doc_id, source, url AS source_url, title, sha256(text) AS content_hash,
+               CAST(strlen(html) AS BIGINT) AS byte_size, CAST(length(text) AS BIGINT) AS char_count FROM landed""",
+    "gold_job": f"""{GOLD}
+        SELECT chunk_id, doc_id, substr(doc_id, 1, 2) AS doc_id_prefix, source, chunk_index,
+               CAST(length(piece) AS BIGINT) AS char_count, start_char,
+               start_char + length(piece) AS end_char, md5(piece) AS text_md5 FROM gold""",
+    "embedding_job": f"""{GOLD}
+        SELECT chunk_id, ver AS embedding_model_ver, CAST(length(piece) AS BIGINT) AS char_count,
+               CAST(CASE WHEN ver = 'v1' THEN {BASE_TIME} ELSE {NOW_TIME} END AS BIGINT) AS created_epoch,
+               CAST({NOW_TIME} AS BIGINT) AS updated_epoch
+        FROM gold, (SELECT unnest(['v1', 'v2']) AS ver) v""",
     "version_list": f"""WITH {UPSERT}
         SELECT CAST(1 AS BIGINT) AS version, CAST({BASE_TIME} AS BIGINT) AS committed_epoch,
                'append' AS operation, count(*) AS n_rows, 'before-recrawl' AS tag FROM target

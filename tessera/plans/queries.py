@@ -35,9 +35,9 @@ from tessera.operators import (
     textindex,
     upsert,
 )
-from tessera.plans import inputs
+from tessera.plans import inputs, jobs
 from tessera.plans.inputs import at, big, md5_of
-from tessera.sources import markdown
+from tessera.sources import markdown, store
 from tessera.sources.tables import table, wide_table
 from tessera.streaming import incremental, request_metrics
 
@@ -619,6 +619,50 @@ def bronze_inventory(spark, d):
     return stats.inventory(_landing(spark, d))
 
 
+# --- jobs: stored tables after whole runs ---------------------------------------------
+
+
+@query
+def committed_table(spark, d):
+    """The silver table after both commits, as stored."""
+    silver = store.read_table(spark, inputs.committed_documents(spark, d), "silver")
+    return silver.select("doc_id", "source", "content_hash", "char_count", "ingest_date")
+
+
+@query
+def silver_job(spark, d):
+    """Pages landed as bronze objects and documents, then upserted into silver."""
+    silver = store.read_table(spark, f"{inputs.landed_silver(spark, d)}/silver", "silver")
+    return silver.select("doc_id", "source", "source_url", "title", "content_hash", "byte_size", "char_count")
+
+
+@query
+def gold_job(spark, d):
+    """Silver documents cut into gold chunks."""
+    gold = store.read_table(spark, f"{inputs.landed_silver(spark, d)}/gold", "gold")
+    return gold.select(
+        "chunk_id", "doc_id", "doc_id_prefix", "source", big("chunk_index").alias("chunk_index"),
+        big("char_count").alias("char_count"), big("start_char").alias("start_char"), big("end_char").alias("end_char"),
+        md5_of(F.col("text")).alias("text_md5"),
+    )
+
+
+@query
+def embedding_job(spark, d):
+    """Gold embedded under one model version, again later, and under a second one."""
+    lake = inputs.landed_silver(spark, d)
+
+    def write(path):
+        for epoch, version in ((inputs.BASE_TIME, "v1"), (inputs.NOW_TIME, "v1"), (inputs.NOW_TIME, "v2")):
+            jobs.embed_gold(spark, f"{lake}/gold", path, at(epoch), model_ver=version)
+
+    stored = store.read_table(spark, inputs.written_once(spark, d, "embedded", write), "embeddings")
+    return stored.select(
+        "chunk_id", "embedding_model_ver", big("char_count").alias("char_count"),
+        F.unix_seconds("created_at").alias("created_epoch"), F.unix_seconds("updated_at").alias("updated_epoch"),
+    )
+
+
 # --- request metrics -----------------------------------------------------------------
 
 
@@ -673,12 +717,7 @@ def version_as_of(spark, d):
 
 
 def _versions(spark, d):
-    states = _history(spark, d)
-    first = history.version_entry(
-        history.as_of(states, 1), 1, at(inputs.BASE_TIME), "append", "before-recrawl"
-    )
-    second = history.version_entry(history.as_of(states, 2), 2, at(inputs.NOW_TIME), "overwrite")
-    return first.unionByName(second)
+    return store.committed_versions(spark, inputs.committed_documents(spark, d))
 
 
 @query
