@@ -231,6 +231,8 @@ def _block_linker(threshold: float, percent: int):
             open_ = rows["label"][members] != rows["label"][pivot]
             open_ &= ~(rows["minor"][members] & (rows["node"][members] <= rows["node"][pivot]))
             chosen = np.flatnonzero(open_)
+            if not len(chosen):
+                continue
             equal = (theirs[chosen] == rows["registers"][pivot]).reshape(len(chosen), -1, ROWS).all(2)
             chosen = members[chosen[equal.argmax(1) == rows["band"][pivot]]]
             if len(chosen):
@@ -387,7 +389,11 @@ def links(classes: DataFrame, docs: DataFrame, size: int, threshold: float) -> D
     first = stored(first, "links")
 
     # under values with several components: all members outside the largest meet the others
-    now = members.join(components(first), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # each class hangs below one other at most; two steps up are enough to tell most components apart
+    below = first.select(F.col("b").alias("node"), F.col("a").alias("up"))
+    above = below.select(F.col("node").alias("up"), F.col("up").alias("top"))
+    label = below.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("label"))
+    now = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     now = stored(now.join(sets.select("node", "n"), "node"), "labelled")
     parts = now.groupBy("key", "label").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
     whole = parts.groupBy("key").agg(

@@ -343,7 +343,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written once into the shared folder and read again: survives lost executors."""
     spark: SparkSession = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
