@@ -61,7 +61,8 @@ def encode_passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         own = np.repeat(first[:-1], sizes) + (np.arange(len(data)) - np.repeat(start, sizes)) // PASSAGE
         n = int(first[-1])
         counts = np.bincount(own * CLASSES + _CLASS[data], minlength=n * CLASSES).reshape(n, CLASSES)
-        total = np.maximum(1, counts.sum(1, keepdims=True))
+        length = counts.sum(1)
+        total = np.maximum(1, length)[:, None]
         out[:, :CLASSES] = np.sqrt(counts / total)
         low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint64)
         pair = (mix(low[:-1] * np.uint64(257) + low[1:] + np.uint64(1)) % np.uint64(PAIRS)).astype(np.int64)
@@ -70,7 +71,7 @@ def encode_passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         out[:, CLASSES:-4] = np.sqrt(counts / total)
         again = np.bincount(own[:-1][inner & (data[:-1] == data[1:])], minlength=n) / total[:, 0]
         change = np.bincount(own[:-1][inner & (_CLASS[data[:-1]] != _CLASS[data[1:]])], minlength=n) / total[:, 0]
-        out[:, -4:] = np.stack([again, change, np.minimum(1, total[:, 0] / PASSAGE), _repeats(low, own, n)], 1)
+        out[:, -4:] = np.stack([again, change, length / PASSAGE, _repeats(low, own, n)], 1)
     return out, first
 
 
