@@ -29,8 +29,9 @@ from tessera.llm.textops import joined_bytes, plain, slices, stored, word_hashes
 
 #: Words of a block; a passage is two neighbouring blocks.
 BLOCK = 16
-#: Hashed terms (a power of two), columns of the random matrix, and dimensions kept.
-TERMS, COLUMNS, DIMENSIONS = 16_384, 40, 32
+#: Hashed terms (a power of two), columns of the random matrix, leading directions that only
+#: tell languages and common words apart and are left out, and dimensions kept.
+TERMS, COLUMNS, LEADING, DIMENSIONS = 16_384, 40, 8, 32
 #: Items are compared in sections of at most so many words.
 SECTION = 48
 #: Share of the cosine expected of a verbatim copy that makes a candidate.
@@ -203,14 +204,10 @@ def _sketcher(idf: np.ndarray):
             share = y / norm  # of a passage, for each of its words
             both = share.copy()
             both[blocks.inner + 1] += share[blocks.inner]
-            flat = blocks.terms.ravel()
-            order = np.argsort(flat, kind="stable")
-            ordered = flat[order]
-            starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-            sums = np.add.reduceat(both[order // BLOCK], starts, axis=0)
-            terms = ordered[starts]
-            kept = terms < TERMS
-            found[terms[kept]] += sums[kept]
+            flat = blocks.terms.ravel().astype(np.int64)
+            for column in range(COLUMNS):
+                weights = np.repeat(both[:, column], BLOCK)
+                found[:, column] += np.bincount(flat, weights, TERMS + 1)[:TERMS]
         part = TaskContext.get().partitionId()
         yield from _rows("b", part, found * idf[:TERMS, None])
         yield from _rows("g", part, inner)
@@ -234,7 +231,8 @@ def learn(words: DataFrame) -> LatentSpace:
     value, vector = np.linalg.eigh((g + g.T) / 2)
     good = value > 1e-7 * value.max()
     right, sigma, _ = np.linalg.svd(b @ (vector[:, good] / np.sqrt(value[good])), full_matrices=False)
-    kept = (sigma > 1e-4 * sigma[0]).nonzero()[0][:DIMENSIONS]
+    kept = (sigma > 1e-4 * sigma[0]).nonzero()[0]
+    kept = kept[min(LEADING, len(kept) // 2) :][:DIMENSIONS]
     latent = right[:, kept] / sigma[kept] * idf[:TERMS, None]
     return LatentSpace(idf, np.concatenate((latent, np.zeros((1, len(kept))))).astype(np.float32))
 
@@ -266,7 +264,7 @@ class Items:
     vectors: np.ndarray
     limits: np.ndarray
     weights: np.ndarray
-    has: np.ndarray
+    shared: np.ndarray
 
     @classmethod
     def of(cls, rows: list, space: LatentSpace) -> Items:
@@ -287,13 +285,13 @@ class Items:
         # at the least favourable place, a passage shares this many words with a copy of the section
         length = np.array([len(s) for s in sections], np.float64)
         passage = 2 * BLOCK
-        shared = np.minimum(np.minimum(length, passage), (length + passage - BLOCK) / 2)
-        has = np.zeros((len(sections), TERMS + 1), bool)
+        common = np.minimum(np.minimum(length, passage), (length + passage - BLOCK) / 2)
+        shared = np.zeros((len(sections), TERMS + 1), np.float32)  # idf of the terms a section has
         for i, t in enumerate(terms):
-            has[i, t] = True
+            shared[i, t] = space.idf[t]
         return cls(
-            ids, words, np.array(owner, np.int64), raw / np.maximum(size, 1e-12), NEAR * shared / np.sqrt(length * passage),
-            np.array([space.idf[t].sum() for t in terms]), has,
+            ids, words, np.array(owner, np.int64), raw / np.maximum(size, 1e-12), NEAR * common / np.sqrt(length * passage),
+            np.array([space.idf[t].sum() for t in terms]), shared,
         )
 
 
@@ -325,14 +323,13 @@ def matches(ids: list, texts: list[np.ndarray], items: Items, space: LatentSpace
             cosines.append(cosine[row, section])
     row, section, cosine = (np.concatenate(x) for x in (rows, sections, cosines))
     # idf weight of the passage's words that the section has
+    following = np.where(np.isin(row, blocks.inner), row + 1, len(blocks.terms))
+    terms = np.concatenate((blocks.terms, np.full((1, BLOCK), TERMS, np.uint16)))
+    first, flat = section * (TERMS + 1), items.shared.ravel()
     common = np.zeros(len(row), np.float32)
-    after = np.zeros(len(blocks.terms), bool)
-    after[blocks.inner] = True
     for i in range(BLOCK):
-        term = blocks.terms[row, i]
-        common += np.where(items.has[section, term], space.idf[term], 0)
-        term = np.where(after[row], blocks.terms[np.minimum(row + 1, len(blocks.terms) - 1), i], TERMS)
-        common += np.where(items.has[section, term], space.idf[term], 0)
+        common += flat[first + terms[row, i]]
+        common += flat[first + terms[following, i]]
     good = common >= WEIGHT * np.minimum(weights[row], items.weights[section])
     best: dict[tuple, tuple] = {}
     for r, s, c in zip(row[good].tolist(), section[good].tolist(), cosine[good].tolist(), strict=True):
@@ -342,8 +339,10 @@ def matches(ids: list, texts: list[np.ndarray], items: Items, space: LatentSpace
         low = max(0, start - len(item))
         region = texts[text][low : start + 2 * BLOCK + len(item)]
         share = common_length(item, region) / len(item)
+        if share < 0.6:
+            continue
         answer = _contains(region, answer_of(item))
-        if share >= 0.8 or (share >= 0.6 and answer):
+        if share >= 0.8 or answer:
             found = (share, c, -low, len(region), answer)
             if found > best.get((text, i), (0.0,)):
                 best[text, i] = found
