@@ -8,6 +8,11 @@ these, the idf weight of the shared words, then the longest common subsequence o
 and the item's last words (its answer) decide, so that reworded copies are found and
 passages on the same subject are not.
 
+What the latent space misses is found by exact word sequences.  An item is cut into one
+sequence more than the words a copy may lack, so that a copy with changed or missing words
+has one of them unchanged; its answer is a further one.  Where a text has one of an item's
+sequences, the same subsequence and answer decide.
+
 Defined results: a null or empty text has no passages and matches nothing; an item
 without words is never found; rows with a null or repeated id are searched row by row;
 without items or documents the result has no rows; columns other than doc_id, text and
@@ -38,6 +43,10 @@ SECTION = 48
 NEAR = 0.6
 #: Share of the smaller idf weight that a candidate must have in common.
 WEIGHT = 0.4
+#: Items of fewer words are looked up whole; longer ones by sequences of 3 to :data:`RUN` words.
+WHOLE, RUN = 8, 5
+#: Words of the passages and items that are compared at once.
+COMPARED = 1 << 20
 #: Items of one search pass; more are searched in further passes over the stored words.
 ITEM_BLOCK = 20_000
 #: Rows of a partial sum that travel together, and sums added up in one group.
@@ -254,6 +263,112 @@ def common_length(left: np.ndarray, right: np.ndarray) -> int:
     return len(left) - row.bit_count()
 
 
+_FACTORS = np.random.default_rng(17).integers(1, 2**63, WHOLE, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Leading bits of a sequence's hash that are looked up first.
+_BITS = 22
+
+
+def _sequence_hashes(codes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of the sizes, the hashes of all sequences of so many words."""
+    words = codes.astype(np.uint64)
+    sums = np.zeros(len(words), np.uint64)
+    for size in range(1, max(sizes, default=0) + 1):
+        if size > len(words):
+            return
+        sums = sums[: len(words) - size + 1] + words[size - 1 :] * _FACTORS[size - 1]
+        if size in sizes:
+            yield size, sums
+
+
+def sequences_of(item: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and size of the word sequences by which an item is looked up.
+
+    A copy that keeps 0.8 of the words has one of ``len // 5 + 1`` disjoint parts whole; one
+    that keeps fewer must have the answer.
+    """
+    n = len(item)
+    if n < WHOLE:
+        return [(0, n)]
+    edges = np.linspace(0, n, n // 5 + 2).astype(int).tolist()
+    size = min(RUN, len(answer_of(item)))
+    return sorted({*((a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)), (n - size, size)})
+
+
+class Sequences:
+    """The word sequences of all items by size, sorted by hash."""
+
+    def __init__(self, words: list[np.ndarray]):
+        cuts: dict[int, list] = {}
+        for i, item in enumerate(words):
+            for begin, size in sequences_of(item):
+                cuts.setdefault(size, []).append((i, begin))
+        first = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
+        self.tables = {}
+        for size, value in _sequence_hashes(np.concatenate([np.empty(0, "<u4"), *words]), list(cuts)):
+            item, begin = np.array(cuts[size]).T
+            value = value[first[item] + begin]
+            order = np.argsort(value, kind="stable")
+            likely = np.zeros(1 << _BITS, bool)
+            likely[value >> np.uint64(64 - _BITS)] = True
+            self.tables[size] = (likely, value[order], item[order], begin[order])
+
+    def places(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Text, item, and the word of the text where a copy of the item would begin."""
+        for size, value in _sequence_hashes(words, list(self.tables)):
+            likely, known, item, begin = self.tables[size]
+            at = np.flatnonzero(likely[value >> np.uint64(64 - _BITS)])
+            text = np.searchsorted(first, at, "right") - 1
+            inside = at + size <= first[text + 1]
+            at, text = at[inside], text[inside]
+            low, high = (np.searchsorted(known, value[at], side) for side in ("left", "right"))
+            at, text, low, count = at[high > low], text[high > low], low[high > low], (high - low)[high > low]
+            total = np.cumsum(count)
+            for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(total // COMPARED)) + 1):
+                n = count[some]
+                row = np.repeat(low[some], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                of = np.repeat(text[some], n)
+                yield of, item[row], np.maximum(np.repeat(at[some], n) - begin[row] - first[of], 0)
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of several ranges, one after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def exact_places(texts: list[np.ndarray], items: Items, space: LatentSpace) -> Iterator[tuple[int, int, int, int, int]]:
+    """Text, item, block, and first and last word of the places whose words may make a copy.
+
+    The words of the place bound the common subsequence from above, so no copy is dropped;
+    those with fewer than 0.8 of the words need :data:`WEIGHT` of the item's idf weight too.
+    """
+    words = np.concatenate(texts)
+    sizes = np.array([len(t) for t in texts])
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    item_size = np.array([len(w) for w in items.words])
+    item_first = np.cumsum(item_size) - item_size
+    item_words = np.concatenate(items.words)
+    for text, item, start in items.sequences.places(words, first):
+        text, item, block = np.unique(np.stack((text, item, start // BLOCK)), axis=1)
+        around = item_size[item] // 4
+        low = np.maximum(block * BLOCK - around, 0)
+        high = np.minimum((block + 1) * BLOCK + item_size[item] + around, sizes[text])
+        total = np.cumsum(high - low + item_size[item])
+        for some in np.split(np.arange(len(text)), np.flatnonzero(np.diff(total // COMPARED)) + 1):
+            n, m = (high - low)[some], item_size[item[some]]
+            pair = np.arange(len(some), dtype=np.uint64) << np.uint64(32)
+            theirs = np.sort(np.repeat(pair, n) | words[_ranges(first[text[some]] + low[some], n)])
+            own = item_words[_ranges(item_first[item[some]], m)]
+            wanted = np.repeat(pair, m) | own
+            place = np.minimum(np.searchsorted(theirs, wanted), max(0, len(theirs) - 1))
+            there = theirs[place] == wanted if len(theirs) else np.zeros(len(wanted), bool)
+            of = np.repeat(np.arange(len(some)), m)
+            idf = space.idf[own & (TERMS - 1)].astype(np.float64)
+            common = np.bincount(of[there], minlength=len(some)) / m
+            weight = np.bincount(of[there], idf[there], len(some)) >= WEIGHT * np.bincount(of, idf, len(some))
+            good = some[(common >= 0.8) | (common >= 0.6) & weight]
+            yield from zip(*(x[good].tolist() for x in (text, item, block, low, high)), strict=True)
+
+
 @dataclass
 class Items:
     """Benchmark items, and their sections with vectors, weights and cosine limits."""
@@ -265,6 +380,7 @@ class Items:
     limits: np.ndarray
     weights: np.ndarray
     shared: np.ndarray
+    sequences: Sequences
 
     @classmethod
     def of(cls, rows: list, space: LatentSpace) -> Items:
@@ -291,7 +407,7 @@ class Items:
             shared[i, t] = space.idf[t]
         return cls(
             ids, words, np.array(owner, np.int64), raw / np.maximum(size, 1e-12), NEAR * common / np.sqrt(length * passage),
-            np.array([space.idf[t].sum() for t in terms]), shared,
+            np.array([space.idf[t].sum() for t in terms]), shared, Sequences(words),
         )
 
 
@@ -346,6 +462,21 @@ def matches(ids: list, texts: list[np.ndarray], items: Items, space: LatentSpace
             found = (share, c, -low, len(region), answer)
             if found > best.get((text, i), (0.0,)):
                 best[text, i] = found
+    by_latent = set(best)
+    first_section = np.searchsorted(items.section_item, np.arange(len(items.ids)))
+    for text, i, block, low, high in exact_places(texts, items, space):
+        if (text, i) in by_latent:
+            continue
+        item, region = items.words[i], texts[text][low:high]
+        share = common_length(item, region) / len(item)
+        if share < 0.6 or len(item) < WHOLE and share < 1:
+            continue
+        answer = _contains(region, answer_of(item))
+        if share >= 0.8 or answer:
+            c = float(vectors[blocks.first[text] + block] @ items.vectors[first_section[i]])
+            found = (share, c, -low, high - low, answer)
+            if found > best.get((text, i), (0.0,)):
+                best[text, i] = found
     return [(ids[t], items.ids[i], -low, n, float(c), share, answer) for (t, i), (share, c, low, n, answer) in sorted(best.items())]
 
 

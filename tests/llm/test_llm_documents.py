@@ -290,6 +290,36 @@ def test_reworded_items_and_recall(spark):
     assert not found - planted
 
 
+def test_short_items_are_found_wherever_they_stand():
+    """Items of 15 to 20 words, verbatim and with a third reworded, without any help of the latent space."""
+    rng = np.random.default_rng(8)
+    words = [rng.integers(0, 2**32, n).astype("<u4") for n in [15, 16, 17, 18, 19, 20] * 20]
+    space = decontam.LatentSpace(np.ones(decontam.TERMS + 1, np.float32), np.zeros((decontam.TERMS + 1, 4), np.float32))
+    space.idf[-1] = 0
+    items = decontam.Items.of([{"item_id": i, "text": " ".join(map(str, w))} for i, w in enumerate(words)], space)
+    pool = rng.integers(0, 2**32, 500).astype("<u4")
+    for changed in (0, 3):
+        texts = []
+        for item in items.words:
+            copy = item.copy()
+            places = rng.choice(len(item) - 3, len(item) // changed if changed else 0, replace=False)
+            copy[places] = rng.choice(pool, len(places))
+            text = rng.choice(pool, 300)
+            texts.append(np.insert(text, int(rng.integers(301)), copy))
+        found = {(d, i) for d, i, *_ in decontam.matches(list(range(len(texts))), texts, items, space)}
+        assert found == {(i, i) for i in range(len(texts))}
+
+
+def test_sequences_outlast_a_fifth_of_changes():
+    for n in range(1, 200):
+        item = np.arange(n)
+        own = decontam.sequences_of(item)
+        assert all(1 <= size <= decontam.WHOLE and begin + size <= n for begin, size in own)
+        if n >= decontam.WHOLE:
+            assert sum(size for _, size in own[: n // 5 + 1]) <= n and len(own) >= n // 5 + 1
+            assert min(size for _, size in own) >= 3 and any(begin + size == n for begin, size in own)
+
+
 def test_decontamination_of_awkward_rows(spark):
     docs = documents(spark)
     items = spark.createDataFrame(
