@@ -5,6 +5,8 @@ counted over the corpus by distinct owners and repositories: a value that many o
 have is a widely copied example, one that few have and that looks random is taken for a
 live credential.  Base spans are always reported; the generators' only if owner-specific.
 
+The secret of a PEM block is its key, however its lines are broken; the whole block is the span.
+
 Defined results: a null text is an empty one without spans; a null source is an owner of
 its own; rows with a null or repeated id are scanned row by row; an empty table gives no
 rows; other columns are not read (``redacted`` keeps them).
@@ -23,7 +25,16 @@ ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*+[:=]\x20*+
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"[0-9a-f]{32,}+"
 #: Further generators: keys in PEM armour, web tokens, passwords in addresses, vendor prefixes.
-PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+#: A key is the block up to its END line, or, without one, the header fields and lines of base64 that follow
+#: (line breaks may be written as ``\\n``; a last short line must stand alone).
+PEM = (
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+    r"(?:(?:[^-]|-(?!----))*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[nr])*+(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{16,}+={0,2}+)*+"
+    r"(?:(?:\s|\\[nr])++[A-Za-z0-9+/]{1,15}+={0,2}+(?=[\r\n\\\"']|\z))?+)"
+)
+#: What a PEM block has besides its key: armour lines, header fields, blanks and written line breaks.
+ARMOUR = r"-----[A-Z ]++-----|(?:Proc-Type|DEK-Info):[^\r\n\\]*+|\\[nr]|[^A-Za-z0-9+/=]"
 JWT = r"eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"
 URL = r"://[A-Za-z0-9._-]{1,64}+:[A-Za-z0-9._~!$&*+=-]{8,64}+@"
 VENDOR = r"(?:ghp_|gho_|sk_live_|xox[bp]-|glpat-)[A-Za-z0-9_-]{16,}+"
@@ -49,7 +60,9 @@ def added_spans(text: Column) -> Column:
     found = []
     for rank, kind in enumerate(ADDED_KINDS, len(BASE_KINDS)):
         likely = text.contains(quick[kind]) if quick[kind] else text.rlike("ghp_|gho_|sk_live_|xox[bp]-|glpat-")
-        found.append(of_kind(find(text, patterns[kind], likely), kind, rank))
+        spans = of_kind(find(text, patterns[kind], likely), kind, rank)
+        # armour without a key, as in a sentence about it, is no secret
+        found.append(F.filter(spans, lambda s: F.length(identity_of(s)) > 0) if kind == "pem" else spans)
     return ordered(*found)
 
 
@@ -58,6 +71,11 @@ def secret_of(span: Column) -> Column:
     return F.when(span["kind"] == "assign", F.regexp_extract(span["value"], r"([A-Za-z0-9+/_.=-]+)$", 1)).otherwise(span["value"])
 
 
+def identity_of(span: Column) -> Column:
+    """What makes two values one secret: of a PEM block its key, else the value."""
+    return F.when(span["kind"] == "pem", F.regexp_replace(span["value"], ARMOUR, "")).otherwise(secret_of(span))
+
+
 def looks_random(value: Column) -> Column:
     """Many different characters for its length, digits among them, no run of one character."""
     distinct = F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.length(value), F.lit(64))), lambda i: F.substring(value, i, F.lit(1)))))
@@ -80,7 +98,7 @@ def judged(rows: DataFrame, owners: int = OWNERS) -> DataFrame:
     """
     span = F.explode(F.concat(F.transform("base", lambda s: _marked(s, True)), F.transform("added", lambda s: _marked(s, False))))
     each = rows.select("row", "owner", "repository", span.alias("span")).select(
-        "row", "owner", "repository", "span.*", F.sha2(secret_of(F.col("span")), 256).alias("hash"), looks_random(secret_of(F.col("span"))).alias("random")
+        "row", "owner", "repository", "span.*", F.sha2(identity_of(F.col("span")), 256).alias("hash"), looks_random(secret_of(F.col("span"))).alias("random")
     )
     held = each.select("hash", "owner", "repository").distinct()
     spread = held.groupBy("hash").agg(

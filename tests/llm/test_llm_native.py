@@ -1,5 +1,6 @@
 """Personal data, secrets and chat against plain Python, and the pipeline against its parts."""
 
+import base64
 import hashlib
 import re
 
@@ -145,6 +146,32 @@ def test_ownership_tells_examples_from_credentials(spark):
     assert "Tr0ub4dor" not in clean[12]["text"]
 
 
+def test_private_keys_are_told_apart_by_their_bodies(spark):
+    def key(i):
+        return "\n".join(base64.b64encode(hashlib.sha512(f"{i} {j}".encode()).digest()[:48]).decode() for j in range(6))
+
+    def block(body, kind="RSA ", end=True):
+        return f"-----BEGIN {kind}PRIVATE KEY-----\n{body}" + (f"\n-----END {kind}PRIVATE KEY-----" if end else "")
+
+    rows = [(i, f"one {block(key(0))} two", f"owner{i}") for i in range(5)]  # one key in many places
+    rows += [(10 + i, f"one {block(key(1 + i))} two", f"owner{i}") for i in range(5)]  # keys of their own
+    rows += [(20, block(key(9)).replace("\n", "\\n"), "a"), (21, block(key(9)).replace("\n", "\r\n  "), "b")]  # one key, other line breaks
+    rows += [(30, f"x {block(key(10), end=False)}\nqw==\nand more words", "a"), (31, "-----BEGIN PRIVATE KEY----- begins a key", "b")]
+    rows += [(32, f"{block('Proc-Type: 4,ENCRYPTED' + chr(10) + 'DEK-Info: AES-128-CBC,AB' + chr(10) * 2 + key(11), end=False)}", "c")]
+    rows += [(40, block(key(12)) + "\n" + block(key(13), "EC "), "d"), (41, block("-" * 4 + "x\n" * 200_000, end=False), "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r["doc_id"]: [(s["verdict"], s["owners"]) for s in r["spans"] if s["kind"] == "pem"] for r in secretscan.scan(docs).collect()}
+    for i in range(5):
+        assert found[i] == [] and found[10 + i] == [("live", 1)]
+    assert found[20] == found[21] == [("live", 2)] and found[30] == found[32] == [("live", 1)] and found[31] == []
+    assert found[40] == [("live", 1)] * 2
+    clean = {r["doc_id"]: r["text"] for r in secretscan.redacted(docs).collect()}
+    for i in range(5):
+        assert clean[i] == rows[i][1] and clean[10 + i] == "one [SECRET] two"
+    assert clean[20] == clean[21] == "[SECRET]" and clean[30] == "x [SECRET]\nand more words" and clean[31] == rows[13][1]
+    assert clean[32] == "[SECRET]" and clean[40] == "[SECRET]\n[SECRET]"
+
+
 def test_places_of_many_matches(spark):
     text = "".join(f"{'x' * (i % 7)}é{i:03d}" for i in range(700))
     docs = spark.createDataFrame([(text,), ("",)], "text string")
