@@ -45,34 +45,41 @@ SLACK = 4.5
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
     """Registers (unsigned 16-bit) of sets of distinct 64-bit hashes, a row for each.
 
-    Each element has its values at the registers in an order of its own, in increasing
-    size; so only the first few of an element can change a register, and the elements
+    Each element has its values at the registers in a random order of its own (a shuffle,
+    made as far as it is needed), in increasing size; so only the first few of an element can change a register, and the elements
     leave the loop as soon as their next value is too large for all registers.
     """
     registers = np.zeros(len(sets) * REGISTERS, np.int64)
-    state = np.concatenate([np.empty(0, np.uint64), *sets])
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    value = np.zeros(len(state))
+    hashes = np.concatenate([np.empty(0, np.uint64), *sets])
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     log = np.log(BASE)
-    # the order of the registers: start and stride, drawn from the hash
-    place = (mix(state ^ np.uint64(0xA5A5A5A5)) % np.uint64(REGISTERS)).astype(np.int64)
-    stride = _STRIDES[(mix(state ^ np.uint64(0x5A5A5A5A)) % np.uint64(len(_STRIDES))).astype(np.int64)]
-    for step in range(REGISTERS):
-        if len(state) == 0:
-            break
-        state = mix(state + np.uint64(0x9E3779B97F4A7C15))
-        value = value - np.log(unit_interval(state)) / (RATE * (REGISTERS - step))
-        level = np.clip(np.floor(1 - np.log(value) / log), 0, TOP).astype(np.int64)
-        np.maximum.at(registers, row * REGISTERS + place, level)
-        alive = level > registers.reshape(-1, REGISTERS).min(1)[row]
-        place = place + stride
-        place[place >= REGISTERS] -= REGISTERS
-        if not alive.all():
-            state, value, place, stride, row = state[alive], value[alive], place[alive], stride[alive], row[alive]
+    for at in range(0, len(hashes), _ELEMENTS):
+        state, row = hashes[at : at + _ELEMENTS], rows[at : at + _ELEMENTS]
+        first, own = int(row[0]), registers[int(row[0]) * REGISTERS : (int(row[-1]) + 1) * REGISTERS]
+        row = row - first
+        value = np.zeros(len(state))
+        # the registers each element has yet to meet are the end of its order; the next is drawn from them
+        order = np.tile(_ALL, len(state))
+        begin = np.arange(len(state)) * REGISTERS
+        for step in range(REGISTERS):
+            state = mix(state + np.uint64(0x9E3779B97F4A7C15))
+            value = value - np.log(unit_interval(state)) / (RATE * (REGISTERS - step))
+            level = np.clip(np.floor(1 - np.log(value) / log), 0, TOP).astype(np.int64)
+            drawn = begin + step + (mix(state ^ np.uint64(0xA5A5A5A5)) % np.uint64(REGISTERS - step)).astype(np.int64)
+            place = order[drawn]
+            order[drawn] = order[begin + step]
+            np.maximum.at(own, row * REGISTERS + place, level)
+            alive = level > own.reshape(-1, REGISTERS).min(1)[row]
+            if not alive.all():
+                state, value, begin, row = state[alive], value[alive], begin[alive], row[alive]
+            if len(state) == 0:
+                break
     return registers.reshape(-1, REGISTERS).astype("<u2")
 
 
-_STRIDES = np.array([s for s in range(1, REGISTERS) if np.gcd(s, REGISTERS) == 1])
+#: Elements whose orders are held at once, and the registers before any is drawn.
+_ELEMENTS = 1 << 16
+_ALL = np.arange(REGISTERS, dtype=np.uint8)
 
 
 def merge(left: np.ndarray, right: np.ndarray) -> np.ndarray:
