@@ -192,7 +192,7 @@ class WordEncoder:
     those of its pieces between blanks.  A piece of Latin letters, digits and marks falls
     into runs of letters, single digits and runs of marks, which go to the vocabulary's
     merges one by one; any other piece is a unit of its own and goes through the whole
-    tokenizer.  Units are known again by a 64-bit hash in a table of two places each; at
+    tokenizer.  The name of an added token in a text is that token, and ends the piece before it.  Units are known again by a 64-bit hash in a table of two places each; at
     ``limit`` units the table starts anew, so its size is bounded.
     """
 
@@ -201,7 +201,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError("added tokens are only known where their names stand in a text as they are")
+        self.added = {t.content.encode(): i for i, t in added.items()}
         self.letters = _byte_letters()
         self.limit, self.places = limit, places
         self._clear()
@@ -268,9 +271,35 @@ class WordEncoder:
         place = np.concatenate([*firsts, [done]])
         return np.concatenate(ids), place[np.searchsorted(np.concatenate(begins), starts)]
 
+    def _added(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begins, ends and ids of the added tokens of a stretch; a name lies within one text."""
+        found, raw = [], data.tobytes()
+        for name, own in self.added.items():
+            at = raw.find(name)
+            while at >= 0:
+                end = at + len(name)
+                if np.searchsorted(starts, at, "right") == np.searchsorted(starts, end, "left"):
+                    found.append((at, end, own))
+                at = raw.find(name, end)
+        begin, end, own = np.array(sorted(found), np.int64).reshape(-1, 3).T
+        return begin, end, own.astype(np.uint32)
+
     def _stretch(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a stretch, and the begin and first id of each of its units."""
+        at, close, own = self._added(data, starts)
+        ids, unit, place = self._ordinary(data, starts, list(zip(at.tolist(), close.tolist(), strict=True)))
+        if not len(at):
+            return ids, unit, place
+        before = np.searchsorted(unit, at)
+        size = np.insert(np.diff(np.append(place, len(ids))), before, 1)
+        ids = np.insert(ids, np.append(place, len(ids))[before], own)
+        return ids, np.insert(unit, before, at), np.cumsum(size) - size
+
+    def _ordinary(self, data: np.ndarray, starts: np.ndarray, without: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for what stands outside the stretches ``without``."""
         kind, low = _CLASS[data], _LOWER[data]
+        for begin, end in without:
+            kind[begin:end] = BLANK
         lead = np.flatnonzero(data[:-1] == 0xC3)  # U+00C0 to U+00FF: letters but for two signs
         tail = data[lead + 1]
         letter = (tail != 0x97) & (tail != 0xB7)

@@ -22,6 +22,7 @@ ROWS = [
     (11, "12345 --- !!! ///", None),
     (None, "a text without an id", "en"),
     (None, None, None),
+    (14, "<|startoftext|>word and word<|startoftext|> x<|endoftext|>y", "en"),
     (12, "a" * 20_000, "en"),
     (13, "9" * 20_000 + " +" + "1 " * 5000, "en"),
 ]

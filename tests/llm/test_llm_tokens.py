@@ -15,9 +15,7 @@ from tessera.llm.textops import WordEncoder, default_vocabulary
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    own = Tokenizer.from_file(default_vocabulary())
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(default_vocabulary())
 
 
 def ids_of(tokenizer, text, end):
@@ -25,15 +23,23 @@ def ids_of(tokenizer, text, end):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t.,'sS|é́Å\x1c 0aB#")), max_size=60))
-def test_encoder_equals_tokenizer(text):
+@given(st.lists(st.one_of(st.characters(codec="utf-8"), st.sampled_from([*" \n\t.,'sS|é́Å\x1c 0aB#", "<|startoftext|>", "<|endoftext|>", "<|", "|>"])), max_size=60))
+def test_encoder_equals_tokenizer(parts):
+    text = "".join(parts)
     own = _ENCODER(text)
     assert own == np.array(_PLAIN.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _ENCODER = WordEncoder(default_vocabulary(), limit=50, places=64)
 _PLAIN = Tokenizer.from_file(default_vocabulary())
-_PLAIN.encode_special_tokens = True
+
+
+def test_names_of_added_tokens():
+    assert np.frombuffer(_ENCODER("a <|endoftext|> b"), "<u4").tolist() == [320, 49407, 321]
+    texts = ["<|startoftext|>word", "word<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|> <|endoftext|>", "", "don<|endoftext|>'t<|startoftext|><|endoftext|>", "<|endoftext|>"]
+    ids, first = _ENCODER.many(*textops.joined_bytes(texts))
+    for text, a, b in zip(texts, first[:-1], first[1:], strict=True):
+        assert ids[a:b].tolist() == _PLAIN.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=200, deadline=None)
