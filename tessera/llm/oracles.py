@@ -53,3 +53,116 @@ SELECT conv_id, speaker, part, count(*) AS n_turns,
     || CAST(CAST(place + length(piece) AS BIGINT) AS VARCHAR) END, ',' ORDER BY place), '') AS mask
 FROM placed GROUP BY conv_id, speaker, part
 """
+
+
+def _crc32(value: str) -> str:
+    """Unsigned CRC-32 of a number's decimal digits, bit by bit."""
+    bits = f"""flatten(list_transform(string_split(CAST({value} AS VARCHAR), ''),
+      lambda x: list_transform(range(8), lambda i: (ascii(x) >> i) & 1)))"""
+    step = "xor(c >> 1, CASE WHEN (xor(c, b) & 1) = 1 THEN 3988292384 ELSE 0 END)"
+    return f"xor(list_reduce(list_concat([4294967295], {bits}), lambda c, b: {step}), 4294967295)"
+
+
+def _field(value: str) -> str:
+    shown = f"CAST({value} AS VARCHAR)"
+    return f"coalesce(CAST(strlen({shown}) AS VARCHAR) || ':' || {shown}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+ORACLES["op11_merkle"] = rf"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('.' || source, '-') AS tree, {_leaf("text")} AS leaf,
+    CASE WHEN {_crc32("doc_id")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")}
+      ELSE {_leaf("text")} END AS tampered
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves),
+own AS (
+  SELECT tree, 0 AS level, place, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)), (n + 2) // 3
+  FROM own WHERE n > 1 GROUP BY tree, level, place // 3, n),
+subroots AS (SELECT tree, digest FROM own WHERE n = 1),
+top AS (
+  SELECT 0 AS level, row_number() OVER (ORDER BY tree) - 1 AS place, digest, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)), (n + 2) // 3
+  FROM top WHERE n > 1 GROUP BY level, place // 3, n),
+runs AS (
+  SELECT tree, level, place // 3 AS run, list(digest ORDER BY place) AS digests FROM own WHERE n > 1 GROUP BY ALL
+  UNION ALL
+  SELECT '', level, place // 3, list(digest ORDER BY place) FROM top WHERE n > 1 GROUP BY ALL),
+heights AS (
+  SELECT tree, level AS height FROM own WHERE n = 1
+  UNION ALL SELECT '', level FROM top WHERE n = 1),
+ranks AS (SELECT tree, row_number() OVER (ORDER BY tree) - 1 AS rank FROM subroots),
+walk AS (
+  SELECT p.doc_id, p.leaf, p.tree AS name, p.tree, 0 AS level, p.place, p.tampered AS cur, '' AS proof, h.height
+  FROM placed p JOIN heights h ON h.tree = p.tree
+  UNION ALL
+  SELECT * FROM (
+    SELECT w.doc_id, w.leaf, w.name, w.tree, w.level + 1, w.place // 3,
+      sha256(array_to_string(r.digests[1:w.place % 3] || [w.cur] || r.digests[w.place % 3 + 2:], '')),
+      w.proof || array_to_string(r.digests[1:w.place % 3] || r.digests[w.place % 3 + 2:], ''), w.height
+    FROM walk w JOIN runs r ON r.tree = w.tree AND r.level = w.level AND r.run = w.place // 3
+    WHERE w.level < w.height
+    UNION ALL
+    SELECT w.doc_id, w.leaf, w.name, '', 0, k.rank, w.cur, w.proof, h.height
+    FROM walk w JOIN ranks k ON k.tree = w.tree JOIN heights h ON h.tree = ''
+    WHERE w.level = w.height AND w.tree <> ''))
+SELECT w.doc_id, w.leaf, s.digest AS subroot, t.digest AS root, sha256(w.proof) AS proof_sha256,
+  w.cur AS folded_root, w.cur = t.digest AS verified
+FROM walk w JOIN subroots s ON s.tree = w.name JOIN top t ON t.n = 1
+WHERE w.tree = '' AND w.level = w.height
+"""
+
+ORACLES["op12_prefix_trie"] = rf"""
+WITH told AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+original AS (
+  SELECT conv_id, list(CAST(strlen(role) AS VARCHAR) || ':' || role || text ORDER BY turn NULLS FIRST,
+    md5(CAST(strlen(role) AS VARCHAR) || ':' || role || text)) AS said, {_crc32("conv_id")} % 4 AS h
+  FROM told GROUP BY conv_id),
+rebuilt AS (
+  SELECT c.conv_id, coalesce(b.said[1:c.h], []) || c.said[c.h + 1:] AS said
+  FROM original c LEFT JOIN original b ON b.conv_id = c.conv_id - c.conv_id % 20),
+members AS (
+  SELECT conv_id, len(said) AS length, unnest(range(len(said) + 1)) AS depth, said FROM rebuilt),
+prefixes AS (SELECT conv_id, length, depth, said[1:depth] AS prefix FROM members),
+nodes AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (length = depth), '')) AS ends_sha256
+  FROM prefixes GROUP BY prefix, depth),
+linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id,
+    (SELECT count(*) FROM nodes k WHERE k.depth = n.depth + 1 AND k.prefix[1:n.depth] = n.prefix) AS n_children,
+    CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) * len(regexp_extract_all(
+      regexp_replace(n.prefix[n.depth], '^[0-9]+:', '')[1 + CAST(regexp_extract(n.prefix[n.depth], '^[0-9]+') AS BIGINT):],
+      '[^ 	-
+]+')) END AS saved
+  FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1])
+SELECT n.conv_id, n.depth, n.parent_conv_id, n.n_convs, n.n_children,
+  CAST(sum(CASE WHEN u.n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves,
+  CAST(sum(u.saved) AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM linked n JOIN linked u ON u.depth >= n.depth AND u.prefix[1:n.depth] = n.prefix
+GROUP BY ALL
+"""
+
+ORACLES["op13_va_file"] = r"""
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+vectors AS (SELECT vec_id, min(v) AS v FROM sound GROUP BY vec_id),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+  WHERE q.vec_id % 20 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bitplanes, chat, decontam, fingerprints, langid, neardup, packing, pii, quality, secretscan
+from tessera.llm import (
+    bitplanes,
+    chat,
+    decontam,
+    fingerprints,
+    langid,
+    merkle,
+    neardup,
+    packing,
+    pii,
+    prefixtrie,
+    quality,
+    secretscan,
+    vafile,
+)
 from tessera.llm.textops import default_vocabulary, scratch_path
 from tessera.sources.tables import table
 
@@ -90,3 +104,21 @@ def op7_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of all documents: base spans and scored candidates."""
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
+
+
+@registered
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and folded proof of every document, some of them tampered with."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))
+
+
+@registered
+def op13_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products with every 20th vector."""
+    return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
