@@ -81,7 +81,13 @@ WHITESPACE_CLASS = (
     r"\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
 
-# --- blocks of queries that travel to every task, and cells of a vector index --
+# --- scores are compared to so many digits, then by id ---------------------------
+RANK_DIGITS = 9
+
+# --- queries and postings of a key, cells of a vector index and vectors of a part --
 QUERY_BLOCK_ROWS = 2_000
-QUERY_BLOCK_BYTES = 64 << 20
+POSTINGS_PER_KEY = 1 << 20
+MATCHES_AT_ONCE = 1 << 27
+BROADCAST_ROWS = 1 << 17
 MAX_CELLS = 4_096
+CELL_ROWS = 1 << 16

@@ -2,9 +2,10 @@
 
 Vectors are assigned to the nearest of a bounded set of cell centres (map-only,
 the centres travel with the task) and can be stored partitioned by cell.  A query
-looks into the ``n_probe`` cells nearest to it; cells no query asks for are pruned
-by a filter on the cell column.  Scoring is per Arrow batch, so a cell holding a
-large share of the rows is spread over its files like any other data.
+becomes one row for each of the ``n_probe`` cells nearest to it, and an equi-join on
+the cell brings it to their vectors; cells no query asks for find no partner, and in a
+stored index their folders are not read.  A cell of more than ``cell_rows`` vectors is
+split again into parts by id, which queries meet one by one, so no task has all of it.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import types as T
 
 from tessera import config
 from tessera.functions.vectors import is_valid_vector
-from tessera.operators.blockscan import RANK_DIGITS, query_blocks, scan_top_k
-from tessera.operators.dense import CosineScorer, as_matrix, dense_search, valid_matrix
+from tessera.operators.blockjoin import RANK_DIGITS, as_matrix, nearest_in_cells, unit_rows, valid_rows
+from tessera.operators.dense import dense_search
 
 
 def unit_vectors(df: DataFrame, vector_col: str, dim: int) -> DataFrame:
@@ -63,11 +64,6 @@ def train_cells(
     return unit_rows(np.array(model.clusterCenters()))
 
 
-def unit_rows(m: np.ndarray) -> np.ndarray:
-    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return m / np.where(norm == 0, 1.0, norm)
-
-
 def cell_similarity(vectors: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.round(unit_rows(vectors) @ centers.T, RANK_DIGITS)
 
@@ -98,37 +94,20 @@ def write_index(indexed: DataFrame, path: str, mode: str = "overwrite") -> None:
     indexed.hint("rebalance", "cell").write.mode(mode).partitionBy("cell").option("compression", "zstd").parquet(path)
 
 
-class ProbeScorer(CosineScorer):
-    """Cosine distance, +inf where the row's cell is not among the query's probes."""
-
-    def __init__(self, vector_col: str, centers: np.ndarray, n_probe: int) -> None:
-        super().__init__(vector_col, centers.shape[1])
-        self.centers, self.n_probe = centers, n_probe
+def probed_cells(queries: DataFrame, query_col: str, vector_col: str, centers: np.ndarray, n_probe: int) -> DataFrame:
+    """Each valid query once for each cell it looks into: query, vector, cell; map-only."""
+    kind = queries.schema[vector_col].dataType.simpleString()
+    query = queries.schema[query_col].dataType.simpleString()
+    n = min(n_probe, len(centers))
 
-    def probes(self, queries: pa.Table) -> np.ndarray:
-        order = cell_order(valid_matrix(queries.column(self.vector_col), self.dim)[0], self.centers)
-        mask = np.zeros((len(self.centers), queries.num_rows), dtype=bool)
-        for j in range(min(self.n_probe, order.shape[1])):
-            mask[order[:, j], np.arange(queries.num_rows)] = True
-        return mask
-
-    def prepare(self, queries: pa.Table):
-        return super().prepare(queries), self.probes(queries)
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, m = valid_rows(batch.column(1), centers.shape[1])
+            cells = cell_order(m, centers)[:, :n].reshape(-1).astype(np.int32)
+            own = batch.take(pa.array(np.repeat(rows, n)))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(cells)], names=[query_col, vector_col, "cell"])
 
-    def keys(self, state, batch: pa.RecordBatch) -> np.ndarray:
-        dense, mask = state
-        cells = batch.column("cell").to_numpy(zero_copy_only=False)
-        keys = np.full((batch.num_rows, mask.shape[1]), np.inf)
-        # One small product per cell present in the batch.
-        for cell in np.unique(cells):
-            rows = np.nonzero(cells == cell)[0]
-            wanted = np.nonzero(mask[cell])[0]
-            if len(wanted):
-                part = batch.take(pa.array(rows))
-                q, q_norm, ok = dense
-                asked = q[:, wanted], q_norm[wanted], ok[wanted]
-                keys[np.ix_(rows, wanted)] = super().keys(asked, part)
-        return keys
+    return queries.select(query_col, vector_col).mapInArrow(probe, f"{query_col} {query}, {vector_col} {kind}, cell int")
 
 
 def ann_search(
@@ -144,22 +123,32 @@ def ann_search(
     vector_col: str = "embedding",
     stored: bool = True,
     max_queries: int = config.QUERY_BLOCK_ROWS,
+    cell_rows: int = config.CELL_ROWS,
 ) -> DataFrame:
     """``(query, id, distance, rank)`` among the rows of the probed cells.
 
-    A ``stored`` index is pruned to the cells some query probes; for cells computed
-    in the same plan the filter would only have them computed twice.
+    Of a ``stored`` index only the folders of cells that some query probes are read; for
+    cells computed in the same plan the counts of cells would have them computed twice,
+    so no cell is split.
     """
     if centers.shape[1] != dim:
         raise ValueError(f"the cells have {centers.shape[1]} dimensions, not {dim}")
-    scorer = ProbeScorer(vector_col, centers, n_probe)
-    asked = queries.select(query_col, vector_col)
+    asked = probed_cells(queries, query_col, vector_col, centers, n_probe)
+    rows = indexed.select(id_col, F.col("cell").cast("int").alias("cell"), vector_col)
+    part = F.lit(0)
     if stored:
-        used = {int(c) for b in query_blocks(asked, max_queries) for c in np.nonzero(scorer.probes(b).any(axis=1))[0]}
-        indexed = indexed.where(F.col("cell").isin(sorted(used)))
-    return scan_top_k(
-        indexed.select(id_col, "cell", vector_col), asked, scorer, k, id_col, query_col, "distance",
-        max_queries,
+        used = [r["cell"] for r in asked.select("cell").distinct().collect()]  # bounded by the cells
+        rows = rows.where(F.col("cell").isin(used))
+        parts = rows.groupBy("cell").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("parts"))
+        parts = F.broadcast(parts)  # bounded by the cells
+        rows, asked = rows.join(parts, "cell"), asked.join(parts, "cell")
+        part = F.pmod(F.xxhash64(id_col), F.col("parts")).cast("int")
+        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    else:
+        asked = asked.withColumn("part", part)
+    return nearest_in_cells(
+        rows.withColumn("part", part).select(id_col, "cell", "part", vector_col), asked, k, dim=dim, id_col=id_col,
+        query_col=query_col, vector_col=vector_col, keys=["cell", "part"], max_queries=max_queries,
     )
 
 

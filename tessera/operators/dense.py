@@ -2,69 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions.vectors import is_valid_vector
-from tessera.operators.blockscan import scan_top_k
-
-
-def as_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """``rows x dim`` doubles of a list column whose rows all have one length."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-        if isinstance(column, pa.ChunkedArray):
-            column = pa.concat_arrays(column.chunks)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
-
-
-def valid_matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """``rows x dim`` doubles, and which rows are vectors of that dimension.
-
-    The others (absent, of another length, with NULL or NaN entries) are zero rows.
-    """
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
-    n = len(column)
-    ok = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False) == dim
-    if ok.all():
-        m = as_matrix(column).reshape(n, dim)
-    else:
-        m = np.zeros((n, dim))
-        m[ok] = as_matrix(column.filter(pa.array(ok))).reshape(-1, dim)
-    broken = np.isnan(m).any(axis=1)
-    if broken.any():
-        ok &= ~broken
-        m = np.where(ok[:, None], m, 0.0)
-    return m, ok
-
-
-class CosineScorer:
-    """Rank key = cosine distance; a zero norm has similarity 0, no vector no result.
-
-    Validity is decided here and not by a filter: a filter on a computed vector
-    would have it computed twice.
-    """
-
-    def __init__(self, vector_col: str, dim: int) -> None:
-        self.vector_col, self.dim = vector_col, dim
-
-    def prepare(self, queries: pa.Table):
-        q, ok = valid_matrix(queries.column(self.vector_col), self.dim)
-        return q.T.copy(), np.sqrt((q * q).sum(axis=1)), ok
-
-    def keys(self, state, batch: pa.RecordBatch) -> np.ndarray:
-        q, q_norm, q_ok = state
-        c, ok = valid_matrix(batch.column(self.vector_col), self.dim)
-        norms = np.sqrt((c * c).sum(axis=1))[:, None] * q_norm[None, :]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            similarity = np.where(norms == 0, 0.0, (c @ q) / norms)
-        return np.where(ok[:, None] & q_ok[None, :], 1.0 - similarity, np.inf)
+from tessera.operators.blockjoin import nearest_rows
 
 
 def dense_search(
@@ -90,16 +33,9 @@ def dense_search(
         corpus = corpus.where(F.col("embedding_model_ver") == model_ver)
     if where is not None:
         corpus = corpus.where(where)
-    return scan_top_k(
-        corpus.select(id_col, vector_col),
-        queries.select(query_col, vector_col),
-        CosineScorer(vector_col, dim),
-        k,
-        id_col,
-        query_col,
-        "distance",
-        max_queries,
-        salts,
+    return nearest_rows(
+        corpus.select(id_col, vector_col), queries.select(query_col, vector_col), k, dim=dim, id_col=id_col,
+        query_col=query_col, vector_col=vector_col, max_queries=max_queries, salts=salts,
     )
 
 

@@ -29,6 +29,7 @@ def hybrid_search(
     where: Column | None = None,
     id_col: str = "chunk_id",
     stats: TextStats | None = None,
+    posted: DataFrame | None = None,
     salts: int = 1,
 ) -> DataFrame:
     """Top ``k`` per query of the fused lists.
@@ -36,14 +37,14 @@ def hybrid_search(
     ``queries`` has query_id, query_text and embedding; ``vectors`` holds the
     embeddings, ``index`` the terms of the same chunks.  ``fetch`` rows come from
     each list; keep it at 2k or more.  ``model_ver`` and ``where`` hold for both lists;
-    ``stats`` are stored counts of the index (of that version, if one is given).
+    ``stats`` are stored counts of the index, ``posted`` its stored postings.
     """
     dense = dense_search(
         vectors, queries, fetch, dim=dim, id_col=id_col, model_ver=model_ver, where=where, salts=salts
     )
     text = text_search(
         index, queries, fetch, mode=mode, id_col=id_col, stop_words=stop_words, model_ver=model_ver,
-        where=where, stats=stats, salts=salts,
+        where=where, stats=stats, posted=posted, salts=salts,
     )
     return reciprocal_rank_fusion(dense, text, k, rrf_k, id_col=id_col)
 

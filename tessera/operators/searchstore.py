@@ -1,7 +1,7 @@
-"""Search tables: chunks with their terms and vectors, written once and read by every search.
+"""Search tables: chunks with their terms, vectors and postings, written once and read by every search.
 
-One table holds everything about a chunk; a search reads the columns it needs (vectors,
-terms, or the text of the few rows it returns).  The counts of the terms stand beside it.
+One table holds everything about a chunk, another the postings sorted by term, so a search
+reads the columns it needs of the terms it asks for.  The counts of the terms stand beside.
 """
 
 from __future__ import annotations
@@ -14,34 +14,42 @@ from pyspark.sql import functions as F
 from tessera import config
 from tessera.functions.text import tokens
 from tessera.functions.vectors import hash_vector
-from tessera.operators.textindex import TextStats, text_stats
+from tessera.operators.textindex import FILTER_COLUMNS, TextStats, postings, text_stats
 
 
 class SearchTables(NamedTuple):
-    """``chunks``: the chunk columns with terms, n_terms and embedding; ``stats``: their counts."""
+    """``chunks``: the chunk columns with terms, n_terms and embedding; ``postings`` and ``stats`` of them."""
 
     chunks: DataFrame
+    postings: DataFrame
     stats: TextStats
 
     @property
     def index(self) -> DataFrame:
-        return self.chunks.select("chunk_id", "source", "terms", "n_terms")
+        return self.chunks.drop("embedding", "text")
 
     @property
     def vectors(self) -> DataFrame:
-        return self.chunks.select("chunk_id", "source", "embedding")
+        return self.chunks.drop("terms", "n_terms", "text")
 
 
 def write_search_tables(
     chunks: DataFrame, path: str, dim: int = config.EMBED_DIM, id_col: str = "chunk_id"
 ) -> None:
-    """Tokenise and embed ``chunks`` once and write them with the counts of their terms."""
-    root = path.rstrip("/")
+    """Tokenise and embed ``chunks`` once and write them with their postings and the counts of their terms.
+
+    Postings are sorted by term over all files, so a term with very many is in several
+    files and a search skips the files whose terms it does not ask for.
+    """
+    root, spark = path.rstrip("/"), chunks.sparkSession
     termed = chunks.withColumn("terms", tokens(F.coalesce("text", F.lit(""))))
     whole = termed.withColumn("n_terms", F.size("terms")).withColumn("embedding", hash_vector(F.col("terms"), dim))
     whole.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/chunks")
-    index = chunks.sparkSession.read.parquet(f"{root}/chunks").select(id_col, "terms", "n_terms")
-    stats = text_stats(index)
+    kept = [c for c in FILTER_COLUMNS if c in chunks.columns]
+    index = spark.read.parquet(f"{root}/chunks").select(id_col, *kept, "terms", "n_terms")
+    by_term = postings(index, id_col).repartitionByRange("term", id_col).sortWithinPartitions("term", id_col)
+    by_term.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/postings")
+    stats = text_stats(index, spark.read.parquet(f"{root}/postings"))
     stats.terms.write.mode("overwrite").parquet(f"{root}/terms")
     stats.totals.write.mode("overwrite").parquet(f"{root}/totals")
 
@@ -49,4 +57,5 @@ def write_search_tables(
 def read_search_tables(spark: SparkSession, path: str) -> SearchTables:
     root = path.rstrip("/")
     read = spark.read.parquet
-    return SearchTables(read(f"{root}/chunks"), TextStats(read(f"{root}/terms"), read(f"{root}/totals")))
+    stats = TextStats(read(f"{root}/terms"), read(f"{root}/totals"))
+    return SearchTables(read(f"{root}/chunks"), read(f"{root}/postings"), stats)

@@ -1,20 +1,29 @@
-"""Full-text statistics, term matching and BM25 search."""
+"""Full-text statistics, term matching and BM25 search as joins on postings.
+
+A search joins the terms of its queries with the postings of those terms.  Asked terms that
+are few enough (counted, see ``BROADCAST_ROWS``) travel to postings dealt by text, so that a
+text's scores add up where it lies.  Beyond that both sides are shuffled by term: a term in
+many texts, or asked by many queries, is salted on both sides, so no key has more than a
+bounded number of postings or queries.
+
+Where the terms of all queries have very many postings together, ranking drops candidates by
+upper bounds: the rarest terms of a query give a score its k-th best text reaches at least,
+and a text that has only terms whose upper bounds together stay below that is no candidate.
+The postings of frequent terms are then looked up for the remaining candidates only.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Sequence
 from typing import NamedTuple
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions.text import query_terms, tokens
-from tessera.operators.blockscan import MAX_CELLS, query_blocks, scan_top_k
+from tessera.operators.ranking import top_k_per_key
+from tessera.session import written
 
 MATCH_MODES = ("any", "all", "phrase")
 
@@ -24,7 +33,10 @@ FILTER_COLUMNS = ("embedding_model_ver", "source")
 
 
 class TextStats(NamedTuple):
-    """Counts of an index: ``terms`` has term and df, ``totals`` one row of n_docs and total_terms."""
+    """Counts of an index: ``terms`` has term and df, ``totals`` one row of n_docs and total_terms.
+
+    Both may be counted for each embedding_model_ver.
+    """
 
     terms: DataFrame
     totals: DataFrame
@@ -49,20 +61,48 @@ def forward_index(
     )
 
 
-def text_stats(index: DataFrame) -> TextStats:
-    """The counts a search needs, to be written out beside the index."""
-    return TextStats(document_frequency(index), corpus_stats(index))
+VERSION = "embedding_model_ver"
 
 
 def postings(index: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    """``(term, id, tf, n_terms)``: the inverted form."""
+    """``(term, id, tf, n_terms)``: the inverted form, with the columns searches filter on.
+
+    Store it sorted by term (see ``searchstore``) to search a corpus repeatedly.
+    """
+    kept = [c for c in FILTER_COLUMNS if c in index.columns and c != id_col]
     return (
-        index.select(id_col, "n_terms", F.explode("terms").alias("term"))
-        .groupBy(id_col, "term")
-        .agg(F.count("*").alias("tf"), F.first("n_terms").alias("n_terms"))
+        index.select(id_col, "n_terms", *kept, F.explode("terms").alias("term"))
+        .groupBy("term", id_col)
+        .agg(F.count("*").alias("tf"), *[F.first(c).alias(c) for c in ("n_terms", *kept)])
     )
 
 
+def text_stats(index: DataFrame, posted: DataFrame) -> TextStats:
+    """The counts a search needs, to be written out beside the postings; by version, if rows have one.
+
+    ``max_tf`` and ``min_terms`` bound what a term can add to any score.
+    """
+    version = [VERSION] if VERSION in index.columns else []
+    terms = posted.groupBy("term", *version).agg(
+        F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"), F.min("n_terms").alias("min_terms")
+    )
+    totals = index.groupBy(*version).agg(F.count("*").alias("n_docs"), F.sum("n_terms").alias("total_terms"))
+    return TextStats(terms, totals)
+
+
+def of_version(stats: TextStats, model_ver: str | None) -> TextStats:
+    """The counts of one version, or of all versions together."""
+    terms, totals = stats
+    if VERSION in terms.columns:
+        if model_ver is not None:
+            terms, totals = (df.where(F.col(VERSION) == model_ver) for df in stats)
+        terms = terms.groupBy("term").agg(
+            F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_terms").alias("min_terms")
+        )
+        totals = totals.agg(F.sum("n_docs").alias("n_docs"), F.sum("total_terms").alias("total_terms"))
+    return TextStats(terms, totals)
+
+
 def term_stats(index: DataFrame) -> DataFrame:
     """Document frequency and collection frequency of every term.
 
@@ -97,122 +137,134 @@ def corpus_stats(index: DataFrame) -> DataFrame:
     ).withColumn("avg_terms", F.col("total_terms") / F.greatest(F.col("n_docs"), F.lit(1)))
 
 
-def weighted_queries(
+def weighted_terms(
     queries: DataFrame,
-    index: DataFrame,
-    query_col: str = "query_id",
-    text_col: str = "query_text",
-    stop_words: Sequence[str] | None = None,
-    stats: TextStats | None = None,
+    posted: DataFrame,
+    totals: DataFrame,
+    query_col: str,
+    text_col: str,
+    stop_words: Sequence[str] | None,
+    terms: DataFrame | None,
+    k1: float,
+    b: float,
 ) -> DataFrame:
-    """Per query: its ordered terms, and the BM25 weight of each distinct one.
+    """A row for each distinct term of a query: its weight, its upper bound, and counts.
 
-    Stop words carry no weight but stay part of the phrase.  Document frequencies
-    come from ``stats``, or are counted for the vocabulary of the queries only.  A
-    query without any term drops out, so it has no results.
+    Stop words carry no weight.  Counts come from ``terms``, or from the postings of the
+    asked terms only.  A query without any term drops out, so it has no results.  A term's
+    upper bound is its weight at its highest frequency in the shortest text that has it.
     """
-    parsed = queries.select(
-        query_col,
-        query_terms(F.col(text_col)).alias("ordered"),
-        F.array_distinct(query_terms(F.col(text_col), stop_words)).alias("asked"),
+    asked = F.array_distinct(query_terms(F.col(text_col), stop_words))
+    wanted = queries.select(query_col, F.explode(asked).alias("term")).distinct()
+    if terms is None:
+        known = posted.join(wanted.select("term").distinct(), "term", "left_semi")
+        terms = known.groupBy("term").agg(
+            F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("n_terms").alias("min_terms")
+        )
+    df, n_docs = F.coalesce("df", F.lit(0)), F.coalesce("n_docs", F.lit(0))
+    mean = F.coalesce(F.col("total_terms") / F.greatest(F.col("n_docs"), F.lit(1)), F.lit(0.0))
+    idf = F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+    each = Window.partitionBy(query_col)
+    weighted = (
+        wanted.join(terms.select("term", "df", "max_tf", "min_terms"), "term", "left")
+        .join(F.broadcast(totals.select("n_docs", "total_terms")))  # one row
+        .select(query_col, "term", df.alias("df"), idf.alias("idf"), mean.alias("avg_terms"), "max_tf", "min_terms")
+    )
+    most = F.coalesce(F.col("idf") * saturation(F.col("max_tf"), F.col("min_terms"), F.col("avg_terms"), k1, b), F.lit(0.0))
+    return weighted.select(
+        query_col, "term", "df", "idf", "avg_terms", most.alias("most"), F.count("*").over(each).alias("n_asked")
     )
-    wanted = parsed.select(query_col, F.explode("asked").alias("term"))
-    vocabulary = wanted.select("term").distinct()
-    df, totals = (document_frequency(index, vocabulary), corpus_stats(index)) if stats is None else stats
-    count, n_docs = F.coalesce("df", F.lit(0)), F.col("n_docs")
-    weights = (
-        wanted.join(df.select("term", "df"), "term", "left")
-        .join(F.broadcast(totals.select("n_docs")))  # one row
-        .withColumn("idf", F.log(1 + (n_docs - count + 0.5) / (count + 0.5)))
-        .groupBy(query_col)
-        .agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("weights"))
+
+
+def saturation(tf: Column, n_terms: Column, avg_terms: Column, k1: float, b: float) -> Column:
+    """What a term's frequency in a text counts, at most k1 + 1."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * n_terms / F.greatest(avg_terms, F.lit(1e-9))))
+
+
+def term_matches(
+    posted: DataFrame, asked: DataFrame, id_col: str, query_col: str, k1: float, b: float, few: bool,
+    max_queries: int = config.QUERY_BLOCK_ROWS, max_postings: int = config.POSTINGS_PER_KEY,
+) -> DataFrame:
+    """``(query, id, score, matched)`` summed over the asked terms a text has.
+
+    With ``few`` asked terms these are broadcast.  Otherwise the vocabulary of the queries
+    meets the postings first, one row for each term, and a key of the second join holds at
+    most about ``max_postings`` postings and ``max_queries`` queries, however frequent the
+    term is on either side.
+    """
+    rows = posted.select("term", id_col, "tf", "n_terms")
+    told = asked.where("df > 0").select(query_col, "term", "df", "idf", "avg_terms")
+    score = F.col("idf") * saturation(F.col("tf"), F.col("n_terms"), F.col("avg_terms"), k1, b)
+    if few:
+        known = rows.join(F.broadcast(told.select("term").distinct()), "term", "left_semi").repartition(id_col)
+        met = known.join(F.broadcast(told), "term")
+    else:
+        counts = told.groupBy("term").agg(
+            F.ceil(F.max("df") / max_postings).cast("int").alias("shards"),
+            F.ceil(F.count("*") / max_queries).cast("int").alias("groups"),
+        )
+        rows = rows.join(counts, "term").withColumn("shard", F.pmod(F.xxhash64(id_col), F.col("shards")).cast("int"))
+        rows = rows.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("shards", "groups")
+        dealt = told.join(counts, "term").withColumn("group", F.pmod(F.xxhash64(query_col), F.col("groups")).cast("int"))
+        dealt = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards", "groups")
+        met = rows.join(dealt, ["term", "shard", "group"])
+    return met.groupBy(query_col, id_col).agg(F.sum(score).alias("score"), F.count("*").alias("matched"))
+
+
+def completed(
+    posted: DataFrame, candidates: DataFrame, rest: DataFrame, id_col: str, query_col: str, k1: float, b: float
+) -> DataFrame:
+    """Candidates with the scores of their other asked terms: an equi-join on term and text."""
+    looked_up = candidates.select(query_col, id_col).join(rest.select(query_col, "term", "idf", "avg_terms"), query_col)
+    score = F.col("idf") * saturation(F.col("tf"), F.col("n_terms"), F.col("avg_terms"), k1, b)
+    more = (
+        looked_up.join(posted.select("term", id_col, "tf", "n_terms"), ["term", id_col])
+        .groupBy(query_col, id_col)
+        .agg(F.sum(score).alias("more"), F.count("*").alias("also"))
     )
-    mean = F.col("total_terms") / F.greatest(F.col("n_docs"), F.lit(1))
-    return parsed.join(weights, query_col).join(F.broadcast(totals.select(mean.alias("avg_terms")))).select(
+    return candidates.join(more, [query_col, id_col], "left").select(
         query_col,
-        "ordered",
-        F.col("weights.term").alias("terms"),
-        F.col("weights.idf").alias("idf"),
-        F.coalesce("avg_terms", F.lit(0.0)).alias("avg_terms"),
+        id_col,
+        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
+        (F.col("matched") + F.coalesce("also", F.lit(0))).alias("matched"),
     )
 
 
-class Bm25Scorer:
-    """Rank key = minus the BM25 score; +inf for texts the match mode excludes."""
-
-    def __init__(self, mode: str, k1: float, b: float) -> None:
-        self.mode, self.k1, self.b = mode, k1, b
-
-    def prepare(self, queries: pa.Table):
-        terms = queries.column("terms").combine_chunks()
-        lengths = pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
-        query = np.repeat(np.arange(queries.num_rows), lengths)
-        flat = terms.flatten()
-        idf = queries.column("idf").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        vocabulary = pc.unique(flat)
-        term = pc.index_in(flat, vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
-        order = np.argsort(term, kind="stable")
-        return {
-            "n": queries.num_rows,
-            "vocabulary": vocabulary,
-            # rows of (query, idf) grouped by term
-            "at": np.searchsorted(term[order], np.arange(len(vocabulary) + 1)),
-            "query": query[order],
-            "idf": idf[order],
-            "n_terms": lengths,
-            "avg": float(queries.column("avg_terms")[0].as_py() or 1.0) if queries.num_rows else 1.0,
-            "phrases": [" " + " ".join(p) + " " for p in queries.column("ordered").to_pylist()],
-        }
-
-    def matches(self, state, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """BM25 score and number of matched distinct terms, ``rows x queries``."""
-        n, n_q, n_v = batch.num_rows, state["n"], len(state["vocabulary"])
-        terms = batch.column("terms")
-        lengths = pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
-        found = pc.index_in(terms.flatten(), state["vocabulary"]).fill_null(-1)
-        found = found.to_numpy(zero_copy_only=False).astype(np.int64)
-        row = np.repeat(np.arange(n, dtype=np.int64), lengths)
-        hit = found >= 0
-        cell, tf = np.unique(row[hit] * n_v + found[hit], return_counts=True)
-        row, term = (cell // n_v, cell % n_v) if n_v else (cell, cell)
-        saturation = tf * (self.k1 + 1) / (
-            tf + self.k1 * (1 - self.b + self.b * lengths[row] / state["avg"])
-        )
-        # One entry per (posting, query that asks for its term).
-        fan = state["at"][term + 1] - state["at"][term] if len(term) else np.zeros(0, np.int64)
-        posting = np.repeat(np.arange(len(term)), fan)
-        inside = np.arange(len(posting)) - np.repeat(np.cumsum(fan) - fan, fan)
-        entry = inside + state["at"][term][posting] if len(term) else posting
-        target = row[posting] * n_q + state["query"][entry]
-        weight = state["idf"][entry] * saturation[posting]
-        score = np.bincount(target, weights=weight, minlength=n * n_q).reshape(n, n_q)
-        count = np.bincount(target, minlength=n * n_q).reshape(n, n_q)
-        return score, count
-
-    def phrase_mask(self, state, batch: pa.RecordBatch, candidates: np.ndarray) -> np.ndarray:
-        """Candidates whose terms contain the query's terms one after another.
-
-        One look at the joined terms of the candidate rows for each query that has any.
-        """
-        mask = np.zeros_like(candidates)
-        for query in np.flatnonzero(candidates.any(axis=0)):
-            rows = np.flatnonzero(candidates[:, query])
-            terms = batch.column("terms").take(pa.array(rows)).cast(pa.list_(pa.string()))
-            joined = pc.binary_join(terms, " ")
-            padded = pc.binary_join_element_wise("", joined, "", " ")
-            hits = pc.match_substring(padded, state["phrases"][query])
-            mask[rows, query] = hits.to_numpy(zero_copy_only=False)
-        return mask
-
-    def mode_mask(self, mode: str, state, batch, count: np.ndarray) -> np.ndarray:
-        if mode == "any":
-            return count > 0
-        every = count == state["n_terms"][None, :]
-        return every if mode == "all" else self.phrase_mask(state, batch, every)
-
-    def keys(self, state, batch: pa.RecordBatch) -> np.ndarray:
-        score, count = self.matches(state, batch)
-        return np.where(self.mode_mask(self.mode, state, batch, count), -score, np.inf)
+def _counted(weighted: DataFrame) -> tuple[DataFrame, int, int]:
+    """The asked terms, written once, their number, and that of their postings."""
+    weighted = written(weighted, "asked-terms")
+    told = weighted.agg(F.count("*").alias("n"), F.coalesce(F.sum("df"), F.lit(0)).alias("matches")).first()
+    return weighted, told["n"], told["matches"]
+
+
+def _rarest(weighted: DataFrame, query_col: str, postings_wanted: int) -> DataFrame:
+    """The rarest terms of each query, until they have so many postings together."""
+    rare = Window.partitionBy(query_col).orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    found = weighted.where("df > 0").withColumn("_seen", F.coalesce(F.sum("df").over(rare), F.lit(0)))
+    return found.where(F.col("_seen") < postings_wanted).drop("_seen")
+
+
+def _with_reach(weighted: DataFrame, threshold: DataFrame, query_col: str) -> DataFrame:
+    """Each term with ``needless``: whether texts that have only such terms stay below the threshold.
+
+    Terms are taken by their upper bounds, the least first; ``left`` is the sum of those of
+    all needless terms.  A margin covers rounding of sums.
+    """
+    line = Window.partitionBy(query_col).orderBy("most", "term")
+    reach = F.sum("most").over(line.rowsBetween(Window.unboundedPreceding, 0))
+    known = weighted.join(threshold, query_col, "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.0)))
+    needless = reach < F.col("threshold") - 1e-6
+    ruled = known.withColumn("needless", needless)
+    left = F.sum(F.when(F.col("needless"), F.col("most")).otherwise(0.0)).over(Window.partitionBy(query_col))
+    return ruled.withColumn("left", left)
+
+
+def _has_phrase(candidates: DataFrame, index: DataFrame, queries: DataFrame, id_col: str, query_col: str, text_col: str) -> DataFrame:
+    """Candidates whose text has the terms of the query one after another."""
+    phrase = queries.select(query_col, F.concat(F.lit(" "), F.array_join(query_terms(F.col(text_col)), " "), F.lit(" ")).alias("phrase"))
+    wanted = candidates.join(phrase, query_col)
+    line = F.concat(F.lit(" "), F.array_join("terms", " "), F.lit(" "))
+    return wanted.join(index.select(id_col, "terms"), id_col).where(line.contains(F.col("phrase"))).drop("phrase", "terms")
 
 
 def text_search(
@@ -228,37 +280,61 @@ def text_search(
     model_ver: str | None = None,
     where: Column | None = None,
     stats: TextStats | None = None,
+    posted: DataFrame | None = None,
     k1: float = config.BM25_K1,
     b: float = config.BM25_B,
     salts: int = 1,
     max_queries: int = config.QUERY_BLOCK_ROWS,
+    max_postings: int = config.POSTINGS_PER_KEY,
+    max_matches: int = config.MATCHES_AT_ONCE,
+    max_broadcast: int = config.BROADCAST_ROWS,
 ) -> DataFrame:
     """``(query, id, fts_score, rank)`` by BM25, best first, ties by id.
 
     ``mode``: any term, all terms, or the terms as a phrase.  ``index`` is a
-    :func:`forward_index`.  With ``model_ver`` the search knows the rows of that
-    version only, in its statistics and its results; ``where`` only restricts which
-    rows may be returned.  ``stats`` are the stored counts of the rows searched.
+    :func:`forward_index`, ``posted`` its stored :func:`postings` (else they are made of
+    it).  With ``model_ver`` the search knows the rows of that version only, in its
+    statistics and its results; ``where`` only restricts which rows may be returned, by
+    columns that the postings have.  ``stats`` are the stored counts of the index.
+    Upper bounds are used beyond ``max_matches`` postings of all queries' terms, counted once
+    for each query; at most ``max_broadcast`` asked terms are broadcast.
+
+    Texts that have all terms are sought among those that have the rarest; a phrase is
+    looked for in those texts only.
     """
     if mode not in MATCH_MODES:
         raise ValueError(f"mode must be one of {MATCH_MODES}")
+    posted = postings(index, id_col) if posted is None else posted
     if model_ver is not None:
-        index = index.where(F.col("embedding_model_ver") == model_ver)
-    weighted = weighted_queries(queries, index, query_col, text_col, stop_words, stats)
-    if where is not None:
-        index = index.where(where)
-    ranked = scan_top_k(
-        index.select(id_col, "terms"),
-        weighted,
-        Bm25Scorer(mode, k1, b),
-        k,
-        id_col,
-        query_col,
-        "_key",
-        max_queries,
-        salts,
-    )
-    return ranked.select(query_col, id_col, (-F.col("_key")).alias("fts_score"), "rank")
+        index, posted = index.where(F.col(VERSION) == model_ver), posted.where(F.col(VERSION) == model_ver)
+    terms, totals = (None, corpus_stats(index)) if stats is None else of_version(stats, model_ver)
+    weighted = weighted_terms(queries, posted, totals, query_col, text_col, stop_words, terms, k1, b)
+    weighted, n_asked, n_matches = _counted(weighted)
+    posted = posted if where is None else posted.where(where)
+    limits = {"few": n_asked <= max_broadcast, "max_queries": max_queries, "max_postings": max_postings}
+    if mode == "any" and n_matches <= max_matches:
+        found = term_matches(posted, weighted, id_col, query_col, k1, b, **limits)
+    elif mode == "any":
+        first = term_matches(posted, _rarest(weighted, query_col, 4 * k), id_col, query_col, k1, b, **limits)
+        kth = top_k_per_key(first, [query_col], [F.desc("score")], k, "_nth", salts).where(F.col("_nth") == k)
+        threshold = kth.select(query_col, F.col("score").alias("threshold"))
+        ruled = written(_with_reach(weighted, threshold, query_col), "ruled-terms")
+        near = term_matches(posted, ruled.where("not needless"), id_col, query_col, k1, b, **limits)
+        bounds = ruled.groupBy(query_col).agg(F.max("threshold").alias("threshold"), F.max("left").alias("left"))
+        near = near.join(bounds, query_col).where(F.col("score") + F.col("left") >= F.col("threshold") - 1e-6)
+        found = completed(posted, near.drop("threshold", "left"), ruled.where("needless"), id_col, query_col, k1, b)
+    else:
+        rare = Window.partitionBy(query_col).orderBy("df", "term")
+        least = Window.partitionBy(query_col)
+        ruled = weighted.withColumn("nth", F.row_number().over(rare)).withColumn("least", F.min("df").over(least)).where("least > 0")
+        near = term_matches(posted, ruled.where("nth = 1"), id_col, query_col, k1, b, **limits)
+        found = completed(posted, near, ruled.where("nth > 1"), id_col, query_col, k1, b)
+        whole = ruled.where("nth = 1").select(query_col, "n_asked")
+        found = found.join(whole, query_col).where("matched = n_asked").drop("n_asked")
+        if mode == "phrase":
+            found = _has_phrase(found, index, queries, id_col, query_col, text_col)
+    ranked = top_k_per_key(found, [query_col], [F.round(-F.col("score"), config.RANK_DIGITS), F.col(id_col)], k, "rank", salts)
+    return ranked.select(query_col, id_col, F.col("score").alias("fts_score"), "rank")
 
 
 def match_counts(
@@ -270,41 +346,24 @@ def match_counts(
     text_col: str = "query_text",
     stop_words: Sequence[str] | None = None,
     stats: TextStats | None = None,
+    posted: DataFrame | None = None,
     max_queries: int = config.QUERY_BLOCK_ROWS,
+    max_broadcast: int = config.BROADCAST_ROWS,
 ) -> DataFrame:
-    """``(query, mode, n_matches)``: how many texts each match mode finds.
-
-    Tasks send one count per query and mode.
-    """
-    weighted = weighted_queries(queries, index, query_col, text_col, stop_words, stats)
-    scorer = Bm25Scorer("any", config.BM25_K1, config.BM25_B)
-    names = [query_col, "mode", "n"]
-    schema = f"{query_col} {queries.schema[query_col].dataType.simpleString()}, mode string, n bigint"
-
-    def count_block(asked: pa.Table, batches: Iterator[pa.RecordBatch]) -> pa.Table:
-        state = scorer.prepare(asked)
-        total = np.zeros((len(MATCH_MODES), asked.num_rows), dtype=np.int64)
-        step = max(1, MAX_CELLS // max(1, asked.num_rows))
-        for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                _, count = scorer.matches(state, part)
-                for i, mode in enumerate(MATCH_MODES):
-                    total[i] += scorer.mode_mask(mode, state, part, count).sum(axis=0)
-        ids = asked.column(query_col)
-        parts = [
-            pa.table([ids, pa.array([mode] * len(ids), pa.string()), pa.array(total[i])], names=names)
-            for i, mode in enumerate(MATCH_MODES)
-        ]
-        return pa.concat_tables(parts)
-
-    def scan_for(block: pa.Table):
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from count_block(block, batches).to_batches()
-
-        return scan
-
-    blocks = query_blocks(weighted, max_queries)
-    scans = [index.select("terms").mapInArrow(scan_for(b), schema) for b in blocks]
-    partial = reduce(DataFrame.union, scans or [index.sparkSession.createDataFrame([], schema)])
-    return partial.groupBy(query_col, "mode").agg(F.sum("n").alias("n_matches"))
+    """``(query, mode, n_matches)``: how many texts each match mode finds, for queries that have terms."""
+    posted = postings(index, id_col) if posted is None else posted
+    terms, totals = (None, corpus_stats(index)) if stats is None else of_version(stats, None)
+    weighted = weighted_terms(
+        queries, posted, totals, query_col, text_col, stop_words, terms, config.BM25_K1, config.BM25_B
+    )
+    weighted, n_asked, _ = _counted(weighted)
+    few = n_asked <= max_broadcast
+    found = term_matches(posted, weighted, id_col, query_col, config.BM25_K1, config.BM25_B, few, max_queries)
+    asked = weighted.groupBy(query_col).agg(F.max("n_asked").alias("n_asked"))
+    found = found.join(asked, query_col).withColumn("every", F.col("matched") == F.col("n_asked"))
+    counted = found.groupBy(query_col).agg(F.count("*").alias("any"), F.count_if("every").alias("all"))
+    phrases = _has_phrase(found.where("every").select(query_col, id_col), index, queries, id_col, query_col, text_col)
+    phrases = phrases.groupBy(query_col).agg(F.count("*").alias("phrase"))
+    modes = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.coalesce(m, F.lit(0)).alias("n_matches")) for m in MATCH_MODES]))
+    whole = asked.join(counted, query_col, "left").join(phrases, query_col, "left")
+    return whole.select(query_col, modes.alias("row")).select(query_col, "row.mode", "row.n_matches")

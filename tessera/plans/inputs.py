@@ -90,6 +90,16 @@ def chunk_tables(spark: SparkSession, d: str) -> SearchTables:
     return read_search_tables(spark, path)
 
 
+def versioned_tables(spark: SparkSession, d: str) -> SearchTables:
+    """The same chunks under two model versions, one for English and one for the rest."""
+    version = F.when(F.col("title") == "en", "v1").otherwise("v2")
+
+    def write(path: str) -> None:
+        write_search_tables(document_chunks(spark, d).withColumn("embedding_model_ver", version), path)
+
+    return read_search_tables(spark, written_once(spark, d, "versions", write))
+
+
 def document_tables(spark: SparkSession, d: str) -> SearchTables:
     """Search tables of all whole documents, a document being one chunk."""
 
@@ -103,7 +113,7 @@ def document_tables(spark: SparkSession, d: str) -> SearchTables:
 def hybrid_hits(tables: SearchTables, queries: DataFrame, k: int = config.TOP_K) -> DataFrame:
     """Hybrid search of ``queries`` (query_id, query_text) over stored chunks."""
     asked = embedded(queries, "query_text")
-    return hybrid_search(tables.vectors, tables.index, asked, k, dim=config.EMBED_DIM, stats=tables.stats)
+    return hybrid_search(tables.vectors, tables.index, asked, k, dim=config.EMBED_DIM, stats=tables.stats, posted=tables.postings)
 
 
 def chunk_rows(tables: SearchTables) -> DataFrame:

@@ -395,6 +395,21 @@ def list_cosine(a: str, b: str) -> str:
     )
 
 
+CELLS = f"""
+mid AS MATERIALIZED (
+  SELECT a.label AS query_id, list_transform(list_zip(a.v, b.v), lambda z: (z[1] + z[2]) / 2) AS v
+  FROM centroid a JOIN centroid b ON b.label = a.label + 1),
+cell AS MATERIALIZED (SELECT vec_id, v, label AS cell FROM (
+  SELECT c.vec_id, c.v, q.label,
+         row_number() OVER (PARTITION BY vec_id ORDER BY round({list_cosine('c.v', 'q.v')}, 9) DESC, q.label) AS rn
+  FROM corpus c, centroid q) WHERE rn = 1),
+probes AS MATERIALIZED (
+  SELECT m.query_id, m.v, q.label AS cell,
+         row_number() OVER (PARTITION BY m.query_id
+           ORDER BY round({list_cosine('m.v', 'q.v')}, 9) DESC, q.label) AS rn
+  FROM mid m, centroid q)"""
+
+
 def buckets(bounds: list[float]) -> str:
     return ", ".join(
         f"CAST(sum(CASE WHEN value <= {b} THEN 1 ELSE 0 END) AS BIGINT) AS le_{i}"
@@ -562,24 +577,35 @@ ORACLES: dict[str, str] = {
           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), vec_id) AS rank
           FROM (SELECT q.label AS query_id, c.vec_id, 1 - {list_cosine('c.v', 'q.v')} AS distance
                 FROM corpus c, centroid q)) WHERE rank <= {config.FETCH}""",
-    "cell_topk": f"""WITH {CENTROIDS},
-        mid AS MATERIALIZED (
-          SELECT a.label AS query_id, list_transform(list_zip(a.v, b.v), lambda z: (z[1] + z[2]) / 2) AS v
-          FROM centroid a JOIN centroid b ON b.label = a.label + 1),
-        cell AS (SELECT vec_id, v, label AS cell FROM (
-          SELECT c.vec_id, c.v, q.label,
-                 row_number() OVER (PARTITION BY vec_id
-                   ORDER BY round({list_cosine('c.v', 'q.v')}, 9) DESC, q.label) AS rn
-          FROM corpus c, centroid q) WHERE rn = 1),
-        probe AS (SELECT query_id, v, cell FROM (
-          SELECT m.query_id, m.v, q.label AS cell,
-                 row_number() OVER (PARTITION BY m.query_id
-                   ORDER BY round({list_cosine('m.v', 'q.v')}, 9) DESC, q.label) AS rn
-          FROM mid m, centroid q) WHERE rn <= 3)
+    "cell_topk": f"""WITH {CENTROIDS}, {CELLS},
+        probe AS (SELECT * FROM probes WHERE rn <= 3)
         SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM (
           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), vec_id) AS rank
           FROM (SELECT p.query_id, c.vec_id, 1 - {list_cosine('c.v', 'p.v')} AS distance
                 FROM probe p JOIN cell c USING (cell))) WHERE rank <= 10""",
+    "ann_topk_recall": f"""WITH {CENTROIDS}, {CELLS},
+        near_mid AS (SELECT query_id, vec_id FROM (
+          SELECT m.query_id, c.vec_id,
+                 row_number() OVER (PARTITION BY query_id ORDER BY round(1 - {list_cosine('c.v', 'm.v')}, 9), vec_id) AS rank
+          FROM mid m, corpus c) WHERE rank <= 10),
+        places AS (
+          SELECT p.rn, count(*) AS n FROM near_mid x JOIN cell c USING (vec_id)
+          JOIN probes p ON p.query_id = x.query_id AND p.cell = c.cell GROUP BY p.rn),
+        reached AS (SELECT rn, sum(n) OVER (ORDER BY rn) / sum(n) OVER () AS share FROM places),
+        tuned AS (SELECT min(rn) AS n_probe FROM reached WHERE share >= {config.TARGET_RECALL}),
+        held AS (SELECT vec_id AS query_id, v FROM corpus WHERE vec_id % 100 = 0),
+        exact AS (SELECT query_id, vec_id FROM (
+          SELECT h.query_id, c.vec_id,
+                 row_number() OVER (PARTITION BY query_id ORDER BY round(1 - {list_cosine('c.v', 'h.v')}, 9), vec_id) AS rank
+          FROM held h, corpus c) WHERE rank <= 10),
+        looked AS (SELECT query_id, cell FROM (
+          SELECT h.query_id, q.label AS cell,
+                 row_number() OVER (PARTITION BY h.query_id
+                   ORDER BY round({list_cosine('h.v', 'q.v')}, 9) DESC, q.label) AS rn
+          FROM held h, centroid q) WHERE rn <= (SELECT n_probe FROM tuned))
+        SELECT (SELECT count(*) FROM held) AS n_queries, count(*) AS n_expected, count(l.cell) AS n_found,
+               round(count(l.cell) / count(*), 4) AS recall, (SELECT n_probe FROM tuned) AS n_probe
+        FROM exact e JOIN cell c USING (vec_id) LEFT JOIN looked l ON l.query_id = e.query_id AND l.cell = c.cell""",
     "rrf_fuse": f"""WITH {RANKINGS} SELECT lang, doc_id, first_rank, second_rank,
         round(score, 6) AS rrf_score, rrf_rank FROM merged WHERE rrf_rank <= 10""",
     "hybrid_search_topk": f"""WITH {ASKED}, {hybrid('asked')}

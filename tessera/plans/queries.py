@@ -273,8 +273,7 @@ def query_forms(spark, d):
 def bm25_topk(spark, d):
     stored = inputs.document_tables(spark, d)
     hits = textindex.text_search(
-        stored.chunks.select("doc_id", "terms", "n_terms"), inputs.benchmark_queries(spark, d), config.FETCH,
-        id_col="doc_id", stats=stored.stats,
+        stored.index, inputs.benchmark_queries(spark, d), config.FETCH, id_col="doc_id", stats=stored.stats, posted=stored.postings
     )
     return hits.select(
         "query_id", "doc_id", F.round("fts_score", 6).alias("fts_score"), big("rank").alias("rank")
@@ -285,11 +284,12 @@ def bm25_topk(spark, d):
 def text_match_modes(spark, d):
     stored = inputs.document_tables(spark, d)
     return textindex.match_counts(
-        stored.chunks.select("doc_id", "terms", "n_terms"),
+        stored.index,
         inputs.benchmark_queries(spark, d),
         id_col="doc_id",
         stop_words=config.STOP_WORDS,
         stats=stored.stats,
+        posted=stored.postings,
     )
 
 
@@ -297,12 +297,13 @@ def text_match_modes(spark, d):
 def phrase_topk(spark, d):
     stored = inputs.document_tables(spark, d)
     hits = textindex.text_search(
-        stored.chunks.select("doc_id", "terms", "n_terms"),
+        stored.index,
         inputs.benchmark_queries(spark, d),
         config.TOP_K,
         mode="phrase",
         id_col="doc_id",
         stats=stored.stats,
+        posted=stored.postings,
     )
     return hits.select(
         "query_id", "doc_id", F.round("fts_score", 6).alias("fts_score"), big("rank").alias("rank")
@@ -356,15 +357,20 @@ def _centers(df):
     return ann.unit_rows(np.array([r["embedding"] for r in rows]))
 
 
-@query
-def cell_topk(spark, d):
-    """Approximate search with the label centroids as given cells, three probes."""
+def _cells(spark, d):
+    """The label centroids as given cells, and the stored index of all vectors by cell."""
     centers = _centers(inputs.label_centroids(spark, d))
 
     def write(path):
         ann.write_index(ann.assign_cells(table(spark, d, "embeddings"), "embedding", 64, centers), path)
 
-    indexed = spark.read.parquet(inputs.written_once(spark, d, "cells", write))
+    return centers, spark.read.parquet(inputs.written_once(spark, d, "cells", write))
+
+
+@query
+def cell_topk(spark, d):
+    """Approximate search with the label centroids as given cells, three probes."""
+    centers, indexed = _cells(spark, d)
     hits = ann.ann_search(
         indexed, inputs.label_midpoints(spark, d), 10, centers=centers, n_probe=3, dim=64, id_col="vec_id"
     )
@@ -375,19 +381,16 @@ def cell_topk(spark, d):
 
 @query
 def ann_topk_recall(spark, d):
-    """Trained cells, probes tuned to the target on one query set, recall on another."""
+    """Probes tuned to the target on one query set, the recall of another against exact search."""
+    centers, indexed = _cells(spark, d)
     corpus = table(spark, d, "embeddings").select("vec_id", "embedding")
-    centers = ann.train_cells(corpus, "embedding", 64, n_cells=16)
-    path = inputs.written_once(
-        spark, d, "trained-cells", lambda p: ann.write_index(ann.assign_cells(corpus, "embedding", 64, centers), p)
-    )
-    indexed = spark.read.parquet(path)
-    tuned_on, asked = inputs.label_midpoints(spark, d), inputs.label_centroids(spark, d)
+    asked = corpus.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    tuned_on = inputs.label_midpoints(spark, d)
     n_probe = ann.tune_probes(spark, indexed, tuned_on, 10, centers=centers, dim=64, id_col="vec_id")
     found = ann.ann_search(indexed, asked, 10, centers=centers, n_probe=n_probe, dim=64, id_col="vec_id")
     exact = dense.dense_search(corpus, asked, 10, dim=64, id_col="vec_id")
     report = ann.recall_report(found, exact, "query_id", "vec_id")
-    return report.withColumn("n_probe", F.lit(n_probe))
+    return report.withColumn("n_probe", big(F.lit(n_probe)))
 
 
 # --- fusion, hybrid search, responses, contexts -----------------------------------
@@ -426,15 +429,16 @@ def _fused(fused):
 @query
 def hybrid_search_versions(spark, d):
     """Chunks under two model versions (one for English): a search knows its own version only."""
-    tables = inputs.chunk_tables(spark, d)
-    version = F.when(F.col("title") == "en", "v1").otherwise("v2")
-    chunks = tables.chunks.select("chunk_id", "terms", "n_terms", "embedding", version.alias("embedding_model_ver"))
+    tables = inputs.versioned_tables(spark, d)
     asked = inputs.embedded(inputs.benchmark_queries(spark, d), "query_text")
     found = [
-        _fused(hybrid.hybrid_search(chunks, chunks, asked, dim=config.EMBED_DIM, model_ver=v)).withColumn("model_ver", F.lit(v))
+        hybrid.hybrid_search(
+            tables.vectors, tables.index, asked, dim=config.EMBED_DIM, model_ver=v, stats=tables.stats, posted=tables.postings
+        )
         for v in ("v1", "v2")
     ]
-    return reduce(DataFrame.unionByName, found)
+    versions = [_fused(f).withColumn("model_ver", F.lit(v)) for f, v in zip(found, ("v1", "v2"), strict=True)]
+    return reduce(DataFrame.unionByName, versions)
 
 
 @query

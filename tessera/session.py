@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +61,14 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="tessera-checkpoint-")
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written once into the shared folder and read again: computed once, kept if executors go."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so an iterative job does not replay its past."""
     spark = df.sparkSession

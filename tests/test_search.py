@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine_similarity, is_valid_vector, require_dimension
-from tessera.operators import ann, dense, embedding, fusion, hybrid, ranking, response, textindex
+from tessera.operators import ann, dense, embedding, fusion, hybrid, ranking, response, searchstore, textindex
 
 RNG = np.random.default_rng(7)
 
@@ -128,6 +128,69 @@ def test_text_search_equals_brute_force(spark, mode, max_queries):
             assert r["n_matches"] == len(bm25(texts, dict(asked)[r["query_id"]], mode))
 
 
+@pytest.mark.parametrize("limits", [{"max_matches": 0}, {"max_broadcast": 0}, {"max_matches": 0, "max_broadcast": 0, "max_postings": 3, "max_queries": 2}])
+def test_every_way_of_the_term_join_finds_the_same(spark, folder, limits):
+    """Upper bounds, and terms salted on both sides, against all texts scored by hand."""
+    words = [f"w{i}" for i in range(40)]
+    texts = [(i, " ".join(RNG.choice(words[: 5 + i % 36], 4 + i % 9)) + " all" * (i % 3)) for i in range(250)]
+    asked = [(q, " ".join(RNG.choice(words, 6, replace=False)) + " all") for q in range(12)] + [(99, "all"), (100, "none")]
+    corpus = spark.createDataFrame(texts, "chunk_id long, text string").repartition(4)
+    queries = spark.createDataFrame(asked, "query_id long, query_text string")
+    searchstore.write_search_tables(corpus, folder + "/tables", 8)
+    tables = searchstore.read_search_tables(spark, folder + "/tables")
+    got = textindex.text_search(tables.index, queries, 5, stats=tables.stats, posted=tables.postings, **limits)
+    assert as_lists(got.collect()) == {q: ids for q, t in asked if (ids := bm25(texts, t)[:5])}
+
+
+def test_bounds_leave_few_candidates(spark):
+    """Texts with nothing but a frequent term are never scored in full."""
+    texts = [(i, "the " * (1 + i % 4) + (f"rare{i % 7}" if i < 70 else "")) for i in range(2000)]
+    index = textindex.forward_index(spark.createDataFrame(texts, "chunk_id long, text string"))
+    queries = spark.createDataFrame([(1, "the rare3")], "query_id long, query_text string")
+    posted = textindex.postings(index)
+    weighted = textindex.weighted_terms(queries, posted, textindex.corpus_stats(index), "query_id", "query_text", None, None, 1.2, 0.75)
+    first = textindex.term_matches(posted, textindex._rarest(weighted, "query_id", 8), "chunk_id", "query_id", 1.2, 0.75, True)
+    kth = ranking.top_k_per_key(first, ["query_id"], [F.desc("score")], 2, "nth").where("nth = 2")
+    ruled = textindex._with_reach(weighted, kth.select("query_id", F.col("score").alias("threshold")), "query_id")
+    assert {r["term"]: r["needless"] for r in ruled.collect()} == {"the": True, "rare3": False}
+
+
+def test_search_of_a_version_uses_its_own_counts(spark, folder):
+    texts = [(i, t, "v1" if i % 2 else "v2") for i, t in enumerate(TEXTS * 2)]
+    corpus = spark.createDataFrame(texts, "chunk_id long, text string, embedding_model_ver string")
+    searchstore.write_search_tables(corpus, folder + "/tables", 8)
+    tables = searchstore.read_search_tables(spark, folder + "/tables")
+    queries = spark.createDataFrame([(1, "pod container"), (2, "runs the")], "query_id long, query_text string")
+    for version in ("v1", "v2"):
+        own = [(i, t) for i, t, v in texts if v == version]
+        got = textindex.text_search(tables.index, queries, 9, model_ver=version, stats=tables.stats, posted=tables.postings)
+        want = {q: bm25(own, t)[:9] for q, t in ((1, "pod container"), (2, "runs the"))}
+        assert as_lists(got.collect()) == {q: ids for q, ids in want.items() if ids}
+
+
+def test_searches_send_no_queries_through_the_driver(spark, monkeypatch):
+    """With a query table larger than the driver may take in, and blocks of one row."""
+    rows = vectors(spark, 200, 64)
+    c = spark.createDataFrame(rows, CORPUS_DDL)
+    q = spark.createDataFrame(vectors(spark, 400, 64), QUERY_DDL)
+    for name in ("collect", "toArrow", "toPandas", "toLocalIterator", "first", "head", "take"):
+        monkeypatch.setattr(type(c), name, lambda *a, name=name, **b: pytest.fail(f"{name} while a plan is built"))
+    found = dense.dense_search(c, q, 3, dim=64, max_queries=1)
+    assert found.count() == 1200
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_block_pairs_meet_by_broadcast_and_by_shuffle(spark, threshold):
+    corpus, queries = vectors(spark, 500), vectors(spark, 40)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        c, q = spark.createDataFrame(corpus, CORPUS_DDL).repartition(6), spark.createDataFrame(queries, QUERY_DDL).repartition(3)
+        assert as_lists(dense.dense_search(c, q, 4, dim=8, max_queries=5).collect()) == exact(corpus, queries, 4)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_search_over_an_empty_corpus_or_without_queries(spark):
     empty = spark.createDataFrame([], "chunk_id long, text string")
     one = spark.createDataFrame([(1, "a")], "query_id long, query_text string")
@@ -276,3 +339,5 @@ def test_ann_reaches_its_target(spark, folder):
     assert ann.recall_report(every, truth, "query_id", "chunk_id").first()["recall"] == 1.0
     one = ann.ann_search(stored, asked.limit(1), 5, centers=centers, n_probe=1, dim=8)
     assert one.count() == 5
+    split = ann.ann_search(stored, asked, 10, centers=centers, n_probe=n_probe, dim=8, cell_rows=20, max_queries=7)
+    assert as_lists(split.collect()) == as_lists(found.collect())
