@@ -52,10 +52,33 @@ def version_counts(table: DataFrame, version_col: str = "embedding_model_ver") -
 
 
 def version_rollup(table: DataFrame, version_col: str = "embedding_model_ver") -> DataFrame:
-    """The same in one pass, as a rollup; an empty table gives no row."""
-    rolled = table.rollup(version_col).agg(F.count("*").alias("n"), F.grouping(version_col).alias("g"))
-    name = F.when(F.col("g") == 1, F.lit("_total")).otherwise(F.col(version_col))
-    return rolled.select(name.alias(version_col), "n")
+    """The same in one pass: the total is that of the counts, 0 if there are none."""
+    per_version = table.groupBy(version_col).agg(F.count("*").alias("n"))
+    total = per_version.agg(F.lit("_total").alias(version_col), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return per_version.unionByName(total)
+
+
+def count_deltas(before: DataFrame, after: DataFrame, keys: Sequence[str], counts: Sequence[str]) -> DataFrame:
+    """Signed differences of ``counts`` per key between two states of the touched rows.
+
+    Both sides are counted where they lie; keys whose counts stay the same drop out.
+    """
+    minus = before.select(*keys, *[(-F.col(c)).alias(c) for c in counts])
+    both = minus.unionByName(after.select(*keys, *counts))
+    summed = both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts])
+    moved = F.lit(False)
+    for c in counts:
+        moved = moved | (F.col(c) != 0)
+    return summed.where(moved)
+
+
+def merge_counts(stored: DataFrame, deltas: DataFrame, keys: Sequence[str], counts: Sequence[str]) -> DataFrame:
+    """Stored counts after ``deltas``; keys whose first count falls to 0 go.
+
+    Reads counts only, never what they were counted from.
+    """
+    both = stored.select(*keys, *counts).unionByName(deltas.select(*keys, *counts))
+    return both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts]).where(F.col(counts[0]) > 0)
 
 
 def inventory(files: DataFrame, keys: Sequence[str] = ("source", "date")) -> DataFrame:

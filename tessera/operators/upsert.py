@@ -92,18 +92,38 @@ def skip_landed(
     return incoming.join(landed.select(*keys), keys, "left_anti")
 
 
-def prune_orphans(table: DataFrame, current: DataFrame, keys: Sequence[str], scope: str) -> DataFrame:
+def prune_orphans(
+    table: DataFrame, current: DataFrame, keys: Sequence[str], scope: str, remade: DataFrame | None = None
+) -> DataFrame:
     """Drop rows of re-made groups (``scope`` column) whose key no longer exists.
 
-    Groups that were not re-made are left alone.
+    ``remade`` names the groups, by default those that ``current`` has rows of; a group
+    that is left without rows has to be named.  Groups that were not re-made stay.
     """
 
-    def flagged(columns: Sequence[str], flag: str) -> DataFrame:
-        return current.select(*columns).distinct().withColumn(flag, F.lit(True))
+    def flagged(rows: DataFrame, columns: Sequence[str], flag: str) -> DataFrame:
+        return rows.select(*columns).distinct().withColumn(flag, F.lit(True))
 
+    groups = current if remade is None else remade
     return (
-        table.join(flagged([scope], "_remade"), scope, "left")
-        .join(flagged(keys, "_alive"), list(keys), "left")
+        table.join(flagged(groups, [scope], "_remade"), scope, "left")
+        .join(flagged(current, keys, "_alive"), list(keys), "left")
         .where(F.col("_remade").isNull() | F.col("_alive").isNotNull())
         .select(*table.columns)
     )
+
+
+def change_set(before: DataFrame, after: DataFrame, key: str, hash_col: str) -> DataFrame:
+    """``(key, change)`` of every key whose content differs: ``new``, ``changed`` or ``gone``.
+
+    One full join of two narrow frames with unique keys.  A hash that is absent before
+    counts as changed; rows without a key have no changes.
+    """
+    old = before.where(F.col(key).isNotNull()).select(key, F.col(hash_col).alias("_old"), F.lit(True).alias("_before"))
+    new = after.where(F.col(key).isNotNull()).select(key, F.col(hash_col).alias("_new"), F.lit(True).alias("_after"))
+    change = (
+        F.when(F.col("_before").isNull(), "new")
+        .when(F.col("_after").isNull(), "gone")
+        .when(F.col("_old").isNull() | ~F.col("_old").eqNullSafe(F.col("_new")), "changed")
+    )
+    return old.join(new, key, "full").select(key, change.alias("change")).where("change is not null")

@@ -191,11 +191,60 @@ def landed_silver(spark: SparkSession, d: str) -> str:
     return written_once(spark, d, "lake", write)
 
 
+def _silver_of(rows: DataFrame, ingested_at: Column) -> DataFrame:
+    """doc_id, source and text as silver documents."""
+    text = F.col("text")
+    counted = rows.select(
+        "doc_id", "source", ids.content_hash(text).alias("content_hash"), ids.char_count(text).alias("char_count"), "text"
+    )
+    return as_silver(counted, ingested_at)
+
+
+def changed_lake(spark: SparkSession, d: str) -> str:
+    """Path of a lake that saw documents come, change, shrink and vanish.
+
+    First all documents, embedded under two versions.  Then every 11th is gone, every 7th is
+    cut to five characters, every 5th is revised, and every 13th comes again under a new id.
+    """
+    docs = table(spark, d, "documents").where("text is not null")
+    rows = docs.select("doc_id", F.col("doc_id").cast("string").alias("name"), F.lit("crawl").alias("source"), "text")
+    nth = F.col("doc_id")
+    later = F.when(nth % 7 == 0, F.substring("text", 1, 5)).otherwise(F.concat("text", F.lit(" [revised]")))
+
+    def write(path: str) -> None:
+        silver, gold, embedded_path = (f"{path}/{n}" for n in ("silver", "gold", "embeddings"))
+        store.create_table(spark, silver, "silver")
+        first = rows.select(F.col("name").alias("doc_id"), "source", "text")
+        jobs.apply_silver(spark, _silver_of(first, at(BASE_TIME)), silver)
+        jobs.propagate(spark, silver, gold, embedded_path, at(BASE_TIME), model_ver="v1")
+        jobs.embed_gold(spark, gold, embedded_path, at(BASE_TIME), model_ver="v2")
+        alive = rows.where(nth % 11 != 0)
+        changed = alive.where((nth % 7 == 0) | (nth % 5 == 0)).select(F.col("name").alias("doc_id"), "source", later.alias("text"))
+        fresh = rows.where(nth % 13 == 0).select(F.concat(F.lit("again-"), "name").alias("doc_id"), "source", "text")
+        jobs.apply_silver(spark, _silver_of(changed.unionByName(fresh), at(NOW_TIME)), silver)
+        jobs.remove_documents(spark, rows.where(nth % 11 == 0).select(F.col("name").alias("doc_id")), silver)
+        jobs.propagate(spark, silver, gold, embedded_path, at(NOW_TIME), model_ver="v1")
+
+    return written_once(spark, d, "changed-lake", write)
+
+
 def assembled_conversations(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as documents whose turns are the paragraphs."""
     return assemble_pages(table(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
+def recrawled_texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """What the batch of :func:`recrawled_documents` touches: texts before, of those that change, and after."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "source", "text")
+    toxic = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("doc_id"))
+    before = docs.join(toxic, "doc_id", "left_semi").where("text is not null")
+    revised = before.withColumn("text", F.concat("text", F.lit(" [revised]")))
+    new = table(spark, d, "benchmark").select(
+        F.concat(F.lit("bench-"), F.col("item_id").cast("string")).alias("doc_id"), F.lit("benchmark").alias("source"), "text"
+    )
+    return before, revised.unionByName(new)
+
+
 def source_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages with their host as the source."""
     return wide_table(spark, d, "pages").select(

@@ -173,6 +173,12 @@ used AS (
 
 # --- upserts and history ----------------------------------------------------------
 
+RECRAWLED = """
+recrawled AS (
+  SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, d.source,
+         CASE WHEN l.toxic = 1 THEN d.text || ' [revised]' ELSE d.text END AS text
+  FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.text IS NOT NULL
+  UNION ALL SELECT 'bench-' || item_id, 'benchmark', text FROM benchmark)"""
 UPSERT = """
 target AS (
   SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, sha256(text) AS content_hash,
@@ -525,6 +531,14 @@ ORACLES: dict[str, str] = {
     "version_counts": """SELECT 'v1' AS embedding_model_ver, count(*) AS n FROM documents
         UNION ALL SELECT 'v2', count(*) FROM labels
         UNION ALL SELECT '_total', (SELECT count(*) FROM documents) + (SELECT count(*) FROM labels)""",
+    "term_upkeep": f"""WITH {RECRAWLED}
+        SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf
+        FROM (SELECT doc_id, term, count(*) AS tf
+              FROM (SELECT doc_id, unnest({tokens('text')}) AS term FROM recrawled) GROUP BY doc_id, term)
+        GROUP BY term""",
+    "source_upkeep": f"""WITH {RECRAWLED}
+        SELECT source, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM recrawled GROUP BY source""",
+    "empty_rollup": """SELECT '_total' AS embedding_model_ver, count(*) AS n FROM embeddings WHERE len(embedding) = 0""",
     "term_stats": f"""SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf
         FROM (SELECT doc_id, term, count(*) AS tf
               FROM (SELECT doc_id, unnest({tokens('text')}) AS term FROM documents) GROUP BY doc_id, term)
@@ -732,6 +746,28 @@ ORACLES: dict[str, str] = {
     "silver_job": f"""{LANDED}
         SELECT doc_id, source, url AS source_url, title, sha256(text) AS content_hash,
                CAST(strlen(html) AS BIGINT) AS byte_size, CAST(length(text) AS BIGINT) AS char_count FROM landed""",
+    "change_propagation": """WITH first AS (
+          SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents WHERE text IS NOT NULL),
+        last AS (
+          SELECT CAST(doc_id AS VARCHAR) AS doc_id, doc_id % 7 = 0 OR doc_id % 5 = 0 AS fresh,
+                 CASE WHEN doc_id % 7 = 0 THEN substr(text, 1, 5) WHEN doc_id % 5 = 0 THEN text || ' [revised]'
+                   ELSE text END AS text
+          FROM documents WHERE text IS NOT NULL AND doc_id % 11 <> 0
+          UNION ALL SELECT 'again-' || doc_id, TRUE, text FROM documents WHERE text IS NOT NULL AND doc_id % 13 = 0),
+        cut AS (
+          SELECT doc_id || '::' || CAST(i / 1300 AS BIGINT) AS chunk_id, fresh, substr(text, i + 1, 1500) AS piece
+          FROM (SELECT *, unnest(range(0, CASE WHEN length(text) <= 1500 THEN 1 ELSE length(text) END, 1300)) AS i
+                FROM last WHERE length(text) >= 500)),
+        had AS (
+          SELECT doc_id || '::' || CAST(i / 1300 AS BIGINT) AS chunk_id
+          FROM (SELECT *, unnest(range(0, CASE WHEN length(text) <= 1500 THEN 1 ELSE length(text) END, 1300)) AS i
+                FROM first WHERE length(text) >= 500))
+        SELECT c.chunk_id, CAST(length(piece) AS BIGINT) AS char_count, md5(piece) AS text_md5,
+               CASE WHEN h.chunk_id IS NULL THEN 1717243200 ELSE 1704067200 END AS v1_created,
+               CASE WHEN c.fresh THEN 1717243200 ELSE 1704067200 END AS v1_updated,
+               CASE WHEN h.chunk_id IS NOT NULL THEN 1704067200 END AS v2_created,
+               CASE WHEN h.chunk_id IS NOT NULL THEN 1704067200 END AS v2_updated
+        FROM cut c LEFT JOIN had h USING (chunk_id)""",
     "gold_job": f"""{GOLD}
         SELECT chunk_id, doc_id, substr(doc_id, 1, 2) AS doc_id_prefix, source, chunk_index,
                CAST(length(piece) AS BIGINT) AS char_count, start_char,

@@ -253,6 +253,40 @@ def term_stats(spark, d):
     return textindex.term_stats(_document_index(spark, d))
 
 
+@query
+def term_upkeep(spark, d):
+    """Stored counts of terms after a batch, from the texts it touches only."""
+    stored = inputs.document_tables(spark, d).stats.terms.select("term", "df", "cf")
+    sides = [textindex.term_stats(textindex.forward_index(rows, "doc_id")) for rows in inputs.recrawled_texts(spark, d)]
+    counts = ["df", "cf"]
+    return stats.merge_counts(stored, stats.count_deltas(*sides, ["term"], counts), ["term"], counts)
+
+
+@query
+def source_upkeep(spark, d):
+    """Stored counts of sources after the same batch."""
+
+    def counted(rows):
+        return rows.groupBy("source").agg(
+            F.count("*").alias("n_docs"), F.sum(ids.char_count(F.col("text"))).alias("n_chars")
+        )
+
+    def write(path):
+        counted(table(spark, d, "documents").where("text is not null")).write.parquet(path)
+
+    stored = spark.read.parquet(inputs.written_once(spark, d, "source-counts", write))
+    sides = [counted(rows) for rows in inputs.recrawled_texts(spark, d)]
+    counts = ["n_docs", "n_chars"]
+    return stats.merge_counts(stored, stats.count_deltas(*sides, ["source"], counts), ["source"], counts)
+
+
+@query
+def empty_rollup(spark, d):
+    """Counts per version of embeddings without a vector: no version, and a total of 0."""
+    rows = table(spark, d, "embeddings").where(F.size("embedding") == 0)
+    return stats.version_rollup(rows.select(F.lit("v1").alias("embedding_model_ver")))
+
+
 @query
 def text_corpus_stats(spark, d):
     totals = textindex.corpus_stats(_document_index(spark, d))
@@ -667,6 +701,22 @@ def embedding_job(spark, d):
     )
 
 
+@query
+def change_propagation(spark, d):
+    """Chunks in gold or embedded after documents came, changed, shrank and vanished."""
+    lake = inputs.changed_lake(spark, d)
+    gold = store.read_table(spark, f"{lake}/gold", "gold").select(
+        "chunk_id", big("char_count").alias("char_count"), md5_of(F.col("text")).alias("text_md5")
+    )
+    version, when = F.col("embedding_model_ver"), [F.unix_seconds(c).alias(c) for c in ("created_at", "updated_at")]
+    stored = store.read_table(spark, f"{lake}/embeddings", "embeddings")
+    of_version = [
+        stored.where(version == v).select("chunk_id", *[c.alias(f"{v}_{n}") for c, n in zip(when, ("created", "updated"), strict=True)])
+        for v in ("v1", "v2")
+    ]
+    return gold.join(of_version[0], "chunk_id", "full").join(of_version[1], "chunk_id", "full")
+
+
 # --- request metrics -----------------------------------------------------------------
 
 

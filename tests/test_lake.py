@@ -221,6 +221,47 @@ def test_medallion_end_to_end(spark, folder):
         (86_400, 172_800, "feature-hash-v1"), (172_800, 172_800, "v2")}
 
 
+def silver_rows(spark, texts):
+    data = [(i, "s", t, str(hash(t)), len(t), f"h{i}") for i, t in texts.items()]
+    df = spark.createDataFrame(data, "doc_id string, source string, text string, content_hash string, char_count long, title string")
+    return inputs.as_silver(df, F.timestamp_seconds(F.lit(1)))
+
+
+def test_changes_reach_gold_and_embeddings(spark, folder):
+    """A document shrinks, another vanishes with its whole partition, one is new, one stays."""
+    silver, gold, embedded = (f"{folder}/{n}" for n in ("silver", "gold", "embeddings"))
+    store.create_table(spark, silver, "silver")
+    now, later = F.timestamp_seconds(F.lit(10)), F.timestamp_seconds(F.lit(20))
+    texts = {"aa1": "a" * 1200, "aa2": "b" * 4000, "zz9": "c" * 700, "aa3": "d" * 900}
+    jobs.apply_silver(spark, silver_rows(spark, texts), silver)
+    assert jobs.propagate(spark, silver, gold, embedded, now, dim=8, model_ver="v1") == {"new": 4}
+    jobs.embed_gold(spark, gold, embedded, now, dim=8, model_ver="v2")
+    jobs.apply_silver(spark, silver_rows(spark, {"aa1": "tiny", "aa2": "e" * 1600, "new": "f" * 600}), silver)
+    jobs.remove_documents(spark, spark.createDataFrame([("zz9",)], "doc_id string"), silver)
+    assert jobs.propagate(spark, silver, gold, embedded, later, dim=8, model_ver="v1") == {"changed": 2, "gone": 1, "new": 1}
+    chunks = {r["chunk_id"] for r in store.read_table(spark, gold, "gold").collect()}
+    assert chunks == {"aa2::0", "aa2::1", "aa3::0", "new::0"}
+    table = store.read_table(spark, embedded, "embeddings")
+    found = {(r["chunk_id"], r["embedding_model_ver"], r["u"]) for r in table.withColumn("u", F.unix_seconds("updated_at")).collect()}
+    assert found == {("aa2::0", "v1", 20), ("aa2::1", "v1", 20), ("new::0", "v1", 20), ("aa3::0", "v1", 10),
+                     ("aa2::0", "v2", 10), ("aa2::1", "v2", 10), ("aa3::0", "v2", 10)}
+    assert jobs.propagate(spark, silver, gold, embedded, later, dim=8, model_ver="v1") == {}
+    jobs.remove_documents(spark, spark.createDataFrame([("aa1",), ("aa2",), ("aa3",), ("new",)], "doc_id string"), silver)
+    jobs.propagate(spark, silver, gold, embedded, later, dim=8, model_ver="v1")
+    assert store.read_table(spark, gold, "gold").count() == store.read_table(spark, embedded, "embeddings").count() == 0
+
+
+def test_count_deltas(spark):
+    def counts(rows_):
+        return spark.createDataFrame(rows_, "k string, n long, m long")
+
+    stored = counts([("a", 2, 5), ("b", 1, 1), ("c", 3, 3)])
+    deltas = stats.count_deltas(counts([("a", 1, 2), ("b", 1, 1), ("c", 1, 1)]), counts([("a", 1, 4), ("d", 1, 1), ("c", 1, 1)]), ["k"], ["n", "m"])
+    assert rows(deltas) == [("a", 0, 2), ("b", -1, -1), ("d", 1, 1)]
+    assert rows(stats.merge_counts(stored, deltas, ["k"], ["n", "m"])) == [("a", 2, 7), ("c", 3, 3), ("d", 1, 1)]
+    assert rows(stats.version_rollup(spark.createDataFrame([], "embedding_model_ver string"))) == [("_total", 0)]
+
+
 def test_changed_content_replaces_the_silver_row(spark, folder):
     base = pages(spark, ["word " * 200])
     rows_ = landing.bronze_rows(base, F.timestamp_seconds(F.lit(1)))
