@@ -37,7 +37,7 @@ from tessera.llm.textops import stored
 #: Conversations that open like the first of their family, and its turns they may take at most.
 FAMILY, OPENING = 20, 4
 #: Turns hashed together, nodes a task finishes alone, ids of a piece of a long list.
-BLOCK, LOCAL, PIECE = 1024, 512, 4096
+BLOCK, LOCAL, PIECE = 1024, 256, 4096
 
 
 # --------------------------------------------------------------------------- rebuilt conversations
@@ -293,9 +293,9 @@ def trie(conversations: DataFrame, limit: int = LOCAL) -> DataFrame:
 
     n_children = F.coalesce("n_children", F.lit(0)).cast("long")
     whole = nodes.join(children, ["node", "depth"], "left").join(sizes, ["node", "depth"]).withColumn("n_children", n_children)
-    whole = stored(whole, "trie")
+    whole = stored(whole.withColumns({"top": root, "top_depth": F.lit(0).cast("long")}), "trie")
     live = whole.select(
-        root.alias("top"), F.lit(0).cast("long").alias("top_depth"), "node", "depth", "up", "size",
+        "top", "top_depth", "node", "depth", "up", "size",
         ((F.col("n_convs") - 1) * F.col("words")).alias("saved"), (F.col("n_children") == 0).cast("long").alias("leaves"),
     )
     totals = rolled_up(live, passes, limit)
