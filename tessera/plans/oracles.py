@@ -526,6 +526,8 @@ ORACLES: dict[str, str] = {
     "chunk_stats": f"""WITH {CHUNKS} SELECT count(*) AS n_docs, CAST(sum(c) AS BIGINT) AS n_chunks,
         round(avg(c), 6) AS avg_chunks_per_doc
         FROM (SELECT count(*) AS c FROM chunks GROUP BY doc_id)""",
+    "chunk_positions": f"""WITH {CHUNKS} SELECT chunk_id, doc_id, chunk_index,
+        row_number() OVER (ORDER BY doc_id, chunk_index) - 1 AS position FROM chunks""",
     "source_stats": f"""WITH {CHUNKS} SELECT source, count(DISTINCT doc_id) AS n_docs, count(*) AS n_chunks
         FROM chunks GROUP BY source""",
     "version_counts": """SELECT 'v1' AS embedding_model_ver, count(*) AS n FROM documents

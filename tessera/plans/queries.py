@@ -27,6 +27,7 @@ from tessera.operators import (
     hybrid,
     landing,
     metrics,
+    ordering,
     packing,
     ranking,
     response,
@@ -212,6 +213,13 @@ def paragraph_chunks(spark, d):
     )
 
 
+@query
+def chunk_positions(spark, d):
+    """Place of every chunk in the order of documents and their chunks."""
+    chunks = inputs.document_chunks(spark, d).select("chunk_id", "doc_id", "chunk_index")
+    return ordering.with_positions(chunks, [F.asc("doc_id"), F.asc("chunk_index")])
+
+
 @query
 def corpus_load(spark, d):
     files = wide_table(spark, d, "documents").select(

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import (
-    context, evaluation, frontier, history, landing, metrics, routing, stats, upsert,
+    context, evaluation, frontier, history, landing, metrics, ordering, routing, stats, upsert,
 )
 from tessera.plans import inputs, jobs
 from tessera.sources import bronze, markdown, store
@@ -251,6 +251,14 @@ def test_changes_reach_gold_and_embeddings(spark, folder):
     assert store.read_table(spark, gold, "gold").count() == store.read_table(spark, embedded, "embeddings").count() == 0
 
 
+def test_positions_are_gapless(spark):
+    df = spark.range(3000).select((F.col("id") * 7919 % 1009).alias("k"), "id").repartition(11)
+    found = sorted((r["position"], r["k"], r["id"]) for r in ordering.with_positions(df, [F.asc("k"), F.desc("id")]).collect())
+    assert [p for p, _, _ in found] == list(range(3000))
+    assert [(k, i) for _, k, i in found] == sorted(((i * 7919 % 1009, i) for i in range(3000)), key=lambda r: (r[0], -r[1]))
+    assert ordering.with_positions(df.limit(0), [F.asc("k")]).collect() == []
+
+
 def test_count_deltas(spark):
     def counts(rows_):
         return spark.createDataFrame(rows_, "k string, n long, m long")
