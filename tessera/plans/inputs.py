@@ -17,7 +17,7 @@ from tessera.operators.hybrid import attach_chunks, hybrid_search
 from tessera.operators.searchstore import SearchTables, read_search_tables, write_search_tables
 from tessera.session import shared_folder
 from tessera.plans import jobs
-from tessera.sources import store
+from tessera.sources import bronze, store
 from tessera.sources.tables import table, wide_table
 
 BASE_TIME = 1_704_067_200  # 2024-01-01 00:00:00 UTC
@@ -317,3 +317,49 @@ def benchmark_questions(spark: SparkSession, d: str) -> DataFrame:
         F.coalesce(F.get(answer_sentences(F.col("text")), F.lit(0)), F.col("text")).alias("query_text"),
         F.col("text").alias("answer"),
     )
+
+
+def reworked_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with nested blocks of one name, signs within attributes and named references put in."""
+    nested = '<nav data-x="1>2">n<nav title=\'</nav>\'>m</nav>left</nav><article data-k="3>4">'
+    link = F.concat(F.lit('</h1><a data-x="1>2" href=\'/w'), F.col("page_id").cast("string"), F.lit("&eacute;'></a>"))
+    body = F.replace(F.col("html"), F.lit("<article>"), F.lit(nested))
+    body = F.replace(body, F.lit("</h1>"), F.concat(F.lit(" &eacute;&hearts;&amp;lt;"), link))
+    return wide_table(spark, d, "pages").select("page_id", "url", body.alias("html"))
+
+
+def garbled_bodies(spark: SparkSession, d: str) -> str:
+    """Path of landed page bodies, every third with bytes that are no UTF-8."""
+    pages = source_pages(spark, d).join(table(spark, d, "pages").select("url", "page_id"), "url")
+    body = F.col("raw").cast("binary")
+    # a byte that never occurs in UTF-8, and a character that is cut off
+    garbled = F.concat(F.unhex(F.lit("FF")), body, F.unhex(F.lit("FE78E282")))
+    raw = F.when(F.col("page_id") % 3 == 0, garbled).otherwise(body)
+    key = F.concat(F.lit("page-"), F.col("page_id").cast("string"))
+    rows = pages.select("source", F.lit("2024-06-01").alias("date"), key.alias("raw_object_key"), raw.alias("raw"))
+    return written_once(spark, d, "bodies", lambda path: bronze.write_raw(rows, path))
+
+
+def mixed_records(spark: SparkSession, d: str) -> str:
+    """Path of landed JSON: documents as lines, benchmark items as indented objects.
+
+    Every tenth line and every seventh object lacks its last character.
+    """
+
+    def record(doc_id: Column, indented: bool) -> Column:
+        metadata = F.struct(doc_id.cast("string").alias("doc_id"), F.lit("crawl").alias("source"))
+        return F.to_json(F.struct(metadata.alias("metadata"), "text"), {"pretty": str(indented).lower()})
+
+    def cut(value: Column, nth: Column) -> Column:
+        return F.when(nth, F.substring(value, 1, F.char_length(value) - 1)).otherwise(value)
+
+    lines = table(spark, d, "documents").select(cut(record(F.col("doc_id"), False), F.col("doc_id") % 10 == 0).alias("value"))
+    objects = table(spark, d, "benchmark").select(
+        "item_id", cut(record(F.concat(F.lit("bench-"), F.col("item_id").cast("string")), True), F.col("item_id") % 7 == 0).alias("value")
+    )
+
+    def write(path: str) -> None:
+        lines.select(F.col("value")).write.option("compression", "none").text(f"{path}/lines-text")
+        objects.write.partitionBy("item_id").text(f"{path}/objects-text")
+
+    return written_once(spark, d, "records", write)

@@ -690,6 +690,30 @@ ORACLES: dict[str, str] = {
         FROM per_query JOIN wanted USING (lang) GROUP BY ranker""",
     "page_clean": f"""WITH {PAGE} SELECT page_id, title, {NEEDS_RENDER} AS needs_render,
         CAST(length(text) AS BIGINT) AS char_count, md5(text) AS text_md5 FROM page""",
+    # The pages' own text, with what was put in at the end of its first line.
+    "page_markup": f"""WITH {PAGE},
+        added AS (
+          SELECT page_id, CASE WHEN contains(text, chr(10))
+                   THEN substr(text, 1, instr(text, chr(10)) - 1) || ' é♥&lt;' || substr(text, instr(text, chr(10)))
+                   ELSE text || ' é♥&lt;' END AS text,
+                 string_split(replace(replace(html, '</h1>', '<a href="/w' || page_id || 'é">'), '&amp;', '&'), '<a href="') AS after
+          FROM page),
+        linked AS (SELECT page_id, text, list_transform(after[2:], lambda x: string_split(x, '"')[1]) AS links FROM added)
+        SELECT page_id, CAST(length(text) AS BIGINT) AS char_count, md5(text) AS text_md5,
+               CAST(len(links) AS BIGINT) AS n_links, md5(array_to_string(links, chr(10))) AS links_md5 FROM linked""",
+    "raw_bodies": f"""SELECT 'page-' || page_id AS raw_object_key, {HOST} AS source, '2024-06-01' AS date,
+               CAST(strlen(html) + CASE WHEN page_id % 3 = 0 THEN 5 ELSE 0 END AS BIGINT) AS byte_size,
+               CAST(length(body) AS BIGINT) AS char_count, md5(body) AS text_md5
+        FROM (SELECT *, CASE WHEN page_id % 3 = 0 THEN '\ufffd' || html || '\ufffdx\ufffd' ELSE html END AS body FROM pages)""",
+    "broken_records": """WITH landed AS (
+          SELECT 'line' AS form, doc_id % 10 = 0 AS cut, doc_id, text FROM documents
+          UNION ALL SELECT 'object', item_id % 7 = 0, item_id, text FROM benchmark),
+        states AS (
+          SELECT form, text, CASE WHEN cut THEN 'broken' WHEN doc_id IS NULL OR text IS NULL THEN 'incomplete'
+                   ELSE 'good' END AS state FROM landed)
+        SELECT form, state, count(*) AS n_records,
+               CAST(sum(CASE WHEN state = 'good' THEN length(text) END) AS BIGINT) AS text_chars
+        FROM states GROUP BY form, state""",
     "page_links": f"WITH {LINKS} SELECT url, link FROM links",
     "link_frontier": f"""WITH {LINKS},
         edge AS MATERIALIZED (

@@ -6,6 +6,7 @@ so that the SQL checks compare values and not type conventions.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -38,7 +39,7 @@ from tessera.operators import (
 )
 from tessera.plans import inputs, jobs
 from tessera.plans.inputs import at, big, md5_of
-from tessera.sources import markdown, store
+from tessera.sources import bronze, markdown, store
 from tessera.sources.tables import table, wide_table
 from tessera.streaming import incremental, request_metrics
 
@@ -612,6 +613,17 @@ def page_clean(spark, d):
     )
 
 
+@query
+def page_markup(spark, d):
+    """Text and link targets of pages with nested blocks, signs in attributes and named references."""
+    body = F.col("html")
+    parts = inputs.reworked_pages(spark, d).select("page_id", html.main_text(body).alias("text"), html.hrefs(body).alias("links"))
+    return parts.select(
+        "page_id", ids.char_count(F.col("text")).alias("char_count"), md5_of(F.col("text")).alias("text_md5"),
+        big(F.size("links")).alias("n_links"), md5_of(F.array_join("links", "\n")).alias("links_md5"),
+    )
+
+
 @query
 def page_links(spark, d):
     return frontier.page_links(wide_table(spark, d, "pages"))
@@ -665,6 +677,35 @@ def bronze_inventory(spark, d):
     return stats.inventory(_landing(spark, d))
 
 
+@query
+def raw_bodies(spark, d):
+    """Landed page bodies read back as text, bytes that are no UTF-8 among them."""
+    texts = bronze.raw_texts(spark, inputs.garbled_bodies(spark, d))
+    return texts.select(
+        "raw_object_key", "source", "date", big("byte_size").alias("byte_size"), ids.char_count(F.col("text")).alias("char_count"),
+        md5_of(F.col("text")).alias("text_md5"),
+    )
+
+
+@query
+def broken_records(spark, d):
+    """Landed lines and indented objects: good ones, and those in quarantine after two runs."""
+    root = inputs.mixed_records(spark, d)
+    counted = []
+    for form, indented in (("line", False), ("object", True)):
+        landed, path = f"{root}/{form}s-text", f"{root}/{form}s-quarantine-{uuid.uuid4().hex}"
+        for epoch in (inputs.BASE_TIME, inputs.NOW_TIME):
+            good = bronze.quarantine(spark, landed, path, at(epoch), indented, "*.txt")
+        kept = good.select(F.lit("good").alias("state"), ids.char_count(F.col("text")).alias("n"))
+        bad = bronze.read_quarantine(spark, path).select("state", F.char_length("record").cast("bigint").alias("n"))
+        counted.append(kept.unionByName(bad).withColumn("form", F.lit(form)))
+    every = counted[0].unionByName(counted[1])
+    # lengths of records depend on how JSON is written, so they are counted for good ones only
+    return every.groupBy("form", "state").agg(
+        F.count("*").alias("n_records"), F.sum(F.when(F.col("state") == "good", F.col("n"))).alias("text_chars")
+    )
+
+
 # --- jobs: stored tables after whole runs ---------------------------------------------
 
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.html import decode_utf8
 from tessera.operators.stats import with_counters
 from tessera.sources.store import clustered
 
+# --- fixed values: the fields of a landed record and their types -----------------
 METADATA = T.StructType(
     [
         T.StructField("doc_id", T.StringType()),
@@ -42,6 +44,57 @@ def read_bronze(spark: SparkSession, root: str, multi_line: bool = True) -> Data
     return reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(root)
 
 
+#: Where a record that is no JSON of the declared types is kept as it was read.
+BROKEN = "_broken"
+
+
+def read_checked(spark: SparkSession, root: str, multi_line: bool = True, names: str = "*.json") -> DataFrame:
+    """All landed records with their file; what cannot be parsed stands whole in ``_broken``.
+
+    A record is a line, or with ``multi_line`` a file (an array there gives a row for each
+    element).  A field of another type than declared breaks its record, too; blank lines
+    are no records.
+    """
+    reader = spark.read.schema(T.StructType([*BRONZE.fields, T.StructField(BROKEN, T.StringType())]))
+    reader = reader.option("multiLine", multi_line).option("columnNameOfCorruptRecord", BROKEN).option("mode", "PERMISSIVE")
+    rows = reader.option("recursiveFileLookup", True).option("pathGlobFilter", names).json(root)
+    return rows.withColumn("file", F.col("_metadata.file_path"))
+
+
+def with_state(checked: DataFrame) -> DataFrame:
+    """Adds ``state``: ``broken``, ``incomplete`` (without id or text) or ``good``."""
+    whole = F.col("metadata.doc_id").isNotNull() & F.col("text").isNotNull()
+    state = F.when(F.col(BROKEN).isNotNull(), "broken").when(whole, "good").otherwise("incomplete")
+    return checked.withColumn("state", state)
+
+
+QUARANTINE = "state string, file string, record string, found_at timestamp"
+
+
+def quarantine(
+    spark: SparkSession, root: str, path: str, found_at: Column, multi_line: bool = True, names: str = "*.json"
+) -> DataFrame:
+    """Store the records of ``root`` that cannot become documents below ``path``, return the good ones flattened.
+
+    A broken record is kept as it was read, an incomplete one as JSON of the declared
+    fields.  A second run over the same files adds nothing: records known by file and
+    content are left out.
+    """
+    rows = with_state(read_checked(spark, root, multi_line, names))
+    bad = rows.where("state <> 'good'").select(
+        "state", "file", F.coalesce(BROKEN, F.to_json(F.struct("metadata", "text"))).alias("record"), found_at.alias("found_at")
+    )
+    spark.createDataFrame([], QUARANTINE).write.mode("ignore").parquet(path)
+    known = spark.read.schema(QUARANTINE).parquet(path).select("file", F.xxhash64("record").alias("_record"))
+    fresh = bad.withColumn("_record", F.xxhash64("record")).join(known, ["file", "_record"], "left_anti")
+    fresh.select("state", "file", "record", "found_at").write.mode("append").option("compression", "zstd").parquet(path)
+    return flatten(rows.where("state = 'good'").drop("state", BROKEN))
+
+
+def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(QUARANTINE).parquet(path)
+
+
 def flatten(bronze: DataFrame) -> DataFrame:
     """Metadata fields as columns, the time parsed, rows without id or text dropped."""
     flat = bronze.select("metadata.*", "text")
@@ -75,6 +128,21 @@ def write_raw(rows: DataFrame, root: str, mode: str = "append") -> None:
     blobs.write.mode(mode).partitionBy("source", "date").parquet(f"{root.rstrip('/')}/raw")
 
 
+RAW = "raw_object_key string, raw binary, source string, date string"
+
+
+def read_raw(spark: SparkSession, root: str) -> DataFrame:
+    """Landed bodies with their key, source and date; the folders prune the scan."""
+    return spark.read.schema(RAW).parquet(f"{root.rstrip('/')}/raw")
+
+
+def raw_texts(spark: SparkSession, root: str) -> DataFrame:
+    """Landed bodies as text; bytes that are no UTF-8 become replacement characters."""
+    bodies = read_raw(spark, root)
+    text = decode_utf8(F.col("raw"))
+    return bodies.select("raw_object_key", "source", "date", F.octet_length("raw").alias("byte_size"), text.alias("text"))
+
+
 def landed_ids(spark: SparkSession, root: str) -> DataFrame:
     """``(source, doc_id)`` of everything landed, reading two metadata fields only."""
     ids = spark.read.schema(BRONZE).json(f"{root.rstrip('/')}/text")

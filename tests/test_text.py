@@ -186,3 +186,46 @@ def test_merge_attributes_later_keys_win(spark):
 def test_lower_column_names(spark):
     df = spark.createDataFrame([(1, 2)], "Chunk_ID int, DIST int")
     assert documents.lower_column_names(df).columns == ["chunk_id", "dist"]
+
+
+def test_markup_scan(spark):
+    """Nested blocks of one name, signs within attributes, raw elements, broken blocks."""
+    cases = {
+        "<nav>n<nav>m</nav>o</nav>x": "x",
+        "<body>a<nav>1<NAV class=q>2<nav>3</nav></nav>4</nav>b<aside>5</aside>c</body>": "abc",
+        '<body><nav data-x="1>2" title=\'</nav>\'>n</nav><p data-y="3>4">t</p></body>': "t",
+        "<body>a<nav>never closed</body>": "anever closed",
+        "<body>a<nav>1<nav>2</nav>b</body>": "ab",
+        "<body>a</nav>b<nav/>c</body>": "abc",
+        "<body>a<nav><aside>1</nav>b</aside>c</body>": "abc",
+        '<body>a<script>var n="<nav>";</script>b<!-- <script> -->c<style>p>q{}</style>d</body>': "abcd",
+        "<body>caf&eacute; &hearts;&amp;eacute; &bogus; &#233; a&b &notit; &NotEqualTilde;</body>": "café ♥&eacute; &bogus; é a&b &notit; ≂̸",
+        "<body>1 < 2 and 3 > 2</body>": "1 < 2 and 3 > 2",
+        "<body>a<nav</body>": "a<nav",
+        "": "",
+    }
+    got = values(spark, [(c,) for c in cases], html.main_text(F.col("a")))
+    assert dict(zip(cases, got, strict=True)) == cases
+    assert values(spark, [(None,)], html.main_text(F.col("a"))) == [None]
+
+
+def test_many_blocks_in_one_page(spark):
+    """Blocks across the bounds of the scan's own blocks, deep nesting and long attributes."""
+    flat = "<body>" + "".join(f"x{i} <nav><nav>a</nav>{i}</nav>" for i in range(700)) + "</body>"
+    deep = "<body>a" + "<nav>" * 1500 + "in" + "</nav>" * 1500 + "b</body>"
+    wide = "<body><p " + 'k="v>w" ' * 20_000 + ">t</p></body>"
+    got = values(spark, [(flat,), (deep,), (wide,)], html.main_text(F.col("a")))
+    assert got == [" ".join(f"x{i}" for i in range(700)), "ab", "t"]
+
+
+def test_link_targets(spark):
+    cases = {
+        '<a data-x="1>2" href="/w">': ["/w"],
+        "<a title=\"href='/no'\" href='/yes'>": ["/yes"],
+        '<a class="x"href=/bare>': ["/bare"],
+        '<!-- <a href="/c"> --><script>"<a href=\'/s\'>"</script><a\nHREF = "/n">': ["/n"],
+        '<a href="/q?a=1&amp;b=2&eacute;">': ["/q?a=1&b=2é"],
+        '<a data-href="/no">x</a><abbr href="/no"><a href>': [],
+    }
+    got = values(spark, [(c,) for c in cases], html.hrefs(F.col("a")))
+    assert dict(zip(cases, got, strict=True)) == cases
