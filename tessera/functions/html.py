@@ -96,7 +96,7 @@ def decode_entities(col: Column) -> Column:
     def joined(parts: Column) -> Column:
         return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
 
-    return F.when(col.contains("&"), bind(F.split(col, "&"), joined)).otherwise(col)
+    return bind(col, lambda text: F.when(text.contains("&"), bind(F.split(text, "&"), joined)).otherwise(text))
 
 
 def decode_utf8(raw: Column) -> Column:
@@ -244,4 +244,5 @@ def hrefs(html: Column) -> Column:
     """
     tags = F.regexp_extract_all(_without_raw(html, ["script", "style"]), F.lit(LINK_TAG), F.lit(0))
     quoted = F.filter(F.transform(tags, lambda t: F.regexp_extract(t, TARGET, 1)), lambda v: v != "")
-    return F.transform(quoted, lambda v: decode_entities(F.regexp_replace(v, "^[\"']|[\"']$", "")))
+    bare = lambda v: F.when(v.rlike("^[\"']"), F.substring(v, 2, F.char_length(v) - 2)).otherwise(v)
+    return F.transform(quoted, lambda v: decode_entities(bare(v)))
