@@ -338,3 +338,27 @@ def test_metrics_stream_equals_batch(spark):
         "ts", F.col("value"), request_metrics.config.GENERATION_BUCKETS, "1 day", "event_type")
     stream = request_metrics.run_available(spark, d)
     assert rows(stream.select(*batch.columns)) == rows(batch)
+
+
+def test_quarantine(spark, folder):
+    """Broken and incomplete records are kept once, good ones pass; a wrong type breaks its record."""
+    os.makedirs(folder + "/landed")
+    lines = [
+        '{"metadata": {"doc_id": "1"}, "text": "one"}', '{"metadata": {"doc_id": "2"}, "text": "tw', '{"metadata": {}, "text": "t"}', "",
+        '{"metadata": {"doc_id": "4", "byte_size": "many"}, "text": "t"}', '{"metadata": {"doc_id": "5"}, "text": null}',
+    ]
+    with open(f"{folder}/landed/a.json", "w") as f:
+        f.write("\n".join(lines))
+    for day in (1, 2):
+        good = bronze.quarantine(spark, folder + "/landed", folder + "/kept", F.timestamp_seconds(F.lit(day)), multi_line=False)
+        assert [(r["doc_id"], r["text"]) for r in good.collect()] == [("1", "one")]
+        kept = bronze.read_quarantine(spark, folder + "/kept").collect()
+        assert sorted(r["state"] for r in kept) == ["broken", "broken", "incomplete", "incomplete"]
+    assert {lines[1], lines[4]} <= {r["record"] for r in kept}
+
+
+def test_raw_bodies_are_read_back(spark, folder):
+    rows_ = [("s", "2024-06-01", "k1", bytearray(b"a\xffb")), ("s", "2024-06-02", "k2", bytearray("é".encode())), ("t", "2024-06-01", "k3", bytearray())]
+    bronze.write_raw(spark.createDataFrame(rows_, "source string, date string, raw_object_key string, raw binary"), folder)
+    got = {r["raw_object_key"]: (r["date"], r["byte_size"], r["text"]) for r in bronze.raw_texts(spark, folder).collect()}
+    assert got == {"k1": ("2024-06-01", 3, "a�b"), "k2": ("2024-06-02", 2, "é"), "k3": ("2024-06-01", 0, "")}
