@@ -27,18 +27,24 @@ from tessera.llm.textops import texts_of
 UNKNOWN = "und"
 #: n-grams of 1 to this many characters.
 LONGEST = 4
+#: The blank around a word; not 0, as an n-gram that begins with it would equal the one without.
+BLANK = 1
 #: Places of a profile, for languages and documents alike.
 PLACES = 400
 #: A language is learned from so many labelled texts at most, those with the least hash of their id.
 SAMPLE = 1500
+#: A text is taken for a language from this part of the score that 99 % of its learned texts reach.
+MARGIN = 0.5
+#: Letters from which a text's score can reject it.
+FEW = 20
 
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """For every code point: itself folded to 16 bits if a letter, else 0."""
+    """For every code point: a number of 16 bits above :data:`BLANK` if a letter, else 0."""
     codes = np.arange(0x110000, dtype=np.uint32)
     letter = np.array([chr(c).isalpha() for c in range(0x110000)])
-    return np.where(letter, codes % 65_521 + 1, 0).astype(np.uint64)
+    return np.where(letter, codes % 65_521 + 1 + BLANK, 0).astype(np.uint64)
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -51,17 +57,20 @@ def grams(text: str | None) -> np.ndarray:
     word = kept > 0
     if not word.any():
         return np.empty(0, np.uint64)
-    inside = word.copy()  # one blank on each side of a word
+    kept[~word] = BLANK
+    inside = word.copy()  # one blank before and after a word
     inside[1:] |= word[:-1]
     inside[:-1] |= word[1:]
-    same = np.flatnonzero(inside[1:] & inside[:-1] & ~word[1:] & ~word[:-1])
-    chars = kept[inside] if len(same) == 0 else np.delete(kept, np.concatenate((np.flatnonzero(~inside), same + 1)))
-    out, code = [chars[chars > 0]], chars
+    chars = kept[inside]
+    again = (chars[1:] == BLANK) & (chars[:-1] == BLANK)
+    if again.any():
+        chars = chars[np.concatenate(([True], ~again))]
+    out, code = [chars[chars > BLANK]], chars
     for n in range(2, LONGEST + 1):
         code = (code[:-1] << np.uint64(16)) | chars[n - 1 :]
         inner = np.ones(len(code), bool)
         for i in range(1, n - 1):  # a blank stands at an end of an n-gram only
-            inner &= chars[i : i + len(code)] > 0
+            inner &= chars[i : i + len(code)] > BLANK
         out.append(code[inner])
     return np.concatenate(out)
 
@@ -130,22 +139,32 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def sampled(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``doc_id, text, lang`` of the ``sample`` ids with the least hashes of each language, or of all if fewer.
+
+    Rows of a language are counted on the map side; the share of the hash range that holds a
+    fifth more than ``sample`` of them leaves a bounded rest to cut exactly, and what is cut at
+    travels as one row a language (as the profiles do).  No text is shuffled.  Where ids
+    repeat, a share may hold fewer than ``sample`` ids; all rows of a chosen id are taken.
+    """
+    known = labelled.select("doc_id", "text", "lang").where("lang is not null").withColumn("order", F.xxhash64("doc_id"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    share = F.least(F.lit(1.0), F.lit(sample * 1.2) / F.col("rows"))
+    edge = F.lit(-(2.0**63)) + F.lit(2.0**64) * share
+    near = known.select("lang", "order").join(F.broadcast(sizes.select("lang", edge.alias("edge"))), "lang").where("order <= edge")
+    first = Window.partitionBy("lang").orderBy("order")
+    nth = near.select("lang", "order").distinct().withColumn("nth", F.row_number().over(first))
+    last = nth.where(F.col("nth") <= sample).groupBy("lang").agg(F.max("order").alias("last"))
+    return known.join(F.broadcast(last), "lang").where("order <= last").select("doc_id", "text", "lang")
+
+
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> Profiles:
-    """Profiles from ``doc_id, text, lang``: at most ``sample`` texts for each language.
+    """Profiles from ``doc_id, text, lang``: the texts of at most ``sample`` ids for each language.
 
     The sample is chosen on ids alone.  Counting is distributed; the driver receives
     :data:`PLACES` codes for each language.
     """
-    known = labelled.where("lang is not null and text is not null")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        known.select("doc_id", "lang")
-        .withColumn("nth", F.row_number().over(first))
-        .where(F.col("nth") <= sample)
-        .select("doc_id", "lang")
-        .distinct()
-    )
-    texts = known.select("lang", "doc_id", "text").join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    texts = sampled(labelled, sample).select("lang", "text")
     counts = texts.mapInArrow(_tally, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     # codes in order as unsigned numbers, like the documents'
     place = Window.partitionBy("lang").orderBy(F.desc("n"), (F.col("code") < 0), "code")
@@ -156,6 +175,34 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Profiles:
     return Profiles(ranks)
 
 
+def least_scores(labelled: DataFrame, profiles: Profiles, sample: int = SAMPLE) -> dict[str, float]:
+    """For every language, the least score at which a text is taken for it.
+
+    That is :data:`MARGIN` of the score that 99 % of the texts learned from reach among
+    those predicted right; a language that none is predicted for has no limit.
+    """
+    found = identify(sampled(labelled, sample), profiles, pred="_pred", score="_score").where("_pred = lang")
+    rows = found.groupBy("lang").agg(F.percentile("_score", F.lit(0.01)).alias("low")).collect()
+    return {row["lang"]: MARGIN * row["low"] for row in rows}
+
+
+def recognised(docs: DataFrame, profiles: Profiles, limits: dict[str, float]) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language; columns as they are.
+
+    A text without a letter goes, and one whose score is below its language's limit; the
+    score of a text of fewer than :data:`FEW` letters says little, so such a text stays.
+    """
+    pred, score = "_language", "_language_score"
+    while {pred, score} & set(docs.columns):
+        pred, score = f"_{pred}", f"_{score}"
+    found = identify(docs, profiles, pred=pred, score=score)
+    limit = F.lit(0.0)
+    for language, least in sorted(limits.items()):
+        limit = F.when(F.col(pred) == language, F.lit(least)).otherwise(limit)
+    letters = F.length(F.regexp_replace("text", r"\P{L}+", ""))
+    return found.where((F.col(pred) != UNKNOWN) & ((F.col(score) >= limit) | (letters < FEW))).select(*docs.columns)
+
+
 def identify(docs: DataFrame, profiles: Profiles, pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the columns ``pred`` and ``score`` (0 to 1); its other columns stay as they are.
 
