@@ -11,7 +11,9 @@ holds a whole one; ``char_start`` is a part's place in the whole rendering.
 Defined results: rows without conversation or role are left out; a null turn number
 stands before all others; a null text is empty; turns of one number are ordered by role
 and text, and rows that repeat number, role and text count once; a conversation without
-participants, and an empty table, give no rows; other columns are not read.
+participants, and an empty table, give no rows; other columns are not read.  Characters
+of a name other than ASCII letters, digits, ``_``, ``.`` and ``-`` become ``_``; where that
+makes names of a conversation equal, all but the first in order get ``~2``, ``~3`` and so on.
 """
 
 from __future__ import annotations
@@ -35,9 +37,16 @@ def rotated_turns(turns: DataFrame) -> DataFrame:
         F.trim("role").alias("role"),
         F.replace(F.coalesce("text", F.lit("")), F.lit("<|im_"), F.lit("<| im_")).alias("text"),
     )
-    speakers = told.where(F.col("role") != SYSTEM).select("conv_id", F.col("role").alias("speaker")).distinct()
-    own = F.col("role") == F.col("speaker")
     name = F.regexp_replace("role", "[^A-Za-z0-9_.-]", "_")
+    alike = Window.partitionBy("conv_id", "name").orderBy("role")
+    roles = told.where(F.col("role") != SYSTEM).select("conv_id", "role", name.alias("name")).distinct()
+    roles = roles.withColumn("same", F.row_number().over(alike))
+    # names of those whose plain name an earlier one of the conversation has
+    later = F.struct("role", F.concat("name", F.lit("~"), F.col("same").cast("string")))
+    renamed = roles.where("same > 1").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(later)).alias("renamed"))
+    speakers = roles.select("conv_id", F.col("role").alias("speaker")).join(renamed, "conv_id", "left")
+    own = F.col("role") == F.col("speaker")
+    name = F.coalesce(F.try_element_at("renamed", F.col("role")), name)
     header = (
         F.when(own, F.lit("assistant"))
         .when(F.col("role") == SYSTEM, F.lit(SYSTEM))

@@ -34,12 +34,18 @@ WITH told AS (
   SELECT DISTINCT conv_id, CAST(floor(coalesce(turn, -1) / 256.0) AS BIGINT) AS part, turn, trim(role) AS role,
     replace(coalesce(text, ''), '<|im_', '<| im_') AS text
   FROM conversations WHERE conv_id IS NOT NULL AND role IS NOT NULL),
-speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM told WHERE role <> 'system'),
+plain AS (
+  SELECT DISTINCT conv_id, role, regexp_replace(role, '[^A-Za-z0-9_.-]', '_', 'g') AS name FROM told WHERE role <> 'system'),
+speakers AS (
+  SELECT conv_id, role AS speaker,
+    name || CASE WHEN same > 1 THEN '~' || CAST(same AS VARCHAR) ELSE '' END AS shown
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, name ORDER BY role) AS same FROM plain) AS counted),
 turned AS (
   SELECT t.conv_id, t.part, t.turn, t.role, t.text, s.speaker, t.role = s.speaker AS own,
     '<|im_start|>' || CASE WHEN t.role = s.speaker THEN 'assistant' WHEN t.role = 'system' THEN 'system'
-      ELSE 'user name=' || regexp_replace(t.role, '[^A-Za-z0-9_.-]', '_', 'g') END || chr(10) AS header
-  FROM told t JOIN speakers s ON s.conv_id = t.conv_id),
+      ELSE 'user name=' || n.shown END || chr(10) AS header
+  FROM told t JOIN speakers s ON s.conv_id = t.conv_id
+  LEFT JOIN speakers n ON n.conv_id = t.conv_id AND n.speaker = t.role),
 pieces AS (SELECT *, header || text || '<|im_end|>' || chr(10) AS piece FROM turned),
 placed AS (
   SELECT *, sum(length(piece)) OVER (PARTITION BY conv_id, speaker ORDER BY part, turn NULLS FIRST, role, text
