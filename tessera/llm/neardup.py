@@ -16,8 +16,8 @@ nor links of a group are ever listed.
 
 Defined results: a null text, or one without words, has the empty set, is linked with
 nothing, and is its own component; rows without an id are never linked and are kept, with
-null as component; rows with one id are one document as far as links go; an empty table
-gives no rows; columns other than doc_id and text are not read.
+null as component; rows with one id are one document, which links all sets it has (a row of
+it without words stands alone); an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -367,17 +367,18 @@ def _with_sets(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return found.groupBy("node").agg(*[F.min(c).alias(c) for c in ("n", "registers", "shingles")])
 
 
-def links(classes: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
+def links(classes: DataFrame, docs: DataFrame, size: int, threshold: float, known: DataFrame) -> DataFrame:
     """node and label of all classes that are linked to others; the least node of a component is its label.
 
-    ``classes`` has node, doc_id, text_hash, n and registers; ``docs`` doc_id, text_hash and text.
+    ``classes`` has node, doc_id, text_hash, n and registers; ``docs`` doc_id, text_hash and text;
+    ``known`` has links ``a, b`` that hold beforehand.
     """
-    spark, percent = classes.sparkSession, round(100 * threshold)
+    percent = round(100 * threshold)
     keys = classes.select("node", "registers").mapInArrow(_bands, "key long, band short, node binary").repartition("key")
     shared = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     members = stored(keys.join(shared, "key", "left_semi"), "members")
     if members.isEmpty():
-        return spark.createDataFrame([], "node binary, label binary")
+        return components(known)
     nodes = classes.join(members.select("node").distinct(), "node", "left_semi")
     sets = stored(_with_sets(nodes, docs, size), "sets")
 
@@ -421,7 +422,7 @@ def links(classes: DataFrame, docs: DataFrame, size: int, threshold: float) -> D
     met = as_member.union(as_pivot).join(sets.select("node", "registers", "shingles"), "node")
     runs = met.repartition("key", "mb", "pb").sortWithinPartitions("key", "mb", "pb")
     second = runs.mapInArrow(_block_linker(threshold, percent), "a binary, b binary")
-    return components(stored(first.union(second), "all-links"))
+    return components(stored(first.union(second).union(known), "all-links"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -433,9 +434,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> D
     row = F.min(F.struct("doc_id", "text_hash")).alias("row")
     classes = sets.groupBy("node").agg(row, F.min("n_shingles").alias("n"), F.min("registers").alias("registers"))
     classes = stored(classes.select("node", "row.*", "n", "registers"), "classes")
-    label_of = links(classes, docs, size, threshold)
+    # rows with one id but different texts are one document, which may stand in several classes
+    several = sets.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last")
+    known = stored(sets.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "known-links")
+    label_of = links(classes, docs, size, threshold, known)
     rooted = classes.join(label_of, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
-    # rows with one id but different texts are one document: it may stand in several classes
     least = rooted.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     known = rooted.join(least, "label").select("node", "component_id")
     return (
