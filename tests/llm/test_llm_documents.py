@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -46,6 +47,81 @@ def test_language_of_awkward_rows(spark):
     assert langid.Profiles({}).identify("text") == ("und", 0.0)
 
 
+def test_sample_is_exact(spark):
+    """The least hashes of each language, though one language and one id hold most rows."""
+    rows = [(i, "one" if i % 10 else "two") for i in range(4000)] + [(7, "one")] * 3000 + [(None, "two")] * 50 + [(1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string").withColumn("text", F.lit("a text"))
+    hashed = docs.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).collect()
+    for sample in (1, 60, 100_000):
+        found = Counter(tuple(r) for r in langid.sampled(docs.withColumn("edge", F.lit(0)), sample).select("lang", "doc_id").collect())
+        for lang in ("one", "two"):
+            of = sorted({r["h"] for r in hashed if r["lang"] == lang})
+            share = min(1.0, sample * 1.2 / sum(r["lang"] == lang for r in hashed))
+            near = [h for h in of if h <= -(2.0**63) + 2.0**64 * share][:sample]
+            assert {k: n for k, n in found.items() if k[0] == lang} == dict(
+                Counter((lang, r["doc_id"]) for r in hashed if r["lang"] == lang and r["h"] in near)
+            )
+    assert langid.sampled(docs.limit(0)).count() == 0
+
+
+def test_profiles_and_predictions_by_brute_force(spark):
+    """Profiles, distances and predictions recomputed from strings, over a whole table."""
+    folder = "/root/testdata/sf0.001"
+    docs = table(spark, folder, "documents")
+    rows = docs.select("doc_id", "text", "lang").collect()
+
+    def strings(text):
+        out = Counter()
+        for word in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+            out.update(word)
+            padded = f" {word} "
+            for n in (2, 3, 4):
+                out.update(padded[i : i + n] for i in range(len(padded) - n + 1))
+        return out
+
+    def code(gram):
+        """The number an n-gram has in the order of ties."""
+        number = 0
+        for c in gram:
+            number = number << 16 | (1 if c == " " else ord(c) % 65_521 + 2)
+        return number
+
+    def order(counts):
+        return sorted(counts, key=lambda g: (-counts[g], code(g)))[: langid.PLACES]
+
+    learned = {}
+    for r in rows:
+        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1:
+            learned.setdefault(r["lang"], Counter()).update(strings(r["text"]))
+    places = {lang: {g: i for i, g in enumerate(order(counts))} for lang, counts in learned.items()}
+    found = {r["doc_id"]: r for r in queries.QUERIES["op10_rank_order"](spark, folder).collect()}
+    assert len(found) == len(rows)
+    for r in rows:
+        own = order(strings(r["text"]))
+        far = {lang: sum(min(langid.PLACES, abs(at.get(g, 10**6) - i)) for i, g in enumerate(own)) for lang, at in places.items()}
+        best = min(sorted(far), key=far.get)
+        got = found[r["doc_id"]]
+        assert got["lang_pred"] == (best if own else "und")
+        assert got["score"] == pytest.approx(1 - far[best] / (langid.PLACES * len(own)) if own else 0.0)
+
+
+def test_texts_far_from_every_profile(spark):
+    rng = np.random.default_rng(3)
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    profiles = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
+    limits = langid.least_scores(docs.where(~langid.held_out(F.col("doc_id"))), profiles)
+    assert set(limits) == set(profiles.languages) and all(0.15 < v < 0.35 for v in limits.values())
+    junk = lambda letters, n: " ".join("".join(rng.choice(list(letters), 7)) for _ in range(n))
+    far = [junk("bcdfghjklmnpqrstvwxz", n) for n in (30, 300, 3000)] + [junk("абвгдежзиклмнопрстуфхцчшщыэюя", n) for n in (5, 50, 500)]
+    near = ["zq", "бв", "и", "xyz 12"]
+    rows = [(i, t) for i, t in enumerate(far)] + [(100 + i, t) for i, t in enumerate(near)] + [(200, None), (201, ""), (202, "12 !")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_language", F.lit("own"))
+    kept = langid.recognised(odd, profiles, limits)
+    assert kept.columns == odd.columns and {tuple(r) for r in kept.collect()} == {(100 + i, t, "own") for i, t in enumerate(near)}
+    assert langid.recognised(docs, profiles, limits).count() == docs.count()
+    assert langid.least_scores(docs.limit(0), profiles) == {}
+
+
 def test_out_of_place_distance():
     """Counted by hand over the same n-grams."""
     text = "ab abc"
@@ -167,6 +243,16 @@ def test_near_duplicates_of_groups_and_chains(spark):
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == brute_components(rows, 4, 80)
 
 
+def test_rows_of_one_id_link_their_texts(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{n}" for n in rng.integers(10**6, size=40)) for _ in range(5)]
+    rows = [(1, texts[0]), (2, texts[1]), (10, texts[0]), (10, texts[1]), (10, texts[2]), (10, None), (3, texts[2] + " and"), (4, texts[3]), (5, texts[4])]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["component_id"]) for r in found.collect()) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)] + [(10, 1)] * 3 + [(10, 10)]
+    alone = neardup.near_duplicates(spark.createDataFrame([(10, texts[0]), (10, texts[1]), (4, texts[3])], "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in alone.collect()) == [(4, 4, True), (10, 10, True), (10, 10, True)]
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     docs = documents(spark)
     found = neardup.near_duplicates(docs, size=5, threshold=0.8).collect()

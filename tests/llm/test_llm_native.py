@@ -306,6 +306,20 @@ def test_rotation_of_awkward_rows(spark):
     assert chat.render(turns.limit(0)).count() == 0
 
 
+def test_names_stay_apart(spark):
+    rows = [(1, 0, "A b", "x"), (1, 1, "A_b", "y"), (1, 2, "A\u00e9b", "z"), (1, 3, "A-b", "w"), (2, 0, "A_b", "v"), (2, 1, "C", "u"), (2, 2, "system", "s")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {k[:2]: re.findall(r"<\|im_start\|>(.*)\n", v[3]) for k, v in got(chat.render(turns)).items()}
+    assert found == {
+        (1, "A b"): ["assistant", "user name=A_b~2", "user name=A_b~3", "user name=A-b"],
+        (1, "A_b"): ["user name=A_b", "assistant", "user name=A_b~3", "user name=A-b"],
+        (1, "A\u00e9b"): ["user name=A_b", "user name=A_b~2", "assistant", "user name=A-b"],
+        (1, "A-b"): ["user name=A_b", "user name=A_b~2", "user name=A_b~3", "assistant"],
+        (2, "A_b"): ["assistant", "user name=C", "system"],
+        (2, "C"): ["user name=A_b", "assistant", "system"],
+    }
+
+
 # ---------------------------------------------------------------- pipeline
 
 
