@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.textops import mix
@@ -30,8 +30,8 @@ CLASSES, PAIRS = 14, 64
 FEATURES = CLASSES + PAIRS + 4
 #: Documents learned from at most: the labelled ones with the least hash of their id.
 TRAIN_DOCS = 6000
-#: Passages of one of them at most, evenly spread over its text.
-TRAIN_PASSAGES = 32
+#: Bytes of their texts together at most, and of the rows of one of them; a longer one is not learned from.
+TRAIN_BYTES, TRAIN_ROW = 32 << 20, 1 << 19
 
 
 def _byte_classes() -> np.ndarray:
@@ -118,6 +118,25 @@ class AttentionModel:
         return self.forward(*encode_passages(texts))["score"].astype(np.float64)
 
 
+def gradients(model: AttentionModel, x: np.ndarray, first: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean logistic loss of some documents, for every weight that is learned."""
+    w, size = model.weights, np.diff(first)
+    f = model.forward(x, first)
+    error = (f["score"] - labels) / len(labels)
+    spread = np.repeat(error[:, None] * w["out"], size, axis=0)
+    value = (spread * f["h"]).sum(1)
+    mean = np.repeat(np.add.reduceat(f["a"] * value, first[:-1]), size)
+    de = f["a"] * (value - mean)
+    dt = (de[:, None] * w["att"]) * f["g"] * (1 - f["t"] ** 2)
+    dg = (de[:, None] * w["att"]) * f["t"] * f["g"] * (1 - f["g"])
+    dh = (spread * f["a"][:, None] + dt @ w["tan"].T + dg @ w["gate"].T) * (1 - f["h"] ** 2)
+    scaled = (x - w["mean"]) / w["scale"]
+    return {
+        "enc": scaled.T @ dh, "enc_b": dh.sum(0), "tan": f["h"].T @ dt, "gate": f["h"].T @ dg,
+        "att": (f["t"] * f["g"]).T @ de, "out": f["z"].T @ error, "out_b": np.array([error.sum()]),
+    }
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, attention: int = 12, epochs: int = 25) -> AttentionModel:
     """Adam on the logistic loss of the documents, in the order of a fixed seed."""
     if len(labels) == 0 or labels.min() == labels.max():
@@ -137,25 +156,9 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, attention:
         for at in range(0, len(order), 64):
             chosen = order[at : at + 64]
             x = np.concatenate([bags[i] for i in chosen])
-            size = np.array([len(bags[i]) for i in chosen])
-            first = np.concatenate(([0], np.cumsum(size)))
-            f = model.forward(x, first)
-            error = (f["score"] - labels[chosen]) / len(chosen)
-            dz = error[:, None] * w["out"]
-            spread = np.repeat(dz, size, axis=0)
-            value = (spread * f["h"]).sum(1)
-            mean = np.repeat(np.add.reduceat(f["a"] * value, first[:-1]), size)
-            de = f["a"] * (value - mean)
-            dt = (de[:, None] * w["att"]) * f["g"] * (1 - f["t"] ** 2)
-            dg = (de[:, None] * w["att"]) * f["t"] * f["g"] * (1 - f["g"])
-            dh = (spread * f["a"][:, None] + dt @ w["tan"].T + dg @ w["gate"].T) * (1 - f["h"] ** 2)
-            scaled = (x - fixed["mean"]) / fixed["scale"]
-            grads = {
-                "enc": scaled.T @ dh, "enc_b": dh.sum(0), "tan": f["h"].T @ dt, "gate": f["h"].T @ dg,
-                "att": (f["t"] * f["g"]).T @ de, "out": f["z"].T @ error, "out_b": np.array([error.sum()]),
-            }
+            first = np.concatenate(([0], np.cumsum([len(bags[i]) for i in chosen])))
             step += 1
-            for k, g in grads.items():
+            for k, g in gradients(model, x, first, labels[chosen]).items():
                 g = g + 1e-4 * w[k]
                 moment[k] = 0.9 * moment[k] + 0.1 * g
                 square[k] = 0.999 * square[k] + 0.001 * g * g
@@ -167,19 +170,23 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             rows, _ = encode_passages([text.as_py()])
-            if len(rows) > TRAIN_PASSAGES:
-                rows = rows[np.linspace(0, len(rows) - 1, TRAIN_PASSAGES).astype(int)]
             yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([rows.tobytes()], pa.binary())], ["label", "rows"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS) -> AttentionModel:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality).
 
-    At most ``sample`` documents and :data:`TRAIN_PASSAGES` passages of each reach the
+    All passages of at most ``sample`` documents of :data:`TRAIN_BYTES` together reach the
     driver.  A document with labels of both values counts as bad.
     """
     marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    first = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    bytes_ = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("size")
+    sizes = docs.select("doc_id", "text").join(first, "doc_id").groupBy("doc_id", "label").agg(bytes_)
+    # a running sum over at most `sample` narrow rows
+    until = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    fitting = sizes.where(F.col("size") <= TRAIN_ROW).withColumn("total", F.sum("size").over(until))
+    chosen = fitting.where(F.col("total") <= TRAIN_BYTES).select("doc_id", "label")
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("label", "text")
     found = texts.mapInArrow(_bags, "label int, rows binary").collect()
     found.sort(key=lambda r: (bytes(r["rows"]), r["label"]))

@@ -183,6 +183,63 @@ def test_attention_gradient_is_that_of_the_loss():
     assert np.allclose(np.add.reduceat(forward["a"], first[:-1]), 1)
 
 
+def test_gradients_and_forward_pass_by_brute_force():
+    """Finite differences of the loss, which a plain loop computes."""
+    rng = np.random.default_rng(4)
+    bags = [rng.random((n, quality.FEATURES)) for n in (1, 4, 2)]
+    labels = np.array([1.0, 0.0, 1.0])
+    model = quality.fit([b.astype(np.float32) for b in bags], labels, hidden=5, attention=3, epochs=2)
+    w = model.weights
+
+    def plain(bag):
+        codes, marks = [], []
+        for row in bag:
+            h = np.tanh(sum((row[i] - w["mean"][i]) / w["scale"][i] * w["enc"][i] for i in range(len(row))) + w["enc_b"])
+            codes.append(h)
+            marks.append(sum(np.tanh(h @ w["tan"][:, j]) / (1 + np.exp(-(h @ w["gate"][:, j]))) * w["att"][j] for j in range(3)))
+        share = [np.exp(m) / sum(np.exp(m) for m in marks) for m in marks]
+        z = sum(s * h for s, h in zip(share, codes, strict=True))
+        return 1 / (1 + np.exp(-(z @ w["out"] + w["out_b"][0])))
+
+    def loss():
+        scores = [plain(b) for b in bags]
+        return -np.mean([np.log(s) if y else np.log(1 - s) for s, y in zip(scores, labels, strict=True)])
+
+    rows, first = np.concatenate(bags), np.concatenate(([0], np.cumsum([len(b) for b in bags])))
+    assert np.allclose(model.forward(rows, first)["score"], [plain(b) for b in bags])
+    for name, slope in quality.gradients(model, rows, first, labels).items():
+        for at in list(np.ndindex(w[name].shape))[:: max(1, w[name].size // 12)]:
+            kept = w[name][at]
+            sides = []
+            for change in (1e-5, -1e-5):
+                w[name][at] = kept + change
+                sides.append(loss())
+            w[name][at] = kept
+            assert slope[at] == pytest.approx((sides[0] - sides[1]) / 2e-5, abs=1e-7)
+
+
+def test_quality_sample_is_bounded_by_bytes(spark, monkeypatch):
+    """Whole documents in hash order, without those too long, until the bytes are used up."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, labels: seen.append((bags, labels)))
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 20_000)
+    monkeypatch.setattr(quality, "TRAIN_ROW", 6_000)
+    rows = [(i, "x" * (700 * i)) for i in range(12)] + [(3, "é"), (4, None)]
+    labels = [(i, i % 2) for i in range(12)]
+    docs, marked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    quality.learn(docs, marked)
+    total, wanted = 0, []
+    order = {r["doc_id"]: r["h"] for r in marked.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    for i in sorted(range(12), key=order.get):
+        size = sum(len((t or "").encode()) for d, t in rows if d == i)
+        if size <= 6_000:
+            total += size
+            if total <= 20_000:
+                wanted += [(max(1, -(-len((t or "").encode()) // quality.PASSAGE)), i % 2) for d, t in rows if d == i]
+    (bags, got_labels), = seen
+    assert sorted(zip([len(b) for b in bags], got_labels, strict=True)) == sorted(wanted) and len(wanted) < len(rows)
+
+
 # ---------------------------------------------------------------- near duplicates
 
 
