@@ -180,14 +180,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS) -> Atten
     driver.  A document with labels of both values counts as bad.
     """
     marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
+    # at most `sample` narrow rows, so they are broadcast and no text is shuffled
     first = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     bytes_ = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("size")
-    sizes = docs.select("doc_id", "text").join(first, "doc_id").groupBy("doc_id", "label").agg(bytes_)
+    sizes = docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").groupBy("doc_id", "label").agg(bytes_)
     # a running sum over at most `sample` narrow rows
     until = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     fitting = sizes.where(F.col("size") <= TRAIN_ROW).withColumn("total", F.sum("size").over(until))
     chosen = fitting.where(F.col("total") <= TRAIN_BYTES).select("doc_id", "label")
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("label", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
     found = texts.mapInArrow(_bags, "label int, rows binary").collect()
     found.sort(key=lambda r: (bytes(r["rows"]), r["label"]))
     bags = [np.frombuffer(bytes(r["rows"]), np.float32).reshape(-1, FEATURES) for r in found]
