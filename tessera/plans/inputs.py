@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera import config
 from tessera.functions import chunking, ids, url
 from tessera.functions.grounding import answer_sentences
+from tessera.operators.dense import dense_search
 from tessera.operators.documents import assemble_pages, explode_strings
 from tessera.operators.embedding import hash_embed
 from tessera.operators.hybrid import attach_chunks, hybrid_search
@@ -127,6 +128,13 @@ def hybrid_rows(spark: SparkSession, d: str, k: int = config.TOP_K) -> DataFrame
     return attach_chunks(hybrid_hits(tables, benchmark_queries(spark, d), k), chunk_rows(tables))
 
 
+def dense_rows(spark: SparkSession, d: str, k: int = config.TOP_K) -> DataFrame:
+    """Nearest rows of every benchmark query with their chunk columns."""
+    tables = chunk_tables(spark, d)
+    asked = embedded(benchmark_queries(spark, d), "query_text")
+    return attach_chunks(dense_search(tables.vectors, asked, k, dim=config.EMBED_DIM), chunk_rows(tables))
+
+
 def base_documents(spark: SparkSession, d: str) -> DataFrame:
     """The stored documents of the upsert queries."""
     docs = table(spark, d, "documents")

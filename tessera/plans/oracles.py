@@ -633,6 +633,10 @@ ORACLES: dict[str, str] = {
         SELECT query_id, rrf_rank AS position, chunk_id, doc_id, source, chunk_index,
                round(rrf_score, 4) AS score, substr(head, 1, {config.RESPONSE_HEAD_CHARS}) AS text_head
         FROM hits""",
+    "search_response_dense": f"""WITH {ASKED}, {hybrid('asked')}
+        SELECT h.query_id, h.rk AS position, c.chunk_id, CAST(c.doc_id AS VARCHAR) AS doc_id, c.source, c.chunk_index,
+               round(1 - h.distance, 4) AS score, substr(c.text, 1, {config.RESPONSE_HEAD_CHARS}) AS text_head
+        FROM dense_hits h JOIN chunks c USING (chunk_id) WHERE h.rk <= {config.TOP_K}""",
     "search_response_json": f"""{HYBRID_ROWS}
         SELECT query_id, 'hybrid' AS mode, count(*) AS n_results,
                CAST(to_json(list({{'chunk_id': chunk_id, 'source': source, 'chunk_index': chunk_index,

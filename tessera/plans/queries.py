@@ -490,6 +490,12 @@ def search_response(spark, d):
     return rows.withColumn("position", big("position")).drop("title", "source_url")
 
 
+@query
+def search_response_dense(spark, d):
+    rows = response.response_rows(inputs.dense_rows(spark, d), "dense", "rank")
+    return rows.withColumn("position", big("position")).drop("title", "source_url")
+
+
 @query
 def search_response_json(spark, d):
     answered = response.search_response(
