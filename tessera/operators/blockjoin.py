@@ -29,6 +29,8 @@ from tessera.operators.ranking import top_k_per_key
 RANK_DIGITS = config.RANK_DIGITS
 #: Bytes of the vectors of a block, and query blocks whose best rows a task holds at once.
 BLOCK_BYTES, HELD = 1 << 20, 64
+#: Bytes of queries' vectors that are broadcast at most.
+BROADCAST_BYTES = 1 << 25
 
 
 def as_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -112,8 +114,8 @@ def _order(ids: pa.Array) -> np.ndarray:
     return rank
 
 
-class _Best:
-    """The k rows of least (distance, id) for each query of a block so far."""
+class BestRows:
+    """The k rows of least (key, id) for each query of a block so far; rows with an infinite key are none."""
 
     def __init__(self, queries: pa.Array, k: int) -> None:
         self.queries, self.k = queries, k
@@ -124,7 +126,7 @@ class _Best:
         rounded = np.round(keys, RANK_DIGITS)
         if len(ids) > self.k:
             kth = np.partition(rounded, self.k - 1, axis=1)[:, self.k - 1]
-            query, row = np.nonzero(rounded <= kth[:, None])
+            query, row = np.nonzero((rounded <= kth[:, None]) & (rounded < np.inf))
         else:
             query, row = np.nonzero(rounded < np.inf)
         taken = _take(ids, row)
@@ -151,14 +153,14 @@ def best_of_pairs(
     names = [query_field.name, id_field.name, key_col]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: OrderedDict[int, _Best] = OrderedDict()
+        held: OrderedDict[int, BestRows] = OrderedDict()
         for batch in batches:
             for i in range(batch.num_rows):
                 number, asked, q, ids, v = (batch.column(j)[i] for j in range(5))
                 if number.as_py() not in held:
                     if len(held) == HELD:
                         yield held.popitem(last=False)[1].result(names)
-                    held[number.as_py()] = _Best(asked.values, k)
+                    held[number.as_py()] = BestRows(asked.values, k)
                 held.move_to_end(number.as_py())
                 left = np.frombuffer(q.as_buffer(), np.float64).reshape(-1, dim)
                 right = np.frombuffer(v.as_buffer(), np.float64).reshape(-1, dim)
@@ -182,8 +184,13 @@ def nearest_rows(
 ) -> DataFrame:
     """Exact search: every block of queries meets every block of the corpus once.
 
-    ``groups`` is the number of keys, by default that of the shuffle's partitions.
+    Queries whose vectors have :data:`BROADCAST_BYTES` together at most (counted) go to the blocks of the corpus
+    where these are.  Otherwise ``groups`` is the number of keys, by default that of the shuffle's partitions.
     """
+    if groups is None and queries.count() * dim * 8 <= BROADCAST_BYTES:
+        asked = _asked(packed(queries, query_col, vector_col, dim, most=max_queries))
+        pairs = packed(corpus, id_col, vector_col, dim).crossJoin(F.broadcast(asked))
+        return best_of_pairs(pairs, corpus.schema[id_col], queries.schema[query_col], dim, k, key_col, salts)
     groups = groups or int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = packed(corpus, id_col, vector_col, dim).withColumn("group", F.pmod(F.xxhash64("number"), F.lit(groups)))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))

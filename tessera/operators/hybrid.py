@@ -12,6 +12,7 @@ from tessera.functions.text import head
 from tessera.operators.dense import dense_search
 from tessera.operators.fusion import reciprocal_rank_fusion
 from tessera.operators.textindex import TextStats, text_search
+from tessera.session import written
 
 
 def hybrid_search(
@@ -58,8 +59,12 @@ def attach_chunks(
 ) -> DataFrame:
     """Fetch the chunk columns of ranked rows, the text cut to its head.
 
-    ``ranked`` has at most k rows per query; adaptive execution sees how few they are.
+    ``ranked`` has at most k rows per query; they are stored and counted, and few go to the
+    chunks by broadcast, so the chunks are not shuffled.
     """
+    ranked = written(ranked, "ranked")
+    if ranked.count() <= config.BROADCAST_ROWS:
+        ranked = F.broadcast(ranked)
     body = [F.col(c) for c in chunks.columns if c != text_col]
     found = chunks.select(*body, head(F.col(text_col), head_chars).alias("chunk_text_head"))
     return found.join(ranked, id_col)

@@ -1,7 +1,7 @@
 """Search tables: chunks with their terms, vectors and postings, written once and read by every search.
 
-One table holds everything about a chunk, another the postings sorted by term, so a search
-reads the columns it needs of the terms it asks for.  The counts of the terms stand beside.
+One table holds everything about a chunk, another the postings in blocks of chunks, so a search
+reads the columns it needs.  The counts of the terms stand beside.  Only those are shuffled.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera import config
 from tessera.functions.text import tokens
 from tessera.functions.vectors import hash_vector
-from tessera.operators.textindex import FILTER_COLUMNS, TextStats, postings, text_stats
+from tessera.operators.textindex import FILTER_COLUMNS, TextStats, blocks_of, text_stats
 
 
 class SearchTables(NamedTuple):
@@ -38,8 +38,8 @@ def write_search_tables(
 ) -> None:
     """Tokenise and embed ``chunks`` once and write them with their postings and the counts of their terms.
 
-    Postings are sorted by term over all files, so a term with very many is in several
-    files and a search skips the files whose terms it does not ask for.
+    Postings are inverted lists of the chunks that a task reads, so no posting is shuffled or
+    sorted with those of others; a term with very many is in many blocks.
     """
     root, spark = path.rstrip("/"), chunks.sparkSession
     termed = chunks.withColumn("terms", tokens(F.coalesce("text", F.lit(""))))
@@ -47,9 +47,8 @@ def write_search_tables(
     whole.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/chunks")
     kept = [c for c in FILTER_COLUMNS if c in chunks.columns]
     index = spark.read.parquet(f"{root}/chunks").select(id_col, *kept, "terms", "n_terms")
-    by_term = postings(index, id_col).repartitionByRange("term", id_col).sortWithinPartitions("term", id_col)
-    by_term.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/postings")
-    stats = text_stats(index, spark.read.parquet(f"{root}/postings"))
+    blocks_of(index, id_col).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/postings")
+    stats = text_stats(index, spark.read.parquet(f"{root}/postings"), id_col)
     stats.terms.write.mode("overwrite").parquet(f"{root}/terms")
     stats.totals.write.mode("overwrite").parquet(f"{root}/totals")
 

@@ -1,12 +1,12 @@
-"""Full-text statistics, term matching and BM25 search as joins on postings.
+"""Full-text statistics, term matching and BM25 search on postings.
 
-A search joins the terms of its queries with the postings of those terms.  Asked terms that
-are few enough (counted, see ``BROADCAST_ROWS``) travel to postings dealt by text, so that a
-text's scores add up where it lies.  Beyond that both sides are shuffled by term: a term in
-many texts, or asked by many queries, is salted on both sides, so no key has more than a
-bounded number of postings or queries.
+Asked terms that are few enough (counted, see ``BROADCAST_ROWS``) travel to postings in blocks
+of texts (see ``termblocks``), so that a text's scores add up where it lies and a task keeps k
+rows a query, however many texts match.  Beyond that postings are rows and both sides are
+shuffled by term: a term in many texts, or asked by many queries, is salted on both sides, so
+no key has more than a bounded number of postings or queries.
 
-Where the terms of all queries have very many postings together, ranking drops candidates by
+Where the terms of all queries have very many postings together, that join drops candidates by
 upper bounds: the rarest terms of a query give a score its k-th best text reaches at least,
 and a text that has only terms whose upper bounds together stay below that is no candidate.
 The postings of frequent terms are then looked up for the remaining candidates only.
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera import config
 from tessera.functions.text import query_terms, tokens
+from tessera.operators import termblocks
 from tessera.operators.ranking import top_k_per_key
 from tessera.session import written
 
@@ -67,7 +68,7 @@ VERSION = "embedding_model_ver"
 def postings(index: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """``(term, id, tf, n_terms)``: the inverted form, with the columns searches filter on.
 
-    Store it sorted by term (see ``searchstore``) to search a corpus repeatedly.
+    Store :func:`blocks_of` an index (see ``searchstore``) to search a corpus repeatedly.
     """
     kept = [c for c in FILTER_COLUMNS if c in index.columns and c != id_col]
     return (
@@ -77,15 +78,37 @@ def postings(index: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     )
 
 
-def text_stats(index: DataFrame, posted: DataFrame) -> TextStats:
+def _kept(columns: Sequence[str], id_col: str) -> list[str]:
+    return [c for c in FILTER_COLUMNS if c in columns and c != id_col]
+
+
+def _version(columns: Sequence[str], id_col: str) -> str | None:
+    return VERSION if VERSION in _kept(columns, id_col) else None
+
+
+def blocks_of(index: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """:func:`postings` in blocks of texts, each of one version."""
+    return termblocks.term_blocks(
+        index, id_col, _kept(index.columns, id_col), _version(index.columns, id_col), lambda rows: postings(rows, id_col)
+    )
+
+
+def _rows_of(blocks: DataFrame, id_col: str) -> DataFrame:
+    return termblocks.block_rows(blocks, id_col, _kept(blocks.columns, id_col), _version(blocks.columns, id_col))
+
+
+def text_stats(index: DataFrame, posted: DataFrame, id_col: str = "chunk_id") -> TextStats:
     """The counts a search needs, to be written out beside the postings; by version, if rows have one.
 
     ``max_tf`` and ``min_terms`` bound what a term can add to any score.
     """
     version = [VERSION] if VERSION in index.columns else []
-    terms = posted.groupBy("term", *version).agg(
-        F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"), F.min("n_terms").alias("min_terms")
-    )
+    if termblocks.is_blocks(posted):
+        terms = termblocks.block_terms(posted, _version(posted.columns, id_col))
+    else:
+        terms = posted.groupBy("term", *version).agg(
+            F.count("*").alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"), F.min("n_terms").alias("min_terms")
+        )
     totals = index.groupBy(*version).agg(F.count("*").alias("n_docs"), F.sum("n_terms").alias("total_terms"))
     return TextStats(terms, totals)
 
@@ -261,6 +284,9 @@ def _with_reach(weighted: DataFrame, threshold: DataFrame, query_col: str) -> Da
 
 def _has_phrase(candidates: DataFrame, index: DataFrame, queries: DataFrame, id_col: str, query_col: str, text_col: str) -> DataFrame:
     """Candidates whose text has the terms of the query one after another."""
+    candidates = written(candidates, "candidates")
+    if candidates.count() <= config.BROADCAST_ROWS:
+        candidates = F.broadcast(candidates)
     phrase = queries.select(query_col, F.concat(F.lit(" "), F.array_join(query_terms(F.col(text_col)), " "), F.lit(" ")).alias("phrase"))
     wanted = candidates.join(phrase, query_col)
     line = F.concat(F.lit(" "), F.array_join("terms", " "), F.lit(" "))
@@ -292,24 +318,37 @@ def text_search(
     """``(query, id, fts_score, rank)`` by BM25, best first, ties by id.
 
     ``mode``: any term, all terms, or the terms as a phrase.  ``index`` is a
-    :func:`forward_index`, ``posted`` its stored :func:`postings` (else they are made of
-    it).  With ``model_ver`` the search knows the rows of that version only, in its
+    :func:`forward_index`, ``posted`` its stored :func:`blocks_of` or :func:`postings` (else
+    blocks are made of it).  With ``model_ver`` the search knows the rows of that version only, in its
     statistics and its results; ``where`` only restricts which rows may be returned, by
     columns that the postings have.  ``stats`` are the stored counts of the index.
-    Upper bounds are used beyond ``max_matches`` postings of all queries' terms, counted once
-    for each query; at most ``max_broadcast`` asked terms are broadcast.
+    At most ``max_broadcast`` asked terms go to the blocks.  With more, or with ``where``, postings
+    are joined row by row; upper bounds are used there beyond ``max_matches`` postings of all
+    queries' terms, counted once for each query.
 
-    Texts that have all terms are sought among those that have the rarest; a phrase is
-    looked for in those texts only.
+    Texts that have all terms are sought among those that have the rarest, where rows are joined;
+    a phrase is looked for in those texts only.
     """
     if mode not in MATCH_MODES:
         raise ValueError(f"mode must be one of {MATCH_MODES}")
-    posted = postings(index, id_col) if posted is None else posted
-    if model_ver is not None:
+    if posted is None:
+        index = index if model_ver is None else index.where(F.col(VERSION) == model_ver)
+        posted = written(blocks_of(index, id_col), "term-blocks")
+    elif model_ver is not None:
         index, posted = index.where(F.col(VERSION) == model_ver), posted.where(F.col(VERSION) == model_ver)
+    blocks = posted if termblocks.is_blocks(posted) else None
+    posted = _rows_of(posted, id_col) if blocks is not None else posted
     terms, totals = (None, corpus_stats(index)) if stats is None else of_version(stats, model_ver)
     weighted = weighted_terms(queries, posted, totals, query_col, text_col, stop_words, terms, k1, b)
     weighted, n_asked, n_matches = _counted(weighted)
+    if blocks is not None and where is None and n_asked <= max_broadcast:
+        groups, field = _asked_groups(weighted, query_col, max_queries), queries.schema[query_col]
+        if mode == "phrase":
+            found = termblocks.whole_matches(blocks, groups, id_col, field, k1, b)
+            found = _has_phrase(found, index, queries, id_col, query_col, text_col)
+        else:
+            found = termblocks.best_texts(blocks, groups, id_col, field, k, k1, b, mode == "all")
+        return _ranked(found, query_col, id_col, k, salts)
     posted = posted if where is None else posted.where(where)
     limits = {"few": n_asked <= max_broadcast, "max_queries": max_queries, "max_postings": max_postings}
     if mode == "any" and n_matches <= max_matches:
@@ -333,10 +372,20 @@ def text_search(
         found = found.join(whole, query_col).where("matched = n_asked").drop("n_asked")
         if mode == "phrase":
             found = _has_phrase(found, index, queries, id_col, query_col, text_col)
+    return _ranked(found, query_col, id_col, k, salts)
+
+
+def _ranked(found: DataFrame, query_col: str, id_col: str, k: int, salts: int) -> DataFrame:
     ranked = top_k_per_key(found, [query_col], [F.round(-F.col("score"), config.RANK_DIGITS), F.col(id_col)], k, "rank", salts)
     return ranked.select(query_col, id_col, F.col("score").alias("fts_score"), "rank")
 
 
+def _asked_groups(weighted: DataFrame, query_col: str, max_queries: int) -> DataFrame:
+    """The asked terms that some text has, in rows of about ``max_queries`` queries."""
+    n_queries = weighted.select(query_col).distinct().count()
+    return termblocks.asked_groups(weighted.where("df > 0"), query_col, max_queries, n_queries)
+
+
 def match_counts(
     index: DataFrame,
     queries: DataFrame,
@@ -351,18 +400,26 @@ def match_counts(
     max_broadcast: int = config.BROADCAST_ROWS,
 ) -> DataFrame:
     """``(query, mode, n_matches)``: how many texts each match mode finds, for queries that have terms."""
-    posted = postings(index, id_col) if posted is None else posted
+    posted = written(blocks_of(index, id_col), "term-blocks") if posted is None else posted
+    blocks = posted if termblocks.is_blocks(posted) else None
+    posted = _rows_of(posted, id_col) if blocks is not None else posted
     terms, totals = (None, corpus_stats(index)) if stats is None else of_version(stats, None)
     weighted = weighted_terms(
         queries, posted, totals, query_col, text_col, stop_words, terms, config.BM25_K1, config.BM25_B
     )
     weighted, n_asked, _ = _counted(weighted)
     few = n_asked <= max_broadcast
-    found = term_matches(posted, weighted, id_col, query_col, config.BM25_K1, config.BM25_B, few, max_queries)
     asked = weighted.groupBy(query_col).agg(F.max("n_asked").alias("n_asked"))
-    found = found.join(asked, query_col).withColumn("every", F.col("matched") == F.col("n_asked"))
-    counted = found.groupBy(query_col).agg(F.count("*").alias("any"), F.count_if("every").alias("all"))
-    phrases = _has_phrase(found.where("every").select(query_col, id_col), index, queries, id_col, query_col, text_col)
+    if blocks is not None and few:
+        groups, field = _asked_groups(weighted, query_col, max_queries), queries.schema[query_col]
+        counted = termblocks.counted_matches(blocks, groups, id_col, field)
+        whole = termblocks.whole_matches(blocks, groups, id_col, field, config.BM25_K1, config.BM25_B)
+    else:
+        found = term_matches(posted, weighted, id_col, query_col, config.BM25_K1, config.BM25_B, few, max_queries)
+        found = found.join(asked, query_col).withColumn("every", F.col("matched") == F.col("n_asked"))
+        counted = found.groupBy(query_col).agg(F.count("*").alias("any"), F.count_if("every").alias("all"))
+        whole = found.where("every")
+    phrases = _has_phrase(whole.select(query_col, id_col), index, queries, id_col, query_col, text_col)
     phrases = phrases.groupBy(query_col).agg(F.count("*").alias("phrase"))
     modes = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.coalesce(m, F.lit(0)).alias("n_matches")) for m in MATCH_MODES]))
     whole = asked.join(counted, query_col, "left").join(phrases, query_col, "left")

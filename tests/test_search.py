@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine_similarity, is_valid_vector, require_dimension
-from tessera.operators import ann, dense, embedding, fusion, hybrid, ranking, response, searchstore, textindex
+from tessera.operators import ann, blockjoin, dense, embedding, fusion, hybrid, ranking, response, searchstore, termblocks, textindex
 
 RNG = np.random.default_rng(7)
 
@@ -191,6 +191,52 @@ def test_block_pairs_meet_by_broadcast_and_by_shuffle(spark, threshold):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_few_queries_go_to_the_corpus(spark, monkeypatch):
+    """The corpus is not shuffled for few queries; many meet it by group, and find the same."""
+    corpus, queries = vectors(spark, 500), vectors(spark, 40)
+    c, q = spark.createDataFrame(corpus, CORPUS_DDL).repartition(6), spark.createDataFrame(queries, QUERY_DDL)
+    few = dense.dense_search(c, q, 4, dim=8, max_queries=5)
+    assert "BroadcastNestedLoopJoin" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(blockjoin, "BROADCAST_BYTES", 0)
+    many = dense.dense_search(c, q, 4, dim=8, max_queries=5)
+    assert "BroadcastNestedLoopJoin" not in many._jdf.queryExecution().executedPlan().toString()
+    assert as_lists(few.collect()) == as_lists(many.collect()) == exact(corpus, queries, 4)
+
+
+def test_postings_lie_in_blocks_of_texts(spark, folder, monkeypatch):
+    """Stored postings are whole texts' lists, as many rows as blocks, and equal to the postings by row."""
+    monkeypatch.setattr(termblocks.term_blocks, "__defaults__", (7,))
+    texts = [(i, f"all w{i % 5} w{i % 3} " + "all " * (i % 4), "v1" if i % 3 else None, f"s{i % 2}") for i in range(60)] + [(60, "", "v1", None)]
+    corpus = spark.createDataFrame(texts, "chunk_id long, text string, embedding_model_ver string, source string").repartition(2)
+    searchstore.write_search_tables(corpus, folder + "/tables", 8)
+    tables = searchstore.read_search_tables(spark, folder + "/tables")
+    assert termblocks.is_blocks(tables.postings) and 9 <= tables.postings.count() < 30
+    names = ["term", "chunk_id", "tf", "n_terms", "embedding_model_ver", "source"]
+    rows = textindex._rows_of(tables.postings, "chunk_id").select(names)
+    want = textindex.postings(tables.index).select(names)
+    assert sorted(map(str, rows.collect())) == sorted(map(str, want.collect()))
+    names = ["term", "df", "cf", "max_tf", "min_terms"]
+    counted = textindex.text_stats(tables.index, want)
+    for version in ("v1", None):
+        of = [textindex.of_version(s, version).terms for s in (tables.stats, counted)]
+        assert sorted(map(str, of[0].collect())) == sorted(map(str, of[1].collect()))
+
+
+@pytest.mark.parametrize("mode", textindex.MATCH_MODES)
+def test_rows_with_one_id_are_one_text(spark, mode):
+    """By blocks and by rows, also with a filter, which only rows know."""
+    texts = [(i % 30, f"a b c{i % 30} " + "a " * (i % 30 % 5), f"s{i % 2}") for i in range(45)] + [(None, "a b", "s0")] * 2 * (mode != "all")
+    corpus = spark.createDataFrame(texts, "chunk_id long, text string, source string").repartition(3)
+    queries = spark.createDataFrame([(1, "a b"), (2, "c3 c4 a"), (3, "b c7")], "query_id long, query_text string")
+    index = textindex.forward_index(corpus)
+    found = [textindex.text_search(index, queries, 40, mode=mode, posted=p) for p in (None, textindex.postings(index))]
+    found.append(textindex.text_search(index, queries, 40, mode=mode, where=F.col("source").isNotNull()))
+    lists = [{(r["query_id"], r["chunk_id"], r["rank"], round(r["fts_score"], 9)) for r in f.collect()} for f in found]
+    assert lists[0] and lists[0] == lists[1] == lists[2]
+    counts = [{tuple(r) for r in textindex.match_counts(index, queries, posted=p).collect()} for p in (None, textindex.postings(index))]
+    assert counts[0] == counts[1]
+
+
 def test_search_over_an_empty_corpus_or_without_queries(spark):
     empty = spark.createDataFrame([], "chunk_id long, text string")
     one = spark.createDataFrame([(1, "a")], "query_id long, query_text string")
