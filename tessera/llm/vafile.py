@@ -1,7 +1,7 @@
 """Exact top-k search by inner product with vector-approximation files.
 
 Vectors become integers (floor of 64 times each component) and are dealt by id to groups
-of bounded size.  Each group is a vector-approximation file: every dimension is cut into at
+of about bounded size.  Each group is a vector-approximation file (or a few): every dimension is cut into at
 most :data:`CELLS` cells, a vector's approximation is its cell in each dimension, and the
 exact vectors lie beside.  A query scans the cells of a group for a lower and an upper
 bound of every score (an upper bound of the score is a lower bound of the distance), drops
@@ -156,7 +156,10 @@ def _pack(batches: Iterator[pa.RecordBatch], most: int, approximate: bool) -> It
 
 
 def parts_of(rows: int, cores: int) -> int:
-    """Groups of a table: twice the cores, but of bounded size, and no tiny ones."""
+    """Groups of a table: twice the cores, but of about bounded size, and no tiny ones.
+
+    Ids are dealt by hash, so a group may have more than :data:`GROUP_ROWS` vectors: it is several files then.
+    """
     size = min(GROUP_ROWS, max(LEAST_ROWS, -(-rows // (2 * max(1, cores)))))
     return max(1, -(-rows // size))
 
@@ -179,18 +182,20 @@ _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score",
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Files, each followed by the blocks of queries that are sent to it."""
-    file, held = None, None
+    """The files of a group (several, if it has more vectors than one), followed by the blocks of queries sent to it."""
+    file, held = None, []
     for batch in batches:
         for dim, part, number, ids, marks, code, vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             own, v = np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.int64).reshape(-1, dim)
             if number >= 0:
-                held = (own, np.frombuffer(marks, np.int64).reshape(dim, 2, CELLS), np.frombuffer(code, np.uint8).reshape(-1, dim), v)
-                file = (dim, part, number)
+                held = held if file == (dim, part) else []
+                held.append((own, np.frombuffer(marks, np.int64).reshape(dim, 2, CELLS), np.frombuffer(code, np.uint8).reshape(-1, dim), v))
+                file = (dim, part)
                 continue
-            if file is None or file[:2] != (dim, part):
+            if file != (dim, part):
                 continue  # no vector has the length of these queries here
-            yield from _search_block(own, v, held, k)
+            for one in held:
+                yield from _search_block(own, v, one, k)
 
 
 def _search_block(query_ids: np.ndarray, queries: np.ndarray, file: tuple, k: int) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ from collections import defaultdict
 from hashlib import md5, sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import CLASHING, documents, empty
 from hypothesis import given, settings
@@ -228,6 +229,31 @@ def test_top_k(spark, monkeypatch, parts):
     assert many == top_by_hand(rows, 1000, lambda i: i % 100 == 0)
 
 
+def test_groups_of_several_files():
+    """Vectors beyond a file's bound are in the next file of their group, and found."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [int(x) for x in rng.integers(-50, 50, 4)]) for i in range(50)]
+
+    def batch(some):
+        columns = [pa.array([4] * len(some), pa.int32()), pa.array([0] * len(some), pa.int32()), pa.array([i for i, _ in some]), pa.array([v for _, v in some])]
+        return pa.RecordBatch.from_arrays(columns, names=["dim", "part", "vec_id", "v"])
+
+    def numbered(blocks, number):
+        for b in blocks:
+            own = [b.column(0), b.column(1), pa.array([number] * b.num_rows, pa.int32()), *b.columns[2:]]
+            yield pa.RecordBatch.from_arrays(own, names=["dim", "part", "number", "ids", "marks", "cells", "vectors"])
+
+    files = [*numbered(vafile._pack(iter([batch(rows)]), 20, True), 0)]
+    asked = [*numbered(vafile._pack(iter([batch(rows[:10])]), 4, False), -1)]
+    assert len(files) == 3
+    found = {}
+    for b in vafile._search(iter([*files, *asked]), 6):
+        for q, c, s in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            found.setdefault(q, []).append((-s, c))
+    got = {(q, i + 1, c, -s) for q, own in found.items() for i, (s, c) in enumerate(sorted(own)[:6])}
+    assert got == top_by_hand([(i, [x / 64 for x in v]) for i, v in rows], 6, lambda i: i < 10)
+
+
 def test_top_k_of_large_numbers(spark):
     rows = [(i, [float(1 << 22) + i, -(2.0**21), 1.5]) for i in range(30)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
