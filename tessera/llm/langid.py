@@ -13,7 +13,6 @@ no rows.  Columns other than those named are passed through by ``identify``.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.textops import texts_of
+from tessera.llm.textops import stored, texts_of
 
 UNKNOWN = "und"
 #: n-grams of 1 to this many characters.
@@ -31,7 +31,9 @@ LONGEST = 4
 BLANK = 1
 #: Places of a profile, for languages and documents alike.
 PLACES = 400
-#: A language is learned from so many labelled texts at most, those with the least hash of their id.
+#: n-grams counted at once, and counts that a task holds.
+HELD_GRAMS, HELD_COUNTS = 1 << 20, 1 << 21
+#: Labelled texts of a language that :func:`sampled` takes by default.
 SAMPLE = 1500
 #: A text is taken for a language from this part of the score that 99 % of its learned texts reach.
 MARGIN = 0.5
@@ -122,21 +124,39 @@ class Profiles:
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n-gram counts of each language, summed over the batches of a task."""
-    total: dict[str, Counter] = {}
+    """n-gram counts of each language, summed over the batches of a task as far as they can be held."""
+    fresh: dict[str, list[np.ndarray]] = {}  # codes not counted yet
+    held: dict[str, int] = {}
+    sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(language: str) -> None:
+        values, counts = _counted(np.concatenate(fresh.pop(language)))
+        held[language] = 0
+        if language in sums:
+            both = [np.concatenate(x) for x in zip(sums[language], (values, counts), strict=True)]
+            values, at = np.unique(both[0], return_inverse=True)
+            total = np.zeros(len(values), np.int64)
+            np.add.at(total, at, both[1])
+            counts = total
+        sums[language] = values, counts
+
+    def result(language: str) -> pa.RecordBatch:
+        values, counts = sums.pop(language)
+        columns = [pa.array([language] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(counts)]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "code", "n"])
+
     for batch in batches:
         for language, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
-            values, counts = _counted(grams(text))
-            total.setdefault(language, Counter()).update(dict(zip(values.view(np.int64).tolist(), counts.tolist(), strict=True)))
-    for language, counts in total.items():
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([language] * len(counts), pa.string()),
-                pa.array(list(counts.keys()), pa.int64()),
-                pa.array(list(counts.values()), pa.int64()),
-            ],
-            ["lang", "code", "n"],
-        )
+            own = fresh.setdefault(language, [])
+            own.append(grams(text))
+            held[language] = held.get(language, 0) + len(own[-1])
+            if held[language] > HELD_GRAMS:
+                add(language)
+                if sum(len(v) for v, _ in sums.values()) > HELD_COUNTS:
+                    yield from map(result, [*sums])
+    for language in [*fresh]:
+        add(language)
+    yield from map(result, [*sums])
 
 
 def sampled(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -158,13 +178,19 @@ def sampled(labelled: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return known.join(F.broadcast(last), "lang").where("order <= last").select("doc_id", "text", "lang")
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE) -> Profiles:
-    """Profiles from ``doc_id, text, lang``: the texts of at most ``sample`` ids for each language.
+def _labelled(labelled: DataFrame, sample: int | None) -> DataFrame:
+    """``doc_id, text, lang`` of all rows with a language, or of a :func:`sampled` part of them."""
+    if sample is not None:
+        return sampled(labelled, sample)
+    return labelled.select("doc_id", "text", "lang").where("lang is not null")
+
 
-    The sample is chosen on ids alone.  Counting is distributed; the driver receives
-    :data:`PLACES` codes for each language.
+def learn(labelled: DataFrame, sample: int | None = None) -> Profiles:
+    """Profiles from ``doc_id, text, lang``: all texts, or those of at most ``sample`` ids for each language.
+
+    Counting is distributed; the driver receives :data:`PLACES` codes for each language.
     """
-    texts = sampled(labelled, sample).select("lang", "text")
+    texts = _labelled(labelled, sample).select("lang", "text")
     counts = texts.mapInArrow(_tally, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     # codes in order as unsigned numbers, like the documents'
     place = Window.partitionBy("lang").orderBy(F.desc("n"), (F.col("code") < 0), "code")
@@ -175,15 +201,51 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Profiles:
     return Profiles(ranks)
 
 
-def least_scores(labelled: DataFrame, profiles: Profiles, sample: int = SAMPLE) -> dict[str, float]:
+def least_scores(labelled: DataFrame, profiles: Profiles, sample: int | None = None) -> dict[str, float]:
     """For every language, the least score at which a text is taken for it.
 
     That is :data:`MARGIN` of the score that 99 % of the texts learned from reach among
     those predicted right; a language that none is predicted for has no limit.
     """
-    found = identify(sampled(labelled, sample), profiles, pred="_pred", score="_score").where("_pred = lang")
-    rows = found.groupBy("lang").agg(F.percentile("_score", F.lit(0.01)).alias("low")).collect()
-    return {row["lang"]: MARGIN * row["low"] for row in rows}
+    found = identify(_labelled(labelled, sample), profiles, pred="_pred", score="_score").where("_pred = lang")
+    lows = percentiles(stored(found.select("lang", "_score"), "scores"), "lang", "_score", 0.01)
+    return {language: MARGIN * low for language, low in lows.items()}
+
+
+def percentiles(scores: DataFrame, key: str, score: str, part: float, bins: int = 4096) -> dict[str, float]:
+    """The exact percentile ``part`` of the scores (0 to 1) of each key, between two of them as by ``percentile``.
+
+    Scores are counted in bins; only those in the bins of the two scores wanted are put in
+    order, each once with its count.  The driver receives the counts of bins and two scores of each key.
+    """
+    binned = scores.withColumn("_bin", F.floor(F.col(score) * bins).cast("int"))
+    sizes: dict[str, dict[int, int]] = {}
+    for row in binned.groupBy(key, "_bin").agg(F.count("*").alias("n")).collect():  # at most bins + 1 of a key
+        sizes.setdefault(row[key], {})[row["_bin"]] = row["n"]
+    wanted, at = [], {}
+    for name, counts in sizes.items():
+        at[name] = (sum(counts.values()) - 1) * part
+        for nth in {int(np.floor(at[name])), int(np.ceil(at[name]))}:
+            before = 0
+            for number in sorted(counts):
+                if before + counts[number] > nth:
+                    break
+                before += counts[number]
+            wanted.append((name, number, nth, nth - before))
+    if not wanted:
+        return {}
+    places = scores.sparkSession.createDataFrame(wanted, T.StructType([scores.schema[key], *(T.StructField(n, T.LongType()) for n in ("_bin", "nth", "place"))]))
+    places = F.broadcast(places)
+    distinct = binned.join(places.select(key, "_bin").distinct(), [key, "_bin"], "left_semi").groupBy(key, "_bin", score).agg(F.count("*").alias("n"))
+    line = Window.partitionBy(key, "_bin").orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
+    reached = distinct.withColumn("upto", F.sum("n").over(line))
+    hit = reached.join(places, [key, "_bin"]).where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n")))
+    found = {(r[key], r["nth"]): r[score] for r in hit.collect()}
+    out = {}
+    for name, x in at.items():
+        low, high = found[name, int(np.floor(x))], found[name, int(np.ceil(x))]
+        out[name] = low if low == high else (np.ceil(x) - x) * low + (x - np.floor(x)) * high
+    return {name: float(x) for name, x in out.items()}
 
 
 def recognised(docs: DataFrame, profiles: Profiles, limits: dict[str, float]) -> DataFrame:

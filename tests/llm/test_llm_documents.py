@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import LONG, documents, empty
 from pyspark.sql import functions as F
@@ -122,6 +123,47 @@ def test_texts_far_from_every_profile(spark):
     assert langid.least_scores(docs.limit(0), profiles) == {}
 
 
+def test_languages_are_learned_from_all_texts(spark):
+    """Profiles and limits depend on every labelled text, also beyond a sample's bound."""
+    rows = [(i, f"common words {'abc'[i % 3]}", "en") for i in range(2 * langid.SAMPLE)] + [(10**6, "zzzz " * 40_000, "en"), (10**6 + 1, "q", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    profiles = langid.learn(docs)
+    counts = Counter()
+    for _, text, lang in rows:
+        counts.update(langid.grams(text).tolist() if lang else [])
+    want = sorted(counts, key=lambda c: (-counts[c], c))[: langid.PLACES]
+    order = np.argsort(profiles.places[0])
+    assert profiles.languages == ["en"] and profiles.codes[0][order].tolist() == want
+    scores = [profiles.identify(text)[1] for _, text, lang in rows if lang]
+    assert langid.least_scores(docs, profiles)["en"] == pytest.approx(langid.MARGIN * np.percentile(scores, 1))
+
+
+def test_tally_in_pieces(monkeypatch):
+    """Counts add up whether or not a task holds them to its end."""
+    monkeypatch.setattr(langid, "HELD_GRAMS", 50)
+    monkeypatch.setattr(langid, "HELD_COUNTS", 200)
+    texts = [("a", f"word{chr(97 + i % 26)} other{chr(97 + i % 7)}") if i % 3 else ("b", "some text") for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array([x for x, _ in texts]), pa.array([t for _, t in texts])], names=["lang", "text"])
+    got, want = Counter(), Counter()
+    parts = [*langid._tally(iter([batch.slice(0, 90), batch.slice(90)]))]
+    for part in parts:
+        for lang, code, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            got[lang, code] += n
+    for lang, text in texts:
+        want.update((lang, c) for c in langid.grams(text).view(np.int64).tolist())
+    assert got == want and len(parts) > 2
+
+
+def test_percentiles_are_exact(spark):
+    rng = np.random.default_rng(4)
+    of = {"a": rng.random(3001), "b": np.round(rng.random(500), 1), "c": np.array([0.25]), "d": np.array([0.0, 1.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in of.items() for x in xs], "lang string, s double")
+    for part in (0.01, 0.5, 1.0):
+        got = langid.percentiles(df, "lang", "s", part, 64)
+        assert got == pytest.approx({k: np.percentile(xs, 100 * part) for k, xs in of.items()})
+    assert langid.percentiles(df.limit(0), "lang", "s", 0.5) == {}
+
+
 def test_out_of_place_distance():
     """Counted by hand over the same n-grams."""
     text = "ab abc"
