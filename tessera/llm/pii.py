@@ -52,9 +52,8 @@ HINTS = {
 }
 #: Code points of context on each side.
 CONTEXT = 24
-#: Examples learned from (about, at most; an equal share for each kind and label), trees, depth,
-#: and the calibrated precision asked of added spans.
-TRAIN_CANDIDATES, TREES, DEPTH, PRECISION = 20_000, 12, 3, 0.98
+#: Trees, depth, and the calibrated precision asked of added spans.
+TREES, DEPTH, PRECISION = 12, 3, 0.98
 #: Steps that scores are calibrated in.
 STEPS = 50
 
@@ -233,24 +232,13 @@ def _vectors(found: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found)
 
 
-def _sample(found: DataFrame) -> DataFrame:
-    """Distinct examples, of each kind and label about an equal share of the bound, those with the least hash.
+def _distinct(found: DataFrame) -> DataFrame:
+    """All distinct examples; ``back`` marks a third of the documents.
 
-    The share of the hash range that is kept follows from approximate distinct counts, so
-    nothing is sorted and no kind goes through one task.  ``back`` marks a third of the
-    documents; of an example that several documents hold, the least id decides.
+    Of an example that several documents hold, the least id decides.
     """
-    key = F.xxhash64("kind", "label", "value", "left", "right")
-    keyed = found.withColumn("key", key)
-    counts = keyed.groupBy("kind", "label").agg(F.approx_count_distinct("key", 0.02).alias("n")).collect()  # 8 rows at most
-    share = F.lit(0.0)
-    for row in counts:
-        of = (F.col("kind") == row["kind"]) & (F.col("label") == row["label"])
-        share = F.when(of, F.lit(min(1.0, TRAIN_CANDIDATES / (2 * len(KINDS)) / max(1, row["n"])))).otherwise(share)
-    # Kept by another hash than the one that is counted.
-    kept = keyed.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share * (1 << 30))
-    one = kept.groupBy("kind", "label", "value", "left", "right", *FEATURES).agg(F.min("doc_id").alias("doc_id"))
-    return stored(one.withColumn("back", F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0), "sample")
+    one = found.groupBy("kind", "label", "value", "left", "right", *FEATURES).agg(F.min("doc_id").alias("doc_id"))
+    return stored(one.withColumn("back", F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0), "examples")
 
 
 def _least_step(steps: list[tuple[int, int, float]]) -> int | None:
@@ -271,17 +259,16 @@ def _least_step(steps: list[tuple[int, int, float]]) -> int | None:
 def learn(found: DataFrame) -> tuple[GBTClassificationModel | None, dict[str, float]]:
     """Trees and the score threshold of each kind.
 
-    Learns from about :data:`TRAIN_CANDIDATES` distinct examples at most; two thirds of
-    the documents grow the trees and one third calibrates the scores of each kind.
+    Learns from all distinct examples; two thirds of the documents grow the trees and one
+    third calibrates the scores of each kind.
     """
-    sample = _sample(found)
-    labels = {r["label"] for r in sample.where("not back").select("label").distinct().collect()}
+    taught = _distinct(found)
+    labels = {r["label"] for r in taught.where("not back").select("label").distinct().collect()}
     if labels != {0.0, 1.0}:
         return None, {}
-    # the sample is bounded: a few partitions are enough to learn from it
-    grow = _vectors(sample.where("not back")).select("label", "features").coalesce(4)
+    grow = _vectors(taught.where("not back")).select("label", "features")
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=5).fit(grow)
-    held = _scored(sample.where("back"), model)
+    held = _scored(taught.where("back"), model)
     steps = held.withColumn("step", F.floor(F.col("score") * STEPS)).groupBy("kind", "step").agg(F.count("*").alias("n"), F.sum("label").alias("good"))
     of_kind_: dict[str, list[tuple[int, int, float]]] = {}
     for row in steps.collect():  # at most 51 steps of a kind

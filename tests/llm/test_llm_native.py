@@ -106,6 +106,14 @@ def test_learned_candidates(spark):
     assert found.where("label = 0").count() > 50
 
 
+def test_all_examples_teach(spark):
+    """Every distinct example is learned from or calibrated with, however many a kind has."""
+    rows = [(i, "card", float(i % 2), str(i // 2 * 2), "l", "r", *[float(i % 7)] * len(pii.FEATURES)) for i in range(24_000)]
+    names = ["doc_id", "kind", "label", "value", "left", "right", *pii.FEATURES]
+    found = spark.createDataFrame(rows * 1 + rows[:100], names)
+    assert pii._distinct(found).count() == 24_000
+
+
 def planted(n: int) -> tuple[list[tuple[int, str]], dict[int, tuple[str, str]]]:
     """Documents with strict spans and with numbers that are none; ids from 100,000 on hold a loose form each."""
     rng = random.Random(7)
