@@ -4,6 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import config
 from tessera.operators import (
     context, evaluation, frontier, history, landing, metrics, ordering, routing, stats, upsert,
 )
@@ -362,3 +363,27 @@ def test_raw_bodies_are_read_back(spark, folder):
     bronze.write_raw(spark.createDataFrame(rows_, "source string, date string, raw_object_key string, raw binary"), folder)
     got = {r["raw_object_key"]: (r["date"], r["byte_size"], r["text"]) for r in bronze.raw_texts(spark, folder).collect()}
     assert got == {"k1": ("2024-06-01", 3, "a�b"), "k2": ("2024-06-02", 2, "é"), "k3": ("2024-06-01", 0, "")}
+
+
+def test_rows_of_few_and_of_most_documents(spark, monkeypatch):
+    """Whichever side is the smaller, it is broadcast, and the rows are the same."""
+    rows = spark.createDataFrame([(f"d{i % 20}", i) for i in range(60)], "doc_id string, n int")
+    for most, n, joined in ((5, 3, "BroadcastHashJoin"), (5, 17, "BroadcastHashJoin"), (1, 10, None)):
+        monkeypatch.setattr(config, "BROADCAST_ROWS", most)
+        found = jobs._of_documents(rows, spark.createDataFrame([(f"d{i}",) for i in range(n)], "doc_id string"))
+        assert joined is None or joined in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["n"] for r in found.collect()) == [i for i in range(60) if i % 20 < n]
+
+
+def test_pages_are_extracted_once(spark, folder):
+    """Raw bodies and documents come from one stored extraction."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(raw):
+        seen.add(1)
+        return raw
+
+    pages = spark.createDataFrame([("s", f"http://s/{i}", f"<p>{'word ' * 60}{i}</p>") for i in range(8)], "source string, url string, raw string")
+    jobs.land_pages(spark, pages.withColumn("raw", counted("raw")), folder + "/bronze", F.lit("2024-01-01").cast("timestamp"), first=True)
+    assert seen.value == 8
