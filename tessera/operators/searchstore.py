@@ -17,6 +17,10 @@ from tessera.functions.vectors import hash_vector
 from tessera.operators.textindex import FILTER_COLUMNS, TextStats, blocks_of, text_stats
 
 
+#: Blocks of a row group of the postings at most: a task holds one group while it writes or reads.
+GROUP_BLOCKS = 16
+
+
 class SearchTables(NamedTuple):
     """``chunks``: the chunk columns with terms, n_terms and embedding; ``postings`` and ``stats`` of them."""
 
@@ -47,7 +51,8 @@ def write_search_tables(
     whole.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/chunks")
     kept = [c for c in FILTER_COLUMNS if c in chunks.columns]
     index = spark.read.parquet(f"{root}/chunks").select(id_col, *kept, "terms", "n_terms")
-    blocks_of(index, id_col).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/postings")
+    blocks = blocks_of(index, id_col).write.mode("overwrite").option("parquet.block.row.count.limit", GROUP_BLOCKS)
+    blocks.option("compression", "zstd").parquet(f"{root}/postings")
     stats = text_stats(index, spark.read.parquet(f"{root}/postings"), id_col)
     stats.terms.write.mode("overwrite").parquet(f"{root}/terms")
     stats.totals.write.mode("overwrite").parquet(f"{root}/totals")

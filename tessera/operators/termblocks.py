@@ -6,6 +6,10 @@ nothing is shuffled to make blocks, and a text's score is whole within its block
 terms of many queries travel to the blocks by broadcast; a task keeps the k best rows of a
 query over all its blocks.
 
+The lists of a block are one compressed value, opened in Python for one block at a time: a file
+reader or an Arrow batch holds many blocks at once, and would hold many times their size in
+arrays.
+
 Rows with one id are one text: their frequencies add up, and its other columns are those of one of them.
 """
 
@@ -30,10 +34,38 @@ from tessera.session import written
 BLOCK_TEXTS, BLOCK_TERMS = 2048, 1 << 20
 
 _LISTS = ("terms", "starts", "slots", "tfs")
+#: The column of a block's lists.
+LISTS = "lists"
 
 
 def is_blocks(posted: DataFrame) -> bool:
-    return set(_LISTS) <= set(posted.columns)
+    return LISTS in posted.columns
+
+
+def _narrow(numbers: np.ndarray) -> pa.Array:
+    return pa.array(numbers.astype(np.min_scalar_type(int(numbers.max(initial=0)))))
+
+
+def _closed(words: pa.Array, starts: np.ndarray, slots: np.ndarray, tfs: np.ndarray, n: int) -> bytes:
+    """The lists of a block of ``n`` texts as one compressed value: lengths for starts, steps for slots."""
+    steps = np.diff(slots, prepend=0).astype(np.uint16 if n <= 1 << 16 else np.uint32)  # back to a lower slot: modulo
+    lists = (words, _narrow(np.diff(starts)), pa.array(steps), _narrow(tfs))
+    rows = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+    batch = pa.RecordBatch.from_arrays(rows, names=_LISTS)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _opened(value: pa.Scalar) -> tuple[pa.Array, ...]:
+    """The terms, starts, slots and tfs of a block."""
+    with pa.ipc.open_stream(value.as_buffer()) as stream:
+        batch = stream.read_next_batch()
+    words, lengths, steps, tfs = (batch.column(c)[0].values for c in _LISTS)
+    starts = np.r_[0, np.cumsum(lengths.to_numpy(), dtype=np.int32)]
+    steps = steps.to_numpy()
+    return words, *(pa.array(x.astype(np.int32)) for x in (starts, np.cumsum(steps, dtype=steps.dtype), tfs.to_numpy()))
 
 
 def _texts(index: DataFrame, id_col: str, kept: Sequence[str], by_row: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -55,7 +87,7 @@ def _texts(index: DataFrame, id_col: str, kept: Sequence[str], by_row: Callable[
     return plain.join(ids, same, "left_anti").unionByName(merged)
 
 
-def _inverted(terms: pa.Array, tfs: pa.Array) -> list[pa.Array]:
+def _inverted(terms: pa.Array, tfs: pa.Array) -> bytes:
     """The lists of a block, from the terms of each of its texts."""
     n, flat = len(terms), terms.flatten().dictionary_encode()
     flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
@@ -75,27 +107,26 @@ def _inverted(terms: pa.Array, tfs: pa.Array) -> list[pa.Array]:
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
     tf = np.add.reduceat(each, first) if len(first) else each
     starts = np.searchsorted(key[first] // max(1, n), np.arange(len(words) + 1))
-    lists = [words.take(pa.array(order)), *(pa.array(x.astype(np.int32)) for x in (starts, key[first] % max(1, n), tf))]
-    return [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+    return _closed(words.take(pa.array(order)), starts, key[first] % max(1, n), tf, n)
 
 
 def term_blocks(
     index: DataFrame, id_col: str, kept: Sequence[str], version: str | None, by_row: Callable[[DataFrame], DataFrame],
     texts: int = BLOCK_TEXTS,
 ) -> DataFrame:
-    """The blocks of an index: arrays of id, n_terms and ``kept`` columns, and the inverted lists.
+    """The blocks of an index: arrays of id, n_terms and ``kept`` columns, and the inverted lists in one value.
 
     A block has one ``version``, a column beside.  ``by_row`` gives the postings of rows with repeated ids.
     """
     rows = _texts(index, id_col, kept, by_row)
     arrays = [id_col, "n_terms", *[c for c in kept if c != version]]
     of = [T.StructField(c, T.ArrayType(rows.schema[c].dataType)) for c in arrays]
-    of += [T.StructField("terms", T.ArrayType(T.StringType())), *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in _LISTS[1:])]
+    of.append(T.StructField(LISTS, T.BinaryType()))
     whole = T.StructType([*([rows.schema[version]] if version else []), *of])
 
     def block(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(c)) for c in arrays]
-        own += _inverted(batch.column("terms"), batch.column("tfs"))
+        own.append(pa.array([_inverted(batch.column("terms"), batch.column("tfs"))], pa.binary()))
         return pa.RecordBatch.from_arrays([*([batch.column(version).slice(0, 1)] if version else []), *own], names=whole.fieldNames())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +158,7 @@ def block_rows(blocks: DataFrame, id_col: str, kept: Sequence[str], version: str
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                terms, starts, slots, tfs = (batch.column(c)[i].values for c in _LISTS)
+                terms, starts, slots, tfs = _opened(batch.column(LISTS)[i])
                 own = {c: batch.column(c)[i].values.take(slots) for c in arrays}
                 times = np.diff(starts.to_numpy(zero_copy_only=False))
                 if version:
@@ -148,7 +179,7 @@ def block_terms(blocks: DataFrame, version: str | None) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                terms, starts, slots, tfs = (batch.column(c)[i].values for c in _LISTS)
+                terms, starts, slots, tfs = _opened(batch.column(LISTS)[i])
                 if not len(terms):
                     continue
                 at, tf = starts.to_numpy(zero_copy_only=False), tfs.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -158,7 +189,8 @@ def block_terms(blocks: DataFrame, version: str | None) -> DataFrame:
                 columns += [*map(pa.array, sums), pa.array(np.minimum.reduceat(n_terms, at[:-1]).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-    return blocks.mapInArrow(count, schema).groupBy(*by).agg(
+    counted = blocks.select(*by[1:], "n_terms", LISTS).mapInArrow(count, schema)
+    return counted.groupBy(*by).agg(
         F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.max("max_tf").alias("max_tf"), F.min("min_terms").alias("min_terms")
     )
 
@@ -216,12 +248,13 @@ def asked_groups(told: DataFrame, query_col: str, max_queries: int, n_queries: i
 
 
 def _pairs(blocks: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
-    return blocks.select(id_col, "n_terms", *_LISTS).crossJoin(F.broadcast(groups))
+    return blocks.select(id_col, "n_terms", LISTS).crossJoin(F.broadcast(groups))
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], query_col: str) -> Iterator[tuple]:
     """(number of the queries, their asked terms, ids, n_terms, lists) of each pair."""
     held: OrderedDict[int, _Asked] = OrderedDict()
+    closed = lists = None  # a block meets all groups one after another
     for batch in batches:
         for i in range(batch.num_rows):
             number = batch.column("asked_number")[i].as_py()
@@ -230,7 +263,10 @@ def _decoded(batches: Iterator[pa.RecordBatch], query_col: str) -> Iterator[tupl
                     held.popitem(last=False)
                 held[number] = _asked(batch.column("asked")[i].values, query_col)
             held.move_to_end(number)
-            ids, n_terms, *lists = (batch.column(j)[i].values for j in range(6))
+            ids, n_terms = (batch.column(j)[i].values for j in range(2))
+            value = batch.column(2)[i]
+            if closed is None or not value.as_buffer().equals(closed):
+                closed, lists = value.as_buffer(), _opened(value)
             yield number, held[number], ids, n_terms.to_numpy(zero_copy_only=False), lists
 
 

@@ -1,11 +1,15 @@
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import vectors as vector_functions
 from tessera.functions.vectors import cosine_similarity, is_valid_vector, require_dimension
 from tessera.operators import ann, blockjoin, dense, embedding, fusion, hybrid, ranking, response, searchstore, termblocks, textindex
 
@@ -222,6 +226,41 @@ def test_postings_lie_in_blocks_of_texts(spark, folder, monkeypatch):
         assert sorted(map(str, of[0].collect())) == sorted(map(str, of[1].collect()))
 
 
+def test_lists_of_a_block_are_one_small_value(spark, folder, monkeypatch):
+    """Readers hold few blocks at once, and the lists of a block closed."""
+    monkeypatch.setattr(termblocks.term_blocks, "__defaults__", (5,))
+    texts = [(i, f"all w{i % 5} " + "all " * (i % 300)) for i in range(200)]
+    corpus = spark.createDataFrame(texts, "chunk_id long, text string").repartition(1)
+    searchstore.write_search_tables(corpus, folder + "/tables", 8)
+    kinds = dict(searchstore.read_search_tables(spark, folder + "/tables").postings.dtypes)
+    assert kinds == {"chunk_id": "array<bigint>", "n_terms": "array<int>", "lists": "binary"}
+    for path in Path(folder).glob("tables/postings/*.parquet"):
+        groups = pq.ParquetFile(path).metadata
+        assert all(groups.row_group(i).num_rows <= searchstore.GROUP_BLOCKS for i in range(groups.num_row_groups))
+
+
+@pytest.mark.parametrize("n", [0, 1, 9, 70_000])
+def test_lists_open_as_they_were_closed(n):
+    """Also with more texts than 16 bits tell apart, and high frequencies."""
+    slots = np.r_[np.arange(n), np.arange(0, n, 3)]
+    starts, tfs = np.array([0, n, len(slots)]), 1 + slots % 400
+    value = pa.array([termblocks._closed(pa.array(["a", "b"]), starts, slots, tfs, n)], pa.binary())[0]
+    words, *lists = termblocks._opened(value)
+    assert words.to_pylist() == ["a", "b"]
+    assert [x.to_pylist() for x in lists] == [x.tolist() for x in (starts, slots, tfs)]
+
+
+def test_terms_are_counted_in_bounded_parts(monkeypatch):
+    """Long lists, empty ones and many short ones give the same vectors whatever is counted at once."""
+    lists = pa.array([[f"w{i * j % 50}" for j in range(i % 9 if i % 7 else 40)] for i in range(200)])
+    whole = vector_functions._term_counts(lists, 8)
+    count, parts = np.bincount, []
+    monkeypatch.setattr(vector_functions, "TERMS_AT_ONCE", 16)
+    monkeypatch.setattr(np, "bincount", lambda x, **b: parts.append(len(x)) or count(x, **b))
+    assert vector_functions._term_counts(lists, 8).equals(whole)
+    assert 0 < max(parts) <= 16
+
+
 @pytest.mark.parametrize("mode", textindex.MATCH_MODES)
 def test_rows_with_one_id_are_one_text(spark, mode):
     """By blocks and by rows, also with a filter, which only rows know."""
