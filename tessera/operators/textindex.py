@@ -283,14 +283,17 @@ def _with_reach(weighted: DataFrame, threshold: DataFrame, query_col: str) -> Da
 
 
 def _has_phrase(candidates: DataFrame, index: DataFrame, queries: DataFrame, id_col: str, query_col: str, text_col: str) -> DataFrame:
-    """Candidates whose text has the terms of the query one after another."""
+    """Candidates whose text has the terms of the query one after another.
+
+    Few candidates go to the texts by broadcast, so that only their texts meet the phrases.
+    """
     candidates = written(candidates, "candidates")
     if candidates.count() <= config.BROADCAST_ROWS:
         candidates = F.broadcast(candidates)
     phrase = queries.select(query_col, F.concat(F.lit(" "), F.array_join(query_terms(F.col(text_col)), " "), F.lit(" ")).alias("phrase"))
-    wanted = candidates.join(phrase, query_col)
     line = F.concat(F.lit(" "), F.array_join("terms", " "), F.lit(" "))
-    return wanted.join(index.select(id_col, "terms"), id_col).where(line.contains(F.col("phrase"))).drop("phrase", "terms")
+    wanted = index.select(id_col, "terms").join(candidates, id_col)
+    return wanted.join(phrase, query_col).where(line.contains(F.col("phrase"))).drop("phrase", "terms")
 
 
 def text_search(

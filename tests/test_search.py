@@ -239,6 +239,20 @@ def test_lists_of_a_block_are_one_small_value(spark, folder, monkeypatch):
         assert all(groups.row_group(i).num_rows <= searchstore.GROUP_BLOCKS for i in range(groups.num_row_groups))
 
 
+def test_texts_are_not_shuffled_to_look_for_phrases(spark):
+    """Few candidates go to the texts, also where Spark would not broadcast by size."""
+    index = textindex.forward_index(spark.createDataFrame([(i, f"a b c{i % 9}") for i in range(90)], "chunk_id long, text string"))
+    queries = spark.createDataFrame([(1, "b c3"), (2, "c4 a"), (3, "a b")], "query_id long, query_text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = textindex.text_search(index, queries, 90, mode="phrase")
+        assert "hashpartitioning(chunk_id" not in found._jdf.queryExecution().executedPlan().toString()
+        assert Counter(r["query_id"] for r in found.collect()) == {1: 10, 3: 90}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 @pytest.mark.parametrize("n", [0, 1, 9, 70_000])
 def test_lists_open_as_they_were_closed(n):
     """Also with more texts than 16 bits tell apart, and high frequencies."""
