@@ -33,6 +33,10 @@ MATCH_MODES = ("any", "all", "phrase")
 FILTER_COLUMNS = ("embedding_model_ver", "source")
 
 
+#: The column of an index whose tokens the terms are, where its texts are kept.
+TERMS_TEXT = "terms_text"
+
+
 class TextStats(NamedTuple):
     """Counts of an index: ``terms`` has term and df, ``totals`` one row of n_docs and total_terms.
 
@@ -285,15 +289,18 @@ def _with_reach(weighted: DataFrame, threshold: DataFrame, query_col: str) -> Da
 def _has_phrase(candidates: DataFrame, index: DataFrame, queries: DataFrame, id_col: str, query_col: str, text_col: str) -> DataFrame:
     """Candidates whose text has the terms of the query one after another.
 
-    Few candidates go to the texts by broadcast, so that only their texts meet the phrases.
+    Few candidates go to the texts by broadcast, so that only their texts meet the phrases; where
+    an index keeps the texts, terms are made of those of candidates only.
     """
     candidates = written(candidates, "candidates")
     if candidates.count() <= config.BROADCAST_ROWS:
         candidates = F.broadcast(candidates)
     phrase = queries.select(query_col, F.concat(F.lit(" "), F.array_join(query_terms(F.col(text_col)), " "), F.lit(" ")).alias("phrase"))
-    line = F.concat(F.lit(" "), F.array_join("terms", " "), F.lit(" "))
-    wanted = index.select(id_col, "terms").join(candidates, id_col)
-    return wanted.join(phrase, query_col).where(line.contains(F.col("phrase"))).drop("phrase", "terms")
+    kept = TERMS_TEXT if TERMS_TEXT in index.columns else "terms"
+    terms = tokens(F.coalesce(kept, F.lit(""))) if kept == TERMS_TEXT else F.col(kept)
+    line = F.concat(F.lit(" "), F.array_join(terms, " "), F.lit(" "))
+    wanted = index.select(id_col, kept).join(candidates, id_col)
+    return wanted.join(phrase, query_col).where(line.contains(F.col("phrase"))).drop("phrase", kept)
 
 
 def text_search(

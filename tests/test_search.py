@@ -239,6 +239,25 @@ def test_lists_of_a_block_are_one_small_value(spark, folder, monkeypatch):
         assert all(groups.row_group(i).num_rows <= searchstore.GROUP_BLOCKS for i in range(groups.num_row_groups))
 
 
+@pytest.mark.parametrize("repeats", [1, 2])
+def test_terms_are_made_of_the_stored_texts(spark, folder, repeats):
+    """The chunks are stored without their terms, and every way of the search finds the same."""
+    texts = [(i, TEXTS[i % len(TEXTS)]) for i in range(30)]
+    corpus = spark.createDataFrame(texts + [(30, None), (31, "")], "chunk_id long, text string")
+    for i in range(1, repeats):
+        corpus = corpus.unionByName(corpus.where("chunk_id = 3").withColumn("text", F.lit(f"again {i}")))
+    searchstore.write_search_tables(corpus, folder + "/tables", 8)
+    assert "terms" not in pq.read_schema(next(Path(folder).glob("tables/chunks/*.parquet"))).names
+    tables = searchstore.read_search_tables(spark, folder + "/tables")
+    own = textindex.forward_index(corpus.fillna(""))
+    made = [i.select("chunk_id", "terms", "n_terms").collect() for i in (tables.index, own)]
+    assert sorted(map(str, made[0])) == sorted(map(str, made[1]))
+    queries = spark.createDataFrame([(1, "pod container"), (2, "runs the"), (3, "pod")], "query_id long, query_text string")
+    for mode in textindex.MATCH_MODES:
+        stored = textindex.text_search(tables.index, queries, 9, mode=mode, stats=tables.stats, posted=tables.postings)
+        assert as_lists(stored.collect()) == as_lists(textindex.text_search(own, queries, 9, mode=mode).collect())
+
+
 def test_texts_are_not_shuffled_to_look_for_phrases(spark):
     """Few candidates go to the texts, also where Spark would not broadcast by size."""
     index = textindex.forward_index(spark.createDataFrame([(i, f"a b c{i % 9}") for i in range(90)], "chunk_id long, text string"))
