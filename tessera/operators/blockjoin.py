@@ -63,12 +63,13 @@ def _take(ids: pa.Array, rows: np.ndarray) -> pa.Array:
 def packed(df: DataFrame, id_col: str, vector_col: str, dim: int, keys: Sequence[str] = (), most: int | None = None) -> DataFrame:
     """Blocks (keys, number, ids, vectors) of at most ``most`` rows of one key; no shuffle.
 
-    Keys are whole numbers.  Vectors are scaled to length 1 and stored as doubles; rows without a valid vector are
-    left out.  ``df`` should be sorted by ``keys`` within its partitions.  ``number`` tells
+    Keys are whole numbers.  Vectors travel as they are, floats as floats and others as doubles, and are scaled to
+    length 1 where they are compared (:func:`_directions`); rows without a valid vector are left out.  ``df`` should be sorted by ``keys`` within its partitions.  ``number`` tells
     blocks apart, whatever task packed them.
     """
     most = min(most or 1 << 20, max(1, BLOCK_BYTES // (8 * dim)))
     kinds = [T.StructField(c, T.LongType()) for c in keys]
+    kind = np.float32 if isinstance(df.schema[vector_col].dataType.elementType, T.FloatType) else np.float64
     ids = T.StructField("ids", T.ArrayType(df.schema[id_col].dataType))
     whole = T.StructType([*kinds, T.StructField("number", T.LongType()), ids, T.StructField("vectors", T.BinaryType())])
 
@@ -86,7 +87,7 @@ def packed(df: DataFrame, id_col: str, vector_col: str, dim: int, keys: Sequence
             rows, m = valid_rows(batch.column(len(keys) + 1), dim)
             if not len(rows):
                 continue
-            m, found = unit_rows(m), _take(batch.column(len(keys)), rows)
+            m, found = m.astype(kind), _take(batch.column(len(keys)), rows)
             if keys:
                 marks = np.stack([batch.column(i).to_numpy(zero_copy_only=False)[rows] for i in range(len(keys))])
                 edges = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
@@ -108,6 +109,13 @@ def packed(df: DataFrame, id_col: str, vector_col: str, dim: int, keys: Sequence
     return df.select(*[F.col(c).cast("long").alias(c) for c in keys], id_col, vector_col).mapInArrow(pack, whole)
 
 
+def _directions(value: pa.Scalar, n: int, dim: int) -> np.ndarray:
+    """The ``n`` vectors of a block, scaled to length 1."""
+    data = value.as_buffer()
+    kind = np.float32 if data.size == 4 * n * dim else np.float64
+    return unit_rows(np.frombuffer(data, kind).reshape(n, dim).astype(np.float64))
+
+
 def _order(ids: pa.Array) -> np.ndarray:
     rank = np.empty(len(ids), np.int64)
     rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
@@ -162,8 +170,7 @@ def best_of_pairs(
                         yield held.popitem(last=False)[1].result(names)
                     held[number.as_py()] = BestRows(asked.values, k)
                 held.move_to_end(number.as_py())
-                left = np.frombuffer(q.as_buffer(), np.float64).reshape(-1, dim)
-                right = np.frombuffer(v.as_buffer(), np.float64).reshape(-1, dim)
+                left, right = _directions(q, len(asked.values), dim), _directions(v, len(ids.values), dim)
                 held[number.as_py()].add(1.0 - left @ right.T, ids.values)
         for best in held.values():
             yield best.result(names)

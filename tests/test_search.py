@@ -207,6 +207,22 @@ def test_few_queries_go_to_the_corpus(spark, monkeypatch):
     assert as_lists(few.collect()) == as_lists(many.collect()) == exact(corpus, queries, 4)
 
 
+@pytest.mark.parametrize("kind, size", [("float", 4), ("double", 8)])
+def test_vectors_travel_in_their_own_type(spark, kind, size):
+    """A block of floats takes four bytes a number, and is scaled to length 1 where it is compared."""
+    corpus = [(i, [x * 10.0**(i % 5) for x in v]) for i, v in vectors(spark, 90)] + [(500, [0.0] * 8)]
+    c = spark.createDataFrame(corpus, f"chunk_id long, embedding array<{kind}>").repartition(3)
+    block = blockjoin.packed(c, "chunk_id", "embedding", 8)
+    assert all(len(r["vectors"]) == size * 8 * len(r["ids"]) for r in block.collect())
+    queries = vectors(spark, 5, start=900)
+    for other in ("float", "double"):
+        q = spark.createDataFrame(queries, f"query_id long, embedding array<{other}>")
+        found = dense.dense_search(c, q, 7, dim=8).collect()
+        assert as_lists(found) == exact(corpus, queries, 7)
+        own = dict(corpus)
+        assert all(abs(r["distance"] - cosine_distance(own[r["chunk_id"]], queries[r["query_id"] - 900][1])) < 1e-6 for r in found)
+
+
 def test_postings_lie_in_blocks_of_texts(spark, folder, monkeypatch):
     """Stored postings are whole texts' lists, as many rows as blocks, and equal to the postings by row."""
     monkeypatch.setattr(termblocks.term_blocks, "__defaults__", (7,))
