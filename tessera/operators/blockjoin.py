@@ -3,7 +3,7 @@
 Rows are packed into blocks of bounded size where they are read, and queries likewise.
 An equi-join on a key brings the blocks of both sides together, so neither passes through
 the driver: Spark broadcasts the queries' blocks if they are small enough and shuffles both
-sides if they are not.  A pair of blocks is one matrix product; a task keeps the k best of
+sides if they are not.  Few queries meet all rows of a task where these are read.  A pair of blocks is one matrix product; a task keeps the k best of
 a query over all its pairs, and group-limited windows keep k of those of all tasks.
 
 For an exhaustive search the key is one of a number of groups: a block of the corpus is in
@@ -177,8 +177,58 @@ def best_of_pairs(
 
     schema = T.StructType([query_field, id_field, T.StructField(key_col, T.DoubleType())])
     partial = pairs.select("asked_number", "asked_ids", "asked_vectors", "ids", "vectors").mapInArrow(score, schema)
-    order = [F.round(key_col, RANK_DIGITS), F.col(id_field.name)]
-    return top_k_per_key(partial, [query_field.name], order, k, "rank", salts)
+    return _ranked(partial, names, k, salts)
+
+
+def _ranked(partial: DataFrame, names: list[str], k: int, salts: int) -> DataFrame:
+    query_col, id_col, key_col = names
+    return top_k_per_key(partial, [query_col], [F.round(key_col, RANK_DIGITS), F.col(id_col)], k, "rank", salts)
+
+
+def best_where_read(corpus: DataFrame, asked: DataFrame, query_field: T.StructField, dim: int, k: int, key_col: str, salts: int = 1) -> DataFrame:
+    """What :func:`best_of_pairs` gives, for few queries: each task gets their blocks with its first row, once.
+
+    ``corpus`` has id and vector, ``asked`` the blocks of queries, which are broadcast.
+    """
+    id_field, vector_field = corpus.schema.fields
+    names, most = [query_field.name, id_field.name, key_col], max(1, BLOCK_BYTES // (8 * dim))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # within its task
+    rows = corpus.withColumn("_first", place == 0)
+    met = rows.join(F.broadcast(asked.select("asked_ids", "asked_vectors")), F.col("_first"), "left")  # the first row comes with each block
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: list[tuple[pa.Array, np.ndarray]] = []
+        held: OrderedDict[int, BestRows] = OrderedDict()
+        for batch in batches:
+            copies = pc.sum(batch.column(2)).as_py() or 0  # of the first row, all before the second
+            for i in range(copies):
+                queries = batch.column(3)[i]
+                if queries.is_valid:
+                    blocks.append((queries.values, _directions(batch.column(4)[i], len(queries.values), dim)))
+                    yield from meet(held, blocks, len(blocks) - 1, batch.slice(i, 1))
+            yield from meet(held, blocks, 0, batch.slice(copies))
+        for best in held.values():
+            if best.ids is not None:
+                yield best.result(names)
+
+    def meet(held: OrderedDict, blocks: list, start: int, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found, m = valid_rows(rows.column(1), dim)
+        if not len(found):
+            return
+        m, ids = unit_rows(m), _take(rows.column(0), found)
+        for number in range(start, len(blocks)):
+            queries, left = blocks[number]
+            if number not in held:
+                if len(held) == HELD:
+                    yield held.popitem(last=False)[1].result(names)
+                held[number] = BestRows(queries, k)
+            held.move_to_end(number)
+            for a in range(0, len(m), most):
+                held[number].add(1.0 - left @ m[a : a + most].T, ids.slice(a, most))
+
+    schema = T.StructType([query_field, id_field, T.StructField(key_col, T.DoubleType())])
+    partial = met.select(id_field.name, vector_field.name, "_first", "asked_ids", "asked_vectors").mapInArrow(search, schema)
+    return _ranked(partial, names, k, salts)
 
 
 def _asked(blocks: DataFrame, *keys: str) -> DataFrame:
@@ -191,13 +241,12 @@ def nearest_rows(
 ) -> DataFrame:
     """Exact search: every block of queries meets every block of the corpus once.
 
-    Queries whose vectors have :data:`BROADCAST_BYTES` together at most (counted) go to the blocks of the corpus
-    where these are.  Otherwise ``groups`` is the number of keys, by default that of the shuffle's partitions.
+    Queries whose vectors have :data:`BROADCAST_BYTES` together at most (counted) go to where the corpus is read, once
+    for each task.  Otherwise ``groups`` is the number of keys, by default that of the shuffle's partitions.
     """
     if groups is None and queries.count() * dim * 8 <= BROADCAST_BYTES:
         asked = _asked(packed(queries, query_col, vector_col, dim, most=max_queries))
-        pairs = packed(corpus, id_col, vector_col, dim).crossJoin(F.broadcast(asked))
-        return best_of_pairs(pairs, corpus.schema[id_col], queries.schema[query_col], dim, k, key_col, salts)
+        return best_where_read(corpus.select(id_col, vector_col), asked, queries.schema[query_col], dim, k, key_col, salts)
     groups = groups or int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = packed(corpus, id_col, vector_col, dim).withColumn("group", F.pmod(F.xxhash64("number"), F.lit(groups)))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))

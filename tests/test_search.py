@@ -223,6 +223,23 @@ def test_vectors_travel_in_their_own_type(spark, kind, size):
         assert all(abs(r["distance"] - cosine_distance(own[r["chunk_id"]], queries[r["query_id"] - 900][1])) < 1e-6 for r in found)
 
 
+@pytest.mark.parametrize("n, parts, batch, asked", [(300, 5, 7, 40), (300, 1, 10000, 70), (3, 8, 1, 5), (0, 2, 5, 5), (40, 3, 4, 0)])
+def test_few_queries_meet_rows_once(spark, n, parts, batch, asked, monkeypatch):
+    """A task's first row is one row, however many blocks of queries and Arrow batches there are."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        corpus, queries = vectors(spark, n), vectors(spark, asked, start=900)
+        c = spark.createDataFrame(corpus + [(5000, None), (5001, [1.0])], CORPUS_DDL).repartition(parts)
+        q = spark.createDataFrame(queries, QUERY_DDL).repartition(1)
+        found = dense.dense_search(c, q, 400, dim=8, max_queries=1)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 2  # packing of queries, search: rows are not packed before
+        assert as_lists(found.collect()) == {q: ids for q, ids in exact(corpus, queries, 400).items() if ids}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_postings_lie_in_blocks_of_texts(spark, folder, monkeypatch):
     """Stored postings are whole texts' lists, as many rows as blocks, and equal to the postings by row."""
     monkeypatch.setattr(termblocks.term_blocks, "__defaults__", (7,))
