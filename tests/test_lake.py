@@ -252,6 +252,52 @@ def test_changes_reach_gold_and_embeddings(spark, folder):
     assert store.read_table(spark, gold, "gold").count() == store.read_table(spark, embedded, "embeddings").count() == 0
 
 
+def stored_files(path):
+    found = (os.path.join(at, n) for at, _, names in os.walk(path) for n in names)
+    return {f: os.stat(f).st_mtime_ns for f in found if f.endswith(".parquet")}
+
+
+def test_files_that_keep_their_rows_stay(spark, folder, monkeypatch):
+    """A change rewrites the files that lose rows, one after another, and leaves neither staged files nor shuffles of texts."""
+    monkeypatch.setattr(config, "REWRITE_BYTES", 1)
+    monkeypatch.setattr(config, "BROADCAST_ROWS", 1)
+    silver, gold, embedded = (f"{folder}/{n}" for n in ("silver", "gold", "embeddings"))
+    first, second = F.timestamp_seconds(F.lit(10)), F.timestamp_seconds(F.lit(20))
+    texts = {f"{'ab'[i % 2]}{i}": chr(97 + i) * 4000 for i in range(12)}
+    store.create_table(spark, silver, "silver")
+    jobs.apply_silver(spark, silver_rows(spark, texts).repartition(4, "doc_id"), silver)
+    jobs.propagate(spark, silver, gold, embedded, first, dim=8, model_ver="v1")
+    jobs.embed_gold(spark, gold, embedded, first, dim=8, model_ver="v2")
+    before = {p: stored_files(p) for p in (silver, gold, embedded)}
+    held = spark.read.parquet(silver).where("doc_id = 'a0'").select("_metadata.file_path").first()[0].split("/")[-1]
+    jobs.apply_silver(spark, silver_rows(spark, {"a0": "z" * 1600}), silver)
+    jobs.remove_documents(spark, spark.createDataFrame([("b1",)], "doc_id string"), silver)
+    assert jobs.propagate(spark, silver, gold, embedded, second, dim=8, model_ver="v1") == {"changed": 1, "gone": 1}
+    for path in (silver, gold, embedded):
+        assert not stored_files(f"{path}__staging")
+    now = stored_files(silver)
+    kept = {f for f in before[silver] if now.get(f) == before[silver][f]}
+    assert kept and held not in {f.split("/")[-1] for f in now}
+    texts = {k: v for k, v in texts.items() if k != "b1"} | {"a0": "z" * 1600}
+    got = {r["doc_id"]: r["text"] for r in store.read_table(spark, silver, "silver").collect()}
+    assert got == texts
+    want = {(f"{k}::{i}", n) for k, v in texts.items() for i, n in enumerate([1500, 1500, 1400, 100] if len(v) == 4000 else [1500, 300])}
+    assert {(r["chunk_id"], r["char_count"]) for r in store.read_table(spark, gold, "gold").collect()} == want
+    stamps = [F.unix_seconds(c).alias(c) for c in ("created_at", "updated_at")]
+    table = store.read_table(spark, embedded, "embeddings").select("chunk_id", "embedding_model_ver", *stamps)
+    assert rows(table) == sorted(
+        (c, v, 10, 20 if v == "v1" and c.startswith("a0::") else 10) for c, _ in want for v in ("v1", "v2"))
+
+
+def test_merges_may_not_repeat_rows(spark, folder):
+    store.create_table(spark, folder + "/silver", "silver")
+    batch = silver_rows(spark, {"a": "x", "b": "y"})
+    with pytest.raises(ValueError, match="repeats rows"):
+        store.rewrite_partitions(
+            spark, folder + "/silver", "silver", batch, lambda part, new: part.unionByName(new).unionByName(new), folder + "/staged")
+    assert store.read_table(spark, folder + "/silver", "silver").count() == 0
+
+
 def test_positions_are_gapless(spark):
     df = spark.range(3000).select((F.col("id") * 7919 % 1009).alias("k"), "id").repartition(11)
     found = sorted((r["position"], r["k"], r["id"]) for r in ordering.with_positions(df, [F.asc("k"), F.desc("id")]).collect())
